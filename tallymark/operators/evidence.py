@@ -10,8 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.hashing import JSON_OPTIONS, bytes_to_base64, canonical_json, one_line_base64
-from tallymark.operators.multiset import multiset_digest, multiset_state
+from tallymark.functions.hashing import JSON_OPTIONS, bytes_to_base64, canonical_json, hex_to_base64, one_line_base64
+from tallymark.operators.multiset import multiset_digest, multiset_state, state_hex
 
 COLUMNS = ["proof", "section", "name", "algo", "n_rows", "digest_b64"]
 
@@ -31,11 +31,21 @@ def file_evidence(manifest: DataFrame, proof: str, section: str) -> DataFrame:
                          bytes_to_base64(F.col("sha256")), "sha256")
 
 
-def rows_evidence(df: DataFrame, proof: str, section: str, cols: Sequence[str], idx: str, name: str = "train",
-                  by: str | None = None) -> DataFrame:
-    """The multiset digest of the rows read, per group if asked for."""
-    states = multiset_digest(multiset_state(df, cols, idx, [by] if by else []))
-    return evidence_rows(states, proof, section, F.col(by) if by else name, F.col("digest_b64"), "multiset", F.col("n"))
+def rows_evidence(df: DataFrame, proof: str, section: str, cols: Sequence[str], idx: str | None,
+                  name: str = "train", by: str | None = None, algo: str = "multiset") -> DataFrame:
+    """The multiset digest of the rows read, per group if asked for.
+
+    ``multiset`` is the group element; ``sum`` the exact exponent, which is
+    enough to compare two reads and never leaves the JVM.
+    """
+    states = multiset_state(df, cols, idx, [by] if by else [])
+    if algo == "sum":
+        states = states.withColumn("digest_b64", hex_to_base64(state_hex()))
+    elif algo == "multiset":
+        states = multiset_digest(states)
+    else:
+        raise ValueError(f"unknown digest {algo!r}")
+    return evidence_rows(states, proof, section, F.col(by) if by else name, F.col("digest_b64"), algo, F.col("n"))
 
 
 def object_digest(cols: Sequence[str | Column]) -> Column:

@@ -80,6 +80,12 @@ def multiset_digest(states: DataFrame) -> DataFrame:
     return out.withColumn("digest_b64", hex_to_base64(F.col("digest_hex")))
 
 
+def state_hex(hi: str = "hi") -> Column:
+    """The exact total of a state as hex text: ``hi`` and eight 32-bit limbs."""
+    limbs = [F.lpad(F.lower(F.hex(F.col(c))), 8, "0") for c in LIMBS]
+    return F.concat(F.lower(F.hex(F.col(hi))), *limbs)
+
+
 def multiset_equal(left: DataFrame, right: DataFrame, cols: Sequence[str], idx: str | None = None) -> DataFrame:
     """One row telling whether two tables hold the same rows as multisets."""
     keep = list(cols) + ([idx] if idx and idx not in cols else [])

@@ -9,8 +9,9 @@ grows with the data, however rows are spread over ``within`` groups.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +133,22 @@ def keep_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
 def fill_missing(df: DataFrame, value: str = "Unknown", cols: Sequence[str] | None = None) -> DataFrame:
     """Replace nulls of string columns."""
     return df.fillna(value, subset=list(cols) if cols else None)
+
+
+def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str, batch_size: int | None = None,
+                keep: Sequence[str] | None = None) -> DataFrame:
+    """Apply a Python function to batches given as ``{column: list}``.
+
+    The slow path: use it where no expression does the work. ``keep`` limits
+    the columns that travel to Python; ``batch_size`` bounds a call, never
+    which rows are seen.
+    """
+
+    def run(frames):
+        for frame in frames:
+            step = batch_size or max(len(frame), 1)
+            for at in range(0, len(frame), step):
+                part = frame.iloc[at:at + step]
+                yield pd.DataFrame(fn({c: part[c].tolist() for c in part.columns}))
+
+    return (df.select(*keep) if keep else df).mapInPandas(run, schema)

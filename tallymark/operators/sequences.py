@@ -17,32 +17,33 @@ LOOKUP_SLOTS = 2048
 LOOKUP_WORDS = 65_536
 
 
-def lookup_table(vocab: DataFrame, slots: int = LOOKUP_SLOTS) -> Column:
-    """The whole vocabulary as one array of small ``word -> id`` maps.
+def lookup_table(entries: list) -> Column:
+    """A small vocabulary as one constant: an array of little ``word -> id`` maps.
 
-    A word's hash names its slot. For vocabularies of at most
-    ``LOOKUP_WORDS`` words; :func:`encode_by_join` has no such bound.
+    A word's hash names its slot, so a lookup costs one array access.
     """
-    slot = F.pmod(F.hash("word"), F.lit(slots))
-    filled = vocab.groupBy(slot.alias("slot")).agg(F.collect_list(F.struct("word", "id")).alias("entries"))
-    blank = F.array().cast("array<struct<word:string,id:int>>")
-    every = vocab.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    rows = every.join(filled, "slot", "left").select("slot", F.coalesce("entries", blank).alias("entries"))
-    table = rows.agg(F.array_sort(F.collect_list(F.struct("slot", "entries"))).alias("rows"))
-    return table.select(F.transform("rows", lambda r: F.map_from_entries(r["entries"]))).scalar()
+    slots = [{} for _ in range(LOOKUP_SLOTS)]
+    for row in entries:
+        slots[row["slot"]][row["word"]] = row["id"]
+    return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,int>>")
 
 
-def encode(df: DataFrame, vocab: DataFrame, text: str = "text", name: str = "input_ids",
-           tokens: Column | None = None) -> DataFrame:
+def encode(df: DataFrame, vocab: DataFrame, text: str = "text", name: str = "input_ids", key: str | None = None) -> DataFrame:
     """Add the ids of the known words of every text, in order.
 
-    One pass over the rows; nothing is shuffled and a text without known words
-    keeps an empty list.
+    A vocabulary of at most ``LOOKUP_WORDS`` words becomes a constant: one pass
+    over the rows, nothing shuffled, and a text without known words keeps an
+    empty list. A larger one is joined by ``key``.
     """
-    table = lookup_table(vocab)
-    slots = F.lit(LOOKUP_SLOTS)
-    ids = F.transform(clean_tokens(text) if tokens is None else tokens,
-                      lambda word: F.try_element_at(F.get(table, F.pmod(F.hash(word), slots)), word))
+    slot = F.pmod(F.hash("word"), F.lit(LOOKUP_SLOTS)).alias("slot")
+    entries = vocab.select("word", "id", slot).limit(LOOKUP_WORDS + 1).collect()
+    if len(entries) > LOOKUP_WORDS:
+        if key is None:
+            raise ValueError(f"more than {LOOKUP_WORDS} words: name the key to join by")
+        return encode_by_join(df, vocab, key, text, name)
+    table = lookup_table(entries)
+    ids = F.transform(clean_tokens(text),
+                      lambda word: F.try_element_at(F.get(table, F.pmod(F.hash(word), F.lit(LOOKUP_SLOTS))), word))
     return df.withColumn(name, F.filter(ids, lambda i: i.isNotNull()))
 
 

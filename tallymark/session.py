@@ -61,3 +61,13 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"more than {limit} {what}")
     return rows
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Use every core for a scan that comes in fewer pieces than there are cores.
+
+    For plain file scans only. A table of many files is returned as it is, so
+    nothing is shuffled where the data is large.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
