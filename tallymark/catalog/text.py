@@ -275,12 +275,14 @@ def bleu_tokens_sql(col: str) -> str:
 
 def ngrams_sql(tokens, max_n: int = 4) -> str:
     sides = [f"SELECT doc_id, {p} AS p, {1 - p} AS r, {tokens(col)} AS t FROM pairs" for p, col in ((1, "pred"), (0, "ref"))]
-    grams = " UNION ALL ".join(
-        f"SELECT doc_id, p, r, {n} AS ord, unnest(list_transform(range(1, len(t) - {n - 2}), lambda i: array_to_string(t[i:i + {n - 1}], ' '))) AS gram FROM sides"
-        for n in range(1, max_n + 1))
+    lead = {1: "w"} | {n: f"{' || '.join(['w'] + [f'chr(32) || lead(w, {k}) OVER s' for k in range(1, n)])}" for n in range(2, max_n + 1)}
+    columns = ", ".join(f"{expr} AS g{n}" for n, expr in lead.items())
+    grams = " UNION ALL ".join(f"SELECT doc_id, p, r, {n} AS ord, g{n} AS gram FROM runs WHERE g{n} IS NOT NULL" for n in lead)
     return f"""
 WITH pairs AS (SELECT doc_id, text AS pred, replace(text, ' the ', ' a ') AS ref FROM documents),
-sides AS ({' UNION ALL '.join(sides)}), grams AS ({grams}),
+sides AS ({' UNION ALL '.join(sides)}),
+tokens AS (SELECT doc_id, p, r, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM sides),
+runs AS (SELECT doc_id, p, r, {columns} FROM tokens WINDOW s AS (PARTITION BY doc_id, p ORDER BY i)), grams AS ({grams}),
 counted AS (SELECT doc_id, ord, gram, sum(p) AS p, sum(r) AS r FROM grams GROUP BY ALL)
 SELECT ord::BIGINT AS "order", sum(least(p, r))::BIGINT AS matches, sum(p)::BIGINT AS total, sum(r)::BIGINT AS ref_total
 FROM counted GROUP BY ord"""

@@ -14,6 +14,11 @@ CIFAR_MEAN = (0.4914, 0.4822, 0.4465)
 CIFAR_STD = (0.2471, 0.2435, 0.2616)
 
 
+def int_div(a: str | Column, b: int | Column) -> Column:
+    """Whole-number quotient, exact for any BIGINT."""
+    return F.call_function("div", _column(a), F.lit(b) if isinstance(b, int) else b)
+
+
 def pad_left(seq: str | Column, size: int = 500, value: int = 0) -> Column:
     """The first ``size`` items, filled up with ``value`` in front."""
     seq = F.slice(_column(seq), 1, size)
@@ -50,13 +55,13 @@ def crop_flip(values: str | Column, key: str | Column, channels: int, height: in
     """
     values, key = _column(values), _column(key)
     span = 2 * padding + 1
-    draw = F.xxhash64(F.lit(seed), key)
-    top = F.pmod(draw, F.lit(span)).cast("int")
-    left = F.pmod(F.floor(draw / span), F.lit(span)).cast("int")
-    mirrored = F.pmod(F.floor(draw / (span * span)), F.lit(2)) == 1
+    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2 * span * span))
+    top = draw % span
+    left = int_div(draw, span) % span
+    mirrored = int_div(draw, span * span) == 1
 
     def source(i):
-        channel, row, col = F.floor(i / (height * width)), F.floor(i / width) % height, i % width
+        channel, row, col = int_div(i, height * width), int_div(i, width) % height, i % width
         col = F.when(mirrored, width - 1 - col).otherwise(col)
         y, x = row + top - padding, col + left - padding
         inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)

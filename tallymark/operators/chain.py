@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions.arrays import int_div
 from tallymark.functions.hashing import canonical_json
 
 START = "none"
@@ -23,7 +24,7 @@ def _chain(items: Column) -> Column:
 
 def chain_blocks(df: DataFrame, hashed: Column, idx: str, block: int = 1024) -> DataFrame:
     """``(block_id, n, chain)``: the chain over each block of consecutive positions."""
-    rows = df.select(F.floor(F.col(idx) / block).cast("bigint").alias("block_id"),
+    rows = df.select(int_div(idx, block).alias("block_id"),
                      F.struct(F.col(idx).alias("i"), hashed.alias("h")).alias("item"))
     return rows.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), _chain(F.collect_list("item")).alias("chain"))
 
@@ -35,7 +36,7 @@ def chain_digest(df: DataFrame, cols: Sequence[str], idx: str, block: int = 1024
     left, levels = -(-n_rows // block), 1
     while left > 1:
         above = chain_blocks(level, F.col("chain"), "block_id", block).drop("n")
-        sizes = level.groupBy(F.floor(F.col("block_id") / block).cast("bigint").alias("block_id")).agg(F.sum("n").alias("n"))
+        sizes = level.groupBy(int_div("block_id", block).alias("block_id")).agg(F.sum("n").alias("n"))
         level = above.join(sizes, "block_id")
         left, levels = -(-left // block), levels + 1
     empty = F.coalesce(F.max("chain"), F.lit(START))

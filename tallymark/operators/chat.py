@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.functions.arrays import int_div
 from tallymark.functions.text import CONTEXT_MESSAGE, TURN_START, chat_turn
 
 BLOCK_TURNS = 256
@@ -17,7 +18,7 @@ def render_chat_parts(df: DataFrame, conv: str = "conv_id", turn: str = "turn",
     Turn numbers are unique in a conversation, so a block is bounded however
     long the conversation is. The parts in order are the rendered text.
     """
-    turns = df.select(conv, F.floor(F.col(turn) / BLOCK_TURNS).cast("bigint").alias("part"),
+    turns = df.select(conv, int_div(turn, BLOCK_TURNS).alias("part"),
                       F.struct(F.col(turn).alias("t"), chat_turn(role, content).alias("s")).alias("x"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "")
     return turns.groupBy(conv, "part").agg(joined.alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import BLANKS, _column
@@ -44,11 +44,14 @@ def ngram_statistics(pairs: DataFrame, key: str, pred: str, ref: str, max_n: int
     sides = F.array(F.struct(F.lit(1).alias("p"), F.lit(0).alias("r"), split(pred).alias("tokens")),
                     F.struct(F.lit(0).alias("p"), F.lit(1).alias("r"), split(ref).alias("tokens")))
     texts = pairs.select(F.col(key).alias("pair"), F.explode(sides).alias("s")).select("pair", "s.*")
-    orders = F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("order")
-    sized = texts.select("pair", "p", "r", "tokens", orders).where(F.size("tokens") >= F.col("order"))
-    starts = F.sequence(F.lit(1), F.size("tokens") - F.col("order") + 1)
-    grams = sized.select("pair", "p", "r", "order", F.explode(F.transform(
-        starts, lambda i: F.array_join(F.slice("tokens", i, F.col("order")), " "))).alias("gram"))
+    tokens = texts.select("pair", "p", "r", F.posexplode("tokens").alias("i", "w"))
+    following = Window.partitionBy("pair", "p").orderBy("i")
+    tokens = tokens.select("pair", "p", "r", "w", *[F.lead("w", k).over(following).alias(f"w{k}") for k in range(1, max_n)])
+    longer = ["w"] + [f"w{k}" for k in range(1, max_n)]
+    per_order = [F.struct(F.lit(n).alias("order"), F.concat(*[part for w in longer[:n] for part in (F.lit(" "), F.col(w))]).alias("gram"))
+                 for n in range(1, max_n + 1)]
+    grams = tokens.select("pair", "p", "r", F.explode(F.array(*per_order)).alias("g")).select("pair", "p", "r", "g.*")
+    grams = grams.where(F.col("gram").isNotNull())
     counts = grams.groupBy("pair", "order", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
     return counts.groupBy("order").agg(F.sum(F.least("p", "r")).alias("matches"), F.sum("p").alias("total"),
                                        F.sum("r").alias("ref_total"))

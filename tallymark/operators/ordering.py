@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.functions.arrays import int_div
+
 LEAF_BITS = 10
 FAN_BITS = 16
 
@@ -95,7 +97,7 @@ def head(df: DataFrame, n: int, idx: str = "row_idx") -> DataFrame:
 
 def head_fraction(df: DataFrame, divisor: int, idx: str = "row_idx") -> DataFrame:
     """The first ``n // divisor`` rows by position, ``n`` being the row count."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).select(F.floor(F.col("n") / divisor)).scalar()
+    n = df.agg(F.count(F.lit(1)).alias("n")).select(int_div("n", divisor)).scalar()
     return df.where(F.col(idx) < n)
 
 
@@ -118,10 +120,10 @@ def read_batches(df: DataFrame, size: int, drop_last: bool = False, idx: str = "
 
     Positions are dense, so the one short batch is known from the row count.
     """
-    out = df.withColumn("batch_id", F.floor(F.col(idx) / size).cast("bigint"))
+    out = df.withColumn("batch_id", int_div(idx, size))
     if not drop_last:
         return out
-    full = df.agg(F.count(F.lit(1)).alias("n")).select(F.floor(F.col("n") / size)).scalar()
+    full = df.agg(F.count(F.lit(1)).alias("n")).select(int_div("n", size)).scalar()
     return out.where(F.col("batch_id") < full)
 
 

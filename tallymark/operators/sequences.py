@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymark.functions.arrays import int_div
 from tallymark.functions.text import clean_tokens
 from tallymark.operators.ordering import running_offset
 
@@ -105,7 +106,7 @@ def pack(df: DataFrame, tokens: str, shard: str, order: str, size: int = 1024, d
         return F.struct(chunk.alias("chunk"), start.alias("start"),
                         F.slice(F.col(tokens), (start - begin + 1).cast("int"), length.cast("int")).alias("part"))
 
-    spans = F.sequence(F.floor(begin / size), F.floor((begin + n - 1) / size))
+    spans = F.sequence(int_div(begin, size), int_div(begin + n - 1, size))
     pieces = placed.where(n > 0).select(shard, F.explode(F.transform(spans, piece)).alias("p"))
     chunks = pieces.groupBy(shard, F.col("p.chunk").alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("p.start", "p.part"))).alias("parts"))

@@ -99,7 +99,7 @@ def pretrain_data(df: DataFrame, vocab: DataFrame, settings: DataFrame, text: st
     """First rows, random split, tokens, chunks per shard; one digest per split."""
     picked = with_row_index(df.select(idx, text), idx).where(F.col("row_idx") < rows)
     split = split_random(picked, idx, test, seed)
-    tokens = tokenize(split, vocab, text, keep=("split", "row_idx"))
+    tokens = materialise(tokenize(split, vocab, text, keep=("split", "row_idx")))
     shard = F.concat_ws("/", "split", (F.col("row_idx") % shards).cast("string"))
     chunks = pack(tokens.withColumn("shard", shard), "input_ids", "shard", "row_idx", size)
     chunks = chunks.withColumn("split", F.substring_index("shard", "/", 1))

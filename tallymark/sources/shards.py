@@ -9,23 +9,27 @@ a failed task leaves no half-written shard behind.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tallymark.operators.ordering import running_offset
-from tallymark.session import bounded_rows, materialise
+from tallymark.functions.arrays import int_div
+from tallymark.operators.ordering import key_bounds, running_offset
+from tallymark.session import bounded_rows, join_small, materialise
 from tallymark.sources.files import file_digests, list_files
 
 FORMAT = "arrow_shards"
 BATCH_ROWS = 1000
 MAX_SPLITS = 10_000
+LOOKUP_BUCKETS = 1 << 16
+BROADCAST_CUTS = 500_000
 
 
 def _filesystem(path: str):
@@ -41,6 +45,7 @@ def shard_name(index: int, count: int) -> str:
 @dataclass
 class ShardFile(InputPartition):
     path: str
+    first: int | None
 
 
 @dataclass
@@ -67,16 +72,23 @@ class HashingSink:
 
 
 class ShardReader(DataSourceReader):
-    def __init__(self, paths):
-        self.paths = paths
+    """Reads one shard per task; with ``firsts``, rows get their positions."""
+
+    def __init__(self, paths, firsts):
+        self.paths, self.firsts = paths, firsts
 
     def partitions(self):
-        return [ShardFile(p) for p in self.paths]
+        return [ShardFile(p, f) for p, f in zip(self.paths, self.firsts or [None] * len(self.paths))]
 
     def read(self, partition):
         system, path = _filesystem(partition.path)
+        at = partition.first
         with system.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as batches:
-            yield from batches
+            for batch in batches:
+                if at is not None:
+                    batch = batch.append_column("row_idx", pa.array(range(at, at + batch.num_rows), pa.int64()))
+                    at += batch.num_rows
+                yield batch
 
 
 class ShardWriter(DataSourceArrowWriter):
@@ -169,7 +181,7 @@ class ShardWriter(DataSourceArrowWriter):
 
 
 class ArrowShards(DataSource):
-    """``arrow_shards``: option ``path`` to write, option ``files`` (JSON list) to read."""
+    """``arrow_shards``: option ``path`` to write, options ``files`` and ``firsts`` (JSON lists) to read."""
 
     @classmethod
     def name(cls):
@@ -178,10 +190,11 @@ class ArrowShards(DataSource):
     def schema(self):
         system, path = _filesystem(json.loads(self.options["files"])[0])
         with system.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as batches:
-            return from_arrow_schema(batches.schema)
+            found = from_arrow_schema(batches.schema)
+        return found.add("row_idx", "bigint") if "firsts" in self.options else found
 
     def reader(self, schema):
-        return ShardReader(json.loads(self.options["files"]))
+        return ShardReader(json.loads(self.options["files"]), json.loads(self.options.get("firsts", "null")))
 
     def writer(self, schema, overwrite):
         return ShardWriter(self.options["path"])
@@ -191,34 +204,61 @@ def _register(spark: SparkSession) -> None:
     spark.dataSource.register(ArrowShards)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """A row's size: eight bytes and its values in text form."""
+    size = F.lit(8)
+    for name, kind in df.dtypes:
+        text = F.col(name).cast("string") if kind in ("string", "binary") else F.to_json(F.struct(name))
+        size = size + F.coalesce(F.octet_length(text), F.lit(0))
+    return size.cast("bigint")
+
+
+def shard_cuts(sizes: DataFrame, key: str, max_shard_bytes: int, bounds: dict | None = None) -> DataFrame:
+    """``(__split, from_key, shard, shards)``: where each shard begins.
+
+    ``sizes`` is ``(__split, key, bytes)``. A row is never cut, so a shard
+    exceeds the cap by less than one row.
+    """
+    placed = running_offset(sizes, key, F.col("bytes"), ["__split"], "__at", bounds)
+    begins = placed.groupBy("__split", int_div("__at", max_shard_bytes).alias("raw")).agg(F.min(key).alias("from_key"))
+    per_split = Window.partitionBy("__split")
+    return begins.select("__split", "from_key",
+                         (F.row_number().over(per_split.orderBy("from_key")) - 1).cast("int").alias("shard"),
+                         F.count(F.lit(1)).over(per_split).cast("int").alias("shards"))
+
+
 def assign_shards(df: DataFrame, key: str, max_shard_bytes: int, split: str | None = None) -> DataFrame:
     """Add ``__split, __shard, __shards``: rows in key order, cut every so many bytes.
 
-    A row's size is that of its values in text form; a row is never cut, so a
-    shard exceeds the cap by less than one row.
+    Only ``(split, key, bytes)`` is shuffled to find the cuts. They are then
+    looked up by the key's high bits in a table of at most ``LOOKUP_BUCKETS``
+    rows per split and one per shard, so the rows themselves stay in place.
     """
-    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")) if t in ("string", "binary")
-                        else F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c, t in df.dtypes]
-    weight = F.lit(8)
-    for size in sizes:
-        weight = weight + size
     tagged = df.withColumn("__split", F.col(split) if split else F.lit(""))
-    within = ["__split"]
-    placed = running_offset(tagged, key, weight, within, "__at")
-    raw = placed.withColumn("__raw", F.floor(F.col("__at") / max_shard_bytes).cast("bigint")).drop("__at")
-    used = materialise(raw.groupBy("__split", "__raw").agg(F.count(F.lit(1)).alias("__n")).drop("__n"))
-    rank = F.row_number().over(Window.partitionBy("__split").orderBy("__raw")) - 1
-    count = F.count(F.lit(1)).over(Window.partitionBy("__split"))
-    numbers = used.withColumns({"__shard": rank.cast("int"), "__shards": count.cast("int")})
-    return raw.join(numbers, ["__split", "__raw"]).drop("__raw")
-
-
-def write_dataset(df: DataFrame, path: str, key: str, max_shard_mb: float = 500, split: str | None = None,
-                  partitions: int | None = None) -> DataFrame:
+    sizes = materialise(tagged.select("__split", F.col(key).cast("bigint").alias(key), row_bytes(df).alias("bytes")))
+    bounds = key_bounds(sizes, [key])
+    lo, hi = bounds[f"lo_{key}"] or 0, bounds[f"hi_{key}"] or 0
+    shift = next(s for s in range(64) if (hi >> s) - (lo >> s) < LOOKUP_BUCKETS)
+    cuts = materialise(shard_cuts(sizes, key, max_shard_bytes, bounds))
+
+    following = F.lead("from_key").over(Window.partitionBy("__split").orderBy("from_key"))
+    bucket = F.sequence(F.shiftright("from_key", shift), F.shiftright(F.coalesce(following, F.lit(hi).cast("bigint")), shift))
+    covered = cuts.withColumn("__c", bucket).select("__split", F.explode("__c").alias("__c"),
+                                                    F.struct("from_key", "shard", "shards").alias("cut"))
+    table = covered.groupBy("__split", "__c").agg(F.collect_list("cut").alias("__cuts"))
+    rows = tagged.withColumn("__c", F.shiftright(F.col(key).cast("bigint"), shift))
+    found = join_small(rows, table, ["__split", "__c"], max_rows=BROADCAST_CUTS)
+    mine = F.array_max(F.filter("__cuts", lambda c: c["from_key"] <= F.col(key)))
+    return (found.withColumn("__mine", mine).withColumns({"__shard": F.col("__mine.shard"), "__shards": F.col("__mine.shards")})
+            .drop("__c", "__cuts", "__mine"))
+
+
+def write_dataset(df: DataFrame, path: str, key: str, max_shard_mb: float = 500, split: str | None = None) -> DataFrame:
     """Write shards in key order and return the manifest that was recorded.
 
-    The digests are those of the file bytes as they were written; comparing
-    with :func:`file_digests` checks what is stored.
+    Rows are shuffled once, by shard. The digests are those of the file bytes
+    as they were written; comparing with :func:`file_manifest` checks what is
+    stored.
     """
     spark = df.sparkSession
     _register(spark)
@@ -226,8 +266,7 @@ def write_dataset(df: DataFrame, path: str, key: str, max_shard_mb: float = 500,
     if split:
         placed = placed.drop(split)
     by = ["__split", "__shard"]
-    ranged = placed.repartitionByRange(partitions, *by) if partitions else placed.repartitionByRange(*by)
-    ranged.sortWithinPartitions(*by, key).write.format(FORMAT).mode("append").option("path", path).save()
+    placed.repartition(*by).sortWithinPartitions(*by, key).write.format(FORMAT).mode("append").option("path", path).save()
     return recorded_manifest(spark, path)
 
 
@@ -278,16 +317,27 @@ def file_manifest(spark: SparkSession, path: str, split: str | None = None) -> D
     return files.join(digests, "path", "left").select("split", "shard_idx", "file", "bytes", "sha256")
 
 
-def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Rows of all shards with their split as a column."""
+def read_dataset(spark: SparkSession, path: str, split: str | None = None, positions: bool = False) -> DataFrame:
+    """Rows of all shards with their split as a column.
+
+    ``positions`` adds ``row_idx``, the row's place in its split. It follows
+    from the recorded row counts, so nothing is shuffled.
+    """
     _register(spark)
-    by_split: dict[str, list[str]] = {}
-    rows = dataset_files(spark, path, split).orderBy("split", "shard_idx").collect()
-    for row in rows:
-        by_split.setdefault(row["split"], []).append(row["path"].removeprefix("file:"))
+    files = dataset_files(spark, path, split)
+    if positions:
+        counts = recorded_manifest(spark, path).select("split", "shard_idx", "rows")
+        files = files.join(counts, ["split", "shard_idx"], "left")
+    by_split: dict[str, list] = {}
+    for row in files.orderBy("split", "shard_idx").collect():
+        by_split.setdefault(row["split"], []).append(row)
     whole = None
-    for name, files in by_split.items():
-        part = spark.read.format(FORMAT).option("files", json.dumps(files)).load().withColumn("split", F.lit(name))
+    for name, rows in by_split.items():
+        reader = spark.read.format(FORMAT).option("files", json.dumps([r["path"].removeprefix("file:") for r in rows]))
+        if positions:
+            firsts = [0, *itertools.accumulate(r["rows"] for r in rows)][:-1]
+            reader = reader.option("firsts", json.dumps(firsts))
+        part = reader.load().withColumn("split", F.lit(name))
         whole = part if whole is None else whole.unionByName(part)
     return whole
 

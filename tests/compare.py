@@ -14,6 +14,9 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
+SECONDS = {"spark": 0.0}
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for path in sorted(Path(sf_dir).glob("*.parquet")):
@@ -51,7 +54,9 @@ def duck_rows(con, sql):
 
 def difference(spark, con, fn, sql, sf_dir):
     """None when equal, else a short text."""
+    begin = time.time()
     names, got = spark_rows(fn(spark, sf_dir))
+    SECONDS["spark"] = time.time() - begin
     if sql is None:
         return None if got else "no rows"
     want_names, want = duck_rows(con, sql)
@@ -87,7 +92,7 @@ def main():
         except Exception as error:  # noqa: BLE001
             result = f"{type(error).__name__}: {str(error)[:1500]}"
         mark = "ok " if result is None else "BAD"
-        print(mark, name, "" if name in oracles else "(rows only)", f"{time.time() - start:.1f}s", result or "", flush=True)
+        print(mark, name, "" if name in oracles else "(rows only)", f"spark {SECONDS['spark']:.1f}s", f"both {time.time() - start:.1f}s", result or "", flush=True)
 
 
 if __name__ == "__main__":
