@@ -46,8 +46,8 @@ def build_conversation(samples: DataFrame, replies: DataFrame, key: str, story:
     answered = asked.join(replies, [key, "question_no"], "left")
     both = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content")),
                    F.struct(F.lit("assistant").alias("role"), F.coalesce("reply", F.lit("")).alias("content")))
-    lines = answered.select(key, "question_no", F.posexplode(both).alias("k", "m"))
-    dialogue = lines.select(key, (F.col("question_no") * 2 + F.col("k") + 1).alias("turn"), "m.role", "m.content")
+    lines = answered.select(key, "question_no", F.posexplode(both).alias("__line", "__m"))
+    dialogue = lines.select(key, (F.col("question_no") * 2 + F.col("__line") + 1).alias("turn"), "__m.role", "__m.content")
     return opening.unionByName(dialogue)
 
 
@@ -57,8 +57,8 @@ def first_per_group(df: DataFrame, group: str, order: str, n: int, name: str = "
     Spark limits the groups before it shuffles, so a hot one costs ``n`` rows
     per task.
     """
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return df.withColumn(name, rank).where(F.col(name) < n)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return df.withColumn(name, rank).where(F.col(name) <= n).withColumn(name, F.col(name) - 1)
 
 
 def conversation_json(df: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,8 @@ BLOCK_BYTES = 8 << 20
 # Compression by file extension.
 CODECS = {"gz": "gzip", "bz2": "bz2", "lz4": "lz4", "zst": "zstd", "br": "brotli"}
 
+EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
+
 MANIFEST = "path string, bytes bigint, sha256 string"
 
 
@@ -54,15 +58,31 @@ def _hash_streams(files: DataFrame, decompress: bool) -> DataFrame:
                 rows.append((path, size, total.hexdigest()))
             yield pd.DataFrame(rows, columns=["path", "bytes", "sha256"])
 
-    return files.select("path").repartition(F.col("path")).mapInPandas(digest, MANIFEST)
+    return files.select("path").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").mapInPandas(digest, MANIFEST)
 
 
-def list_files(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
-    """``(path, bytes)`` of all files below a path; contents are not read."""
+def _binary_files(spark: SparkSession, path: str | Sequence[str], pattern: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", F.col("length").alias("bytes"))
+    return reader.load(path)
+
+
+def _with_empty_files(found: DataFrame, scan: DataFrame) -> DataFrame:
+    """Add the files of no bytes, which a scan lists but does not read.
+
+    Spark's file index already holds the listing on the driver.
+    """
+    names = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in scan.inputFiles()]
+    listed = scan.sparkSession.createDataFrame(names, "path string")
+    out = listed.join(found, "path", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("bigint")))
+    return out.fillna(EMPTY_SHA256, "sha256") if "sha256" in out.columns else out
+
+
+def list_files(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
+    """``(path, bytes)`` of all files below a path; contents are not read."""
+    scan = _binary_files(spark, path, pattern)
+    return _with_empty_files(scan.select("path", F.col("length").alias("bytes")), scan)
 
 
 def file_digests(spark: SparkSession, path: str | Sequence[str], mode: str = "rb", pattern: str | None = None,
@@ -70,17 +90,15 @@ def file_digests(spark: SparkSession, path: str | Sequence[str], mode: str = "rb
     """``(path, bytes, sha256)`` of every file below a path.
 
     Files up to ``whole_bytes`` are hashed inside Spark's file reader; larger
-    ones are streamed in blocks, so no file has to fit in memory.
+    ones are streamed in blocks, so no file has to fit in memory. As everywhere
+    in Spark, names that begin with ``_`` or ``.`` are not listed.
     """
     check_read_mode(mode)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(path)
-    small = files.where(F.col("length") <= whole_bytes).select(
+    scan = _binary_files(spark, path, pattern)
+    small = scan.where(F.col("length") <= whole_bytes).select(
         "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") > whole_bytes).select("path")
-    return small.unionByName(_hash_streams(large, decompress=False))
+    large = scan.where(F.col("length") > whole_bytes).select("path")
+    return _with_empty_files(small.unionByName(_hash_streams(large, decompress=False)), scan)
 
 
 def decompressed_digests(spark: SparkSession, path: str | Sequence[str], mode: str = "rb",

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import LongType
 
 from tallymark.functions.arrays import int_div
 from tallymark.operators.ordering import key_bounds, running_offset
@@ -191,7 +192,7 @@ class ArrowShards(DataSource):
         system, path = _filesystem(json.loads(self.options["files"])[0])
         with system.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as batches:
             found = from_arrow_schema(batches.schema)
-        return found.add("row_idx", "bigint") if "firsts" in self.options else found
+        return found.add("row_idx", LongType()) if "firsts" in self.options else found
 
     def reader(self, schema):
         return ShardReader(json.loads(self.options["files"]), json.loads(self.options.get("firsts", "null")))
