@@ -94,13 +94,12 @@ def run_ledger(spark, sf_dir):
     columns = {name: F.lit(0) for name in (c.split()[0] for c in tables.LEDGER.split(", "))}
     columns |= {"attestation_type": F.col("event_type"), "model_path": F.concat(F.lit("model"), (F.col("user_id") % 3).cast("string")),
                 "measure": F.lit(True), "in_memory": F.col("event_id") % 2 == 0, "total_access": F.col("event_id"),
-                "compute_time": F.col("value")}
+                "compute_time": F.floor(F.col("value") * 100 + 0.5).cast("double")}
     records = events.select("event_id", *[c.alias(n) for n, c in columns.items()])
     half = F.col("event_id") % 2 == 0
     tables.append_ledger(records.where(half), path)
     whole = tables.append_ledger(records.where(~half), path)
-    summary = tables.ledger_summary(whole)
-    return summary.withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
+    return tables.ledger_summary(whole).withColumn("deviation", F.round("deviation", 6))
 
 
 def conversation_sink(spark, sf_dir):
@@ -157,8 +156,8 @@ SELECT n_lines, csv, sha256(csv) AS sha256 FROM b
 """,
     "run_ledger": """
 SELECT event_type AS attestation_type, 'model' || (user_id % 3) AS model_path, event_id % 2 = 0 AS in_memory,
-       count(*) AS runs, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation
-FROM events GROUP BY ALL
+       count(*) AS runs, avg(cents) AS mean, round(stddev_samp(cents), 6) AS deviation
+FROM (SELECT *, floor(value * 100 + 0.5) AS cents FROM events) GROUP BY ALL
 """,
     "conversation_sink": """
 SELECT conv_id, count(*) AS n_messages,
