@@ -167,9 +167,9 @@ def dataset_binding(spark, sf_dir):
 
 def config_canonical(spark, sf_dir):
     """Settings as JSON with sorted keys, and its digest."""
-    settings = table(spark, sf_dir, "customer").select(
-        F.col("c_nationkey").alias("nation"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
-    return evidence.config_digest(settings, ["nation"])
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", F.expr("stack(3, 'type', p_type, 'brand', p_brand, 'name', p_name) AS (key, value)"))
+    return evidence.config_digest(part, ["p_partkey"])
 
 
 def artifact_manifest(spark, sf_dir):
@@ -301,8 +301,8 @@ FROM e UNION ALL SELECT proof, section, 'src99', 'extra' FROM e WHERE name = 'sr
 SELECT CASE WHEN lang = 'en' THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows, count(*) AS n_accesses, true AS bound
 FROM documents GROUP BY 1""",
     "config_canonical": """
-SELECT nation, config, sha256(config) AS sha256 FROM (SELECT c_nationkey AS nation,
-  '{' || string_agg('"' || c_name || '":"' || c_mktsegment || '"', ',' ORDER BY c_name) || '}' AS config FROM customer GROUP BY 1)""",
+SELECT p_partkey, config, sha256(config) AS sha256 FROM (
+  SELECT p_partkey, '{"brand":"' || p_brand || '","name":"' || p_name || '","type":"' || p_type || '"}' AS config FROM part)""",
     "vocabulary_comparison": DIFFERENCE,
     "tokenizer_equality": f"""
 SELECT count(*) FILTER (missing + extra + changed > 0) = 0 AS equal,

@@ -7,7 +7,6 @@ import functools
 from pyspark.sql import functions as F
 
 from tallymark.catalog.sql import COUNTS, state, table
-from tallymark.operators.chat import conversation_json
 from tallymark.operators.words import top_words, word_counts
 from tallymark.session import fresh_path
 from tallymark.sources import files, shards, tables
@@ -106,11 +105,9 @@ def conversation_sink(spark, sf_dir):
     """Conversations written one per line and read back."""
     path = fresh_path(spark, "conversations")
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
-    packed = conversation_json(turns)
-    schema = "array<struct<role:string,content:string>>"
-    tables.write_conversations(packed.select("conv_id", F.from_json("messages", schema).alias("messages")), path)
-    back = spark.read.schema(f"conv_id bigint, messages {schema}").json(path)
-    return back.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"),
+    tables.write_conversations(turns, path)
+    back = spark.read.schema("conv_id bigint, part bigint, messages array<struct<role:string,content:string>>").json(path)
+    return back.select("conv_id", "part", F.size("messages").cast("bigint").alias("n_messages"),
                        F.sha2(F.to_json("messages", {"ignoreNullFields": "false"}), 256).alias("sha256"))
 
 
@@ -160,9 +157,9 @@ SELECT event_type AS attestation_type, 'model' || (user_id % 3) AS model_path, e
 FROM (SELECT *, floor(value * 100 + 0.5) AS cents FROM events) GROUP BY ALL
 """,
     "conversation_sink": """
-SELECT conv_id, count(*) AS n_messages,
+SELECT conv_id, turn // 256 AS part, count(*) AS n_messages,
        sha256(to_json(list({'role': role, 'content': text} ORDER BY turn))::VARCHAR) AS sha256
-FROM conversations GROUP BY conv_id
+FROM conversations GROUP BY 1, 2
 """,
     "reviews_source": """
 SELECT text AS review, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment

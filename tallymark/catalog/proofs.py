@@ -184,7 +184,7 @@ def _packed():
 
 
 TALKS = f"""
-SELECT to_json({{'conv_id': conv_id, 'messages': to_json(list({{'role': role, 'content': content}} ORDER BY turn))::VARCHAR}})::VARCHAR AS elem
+SELECT to_json({{'conv_id': conv_id, 'part': 0, 'messages': to_json(list({{'role': role, 'content': content}} ORDER BY turn))::VARCHAR}})::VARCHAR AS elem
 FROM ({CONVERSATION}) GROUP BY conv_id"""
 
 RESULTS = """

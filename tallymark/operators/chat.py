@@ -61,8 +61,18 @@ def first_per_group(df: DataFrame, group: str, order: str, n: int, name: str = "
     return df.withColumn(name, rank).where(F.col(name) <= n).withColumn(name, F.col(name) - 1)
 
 
-def conversation_json(df: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """``(conv, messages)``: role and content of every turn as JSON, in order."""
+def conversation_blocks(df: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """``(conv, part, messages)``: arrays of role and content, in turn order.
+
+    A block holds consecutive turns, so it is bounded; a conversation of many
+    turns has several blocks.
+    """
     message: Column = F.struct(F.col(turn).alias("t"), F.struct("role", "content").alias("m"))
     ordered = F.transform(F.array_sort(F.collect_list(message)), lambda x: x["m"])
-    return df.groupBy(conv).agg(F.to_json(ordered).alias("messages"))
+    part = int_div(turn, BLOCK_TURNS).alias("part")
+    return df.groupBy(conv, part).agg(ordered.alias("messages"))
+
+
+def conversation_json(df: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """``(conv, part, messages)``: the blocks as JSON text."""
+    return conversation_blocks(df, conv, turn).withColumn("messages", F.to_json("messages"))

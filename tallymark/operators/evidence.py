@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.hashing import JSON_OPTIONS, bytes_to_base64, canonical_json, hex_to_base64, one_line_base64
-from tallymark.operators.multiset import multiset_digest, multiset_state, state_hex
+from tallymark.operators.multiset import STATE, element_state, multiset_digest, multiset_state, state_hex
 
 COLUMNS = ["proof", "section", "name", "algo", "n_rows", "digest_b64"]
 
@@ -120,22 +120,20 @@ def bind(manifest: DataFrame, stored: DataFrame, reads: DataFrame, cols: Sequenc
     ``bound`` tells whether exactly the stored rows were read, each once:
     counts agree and so do the multiset states.
     """
-    files = manifest.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "sha256"))),
-                                        lambda f: f["sha256"]), ""), 256).alias("files_digest"))
-    both = stored.select("split", *cols, idx, F.lit(1).alias("__s"), F.lit(0).alias("__r")).unionByName(
-        reads.select("split", *cols, idx, F.lit(0).alias("__s"), F.lit(1).alias("__r")))
-    net = multiset_state(both, cols, idx, ["split"], sign=F.col("__s") - F.col("__r"))
-    counts = both.groupBy("split").agg(F.sum("__s").alias("n_rows"), F.sum("__r").alias("n_accesses"))
-    digests = multiset_digest(multiset_state(reads, cols, idx, ["split"])).select("split", "digest_b64")
-    zero = F.lit(True)
-    for c in ("n", "hi", *[f"l{i}" for i in range(8)]):
-        zero = zero & (F.col(c) == 0)
-    state = net.select("split", zero.alias("__zero"))
-    return (files.join(counts, "split").join(state, "split").join(digests, "split")
-            .select("split", "n_files", "files_digest", "n_rows", "n_accesses", "digest_b64",
-                    (F.col("__zero") & (F.col("n_rows") == F.col("n_accesses"))).alias("bound")))
+    files = element_state(manifest, F.concat_ws("#", "file", "sha256"), ["split"]).select(
+        "split", F.col("n").alias("n_files"), hex_to_base64(state_hex()).alias("files_digest"))
+    sides = [t.select("split", *cols, idx, F.lit(side).alias("side")) for t, side in ((stored, "stored"), (reads, "read"))]
+    states = multiset_state(sides[0].unionByName(sides[1]), cols, idx, ["split", "side"])
+
+    def of(side: str, c: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("side") == side, F.col(c))), F.lit(0))
+
+    same = F.lit(True)
+    for c in STATE:
+        same = same & (of("stored", c) == of("read", c))
+    wide = states.groupBy("split").agg(of("stored", "n").alias("n_rows"), same.alias("bound"), *[of("read", c).alias(c) for c in STATE])
+    return files.join(multiset_digest(wide), "split").select(
+        "split", "n_files", "files_digest", "n_rows", F.col("n").alias("n_accesses"), "digest_b64", "bound")
 
 
 def config_digest(settings: DataFrame, by: Sequence[str] = (), key: str = "key", value: str = "value") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tallymark.functions.arrays import int_div
 from tallymark.functions.text import clean_tokens
 from tallymark.operators.ordering import running_offset
+from tallymark.session import BROADCAST_ROWS, materialise
 
 LOOKUP_SLOTS = 2048
 LOOKUP_WORDS = 65_536
@@ -49,13 +50,23 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", name: str = "inp
 
 
 def encode_by_join(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", name: str = "input_ids") -> DataFrame:
-    """As :func:`encode` for a vocabulary of any size; ``key`` is unique."""
-    runs = df.select(key, F.posexplode(clean_tokens(text)).alias("pos", "word"))
-    ids = (runs.join(vocab, "word").groupBy(key)
-           .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("__found")))
+    """As :func:`encode` for a vocabulary of any size; ``key`` is unique.
+
+    Ids are ranks, so the words with low ids are the ones that fill the corpus.
+    They are broadcast; only rare words, which no task is flooded with, are
+    joined by a shuffle.
+    """
+    vocab = materialise(vocab.select("word", "id"))
+    runs = df.select(key, F.posexplode(clean_tokens(text)).alias("pos", "word")).where("word <> ''")
+    frequent = F.broadcast(vocab.where(F.col("id") <= BROADCAST_ROWS))
+    found = runs.join(frequent, "word")
+    if vocab.where(F.col("id") > BROADCAST_ROWS).limit(1).count():
+        rare = runs.join(frequent, "word", "left_anti").join(vocab.where(F.col("id") > BROADCAST_ROWS), "word")
+        found = found.unionByName(rare.select(*found.columns))
+    ids = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("__found"))
     out = df.join(ids, key, "left")
-    found = F.coalesce(F.transform("__found", lambda p: p["id"]), F.array().cast("array<int>"))
-    return out.withColumn(name, found).drop("__found")
+    listed = F.coalesce(F.transform("__found", lambda p: p["id"]), F.array().cast("array<int>"))
+    return out.withColumn(name, listed).drop("__found")
 
 
 def attention_mask(tokens: str = "input_ids") -> Column:

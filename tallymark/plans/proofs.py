@@ -126,7 +126,7 @@ def inference_data(samples: DataFrame, replies: DataFrame, key: str, settings: D
     cut = replies.withColumn("reply", cut_at_stop("reply"))
     turns = build_conversation(samples, cut, key)
     messages = conversation_json(turns, key)
-    parts = [rows_evidence(messages, proof, "conversation", [key, "messages"], None, name="conversations", algo=algo),
+    parts = [rows_evidence(messages, proof, "conversation", [key, "part", "messages"], None, name="conversations", algo=algo),
              _settings(settings, proof, "configuration", "inference_config")]
     if artifacts is not None:
         parts.append(_artifacts(artifacts, proof, "model"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.operators.chat import conversation_blocks
+
 FACES = "age int, ethnicity int, gender int, pixels string"
 
 # Columns of the census table.
@@ -61,9 +63,12 @@ def write_ranked_csv(top: DataFrame, path: str) -> DataFrame:
     return made
 
 
-def write_conversations(df: DataFrame, path: str) -> None:
-    """One conversation per JSON line: ``(conv, messages)`` with messages an array."""
-    df.write.json(path)
+def write_conversations(turns: DataFrame, path: str, conv: str = "conv_id", turn: str = "turn") -> None:
+    """One JSON line per conversation: its key and its messages in order.
+
+    A very long conversation takes several lines, numbered by ``part``.
+    """
+    conversation_blocks(turns, conv, turn).write.option("ignoreNullFields", False).json(path)
 
 
 def append_ledger(records: DataFrame, path: str) -> DataFrame:

@@ -119,6 +119,7 @@ def test_other_proofs(spark, docs, tmp_path):
     replies = spark.createDataFrame([(1, 0, "yes</s>no")], "k bigint, question_no int, reply string")
     made, out = proofs.inference_data(samples, replies, "k", conf)
     assert ("conversation", "conversations") in names(made)
+    assert json.loads(out["conversations"].first().messages)[2] == {"role": "assistant", "content": "yes"}
     assert "yes<end_of_turn>" in out["prompts"].first().prompt
     pairs = spark.createDataFrame([(1, "x", "the cat sat here", "de: x\nen: the cat sat here\nmore")], "k bigint, de string, en string, g string")
     made, out = proofs.evaluation_bleu(pairs, "k", "de", "en", "g", "de", "en")

@@ -179,6 +179,13 @@ def test_conversation(spark):
     assert [r.content for r in rows if r.k == 2] == [text.CONTEXT_MESSAGE, "only", ""]
 
 
+def test_rare_words_are_joined_by_shuffle(spark, docs, monkeypatch):
+    vocab = words.vocabulary(docs, k=6)
+    want = [r.input_ids for r in rows_of(sequences.encode(docs, vocab))]
+    monkeypatch.setattr(sequences, "BROADCAST_ROWS", 2)
+    assert [r.input_ids for r in rows_of(sequences.encode_by_join(docs, vocab, "doc_id"))] == want
+
+
 def test_first_per_group_limits_before_the_shuffle(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 2)
     plan = chat.first_per_group(df, "g", "id", 5)._jdf.queryExecution().executedPlan().toString()
