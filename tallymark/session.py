@@ -36,9 +36,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage and survives lost executors; unlike a checkpoint it is
+    columnar, and its size is known to the planner.
+    """
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",

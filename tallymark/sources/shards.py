@@ -31,6 +31,7 @@ BATCH_ROWS = 1000
 MAX_SPLITS = 10_000
 LOOKUP_BUCKETS = 1 << 16
 BROADCAST_CUTS = 500_000
+CUTS_PER_SET = 256
 
 
 def _filesystem(path: str):
@@ -234,6 +235,7 @@ def assign_shards(df: DataFrame, key: str, max_shard_bytes: int, split: str | No
     Only ``(split, key, bytes)`` is shuffled to find the cuts. They are then
     looked up by the key's high bits in a table of at most ``LOOKUP_BUCKETS``
     rows per split and one per shard, so the rows themselves stay in place.
+    Cuts that share a bucket, as with clustered keys, are searched in sets.
     """
     tagged = df.withColumn("__split", F.col(split) if split else F.lit(""))
     sizes = materialise(tagged.select("__split", F.col(key).cast("bigint").alias(key), row_bytes(df).alias("bytes")))
@@ -246,12 +248,15 @@ def assign_shards(df: DataFrame, key: str, max_shard_bytes: int, split: str | No
     bucket = F.sequence(F.shiftright("from_key", shift), F.shiftright(F.coalesce(following, F.lit(hi).cast("bigint")), shift))
     covered = cuts.withColumn("__c", bucket).select("__split", F.explode("__c").alias("__c"),
                                                     F.struct("from_key", "shard", "shards").alias("cut"))
-    table = covered.groupBy("__split", "__c").agg(F.collect_list("cut").alias("__cuts"))
+    sets = covered.groupBy("__split", "__c", int_div("cut.shard", CUTS_PER_SET).alias("set")).agg(
+        F.min("cut.from_key").alias("from_key"), F.collect_list("cut").alias("cuts"))
+    table = sets.groupBy("__split", "__c").agg(F.collect_list(F.struct("from_key", "cuts")).alias("__sets"))
     rows = tagged.withColumn("__c", F.shiftright(F.col(key).cast("bigint"), shift))
     found = join_small(rows, table, ["__split", "__c"], max_rows=BROADCAST_CUTS)
-    mine = F.array_max(F.filter("__cuts", lambda c: c["from_key"] <= F.col(key)))
+    near = F.array_max(F.filter("__sets", lambda s: s["from_key"] <= F.col(key)))["cuts"]
+    mine = F.array_max(F.filter(near, lambda c: c["from_key"] <= F.col(key)))
     return (found.withColumn("__mine", mine).withColumns({"__shard": F.col("__mine.shard"), "__shards": F.col("__mine.shards")})
-            .drop("__c", "__cuts", "__mine"))
+            .drop("__c", "__sets", "__mine"))
 
 
 def write_dataset(df: DataFrame, path: str, key: str, max_shard_mb: float = 500, split: str | None = None) -> DataFrame:

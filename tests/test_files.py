@@ -83,10 +83,14 @@ def test_shard_bytes_do_not_depend_on_partitions(spark, big, tmp_path):
     assert made[0] == made[1]
 
 
-def test_shards_with_clustered_keys(spark, tmp_path):
+def test_shards_with_clustered_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "CUTS_PER_SET", 2)
+    monkeypatch.setattr(shards, "LOOKUP_BUCKETS", 8)
     df = spark.range(400).select((F.col("id") + F.when(F.col("id") < 300, 0).otherwise(10**15)).alias("k"), F.repeat(F.lit("ab"), 100).alias("t"))
     rows = shards.write_dataset(df, str(tmp_path / "c"), "k", 0.01)
-    assert sum(r.rows for r in rows.collect()) == 400
+    assert sum(r.rows for r in rows.collect()) == 400 and rows.count() > 6
+    spans = shards.read_dataset(spark, str(tmp_path / "c"), positions=True).orderBy("k").select("row_idx").collect()
+    assert [r.row_idx for r in spans] == list(range(400))
     assert sorted(r.k for r in shards.read_dataset(spark, str(tmp_path / "c")).collect()) == sorted(r.k for r in df.collect())
 
 
