@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.hashing import JSON_OPTIONS, bytes_to_base64, canonical_json, hex_to_base64, one_line_base64
+from tallymark.operators.chain import chain_digest
+from tallymark.operators.curve import ec_multiset_digest
 from tallymark.operators.multiset import STATE, element_state, multiset_digest, multiset_state, state_hex
 
 COLUMNS = ["proof", "section", "name", "algo", "n_rows", "digest_b64"]
@@ -35,14 +37,17 @@ def rows_evidence(df: DataFrame, proof: str, section: str, cols: Sequence[str],
                   name: str = "train", by: str | None = None, algo: str = "multiset") -> DataFrame:
     """The multiset digest of the rows read, per group if asked for.
 
-    ``multiset`` is the group element; ``sum`` the exact exponent, which is
-    enough to compare two reads and never leaves the JVM.
+    ``multiset`` is the modular group element, ``curve`` the curve point;
+    ``sum`` is the exact exponent, which is enough to compare two reads and
+    never leaves the JVM.
     """
-    states = multiset_state(df, cols, idx, [by] if by else [])
+    groups = [by] if by else []
     if algo == "sum":
-        states = states.withColumn("digest_b64", hex_to_base64(state_hex()))
+        states = multiset_state(df, cols, idx, groups).withColumn("digest_b64", hex_to_base64(state_hex()))
     elif algo == "multiset":
-        states = multiset_digest(states)
+        states = multiset_digest(multiset_state(df, cols, idx, groups))
+    elif algo == "curve":
+        states = ec_multiset_digest(df, cols, idx, groups)
     else:
         raise ValueError(f"unknown digest {algo!r}")
     return evidence_rows(states, proof, section, F.col(by) if by else name, F.col("digest_b64"), algo, F.col("n"))
@@ -55,8 +60,6 @@ def object_digest(cols: Sequence[str | Column]) -> Column:
 
 def table_evidence(df: DataFrame, proof: str, section: str, name: str, cols: Sequence[str], idx: str) -> DataFrame:
     """The order-sensitive digest of an ordered result table."""
-    from tallymark.operators.chain import chain_digest
-
     made = chain_digest(df, cols, idx)
     return evidence_rows(made, proof, section, name, bytes_to_base64(F.when(F.length("chain") == 64, F.col("chain"))
                                                                     .otherwise(F.sha2("chain", 256))), "chain", F.col("n"))

@@ -27,6 +27,18 @@ def test_config(spark):
     assert made.sha256 == hashlib.sha256(made.config.encode()).hexdigest()
 
 
+def test_digest_choice(spark, docs):
+    import pytest
+
+    from tallymark.operators.curve import ec_multiset_digest
+
+    made = {a: ev.rows_evidence(docs, "p", "s", ["text"], "doc_id", algo=a).first() for a in ("multiset", "curve", "sum")}
+    assert {r.algo: r.n_rows for r in made.values()} == {a: docs.count() for a in made}
+    assert made["curve"].digest_b64 == ec_multiset_digest(docs, ["text"], "doc_id").first().digest_b64
+    with pytest.raises(ValueError):
+        ev.rows_evidence(docs, "p", "s", ["text"], "doc_id", algo="md5")
+
+
 def test_payload_and_seal(spark):
     rows = [("p", "s2", "b", "x", 1, "Qg=="), ("p", "s1", "a", "x", None, "QQ=="), ("p", "s2", "a", "x", 1, "Qw==")]
     table = spark.createDataFrame(rows, ev.COLUMNS[0] + " string, section string, name string, algo string, n_rows bigint, digest_b64 string")
