@@ -15,18 +15,22 @@ from tallymark.functions.text import clean_tokens
 from tallymark.operators.ordering import running_offset
 from tallymark.session import BROADCAST_ROWS, materialise
 
-LOOKUP_SLOTS = 2048
 LOOKUP_WORDS = 65_536
 
 
+def lookup_slots(entries: list) -> int:
+    """About two slots per word, so that a slot's map stays little."""
+    return 2 << len(entries).bit_length()
+
+
 def lookup_table(entries: list) -> Column:
     """A small vocabulary as one constant: an array of little ``word -> id`` maps.
 
     A word's hash names its slot, so a lookup costs one array access.
     """
-    slots = [{} for _ in range(LOOKUP_SLOTS)]
+    slots = [{} for _ in range(lookup_slots(entries))]
     for row in entries:
-        slots[row["slot"]][row["word"]] = row["id"]
+        slots[row["hash"] % len(slots)][row["word"]] = row["id"]
     return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,int>>")
 
 
@@ -37,15 +41,13 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", name: str = "inp
     over the rows, nothing shuffled, and a text without known words keeps an
     empty list. A larger one is joined by ``key``.
     """
-    slot = F.pmod(F.hash("word"), F.lit(LOOKUP_SLOTS)).alias("slot")
-    entries = vocab.select("word", "id", slot).limit(LOOKUP_WORDS + 1).collect()
+    entries = vocab.select("word", "id", F.hash("word").alias("hash")).limit(LOOKUP_WORDS + 1).collect()
     if len(entries) > LOOKUP_WORDS:
         if key is None:
             raise ValueError(f"more than {LOOKUP_WORDS} words: name the key to join by")
         return encode_by_join(df, vocab, key, text, name)
-    table = lookup_table(entries)
-    ids = F.transform(clean_tokens(text),
-                      lambda word: F.try_element_at(F.get(table, F.pmod(F.hash(word), F.lit(LOOKUP_SLOTS))), word))
+    table, slots = lookup_table(entries), F.lit(lookup_slots(entries))
+    ids = F.transform(clean_tokens(text), lambda word: F.try_element_at(F.get(table, F.pmod(F.hash(word), slots)), word))
     return df.withColumn(name, F.filter(ids, lambda i: i.isNotNull()))
 
 
