@@ -3,18 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymark.llm import partenum
+from tallymark.llm import bpe, mixing, partenum, quality, rules, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document, learned from the labels that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.threshold(quality.score(docs.select("doc_id", "text"), model), 0.7)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text they decode to."""
+    return bpe.code(documents(spark, sf_dir), bpe.public_vocabulary(), ("doc_id",), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of near equal bytes; equal texts stay together."""
+    return sharding.assign(documents(spark, sf_dir), 16)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures, common-line removal and verdict of every document."""
+    return rules.judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources by weight takes of every document."""
+    return mixing.taken(documents(spark, sf_dir))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9."""
     return partenum.components(documents(spark, sf_dir), size=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op10_ngram_join,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_sharding, op7_quality_rules, op9_mixing, op10_ngram_join)}
+ORACLES: dict[str, str] = {"op7_quality_rules": rules.ORACLE}
