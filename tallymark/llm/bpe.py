@@ -26,8 +26,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tallymark.llm.hashing import mix
 from tallymark.llm.shipping import ship
@@ -418,7 +419,7 @@ def code(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] = (), outp
     rows = docs.select(*keep, F.col("text").alias("__text"))
     schema = docs.select(*keep).schema
     for name in outputs:
-        schema = schema.add(name, make[name][0])
+        schema = schema.add(name, DataType.fromDDL(make[name][0]))
     return rows.mapInArrow(run, schema)
 
 
