@@ -18,8 +18,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Bytes hashed at once; bounds the memory of a batch of very long texts.
-BLOCK = 8 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,20 +46,26 @@ def _tables(n: int):
     return _UP, _DOWN
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the words of one run of UTF-8 bytes, in order."""
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end of the words of one run of UTF-8 bytes, in order."""
+    none = np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64)
+        return none.astype(np.uint64), none, none
     space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     edge = np.concatenate(([] if space[0] else [0], edge, [] if space[-1] else [len(data)])).astype(np.int64)
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return none.astype(np.uint64), none, none
     up, down = _tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one run of UTF-8 bytes, in order."""
+    return word_spans(data)[0]
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

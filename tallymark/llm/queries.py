@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, mixing, partenum, quality, rules, sharding
+from tallymark.llm import bpe, extraction, fingerprints, mixing, partenum, quality, rules, sharding, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +34,27 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), 16)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives written of it."""
+    return warc.archive(pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text, compared with each other and with the next document's."""
+    return fingerprints.compare_with_edits(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures, common-line removal and verdict of every document."""
     return rules.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(pages(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources by weight takes of every document."""
     return mixing.taken(documents(spark, sf_dir))
@@ -50,5 +65,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.components(documents(spark, sf_dir), size=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_sharding, op7_quality_rules, op9_mixing, op10_ngram_join)}
-ORACLES: dict[str, str] = {"op7_quality_rules": rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_sharding, op4_warc, op6_fingerprints, op7_quality_rules,
+                                   op8_html_extraction, op9_mixing, op10_ngram_join)}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op7_quality_rules": rules.ORACLE}
