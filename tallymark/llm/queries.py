@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, extraction, fingerprints, mixing, partenum, quality, rules, sharding, warc
+from tallymark.llm import bpe, extraction, fingerprints, mixing, partenum, quality, rules, secret_scan, sharding, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the fixed patterns' spans and those the learned field adds."""
+    docs = documents(spark, sf_dir)
+    found = secret_scan.scan(docs.select("doc_id", "text"), secret_scan.fit(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_model", "base_sha256", "spans")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited text, compared with each other and with the next document's."""
     return fingerprints.compare_with_edits(documents(spark, sf_dir))
@@ -65,6 +72,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.components(documents(spark, sf_dir), size=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_sharding, op4_warc, op6_fingerprints, op7_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_sharding, op4_warc, op5_secret_scans, op6_fingerprints, op7_quality_rules,
                                    op8_html_extraction, op9_mixing, op10_ngram_join)}
 ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op7_quality_rules": rules.ORACLE}
