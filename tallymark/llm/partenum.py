@@ -5,10 +5,13 @@ differ in at most ``(den - num) * (a + b) / (den + num)`` elements. Sizes are
 cut into bands so that linked sets lie in the same or in neighbouring bands;
 every set signs for its own band and for the next. For a band whose sets may
 differ in ``k`` elements, the feature domain is partitioned by hash into
-``n1 = ceil((k + 1) / 2)`` parts, one of which then holds at most one
+``n1 = ceil((k + 1) / 2) + m`` parts, ``m + 1`` of which then hold at most one
 difference; each part is cut into three, and the subsets of two of the three
 are enumerated: one of them has no difference. So linked sets share at least
-one of ``3 * n1`` signatures, each over two thirds of some 19 features.
+``m + 1`` of ``3 * n1`` signatures, from different parts. A subset that hardly
+holds a feature says nothing and is shared by unrelated sets, so a set leaves
+out its weak signatures where at most ``m`` of its parts have any: a partner
+still shares one that is not weak, and what is not weak nobody leaves out.
 
 Rows flow as follows; nothing is collected, no group is expanded into pairs:
 
@@ -17,11 +20,12 @@ Rows flow as follows; nothing is collected, no group is expanded into pairs:
 2. signatures are shuffled once, sorted, and streamed; only those that several
    nodes share are kept (``members``);
 3. in every signature group the node with most shared signatures is the hub;
-   each node's hub with most common signatures is checked exactly against it;
-   components follow from these links;
+   of the hubs whose parity bitmap (a lower bound of the number of
+   differences) allows a link, the one with most common signatures is checked
+   exactly against the node; components follow from these links;
 4. groups whose nodes lie in several components are searched again in blocks of
-   bounded size: pairs from different components whose parity bitmaps (a lower
-   bound of the number of differences) allow a link are checked exactly.
+   bounded size: pairs from different components whose bitmaps allow a link
+   are checked exactly.
    After that every linked pair has been checked or was connected before.
 """
 
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +65,9 @@ def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
     return [shingles(w, size) for w in words_of(batch.column("text"))]
 
 
-def _bitmap(values: np.ndarray) -> bytes:
+def _bitmap(values: np.ndarray) -> np.ndarray:
     counts = np.bincount((values >> np.uint64(20)).astype(np.int64) % BITMAP_BITS, minlength=BITMAP_BITS)
-    return np.packbits(counts & 1).tobytes()
+    return np.packbits(counts & 1).view(np.int64)
 
 
 def features(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -80,15 +85,15 @@ def features(docs: DataFrame, size: int = 3) -> DataFrame:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_hash(s, 1) if len(s) else None for s in sets], pa.int64()),
                 pa.array([set_hash(s, 2) if len(s) else None for s in sets], pa.int64()),
-                pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([_bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ], names=["doc_id", "n_shingles", "node", "proof", "bitmap"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, node bigint, proof bigint, bitmap binary")
+        run, "doc_id bigint, n_shingles bigint, node bigint, proof bigint, bitmap array<bigint>")
 
 
 def _cells(sets: list[np.ndarray], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Wrapping sum of the elements in each of the ``3 * parts`` cells of every set."""
+    """Wrapping sum and number of the elements in each of the ``3 * parts`` cells of every set."""
     lengths = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
     first = np.concatenate(([0], np.cumsum(3 * parts)))
@@ -99,7 +104,20 @@ def _cells(sets: list[np.ndarray], parts: np.ndarray) -> tuple[np.ndarray, np.nd
     cell = np.repeat(first[:-1], lengths) + (level_one * np.uint64(3) + level_two).astype(np.int64)
     low = np.bincount(cell, (values & np.uint64(0xFFFFFFFF)).astype(np.float64), first[-1]).astype(np.uint64)
     high = np.bincount(cell, (values >> np.uint64(32)).astype(np.float64), first[-1]).astype(np.uint64)
-    return low + (high << np.uint64(32)), first
+    return low + (high << np.uint64(32)), np.bincount(cell, minlength=first[-1])
+
+
+def _left_out(weight: np.ndarray, owner: np.ndarray, n: int, spare: np.ndarray) -> np.ndarray:
+    """Which signatures to leave out: those of at most one feature, or of none, where few enough parts have such.
+
+    ``weight`` counts the features of each part's three subsets.
+    """
+    out = np.zeros(weight.shape, bool)
+    for most in (0, 1):
+        weak = weight <= most
+        rare = np.bincount(owner, weak.any(axis=1), n) <= spare
+        out |= weak & rare[owner][:, None]
+    return out
 
 
 def signature_rows(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,15 +137,19 @@ def signature_rows(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarr
         if not take:
             continue
         parts, band = np.array(parts), np.array(band)
-        sums, _ = _cells([sets[i] for i in take], parts)
-        sums = mix(sums).reshape(-1, 3)
+        spare = 1 + parts // 10
+        parts = parts + spare
+        sums, counts = _cells([sets[i] for i in take], parts)
+        sums, counts = mix(sums).reshape(-1, 3), counts.reshape(-1, 3)
         owner = np.repeat(np.arange(len(take)), parts)
+        dropped = _left_out(np.stack([counts[:, (j + 1) % 3] + counts[:, (j + 2) % 3] for j in range(3)], axis=1), owner, len(take), spare)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
         place = mix(band[owner].astype(np.uint64) << np.uint64(32) | within.astype(np.uint64))
         for left_out in range(3):
             a, b = sums[:, (left_out + 1) % 3], sums[:, (left_out + 2) % 3]
-            out.append(mix(mix(place + np.uint64(left_out + 1) + a) + b))
-            owners.append(np.array(take)[owner])
+            use = ~dropped[:, left_out]
+            out.append(mix(mix(place + np.uint64(left_out + 1) + a) + b)[use])
+            owners.append(np.array(take)[owner[use]])
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(owners), np.concatenate(out)
@@ -200,6 +222,15 @@ def _stars(members: DataFrame) -> DataFrame:
             .groupBy("hub", "node").agg(F.sum("n").alias("common")))
 
 
+def _possible(stars: DataFrame, sized: DataFrame, num: int, den: int) -> DataFrame:
+    """The stars whose sizes and bitmaps allow a link."""
+    hub = sized.select(F.col("node").alias("hub"), F.col("n_shingles").alias("nh"), F.col("bitmap").alias("bh"))
+    apart = F.aggregate(F.zip_with("bitmap", "bh", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    both = stars.join(sized, "node").join(hub, "hub")
+    return (both.where(F.greatest(apart, F.abs(F.col("nh") - F.col("n_shingles"))) * (den + num) <= (den - num) * (F.col("nh") + F.col("n_shingles")))
+            .select("hub", "node", "common"))
+
+
 def _check(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` whose sets reach the similarity, by the whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -233,7 +264,7 @@ def connected(links: DataFrame) -> DataFrame:
     return labels.union(labels.select(F.col("label").alias("node"), "label")).distinct()
 
 
-def _across(members: DataFrame, labels: DataFrame, feats: DataFrame, num: int, den: int) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame, sized: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of one signature group and different components that may be linked.
 
     A group of n nodes is cut into ceil(n / BLOCK_NODES) blocks and every two
@@ -242,9 +273,8 @@ def _across(members: DataFrame, labels: DataFrame, feats: DataFrame, num: int, d
     rows = materialise(members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label")))
     mixed = (rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
              .where("lo < hi").select("sig", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")))
-    sized = feats.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tasks = (rows.join(materialise(mixed), "sig").join(materialise(sized), "node").withColumn("own", own)
+    tasks = (rows.join(materialise(mixed), "sig").join(sized, "node").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
     tasks = tasks.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
@@ -252,7 +282,7 @@ def _across(members: DataFrame, labels: DataFrame, feats: DataFrame, num: int, d
     def pairs(part: pa.Table, seen: set):
         node, label = part["node"].to_numpy(), part["label"].to_numpy()
         size, own = part["n_shingles"].to_numpy(), part["own"].to_numpy()
-        bits = np.frombuffer(b"".join(part["bitmap"].to_pylist()), np.uint64).reshape(len(node), -1)
+        bits = pc.list_flatten(part["bitmap"]).to_numpy().view(np.uint64).reshape(len(node), -1)
         lone = part["i"][0].as_py() == part["j"][0].as_py()
         for x in range(len(node)):
             y = np.flatnonzero((label != label[x]) & (node > node[x]) & (True if lone else own != own[x]))
@@ -307,6 +337,10 @@ def _set_table(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return materialise(kept.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
 def components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
@@ -321,15 +355,16 @@ def components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) ->
         F.min("doc_id").alias("doc_id"), F.min("proof").alias("lo"), F.max("proof").alias("hi")))
     if classes.where("lo <> hi").limit(1).count():
         raise ValueError("two different sets of shingles have the same 64-bit hash")
+    sized = materialise(feats.where("node is not null").groupBy("node").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")))
     members = materialise(_members(signatures(docs, size, num, den)))
-    stars = materialise(_stars(members))
-    nodes = members.select("node").distinct()
-    sets = _set_table(docs, nodes, size)
+    stars = _possible(_stars(members), sized, num, den)
     best = stars.groupBy("node").agg(F.max(F.struct("common", "hub")).alias("best"))
-    links = materialise(_check(best.select(F.col("best.hub").alias("a"), F.col("node").alias("b")), sets, num, den))
+    pairs = materialise(best.select(F.col("best.hub").alias("a"), F.col("node").alias("b")))
+    links = materialise(_check(pairs, _set_table(docs, _nodes(pairs), size), num, den))
     labels = materialise(connected(links))
-    more = materialise(_across(members, labels, feats, num, den))
-    links = links.union(_check(more, sets, num, den))
+    more = materialise(_across(members, labels, sized, num, den))
+    links = links.union(_check(more, _set_table(docs, _nodes(more), size), num, den))
     labels = materialise(connected(links))
     named = classes.select("node", F.col("doc_id").alias("least")).join(labels, "node", "left")
     ids = materialise(named.where("label is not null").groupBy("label").agg(F.min("least").alias("component")))
