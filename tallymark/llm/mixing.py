@@ -1,24 +1,23 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source is one long stream of words: its documents in an order drawn by hash,
-cut into blocks of ``BLOCK_WORDS`` words. A target becomes an exact quota of
+A source is one long stream of words: its documents permuted by hash, cut into
+blocks of ``BLOCK_WORDS`` words. A target becomes an exact quota of
 blocks. The quotas of all sources are handed down a binary tree over the
 output shards: a node splits its blocks between its two halves by one
 multivariate hypergeometric draw, so every shard gets its exact number of
 blocks and a random share of every source, and the shards add up to the quotas.
 
-A draw number of a source names an epoch and, by that epoch's permutation of
-the source's blocks, one block; shards own disjoint runs of draw numbers. The
-permutation is affine, so no block is ever sorted or sampled: the rows of a
-document follow from its place in the stream by arithmetic. Only narrow rows
+A draw number of a source names an epoch and one block of the permuted stream,
+which every epoch begins elsewhere; shards own disjoint runs of draw numbers.
+So no block is sorted or sampled, the blocks of a document follow from its
+place in the stream by arithmetic, and a mix takes whole documents but for the
+few that lie across the end of a run. Only narrow rows
 ``(doc_id, source, size)`` are shuffled, into cells that no source dominates.
 Per-source figures (words, targets, quotas) are the only thing the driver sees.
 """
 
 from __future__ import annotations
 
-from math import gcd
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from tallymark.session import materialise
 
 #: Words of one block.
-BLOCK_WORDS = 64
+BLOCK_WORDS = 128
 #: A source's words are taken at most so often.
 MOST_EPOCHS = 3
 #: Cells into which the documents of a source are dealt for their places.
@@ -111,18 +110,6 @@ def split_quotas(quotas: list[int], shards: int, seed: int = 5) -> np.ndarray:
     return out
 
 
-def _permutation(n: int, source: int, epoch: int, seed: int) -> tuple[int, int]:
-    """Multiplier and shift of an affine permutation of ``n`` blocks."""
-    rng = np.random.default_rng([seed, source, epoch])
-    if n < 3:
-        return 1, int(rng.integers(0, max(n, 1)))
-    bound = min(n - 1, 2**31 - 1)  # products stay below 2**63 for up to 2**32 blocks
-    while True:
-        a = int(rng.integers(1, bound + 1))
-        if gcd(a, n) == 1:
-            return a, int(rng.integers(0, n))
-
-
 def _places(rows: DataFrame) -> DataFrame:
     """Add ``start``: words before a document in its source's stream.
 
@@ -156,14 +143,15 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = 5, keep: tuple[str,
         quotas.append(epochs * n + min(rest, n))
     table = split_quotas(quotas, shards, seed)
     ends = np.cumsum(table, axis=0)
-    local = [(r.key, n, q, e, *_permutation(n, i, e, seed), [int(x) for x in ends[:, i]])
+    turns = [np.random.default_rng([seed, i]).integers(0, max(n, 1), MOST_EPOCHS).tolist() for i, n in enumerate(blocks)]
+    local = [(r.key, n, q, e, turns[i][e], [int(x) for x in ends[:, i]])
              for i, (r, n, q) in enumerate(zip(figures, blocks, quotas)) for e in range(-(-q // n) if n else 0)]
     epochs = docs.sparkSession.createDataFrame(
-        local, "key string, blocks bigint, quota bigint, epoch int, a bigint, c bigint, ends array<bigint>")
+        local, "key string, blocks bigint, quota bigint, epoch int, turn bigint, ends array<bigint>")
     places = materialise(_places(rows).join(F.broadcast(sizes.select("key", "source_size", "target")), "key"))
     block = F.explode(F.sequence(F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(start + size - 1) div {BLOCK_WORDS}")))
     pieces = (places.where("size > 0").join(F.broadcast(epochs), "key").withColumn("block", block)
-              .withColumn("draw", F.col("epoch") * F.col("blocks") + F.pmod(F.col("a") * F.col("block") + F.col("c"), F.col("blocks")))
+              .withColumn("draw", F.col("epoch") * F.col("blocks") + F.pmod(F.col("block") + F.col("turn"), F.col("blocks")))
               .where("draw < quota"))
     first = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
     last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
@@ -178,9 +166,9 @@ def taken(docs: DataFrame, shards: int = SHARDS, seed: int = 5) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row.
 
     ``taken`` counts the words of the row's document that the mix holds, every
-    epoch again. A text without words takes nothing. Rows that repeat a
-    document id share its words evenly in number of rows: each is counted by
-    its own place in the stream.
+    epoch again. A text without words takes nothing. Rows that repeat each
+    other have places of their own in the stream and are counted by them. A
+    null source is a source of its own.
     """
     places, mix = plan(docs, shards, seed)
     got = mix.groupBy("key", "doc_id", "start", "size").agg(F.sum("words").alias("words"))
@@ -189,3 +177,23 @@ def taken(docs: DataFrame, shards: int = SHARDS, seed: int = 5) -> DataFrame:
             & (F.col("p.start") == F.col("g.start")) & (F.col("p.size") == F.col("g.size")))
     return p.join(g, same, "left").select("p.doc_id", "p.size", "p.source_size", "p.target",
                                           F.coalesce("g.words", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def in_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 5) -> DataFrame:
+    """``docs`` as the mix holds them, whole.
+
+    A document whose words the mix takes n times comes n times, rounded; those
+    of which it takes less than half are left out. Texts without words are not
+    in a mix.
+    """
+    own = docs.withColumns({"__hash": F.xxhash64("text"), "__key": _source_key()})
+    places, mix = plan(own, shards, seed, ("doc_id", "__hash"))
+    got = mix.groupBy("key", "doc_id", "start", "size").agg(F.sum("words").alias("words"))
+    p, g = places.alias("p"), got.alias("g")
+    same = ((F.col("p.key") == F.col("g.key")) & F.col("p.doc_id").eqNullSafe(F.col("g.doc_id"))
+            & (F.col("p.start") == F.col("g.start")) & (F.col("p.size") == F.col("g.size")))
+    times = (p.join(g, same).groupBy("p.key", "p.doc_id", "p.__hash")
+             .agg(F.round(F.sum("g.words") / F.sum("p.size")).cast("int").alias("__times")).where("__times > 0"))
+    times = materialise(times.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("__hash").alias("h"), "__times"))
+    here = (F.col("__key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__hash") == F.col("h"))
+    return (own.join(times, here).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns))

@@ -71,7 +71,7 @@ def _bitmap(values: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id, n_shingles, node, proof, bitmap`` of every row.
+    """``doc_id, text_hash, n_shingles, node, proof, bitmap`` of every row.
 
     ``node`` and ``proof`` are two hashes of the set of shingles; both are null
     for a text without words.
@@ -81,15 +81,15 @@ def features(docs: DataFrame, size: int = 3) -> DataFrame:
         for batch in batches:
             sets = _sets(batch, size)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"),
+                batch.column("doc_id"), batch.column("text_hash"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_hash(s, 1) if len(s) else None for s in sets], pa.int64()),
                 pa.array([set_hash(s, 2) if len(s) else None for s in sets], pa.int64()),
                 pa.array([_bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-            ], names=["doc_id", "n_shingles", "node", "proof", "bitmap"])
+            ], names=["doc_id", "text_hash", "n_shingles", "node", "proof", "bitmap"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, node bigint, proof bigint, bitmap array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, proof bigint, bitmap array<bigint>")
 
 
 def _cells(sets: list[np.ndarray], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,15 +341,8 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
-def components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
-
-    Two documents link when ``den * intersection >= num * union`` of their
-    sets of ``size``-word shingles; ``component_id`` is the smallest ``doc_id``
-    reachable by links. A null, empty or blank text has no shingle and is alone.
-    Repeated rows are copies of each other. A null ``doc_id`` takes part in
-    links but names no component: a component without any id gives null.
-    """
+def _groups(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Features of every row, and ``node, group, least`` of every node: its component and its smallest id."""
     feats = materialise(features(docs, size))
     classes = materialise(feats.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("proof").alias("lo"), F.max("proof").alias("hi")))
@@ -367,7 +360,45 @@ def components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) ->
     links = links.union(_check(more, _set_table(docs, _nodes(more), size), num, den))
     labels = materialise(connected(links))
     named = classes.select("node", F.col("doc_id").alias("least")).join(labels, "node", "left")
-    ids = materialise(named.where("label is not null").groupBy("label").agg(F.min("least").alias("component")))
-    named = materialise(named.join(ids, "label", "left").select("node", F.coalesce("component", "least").alias("component")))
+    return feats, materialise(named.select("node", F.coalesce("label", "node").alias("group"), "least", F.col("label").isNotNull().alias("linked")))
+
+
+def components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
+
+    Two documents link when ``den * intersection >= num * union`` of their
+    sets of ``size``-word shingles; ``component_id`` is the smallest ``doc_id``
+    reachable by links. A null, empty or blank text has no shingle and is alone.
+    Repeated rows are copies of each other. A null ``doc_id`` takes part in
+    links but names no component: a component without any id gives null.
+    """
+    feats, nodes = _groups(docs, size, num, den)
+    ids = materialise(nodes.where("linked").groupBy("group").agg(F.min("least").alias("component")))
+    named = materialise(nodes.join(ids, "group", "left").select("node", F.coalesce("component", "least").alias("component")))
     return (feats.join(named, "node", "left")
             .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")))
+
+
+def representatives(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, unchanged.
+
+    The row with the smallest id stays (one without id only where no row of the
+    group has one; the smallest text hash decides between texts of one id).
+    Rows without words are in no group and stay. What is removed is usually far
+    less than what stays, so the texts are matched with the removed rows.
+    """
+    feats, nodes = _groups(docs, size, num, den)
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("text_hash").alias("h"))
+    rows = materialise(feats.where("node is not null").select("node", key.alias("key"))
+                       .groupBy("node", "key").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("node", "group"), "node"))
+    first = materialise(rows.groupBy("group").agg(F.min("key").alias("first")))
+    judged = rows.join(first, "group").select("key.*", "n", (F.col("key") == F.col("first")).alias("stays")).toDF("__n", "__d", "__h", "__rows", "__stays")
+    judged = materialise(judged)
+    match = ["__n", "__d", "__h"]
+    own = docs.withColumns({"__n": F.col("doc_id").isNull(), "__d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__h": F.xxhash64("text")})
+    gone = judged.where("not __stays or __rows > 1").select(*match)
+    kept = join_small(own, gone, match, "left_anti").select(*docs.columns)
+    again = judged.where("__stays and __rows > 1").select(*match)  # rows that repeat a row that stays: one of them
+    if not again.limit(1).count():
+        return kept
+    return kept.unionByName(join_small(own, again, match, "left_semi").dropDuplicates(match).select(*docs.columns))

@@ -167,11 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     return train([r.text for r in sample], [r.quality for r in sample])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score``, the probability of quality 1; a null text counts as empty.
-
-    A column ``score`` that is there already is replaced; all others are kept.
-    """
+def _probabilities(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model.weights())
 
     @F.pandas_udf("double")
@@ -180,7 +176,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for part in parts:
             yield pd.Series([probability(weights, t) for t in part], dtype="float64")
 
-    return docs.withColumn("score", probabilities("text"))
+    return probabilities(F.col("text"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Add ``score``, the probability of quality 1; a null text counts as empty.
+
+    A column ``score`` that is there already is replaced; all others are kept.
+    """
+    return docs.withColumn("score", _probabilities(docs, model))
+
+
+def accepted(docs: DataFrame, model: Model, at: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``at``, unchanged."""
+    return docs.where(_probabilities(docs, model) >= at)
 
 
 def threshold(scored: DataFrame, at: float = 0.7) -> DataFrame:
