@@ -43,8 +43,10 @@ def _powers(n: int):
     global _UP, _DOWN
     if len(_UP) < n:
         size = max(n, 1 << 15)
-        _UP, _DOWN = (np.multiply.accumulate(np.concatenate(([1], np.full(size - 1, base, np.uint64))).astype(np.uint64))
-                      for base in (_A, pow(_A, -1, 2**64)))
+        _UP, _DOWN = np.full(size, _A, np.uint64), np.full(size, pow(_A, -1, 2**64), np.uint64)
+        for table in (_UP, _DOWN):
+            table[0] = 1
+            np.multiply.accumulate(table, out=table)
     return _UP, _DOWN
 
 
