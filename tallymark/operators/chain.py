@@ -22,11 +22,15 @@ def _chain(items: Column) -> Column:
     return F.aggregate(F.array_sort(items), F.lit(START), lambda history, item: F.sha2(F.concat(item["h"], history), 256))
 
 
-def chain_blocks(df: DataFrame, hashed: Column, idx: str, block: int = 1024) -> DataFrame:
-    """``(block_id, n, chain)``: the chain over each block of consecutive positions."""
+def chain_blocks(df: DataFrame, hashed: Column, idx: str, block: int = 1024, weight: str | None = None) -> DataFrame:
+    """``(block_id, n, chain)``: the chain over each block of consecutive positions.
+
+    ``n`` adds up ``weight``, one for each row by default.
+    """
     rows = df.select(int_div(idx, block).alias("block_id"),
-                     F.struct(F.col(idx).alias("i"), hashed.alias("h")).alias("item"))
-    return rows.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), _chain(F.collect_list("item")).alias("chain"))
+                     F.struct(F.col(idx).alias("i"), hashed.alias("h")).alias("item"),
+                     (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("w"))
+    return rows.groupBy("block_id").agg(F.sum("w").alias("n"), _chain(F.collect_list("item")).alias("chain"))
 
 
 def chain_digest(df: DataFrame, cols: Sequence[str], idx: str, block: int = 1024, n_rows: int | None = None) -> DataFrame:
@@ -35,9 +39,7 @@ def chain_digest(df: DataFrame, cols: Sequence[str], idx: str, block: int = 1024
     level = chain_blocks(df, F.sha2(canonical_json(list(cols)), 256), idx, block)
     left, levels = -(-n_rows // block), 1
     while left > 1:
-        above = chain_blocks(level, F.col("chain"), "block_id", block).drop("n")
-        sizes = level.groupBy(int_div("block_id", block).alias("block_id")).agg(F.sum("n").alias("n"))
-        level = above.join(sizes, "block_id")
+        level = chain_blocks(level, F.col("chain"), "block_id", block, "n")
         left, levels = -(-left // block), levels + 1
     empty = F.coalesce(F.max("chain"), F.lit(START))
     return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.lit(levels).alias("levels"), empty.alias("chain"))

@@ -5,6 +5,7 @@ Evidence is a long table ``(proof, section, name, algo, n_rows, digest_b64)``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from tallymark.functions.hashing import JSON_OPTIONS, bytes_to_base64, canonical
 from tallymark.operators.chain import chain_digest
 from tallymark.operators.curve import ec_multiset_digest
 from tallymark.operators.multiset import STATE, element_state, multiset_digest, multiset_state, state_hex
+from tallymark.session import join_null_safe
 
 COLUMNS = ["proof", "section", "name", "algo", "n_rows", "digest_b64"]
 
@@ -121,7 +123,8 @@ def bind(manifest: DataFrame, stored: DataFrame, reads: DataFrame, cols: Sequenc
     """Per split: file digests beside the digest of the rows read.
 
     ``bound`` tells whether exactly the stored rows were read, each once:
-    counts agree and so do the multiset states.
+    counts agree and so do the multiset states. A split without files, or
+    with files but without rows, is not bound.
     """
     files = element_state(manifest, F.concat_ws("#", "file", "sha256"), ["split"]).select(
         "split", F.col("n").alias("n_files"), hex_to_base64(state_hex()).alias("files_digest"))
@@ -135,8 +138,12 @@ def bind(manifest: DataFrame, stored: DataFrame, reads: DataFrame, cols: Sequenc
     for c in STATE:
         same = same & (of("stored", c) == of("read", c))
     wide = states.groupBy("split").agg(of("stored", "n").alias("n_rows"), same.alias("bound"), *[of("read", c).alias(c) for c in STATE])
-    return files.join(multiset_digest(wide), "split").select(
-        "split", "n_files", "files_digest", "n_rows", F.col("n").alias("n_accesses"), "digest_b64", "bound")
+    none = F.lit(0).cast("bigint")
+    return join_null_safe(files.withColumnRenamed("split", "__split"), multiset_digest(wide).withColumn("__split", F.col("split")),
+                          ["__split"], "full_outer").select(
+        F.coalesce("split", "__split").alias("split"), F.coalesce("n_files", none).alias("n_files"), "files_digest",
+        F.coalesce("n_rows", none).alias("n_rows"), F.coalesce("n", none).alias("n_accesses"), "digest_b64",
+        (F.coalesce("bound", F.lit(False)) & F.col("n_files").isNotNull()).alias("bound"))
 
 
 def config_digest(settings: DataFrame, by: Sequence[str] = (), key: str = "key", value: str = "value") -> DataFrame:
@@ -167,6 +174,12 @@ def config_settings(value, name: str = "") -> list[tuple[str, str]]:
 
 
 def artifact_manifest(digests: DataFrame, root: str) -> DataFrame:
-    """``(file, bytes, sha256)`` of a folder tree, named relative to its root."""
-    relative = F.regexp_replace("path", f"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
+    """``(file, bytes, sha256)`` of a folder tree, named relative to its root.
+
+    A file outside the root is an error.
+    """
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    start = re.sub("^file:/+", "/", root.rstrip("/")) + "/"
+    outside = F.raise_error(F.concat(F.lit(f"not below {start}: "), plain)).cast("string")
+    relative = F.when(F.startswith(plain, F.lit(start)), F.substring(plain, F.lit(len(start) + 1), F.length(plain))).otherwise(outside)
     return digests.select(relative.alias("file"), "bytes", "sha256")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import BLANKS, _column
+from tallymark.session import materialise
 
 
 def blank_tokens(text: str | Column) -> Column:
@@ -101,29 +102,35 @@ def task_accuracy(scores: DataFrame, gold: DataFrame) -> DataFrame:
 
     ``scores`` is ``(grp, task, item, choice, score)`` and ``gold``
     ``(task, item, answer)``. A null task is its group's size-weighted mean,
-    a null group that of all items.
+    a null group that of all items. A gold item without scores counts as wrong
+    in every group that scores its task; a task that no group scores belongs to
+    the group ``unscored``.
     """
     chosen = chosen_answers(scores, ["grp", "task", "item"])
-    marked = chosen.join(gold, ["task", "item"]).withColumn("hit", (F.col("choice") == F.col("answer")).cast("int"))
+    groups = scores.select("grp", "task").distinct()
+    expected = gold.join(groups, "task", "left").withColumn("grp", F.coalesce("grp", F.lit("unscored")))
+    marked = expected.join(chosen, ["grp", "task", "item"], "left").withColumn(
+        "hit", F.coalesce(F.col("choice") == F.col("answer"), F.lit(False)).cast("int"))
     per_task = marked.groupBy("grp", "task").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("correct"))
     rolled = per_task.rollup("grp", "task").agg(F.sum("n").alias("n"), F.sum("correct").alias("correct"))
     return rolled.withColumn("accuracy", F.col("correct") / F.col("n"))
 
 
-def flatten_tasks(tree: DataFrame, depth: int = 8) -> DataFrame:
+def flatten_tasks(tree: DataFrame) -> DataFrame:
     """``(grp, task)``: the leaf tasks below every root of a ``(parent, child)`` tree.
 
-    ``depth`` bounds the nesting; a deeper tree is an error.
+    Each level is written down once and the walk ends with the first empty one,
+    so nesting has no bound. A pair of root and task is walked once, which also
+    ends cycles below a root.
     """
-    parents = tree.select("parent").distinct()
-    level = (tree.join(tree.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
-             .select(F.col("parent").alias("grp"), F.col("child").alias("task")))
+    tree = materialise(tree.select("parent", "child").distinct())
+    parents = tree.select(F.col("parent").alias("task")).distinct()
+    roots = tree.join(tree.select(F.col("child").alias("parent")), "parent", "left_anti")
+    level = materialise(roots.select(F.col("parent").alias("grp"), F.col("child").alias("task")).distinct())
+    seen = level
     edges = tree.select(F.col("parent").alias("task"), F.col("child").alias("__next"))
-    leaves = None
-    for _ in range(depth):
-        done = level.join(parents.withColumnRenamed("parent", "task"), "task", "left_anti").select("grp", "task")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        level = level.join(edges, "task").select("grp", F.col("__next").alias("task"))
-    if not level.isEmpty():
-        raise ValueError(f"task groups nest deeper than {depth}")
-    return leaves.distinct()
+    while not level.isEmpty():
+        below = level.join(edges, "task").select("grp", F.col("__next").alias("task")).distinct()
+        level = materialise(below.join(seen, ["grp", "task"], "left_anti"))
+        seen = materialise(seen.unionByName(level))
+    return seen.join(parents, "task", "left_anti").select("grp", "task")

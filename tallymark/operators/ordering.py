@@ -16,17 +16,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.arrays import int_div
+from tallymark.session import join_null_safe
 
 LEAF_BITS = 10
 FAN_BITS = 16
 
 
 def key_bounds(df: DataFrame, keys: Sequence[str]) -> dict:
-    """Row count and least and greatest value of every key: one row."""
+    """Row count and least and greatest value of every key: one row.
+
+    A null key has no place in an order; it is an error.
+    """
     aggs = [F.count(F.lit(1)).alias("n")]
     for key in keys:
-        aggs += [F.min(key).alias(f"lo_{key}"), F.max(key).alias(f"hi_{key}")]
-    return df.agg(*aggs).first().asDict()
+        aggs += [F.min(key).alias(f"lo_{key}"), F.max(key).alias(f"hi_{key}"), F.count(key).alias(f"n_{key}")]
+    found = df.agg(*aggs).first().asDict()
+    for key in keys:
+        if found[f"n_{key}"] < found["n"]:
+            raise ValueError(f"{found['n'] - found[f'n_{key}']} rows have a null {key!r} and so no position")
+    return found
+
+
+def _counts_without_gaps(df: DataFrame, key: str, bounds: dict) -> bool:
+    """Whether the keys are exactly the numbers from the least to the greatest.
+
+    As many keys as numbers, and the same sum of hashes: no key is missing or
+    there twice.
+    """
+    lo, hi, n = bounds[f"lo_{key}"], bounds[f"hi_{key}"], bounds["n"]
+    if n == 0:
+        return True
+    if hi - lo + 1 != n:
+        return False
+
+    def hashes(c):
+        return F.sum((F.xxhash64(F.col(c).cast("bigint")) % (1 << 20)) + (F.xxhash64(F.col(c).cast("bigint"), F.lit(1)) % (1 << 20)) * (1 << 21))
+
+    return df.agg(hashes(key)).first()[0] == df.sparkSession.range(lo, hi + 1).agg(hashes("id")).first()[0]
 
 
 def _prefix_sums(totals: DataFrame, order: list[str], spans: list[int], within: list[str]) -> DataFrame:
@@ -45,7 +71,7 @@ def _prefix_sums(totals: DataFrame, order: list[str], spans: list[int], within:
         return inner.drop("__w")
     above = _prefix_sums(lifted.groupBy(*groups).agg(F.sum("__w").alias("__w")), parent, parent_spans, within)
     above = above.select(*groups, F.col("__off").alias("__above"))
-    out = inner.join(above, groups).withColumn("__off", F.col("__off") + F.col("__above"))
+    out = join_null_safe(inner, above, groups).withColumn("__off", F.col("__off") + F.col("__above"))
     return out.select(*within, *order, "__off")
 
 
@@ -71,21 +97,22 @@ def running_offset(df: DataFrame, key: str | Sequence[str], weight: Column | Non
     before = (Window.partitionBy(*bucket).orderBy(keys[-1])
               .rowsBetween(Window.unboundedPreceding, -1))
     inside = F.coalesce(F.sum("__w").over(before), F.lit(0))
-    return rows.join(offsets, bucket).withColumn(name, F.col("__off") + inside).drop("__b", "__w", "__off")
+    return join_null_safe(rows, offsets, bucket).withColumn(name, F.col("__off") + inside).drop("__b", "__w", "__off")
 
 
 def with_row_index(df: DataFrame, key: str | Sequence[str], within: Sequence[str] = (),
                    name: str = "row_idx") -> DataFrame:
     """Add the dense position 0..n-1 of every row in key order.
 
-    The key is unique within a group. A single key that already counts without
-    gaps only needs a subtraction; nothing is shuffled then.
+    Rows of equal keys get positions of their own in no certain order; a null
+    key is an error, a null group is a group. A single key that already counts
+    without gaps only needs a subtraction; nothing is shuffled then.
     """
     keys = [key] if isinstance(key, str) else list(key)
     bounds = key_bounds(df, keys)
     if len(keys) == 1 and not within:
-        lo, hi = bounds[f"lo_{keys[0]}"], bounds[f"hi_{keys[0]}"]
-        if bounds["n"] == 0 or hi - lo + 1 == bounds["n"]:
+        lo = bounds[f"lo_{keys[0]}"]
+        if _counts_without_gaps(df, keys[0], bounds):
             return df.withColumn(name, F.col(keys[0]).cast("bigint") - F.lit(lo or 0).cast("bigint"))
     return running_offset(df, keys, within=within, name=name, bounds=bounds)
 

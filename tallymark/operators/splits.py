@@ -33,7 +33,7 @@ def _cut_hashes(df: DataFrame, key: str, strata: list[str], frac: float, seed: i
               .withColumn("__take", F.ceil(F.lit(frac) * F.sum("__c").over(whole))))
     cuts = (counts.where((F.col("__end") >= F.col("__take")) & (F.col("__end") - F.col("__c") < F.col("__take")))
             .select(*strata, "__p", (F.col("__take") - F.col("__end") + F.col("__c")).alias("__nth")))
-    near = join_small(hashed, cuts, [*strata, "__p"])
+    near = join_small(hashed, cuts, [*strata, "__p"], null_safe=True)
     rank = F.row_number().over(Window.partitionBy(*strata, "__p").orderBy("__h"))
     return near.withColumn("__r", rank).where(F.col("__r") == F.col("__nth")).select(*strata, F.col("__h").alias("__cut"))
 
@@ -48,10 +48,10 @@ def split_stratified(df: DataFrame, key: str, strata: Sequence[str], frac: float
                      name: str = "split") -> DataFrame:
     """As :func:`split_random`, with the same share in every stratum.
 
-    The strata columns hold no nulls.
+    A null stratum is a stratum like any other.
     """
     cuts = _cut_hashes(df, key, list(strata), frac, seed)
-    out = join_small(df, cuts, list(strata), "left")
+    out = join_small(df, cuts, list(strata), "left", null_safe=True)
     return out.withColumn(name, F.when(split_hash(key, seed) <= F.col("__cut"), "test").otherwise("train")).drop("__cut")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+SPREAD_PIECES = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +48,8 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join against a table that is usually small.
+               max_rows: int = BROADCAST_ROWS, null_safe: bool = False) -> DataFrame:
+    """Join against a table that is usually small; ``null_safe`` lets null keys meet.
 
     The small side is written once and counted; it is broadcast only when the
     count is within ``max_rows``. Past that it is an ordinary shuffled join,
@@ -57,7 +58,16 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     small = materialise(small)
     if small.count() <= max_rows:
         small = F.broadcast(small)
-    return big.join(small, on, how)
+    return join_null_safe(big, small, on, how) if null_safe else big.join(small, on, how)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join by columns of equal names in which a null meets a null; the left keys are kept."""
+    renamed = right.withColumnsRenamed({c: f"__right_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__right_{c}"))
+    return left.join(renamed, same, how).drop(*[f"__right_{c}" for c in on])
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
@@ -69,10 +79,11 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Use every core for a scan that comes in fewer pieces than there are cores.
+    """Use more cores for a scan that comes in only a few pieces.
 
-    For plain file scans only. A table of many files is returned as it is, so
-    nothing is shuffled where the data is large.
+    For plain file scans only. A scan of ``SPREAD_PIECES`` pieces or more is
+    returned as it is however many cores there are, so nothing is shuffled
+    where the data is large.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
+    cores = min(scan.sparkSession.sparkContext.defaultParallelism, SPREAD_PIECES)
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

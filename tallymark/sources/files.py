@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators.chain import chain_digest
 from tallymark.operators.ordering import with_row_index
+from tallymark.session import materialise
 
 WHOLE_FILE_BYTES = 256 << 20
 BLOCK_BYTES = 8 << 20
@@ -25,14 +26,25 @@ EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 MANIFEST = "path string, bytes bigint, sha256 string"
 
 
-def open_stream(path: str, codec: str | None = None):
-    """Input stream on any file system Arrow knows, decompressed on request."""
+# Names that clusters give to stores, and Arrow's names of them.
+STORES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def file_system(path: str):
+    """Arrow's file system of a path and the path in it; ``dbfs:/`` is its local mount."""
     from pyarrow import fs
 
-    if ":/" in path:
-        system, inner = fs.FileSystem.from_uri(path)
-    else:
-        system, inner = fs.LocalFileSystem(), path
+    scheme, colon, rest = path.partition(":/")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme in ("file", "dbfs"):
+        return fs.LocalFileSystem(), ("/dbfs/" if scheme == "dbfs" else "/") + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{STORES.get(scheme, scheme)}:/{rest}")
+
+
+def open_stream(path: str, codec: str | None = None):
+    """Input stream on any file system Arrow knows, decompressed on request."""
+    system, inner = file_system(path)
     return system.open_input_stream(inner, compression=codec)
 
 
@@ -71,12 +83,29 @@ def _binary_files(spark: SparkSession, path: str | Sequence[str], pattern: str |
 def _with_empty_files(found: DataFrame, scan: DataFrame) -> DataFrame:
     """Add the files of no bytes, which a scan lists but does not read.
 
-    Spark's file index already holds the listing on the driver.
+    Spark's file index already holds the listing on the driver. A listed file
+    that was not read is only taken for empty if its store says so.
     """
     names = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in scan.inputFiles()]
     listed = scan.sparkSession.createDataFrame(names, "path string")
-    out = listed.join(found, "path", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("bigint")))
-    return out.fillna(EMPTY_SHA256, "sha256") if "sha256" in out.columns else out
+
+    @F.pandas_udf("bigint")
+    def stored_bytes(paths: pd.Series) -> pd.Series:
+        def size(path):
+            system, inner = file_system(path)
+            found = system.get_file_info(inner)
+            if not found.is_file:
+                raise FileNotFoundError(f"{path} was listed and is gone")
+            return found.size
+
+        return paths.map(size)
+
+    unread = listed.join(found, "path", "left_anti").withColumn("bytes", stored_bytes("path"))
+    lost = F.raise_error(F.concat(F.lit("listed but not read: "), F.col("path")))
+    empty = unread.select("path", F.when(F.col("bytes") == 0, F.lit(0)).otherwise(lost.cast("bigint")).cast("bigint").alias("bytes"))
+    if "sha256" in found.columns:
+        empty = empty.withColumn("sha256", F.lit(EMPTY_SHA256))
+    return found.unionByName(empty)
 
 
 def list_files(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
@@ -110,8 +139,8 @@ def decompressed_digests(spark: SparkSession, path: str | Sequence[str], mode: s
 
 def cumulative_digest(digests: DataFrame) -> DataFrame:
     """One chain digest over many files in path order: ``(n, levels, chain)``."""
-    placed = digests.select(F.xxhash64("path").alias("__k"), "*")
-    ordered = placed.orderBy("path").select("path", "sha256", F.monotonically_increasing_id().alias("pos")).drop("__k")
+    placed = digests.select("path", "sha256")
+    ordered = materialise(placed.orderBy("path").select("path", "sha256", F.monotonically_increasing_id().alias("pos")))
     return chain_digest(with_row_index(ordered, "pos"), ["path", "sha256"], "row_idx")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql.types import LongType
 from tallymark.functions.arrays import int_div
 from tallymark.operators.ordering import key_bounds, running_offset
 from tallymark.session import bounded_rows, join_small, materialise
-from tallymark.sources.files import file_digests, list_files
+from tallymark.sources.files import file_digests, file_system, list_files
 
 FORMAT = "arrow_shards"
 BATCH_ROWS = 1000
@@ -34,12 +35,6 @@ BROADCAST_CUTS = 500_000
 CUTS_PER_SET = 256
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-
-
 def shard_name(index: int, count: int) -> str:
     return f"data-{index:05d}-of-{count:05d}.arrow"
 
@@ -83,7 +78,7 @@ class ShardReader(DataSourceReader):
         return [ShardFile(p, f) for p, f in zip(self.paths, self.firsts or [None] * len(self.paths))]
 
     def read(self, partition):
-        system, path = _filesystem(partition.path)
+        system, path = file_system(partition.path)
         at = partition.first
         with system.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as batches:
             for batch in batches:
@@ -100,7 +95,7 @@ class ShardWriter(DataSourceArrowWriter):
         self.root = root
 
     def write(self, iterator):
-        system, root = _filesystem(self.root)
+        system, root = file_system(self.root)
         done, current, held = [], None, []
 
         def flush(last: bool):
@@ -155,7 +150,7 @@ class ShardWriter(DataSourceArrowWriter):
         return WrittenShards(done)
 
     def commit(self, messages):
-        system, root = _filesystem(self.root)
+        system, root = file_system(self.root)
         system.create_dir(root, recursive=True)
         shards = sorted(s for m in messages if m is not None for s in m.shards)
         splits = sorted({s[0] for s in shards}) or [""]
@@ -190,7 +185,7 @@ class ArrowShards(DataSource):
         return FORMAT
 
     def schema(self):
-        system, path = _filesystem(json.loads(self.options["files"])[0])
+        system, path = file_system(json.loads(self.options["files"])[0])
         with system.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as batches:
             found = from_arrow_schema(batches.schema)
         return found.add("row_idx", LongType()) if "firsts" in self.options else found
@@ -237,9 +232,12 @@ def assign_shards(df: DataFrame, key: str, max_shard_bytes: int, split: str | No
     rows per split and one per shard, so the rows themselves stay in place.
     Cuts that share a bucket, as with clustered keys, are searched in sets.
     """
-    tagged = df.withColumn("__split", F.col(split) if split else F.lit(""))
+    tagged = df.withColumn("__split", F.col(split).cast("string") if split else F.lit(""))
     sizes = materialise(tagged.select("__split", F.col(key).cast("bigint").alias(key), row_bytes(df).alias("bytes")))
     bounds = key_bounds(sizes, [key])
+    homeless = sizes.where("__split is null").count() if split else 0
+    if homeless:
+        raise ValueError(f"{homeless} rows have a null {split!r} and so no shard")
     lo, hi = bounds[f"lo_{key}"] or 0, bounds[f"hi_{key}"] or 0
     shift = next(s for s in range(64) if (hi >> s) - (lo >> s) < LOOKUP_BUCKETS)
     cuts = materialise(shard_cuts(sizes, key, max_shard_bytes, bounds))
@@ -264,16 +262,24 @@ def write_dataset(df: DataFrame, path: str, key: str, max_shard_mb: float = 500,
 
     Rows are shuffled once, by shard. The digests are those of the file bytes
     as they were written; comparing with :func:`file_manifest` checks what is
-    stored.
+    stored. A null key or split is an error before anything is written, and so
+    are a dataset that is there already and a written row count that differs.
     """
     spark = df.sparkSession
     _register(spark)
+    system, root = file_system(path)
+    if system.get_file_info(f"{root.rstrip('/')}/shards.jsonl").is_file:
+        raise FileExistsError(f"{path} holds a dataset")
     placed = assign_shards(df, key, int(max_shard_mb * (1 << 20)), split)
     if split:
         placed = placed.drop(split)
     by = ["__split", "__shard"]
     placed.repartition(*by).sortWithinPartitions(*by, key).write.format(FORMAT).mode("append").option("path", path).save()
-    return recorded_manifest(spark, path)
+    recorded = recorded_manifest(spark, path)
+    given, written = df.count(), recorded.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    if given != written:
+        raise ValueError(f"{written} of {given} rows were written to {path}")
+    return recorded
 
 
 def recorded_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -284,15 +290,21 @@ def recorded_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def _folders(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """``(split, folder)`` of a dataset, from where its state files are."""
-    root = path.rstrip("/")
-    found = {r["path"].rsplit("/", 2)[-2]: r["path"].rsplit("/", 1)[0]
-             for r in bounded_rows(list_files(spark, root, "state.json").select("path"), MAX_SPLITS, "splits")}
-    splits = [(s, found[s]) for s in ("train", "test") if s in found and found[s].rstrip("/").endswith(f"/{s}")]
-    others = [(s, f) for s, f in sorted(found.items()) if s not in ("train", "test") and f.split("://")[-1].split(":")[-1]
-              .rstrip("/") != root.split(":")[-1]]
-    if splits or others:
-        return splits + others
-    return [("train", f) for f in found.values()]
+    def plain(folder: str) -> str:
+        return re.sub("^file:/+", "/", folder.rstrip("/"))
+
+    root = plain(path)
+    states = bounded_rows(list_files(spark, path.rstrip("/"), "state.json").select("path"), MAX_SPLITS, "splits")
+    folders = {plain(r["path"].rsplit("/", 1)[0]): r["path"].rsplit("/", 1)[0] for r in states}
+    found = {f.removeprefix(f"{root}/"): folder for f, folder in folders.items() if f.rpartition("/")[0] == root}
+    if found:
+        first = [s for s in ("train", "test") if s in found]
+        return [(s, found[s]) for s in first + sorted(set(found) - set(first))]
+    if root in folders:
+        return [("train", folders[root])]
+    if folders:
+        raise ValueError(f"{path} is above several datasets: name one of them")
+    return []
 
 
 def dataset_files(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
