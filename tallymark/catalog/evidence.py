@@ -42,8 +42,7 @@ def multiset_state(spark, sf_dir):
 def multiset_digest(spark, sf_dir):
     """Group element of all line items, by return flag."""
     lines = table(spark, sf_dir, "lineitem")
-    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"]
-    states = multiset.multiset_state(lines, cols, by=["l_returnflag"])
+    states = multiset.multiset_state(lines, lines.columns, by=["l_returnflag"])
     return multiset.multiset_digest(states).select("l_returnflag", "n", "digest_hex", "digest_b64")
 
 

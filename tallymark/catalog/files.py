@@ -106,8 +106,8 @@ def conversation_sink(spark, sf_dir):
     path = fresh_path(spark, "conversations")
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
     tables.write_conversations(turns, path)
-    back = spark.read.schema("conv_id bigint, part bigint, messages array<struct<role:string,content:string>>").json(path)
-    return back.select("conv_id", "part", F.size("messages").cast("bigint").alias("n_messages"),
+    back = spark.read.schema("conv_id bigint, messages array<struct<role:string,content:string>>").json(path)
+    return back.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"),
                        F.sha2(F.to_json("messages", {"ignoreNullFields": "false"}), 256).alias("sha256"))
 
 
@@ -157,9 +157,9 @@ SELECT event_type AS attestation_type, 'model' || (user_id % 3) AS model_path, e
 FROM (SELECT *, floor(value * 100 + 0.5) AS cents FROM events) GROUP BY ALL
 """,
     "conversation_sink": """
-SELECT conv_id, turn // 256 AS part, count(*) AS n_messages,
+SELECT conv_id, count(*) AS n_messages,
        sha256(to_json(list({'role': role, 'content': text} ORDER BY turn))::VARCHAR) AS sha256
-FROM conversations GROUP BY 1, 2
+FROM conversations GROUP BY 1
 """,
     "reviews_source": """
 SELECT text AS review, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment

@@ -10,7 +10,6 @@ from tallymark.catalog.text import (CONVERSATION, DOCS, PIECES, bleu_tokens_sql,
                                     ngrams_sql)
 from tallymark.operators import evidence as ev
 from tallymark.operators import words
-from tallymark.operators.metrics import TOKENIZERS  # noqa: F401
 from tallymark.plans import proofs
 from tallymark.session import fresh_path, materialise
 from tallymark.sources import files, shards
@@ -25,6 +24,13 @@ def _settings(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
 
 
+def _model(spark, sf_dir, name):
+    """An artifact's files, made of the parts of one size."""
+    size = {"base": 1, "original": 2, "finetuned": 3, "model": 4}[name]
+    return table(spark, sf_dir, "part").where(F.col("p_size") == size).select(
+        F.concat(F.lit(f"{name}-"), F.col("p_partkey").cast("string")).alias("file"), F.sha2("p_name", 256).alias("sha256"))
+
+
 def _ordered(evidence):
     return evidence.select(*ev.COLUMNS)
 
@@ -67,7 +73,7 @@ def proof_bind(spark, sf_dir):
 def proof_pretrain_data(spark, sf_dir):
     """Chunks per split."""
     docs = _docs(spark, sf_dir)
-    made = proofs.pretrain_data(docs, _vocab(docs), _settings(spark, sf_dir), test=0.1, algo="sum")[0]
+    made = proofs.pretrain_data(docs, _vocab(docs), _settings(spark, sf_dir), test=0.1, artifacts=_model(spark, sf_dir, "model"), algo="sum")[0]
     return _ordered(made)
 
 
@@ -76,14 +82,17 @@ def proof_finetune_data(spark, sf_dir):
     rows = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select(
         "doc_id", F.concat(F.lit("Rate "), "source").alias("instruction"), F.col("text").alias("input"),
         F.col("quality").cast("string").alias("output"))
-    return _ordered(proofs.finetune_data(rows, _settings(spark, sf_dir), "doc_id", "</s>", algo="sum")[0])
+    models = {name: (_model(spark, sf_dir, name), _settings(spark, sf_dir)) for name in ("base", "original", "finetuned")}
+    vocab = _vocab(_docs(spark, sf_dir))
+    return _ordered(proofs.finetune_data(rows, _settings(spark, sf_dir), "doc_id", "</s>", models, vocab, algo="sum")[0])
 
 
 def proof_inference_data(spark, sf_dir):
     """Conversations of questions and replies."""
     samples, replies = conversation_samples(spark, sf_dir)
     replies = replies.withColumn("reply", F.concat("reply", F.lit("<|im_end|>")))
-    return _ordered(proofs.inference_data(samples, replies, "conv_id", _settings(spark, sf_dir), algo="sum")[0])
+    made = proofs.inference_data(samples, replies, "conv_id", _settings(spark, sf_dir), _model(spark, sf_dir, "model"), algo="sum")[0]
+    return _ordered(made)
 
 
 def proof_evaluation(spark, sf_dir):
@@ -95,7 +104,8 @@ def proof_evaluation(spark, sf_dir):
                           F.explode(F.sequence(F.lit(0), F.lit(3))).alias("choice"))
     scores = scores.withColumn("score", (F.col("item") * 7919 + F.col("choice") * 104729) % 10)
     gold = items.select(F.col("leaf").alias("task"), F.col("doc_id").alias("item"), F.col("quality").alias("answer"))
-    made = proofs.evaluation(items, scores, gold, ["text", "quality"], "doc_id", _settings(spark, sf_dir), algo="sum")[0]
+    made = proofs.evaluation(items, scores, gold, ["text", "quality"], "doc_id", _settings(spark, sf_dir), _model(spark, sf_dir, "model"),
+                             _vocab(_docs(spark, sf_dir)), algo="sum")[0]
     return _ordered(made)
 
 
@@ -105,7 +115,8 @@ def proof_evaluation_bleu(spark, sf_dir):
     line = F.replace("text", F.lit("\n"), F.lit(" "))
     pairs = docs.select("doc_id", F.col("source").alias("de"), line.alias("en"))
     generated = F.concat(F.lit("de: "), "de", F.lit("\nen: "), F.replace("en", F.lit(" the "), F.lit(" a ")), F.lit("\nrest"))
-    made = proofs.evaluation_bleu(pairs.withColumn("generated", generated), "doc_id", "de", "en", "generated", "de", "en", algo="sum")[0]
+    made = proofs.evaluation_bleu(pairs.withColumn("generated", generated), "doc_id", "de", "en", "generated", "de", "en", _settings(spark, sf_dir),
+                                  _model(spark, sf_dir, "model"), _vocab(docs), algo="sum")[0]
     return _ordered(made)
 
 
@@ -141,6 +152,12 @@ def _settings_row(proof, name):
     return _row(proof, "configuration", name, "sha256", "NULL", "h", SETTINGS)
 
 
+def _model_rows(proof, section, name):
+    size = {"base": 1, "original": 2, "finetuned": 3, "model": 4}[name]
+    return (f"SELECT {literal(proof)} AS proof, {literal(section)} AS section, {literal(name + '-')} || p_partkey AS name, 'sha256' AS algo, "
+            f"NULL::BIGINT AS n_rows, to_base64(unhex(sha256(p_name))) AS digest_b64 FROM part WHERE p_size = {size}")
+
+
 def _vocab_row(proof):
     rows = "SELECT id - 1 AS i, sha256(to_json({'word': word, 'id': id})::VARCHAR) AS h FROM (" + vocabulary(DOCS) + ")"
     return _row(proof, "tokenizer_hash", "vocabulary", "chain", "n", "chain", _chain(rows))
@@ -169,11 +186,15 @@ enc AS (SELECT t.doc_id, list(v.id ORDER BY t.pos) AS ids FROM
   (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS pos FROM
      (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '{{noise}}', '', 'g'), '{{blanks}}') AS a FROM parts)) t
   JOIN v USING (word) GROUP BY 1),
-placed AS (SELECT split, split || '/' || (row_idx % 8) AS shard, row_idx, unnest(ids) AS id, generate_subscripts(ids, 1) AS p
-           FROM parts JOIN enc USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY row_idx) - 1 AS place, count(*) OVER (PARTITION BY split) AS n FROM parts),
+dealt AS (SELECT split, doc_id, row_idx, CASE WHEN place < (n % 8) * (n // 8 + 1) THEN place // (n // 8 + 1)
+            ELSE n % 8 + (place - (n % 8) * (n // 8 + 1)) // greatest(n // 8, 1) END AS worker FROM ranked),
+placed AS (SELECT split, split || '/' || worker AS shard, row_idx, unnest(ids) AS id, generate_subscripts(ids, 1) AS p
+           FROM dealt JOIN enc USING (doc_id)),
 numbered AS (SELECT split, shard, id, row_number() OVER (PARTITION BY shard ORDER BY row_idx, p) - 1 AS ofs FROM placed),
 made AS (SELECT split, shard, ofs // 1024 AS chunk, list(id ORDER BY ofs) AS ids FROM numbered GROUP BY ALL)
-SELECT split, to_json({{{{'shard': shard, 'chunk': chunk, 'input_ids': ids}}}})::VARCHAR AS elem FROM made WHERE len(ids) = 1024
+SELECT split, to_json({{{{'shard': shard, 'chunk': chunk, 'input_ids': ids,
+  'attention_mask': list_transform(ids, lambda i: 1)}}}})::VARCHAR AS elem FROM made WHERE len(ids) = 1024
 """
 
 
@@ -184,7 +205,7 @@ def _packed():
 
 
 TALKS = f"""
-SELECT to_json({{'conv_id': conv_id, 'part': 0, 'messages': to_json(list({{'role': role, 'content': content}} ORDER BY turn))::VARCHAR}})::VARCHAR AS elem
+SELECT to_json({{'conv_id': conv_id, 'messages': to_json(list({{'role': role, 'content': content}} ORDER BY turn))::VARCHAR}})::VARCHAR AS elem
 FROM ({CONVERSATION}) GROUP BY conv_id"""
 
 RESULTS = """
@@ -201,17 +222,20 @@ ORACLES = {
         _row("distribution", "results", "word_lengths", "chain", "n", "chain", _chain(LENGTHS))]),
     "proof_pretrain_data": " UNION ALL ".join([
         evidence_sql("pretrain", "dataset_hash", "", _packed(), "split"),
-        _vocab_row("pretrain"), _settings_row("pretrain", "training_args")]),
+        _vocab_row("pretrain"), _settings_row("pretrain", "training_args"), _model_rows("pretrain", "model", "model")]),
     "proof_finetune_data": " UNION ALL ".join([
         evidence_sql("finetune", "dataset_hash", "train",
                      f"SELECT to_json({{'instruction': instruction, 'input': input, 'output': output, 'text': {PROMPT}}})::VARCHAR "
                      f"|| '#' || doc_id AS elem FROM ({INSTRUCTIONS})"),
-        _settings_row("finetune", "training_args")]),
+        _settings_row("finetune", "training_args"), _vocab_row("finetune"),
+        *[_model_rows("finetune", f"{m}_model", m) for m in ("base", "original", "finetuned")],
+        *[_settings_row("finetune", f"{m}_model_config") for m in ("base", "original", "finetuned")]]),
     "proof_inference_data": " UNION ALL ".join([
         evidence_sql("inference", "conversation", "conversations", TALKS),
-        _settings_row("inference", "inference_config")]),
+        _settings_row("inference", "inference_config"), _model_rows("inference", "model", "model")]),
     "proof_evaluation": " UNION ALL ".join([
         evidence_sql("eval", "dataset_hashes", "", "SELECT source || ':' || lang AS key, to_json({'text': text, 'quality': quality})::VARCHAR "
                      "|| '#' || doc_id AS elem FROM documents JOIN labels USING (doc_id)", "key"),
-        evidence_sql("eval", "evaluation", "results", RESULTS), _settings_row("eval", "model_config")]),
+        evidence_sql("eval", "evaluation", "results", RESULTS), _settings_row("eval", "model_config"), _model_rows("eval", "model", "model"),
+        _vocab_row("eval")]),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallymark.catalog.sql import BLANKS, COUNTS, WORDS, cleaned, encoded, literal, table, vocabulary as vocabulary_sql
 from tallymark.functions import arrays, text
+from tallymark.session import materialise
 from tallymark.operators import chat, features, metrics, sequences, words
 from tallymark.operators.ordering import with_row_index
 
@@ -105,14 +106,14 @@ def subword_tokens(spark, sf_dir):
 
 def _sharded_tokens(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    made = sequences.encode(docs, words.vocabulary(docs))
-    return made.select("doc_id", (F.col("doc_id") % 8).alias("shard"), "input_ids")
+    made = sequences.tokenize(docs, words.vocabulary(docs), keep=("doc_id",))
+    return materialise(made.select("doc_id", (F.col("doc_id") % 8).alias("shard"), "input_ids", "attention_mask"))
 
 
 def packed_chunks(spark, sf_dir):
     """Sequences of a shard in a row, cut into chunks of 1,024; short tails dropped."""
-    made = sequences.pack(_sharded_tokens(spark, sf_dir), "input_ids", "shard", "doc_id")
-    return made.select("shard", "chunk", _joined(F.col("input_ids")).alias("ids"))
+    made = sequences.pack(_sharded_tokens(spark, sf_dir), "input_ids", "shard", "doc_id", aligned=["attention_mask"])
+    return made.select("shard", "chunk", _joined(F.col("input_ids")).alias("ids"), _joined(F.col("attention_mask")).alias("mask"))
 
 
 def concatenated_sequences(spark, sf_dir):
@@ -303,7 +304,7 @@ LEFT JOIN (SELECT * FROM ({cleaned(DOCS)}) WHERE word <> '') t USING (doc_id) GR
 SELECT doc_id, array_to_string(list_concat(list_transform(range(500 - len(ids[:500])), lambda i: 0), ids[:500]), ',') AS ids FROM ({ENCODED})""",
     "label_encoding": "SELECT doc_id, (quality = 1)::BIGINT AS y FROM labels",
     "tokenized_texts": f"SELECT doc_id, array_to_string(ids, ',') AS ids, len(ids) AS mask FROM ({ENCODED})",
-    "packed_chunks": f"SELECT shard, chunk, array_to_string(ids, ',') AS ids FROM ({CHUNKS}) WHERE len(ids) = 1024",
+    "packed_chunks": f"SELECT shard, chunk, array_to_string(ids, ',') AS ids, array_to_string(list_transform(ids, lambda i: 1), ',') AS mask FROM ({CHUNKS}) WHERE len(ids) = 1024",
     "concatenated_sequences": f"SELECT shard, chunk, len(ids) AS n, array_to_string(ids, ',') AS ids FROM ({CHUNKS})",
     "instruction_prompt": f"""
 SELECT doc_id, {literal(PIECES[0])} || 'Rate ' || source || {literal(PIECES[1])} || text || {literal(PIECES[2])} || quality

@@ -62,17 +62,18 @@ def first_per_group(df: DataFrame, group: str, order: str, n: int, name: str = "
 
 
 def conversation_blocks(df: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """``(conv, part, messages)``: arrays of role and content, in turn order.
+    """``(conv, messages)``: one array of role and content for each conversation, in turn order.
 
-    A block holds consecutive turns, so it is bounded; a conversation of many
-    turns has several blocks.
+    Turns are gathered in blocks first, so a long conversation is put together
+    from sorted blocks.
     """
     message: Column = F.struct(F.col(turn).alias("t"), F.struct("role", "content").alias("m"))
-    ordered = F.transform(F.array_sort(F.collect_list(message)), lambda x: x["m"])
-    part = int_div(turn, BLOCK_TURNS).alias("part")
-    return df.groupBy(conv, part).agg(ordered.alias("messages"))
+    block = df.groupBy(conv, int_div(turn, BLOCK_TURNS).alias("__block")).agg(
+        F.transform(F.array_sort(F.collect_list(message)), lambda x: x["m"]).alias("__part"))
+    ordered = F.array_sort(F.collect_list(F.struct("__block", "__part")))
+    return block.groupBy(conv).agg(F.flatten(F.transform(ordered, lambda b: b["__part"])).alias("messages"))
 
 
 def conversation_json(df: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """``(conv, part, messages)``: the blocks as JSON text."""
+    """``(conv, messages)``: the conversations as JSON text."""
     return conversation_blocks(df, conv, turn).withColumn("messages", F.to_json("messages"))

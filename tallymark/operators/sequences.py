@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from tallymark.operators.ordering import running_offset
 from tallymark.session import BROADCAST_ROWS, materialise
 
 LOOKUP_WORDS = 65_536
+BITMAP_BITS = 1 << 22
 
 
 def lookup_slots(entries: list) -> int:
@@ -39,12 +40,14 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", name: str = "inp
 
     A vocabulary of at most ``LOOKUP_WORDS`` words becomes a constant: one pass
     over the rows, nothing shuffled, and a text without known words keeps an
-    empty list. A larger one is joined by ``key``.
+    empty list. A larger one is joined by ``key``, or without a key by a row
+    number that is written down with the rows first.
     """
     entries = vocab.select("word", "id", F.hash("word").alias("hash")).limit(LOOKUP_WORDS + 1).collect()
     if len(entries) > LOOKUP_WORDS:
         if key is None:
-            raise ValueError(f"more than {LOOKUP_WORDS} words: name the key to join by")
+            numbered = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
+            return encode_by_join(numbered, vocab, "__row", text, name).drop("__row")
         return encode_by_join(df, vocab, key, text, name)
     table, slots = lookup_table(entries), F.lit(lookup_slots(entries))
     ids = F.transform(clean_tokens(text), lambda word: F.try_element_at(F.get(table, F.pmod(F.hash(word), slots)), word))
@@ -55,22 +58,37 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, key: str, text: str = "text"
     """As :func:`encode` for a vocabulary of any size; ``key`` is unique.
 
     Ids are ranks, so the words with low ids are the ones that fill the corpus.
-    They are broadcast; only rare words, which no task is flooded with, are
-    joined by a shuffle.
+    They are broadcast. Of the other tokens those that are in no vocabulary,
+    stop words above all, are left out where they are by a bitmap of the rare
+    words' hashes, which has a fixed size; only what is left is joined by a
+    shuffle.
     """
     vocab = materialise(vocab.select("word", "id"))
     runs = df.select(key, F.posexplode(clean_tokens(text)).alias("pos", "word")).where("word <> ''")
     frequent = F.broadcast(vocab.where(F.col("id") <= BROADCAST_ROWS))
     found = runs.join(frequent, "word")
     if vocab.where(F.col("id") > BROADCAST_ROWS).limit(1).count():
-        rare = runs.join(frequent, "word", "left_anti").join(vocab.where(F.col("id") > BROADCAST_ROWS), "word")
-        found = found.unionByName(rare.select(*found.columns))
+        others = vocab.where(F.col("id") > BROADCAST_ROWS)
+        possible = runs.where(_in_bitmap(others, F.col("word"))).join(frequent, "word", "left_anti")
+        found = found.unionByName(possible.join(others, "word").select(*found.columns))
     ids = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("__found"))
     out = df.join(ids, key, "left")
     listed = F.coalesce(F.transform("__found", lambda p: p["id"]), F.array().cast("array<int>"))
     return out.withColumn(name, listed).drop("__found")
 
 
+def _in_bitmap(words: DataFrame, word: Column) -> Column:
+    """Whether a word's hash is that of one of ``words``; false ones pass now and then, true ones always."""
+    def bit(w):
+        return F.pmod(F.xxhash64(w), F.lit(BITMAP_BITS))
+
+    cells = words.groupBy(F.shiftright(bit(F.col("word")), 6).alias("cell")).agg(
+        F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), (bit(F.col("word")) % 64).cast("int"))).alias("bits"))
+    filled = dict(tuple(r) for r in cells.collect())  # BITMAP_BITS / 64 rows at most
+    table = F.from_json(F.lit(json.dumps([filled.get(i, 0) for i in range(BITMAP_BITS // 64)])), "array<bigint>")
+    return F.getbit(F.get(table, F.shiftright(bit(word), 6).cast("int")), (bit(word) % 64).cast("int")) == 1
+
+
 def attention_mask(tokens: str = "input_ids") -> Column:
     """One 1 per token."""
     return F.array_repeat(F.lit(1), F.size(tokens))
@@ -103,25 +121,29 @@ def tokenize_subwords(df: DataFrame, spec: str, text: str = "text", keep: tuple
 
 
 def pack(df: DataFrame, tokens: str, shard: str, order: str, size: int = 1024, drop_tail: bool = True,
-         bounds: dict | None = None) -> DataFrame:
-    """``(shard, chunk, tokens)``: all sequences of a shard in a row, cut evenly.
+         bounds: dict | None = None, aligned: Sequence[str] = ()) -> DataFrame:
+    """``(shard, chunk, tokens, aligned...)``: all sequences of a shard in a row, cut evenly.
+
+    ``aligned`` are arrays with an entry for every token, such as the attention
+    mask; they are cut where the tokens are.
 
     Every sequence is sliced where chunk borders fall on it, so slices travel
     and not tokens, and a chunk gathers at most ``size`` tokens. The short last
     chunk of a shard is dropped unless asked for.
     """
-    placed = running_offset(df.select(shard, order, tokens), order, F.size(tokens), [shard], "__at", bounds)
+    arrays = [tokens, *aligned]
+    placed = running_offset(df.select(shard, order, *arrays), order, F.size(tokens), [shard], "__at", bounds)
     begin, n = F.col("__at"), F.size(tokens)
 
     def piece(chunk):
         start = F.greatest(chunk * size, begin)
         length = F.least((chunk + 1) * size, begin + n) - start
         return F.struct(chunk.alias("chunk"), start.alias("start"),
-                        F.slice(F.col(tokens), (start - begin + 1).cast("int"), length.cast("int")).alias("part"))
+                        *[F.slice(F.col(a), (start - begin + 1).cast("int"), length.cast("int")).alias(a) for a in arrays])
 
     spans = F.sequence(int_div(begin, size), int_div(begin + n - 1, size))
     pieces = placed.where(n > 0).select(shard, F.explode(F.transform(spans, piece)).alias("p"))
     chunks = pieces.groupBy(shard, F.col("p.chunk").alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("p.start", "p.part"))).alias("parts"))
-    out = chunks.select(shard, "chunk", F.flatten(F.transform("parts", lambda p: p["part"])).alias(tokens))
+        F.array_sort(F.collect_list(F.struct("p.start", *[f"p.{a}" for a in arrays]))).alias("parts"))
+    out = chunks.select(shard, "chunk", *[F.flatten(F.col(f"parts.{a}")).alias(a) for a in arrays])
     return out.where(F.size(tokens) == size) if drop_tail else out

@@ -32,15 +32,31 @@ def words(df: DataFrame, text: str = "text", idx: str = "doc_id",
     return runs.where(is_counted_word(F.col("word"), stop_words))
 
 
+def _wide_ids(df: DataFrame, idx: str) -> bool:
+    """Whether ids do not fit the packed order of occurrences; reads the id column only."""
+    if df.schema[idx].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return True
+    found = df.agg(F.min(idx).alias("lo"), F.max(idx).alias("hi")).first()
+    return found["lo"] is not None and (found["lo"] < 0 or found["hi"] >= 1 << ROW_BITS)
+
+
 def count_tokens(tokens: DataFrame, idx: str = "doc_id", exact_order: bool = False) -> DataFrame:
-    """``(word, n, first_seen)`` of a table of occurrences."""
+    """``(word, n, first_seen)`` of a table of occurrences.
+
+    ``first_seen`` is one number, or with ``exact_order`` a struct that takes
+    any id and any position.
+    """
     order = F.struct(idx, "pos") if exact_order else _occurrence(F.col(idx), F.col("pos"))
     return tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
 
 
 def word_counts(df: DataFrame, text: str = "text", idx: str = "doc_id",
-                stop_words: Sequence[str] = STOP_WORDS, exact_order: bool = False) -> DataFrame:
-    """Corpus-wide count of every word and where it was seen first."""
+                stop_words: Sequence[str] = STOP_WORDS, exact_order: bool | None = None) -> DataFrame:
+    """Corpus-wide count of every word and where it was seen first.
+
+    Ids beyond the packed order, such as hashes, are ordered exactly.
+    """
+    exact_order = _wide_ids(df, idx) if exact_order is None else exact_order
     return count_tokens(words(df, text, idx, stop_words), idx, exact_order)
 
 
@@ -64,8 +80,9 @@ def clean_occurrences(df: DataFrame, text: str = "text", idx: str = "doc_id",
 
 
 def vocabulary(df: DataFrame, text: str = "text", idx: str = "doc_id", k: int = 1000,
-               stop_words: Sequence[str] = STOP_WORDS, exact_order: bool = False) -> DataFrame:
+               stop_words: Sequence[str] = STOP_WORDS, exact_order: bool | None = None) -> DataFrame:
     """``(word, id)``: the ``k`` most frequent cleaned tokens, ids from 1."""
+    exact_order = _wide_ids(df, idx) if exact_order is None else exact_order
     counts = count_tokens(clean_occurrences(df, text, idx, stop_words), idx, exact_order)
     return top_words(counts, k).select("word", F.col("rank").cast("int").alias("id"))
 

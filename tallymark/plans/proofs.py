@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.hashing import bytes_to_base64
@@ -49,6 +49,19 @@ def _artifacts(manifest: DataFrame, proof: str, section: str) -> DataFrame:
     return evidence_rows(manifest, proof, section, F.col("file"), bytes_to_base64(F.col("sha256")), "sha256")
 
 
+def _model(artifacts: DataFrame | None, vocab: DataFrame | None, proof: str) -> list[DataFrame]:
+    parts = [] if artifacts is None else [_artifacts(artifacts, proof, "model")]
+    return parts if vocab is None else [*parts, _vocabulary(vocab, proof)]
+
+
+def contiguous_shard(place: Column, n: Column, shards: int) -> Column:
+    """Shard of a row by its place among ``n``: runs whose lengths differ by at most one, the longer ones first."""
+    least, more = F.floor(n / shards), n % shards
+    long = more * (least + 1)
+    rest = F.floor((place - long) / F.greatest(least, F.lit(1)))
+    return F.when(place < long, F.floor(place / (least + 1))).otherwise(more + rest).cast("int")
+
+
 def distribution(df: DataFrame, text: str = "text", idx: str = "doc_id", k: int = 10_000,
                  stop_words: Sequence[str] = STOP_WORDS, files: DataFrame | None = None, algo: str = "multiset",
                  proof: str = "distribution") -> Proof:
@@ -95,28 +108,43 @@ def binding(manifest: DataFrame, stored: DataFrame, reads: DataFrame, cols: Sequ
 
 def pretrain_data(df: DataFrame, vocab: DataFrame, settings: DataFrame, text: str = "text", idx: str = "doc_id",
                   rows: int = 25_000, test: float = 0.0015, seed: int = 0, shards: int = 8, size: int = 1024,
-                  algo: str = "multiset", proof: str = "pretrain") -> Proof:
-    """First rows, random split, tokens, chunks per shard; one digest per split."""
+                  artifacts: DataFrame | None = None, algo: str = "multiset", proof: str = "pretrain") -> Proof:
+    """First rows, random split, tokens and mask, chunks per shard; one digest per split.
+
+    Every worker's shard is a run of consecutive rows of its split, the first
+    ones a row longer where the rows do not divide evenly.
+    """
     picked = with_row_index(df.select(idx, text), idx).where(F.col("row_idx") < rows)
     split = split_random(picked, idx, test, seed)
     tokens = materialise(tokenize(split, vocab, text, keep=("split", "row_idx")))
-    shard = F.concat_ws("/", "split", (F.col("row_idx") % shards).cast("string"))
-    chunks = pack(tokens.withColumn("shard", shard), "input_ids", "shard", "row_idx", size)
+    placed = with_row_index(tokens, "row_idx", ["split"], "__place").join(
+        F.broadcast(tokens.groupBy("split").agg(F.count(F.lit(1)).alias("__n"))), "split")  # two rows
+    shard = F.concat_ws("/", "split", contiguous_shard(F.col("__place"), F.col("__n"), shards).cast("string"))
+    placed = materialise(placed.withColumn("shard", shard).drop("__place", "__n"))
+    chunks = pack(placed, "input_ids", "shard", "row_idx", size, aligned=["attention_mask"])
     chunks = chunks.withColumn("split", F.substring_index("shard", "/", 1))
-    evidence = union_evidence([
-        rows_evidence(chunks, proof, "dataset_hash", ["shard", "chunk", "input_ids"], None, by="split", algo=algo),
-        _vocabulary(vocab, proof), _settings(settings, proof, "configuration", "training_args")])
-    return evidence, {"chunks": chunks}
+    parts = [rows_evidence(chunks, proof, "dataset_hash", ["shard", "chunk", "input_ids", "attention_mask"], None, by="split", algo=algo),
+             _vocabulary(vocab, proof), _settings(settings, proof, "configuration", "training_args")]
+    if artifacts is not None:
+        parts.append(_artifacts(artifacts, proof, "model"))
+    return union_evidence(parts), {"chunks": chunks}
 
 
-def finetune_data(df: DataFrame, settings: DataFrame, idx: str, end_token: str, artifacts: DataFrame | None = None,
+def finetune_data(df: DataFrame, settings: DataFrame, idx: str, end_token: str,
+                  models: dict[str, tuple[DataFrame, DataFrame]] | None = None, vocab: DataFrame | None = None,
                   algo: str = "multiset", proof: str = "finetune") -> Proof:
-    """Instruction rows ``(instruction, input, output)`` as training texts."""
+    """Instruction rows ``(instruction, input, output)`` as training texts.
+
+    ``models`` names the artifact and the settings of each model involved, such
+    as ``base``, ``original`` and ``finetuned``.
+    """
     formatted = df.withColumn("text", render_prompt("instruction", "input", "output", end_token))
     parts = [rows_evidence(formatted, proof, "dataset_hash", ["instruction", "input", "output", "text"], idx, algo=algo),
              _settings(settings, proof, "configuration", "training_args")]
-    if artifacts is not None:
-        parts.append(_artifacts(artifacts, proof, "model"))
+    for name, (artifacts, config) in (models or {}).items():
+        parts += [_artifacts(artifacts, proof, f"{name}_model"), _settings(config, proof, "configuration", f"{name}_model_config")]
+    if vocab is not None:
+        parts.append(_vocabulary(vocab, proof))
     return union_evidence(parts), {"formatted": formatted}
 
 
@@ -126,7 +154,7 @@ def inference_data(samples: DataFrame, replies: DataFrame, key: str, settings: D
     cut = replies.withColumn("reply", cut_at_stop("reply"))
     turns = build_conversation(samples, cut, key)
     messages = conversation_json(turns, key)
-    parts = [rows_evidence(messages, proof, "conversation", [key, "part", "messages"], None, name="conversations", algo=algo),
+    parts = [rows_evidence(messages, proof, "conversation", [key, "messages"], None, name="conversations", algo=algo),
              _settings(settings, proof, "configuration", "inference_config")]
     if artifacts is not None:
         parts.append(_artifacts(artifacts, proof, "model"))
@@ -135,28 +163,30 @@ def inference_data(samples: DataFrame, replies: DataFrame, key: str, settings: D
 
 
 def evaluation(items: DataFrame, scores: DataFrame, gold: DataFrame, cols: Sequence[str], idx: str, settings: DataFrame,
+               artifacts: DataFrame | None = None, vocab: DataFrame | None = None,
                algo: str = "multiset", proof: str = "eval") -> Proof:
     """Every task split's rows, and accuracy per task. ``items`` has task and split."""
     keyed = items.withColumn("key", F.concat_ws(":", "task", "split"))
     results = materialise(task_accuracy(scores, gold))
-    evidence = union_evidence([
-        rows_evidence(keyed, proof, "dataset_hashes", cols, idx, by="key", algo=algo),
-        rows_evidence(results, proof, "evaluation", ["grp", "task", "n", "correct"], None, name="results", algo=algo),
-        _settings(settings, proof, "configuration", "model_config")])
-    return evidence, {"results": results}
+    parts = [rows_evidence(keyed, proof, "dataset_hashes", cols, idx, by="key", algo=algo),
+             rows_evidence(results, proof, "evaluation", ["grp", "task", "n", "correct"], None, name="results", algo=algo),
+             _settings(settings, proof, "configuration", "model_config")]
+    return union_evidence(parts + _model(artifacts, vocab, proof)), {"results": results}
 
 
 def evaluation_bleu(pairs: DataFrame, key: str, source: str, reference: str, generated: str, src_lang: str, ref_lang: str,
+                    settings: DataFrame | None = None, artifacts: DataFrame | None = None, vocab: DataFrame | None = None,
                     algo: str = "multiset", proof: str = "eval_bleu") -> Proof:
     """Prompts, the predictions cut out of generated texts, and their score."""
     prompts = pairs.withColumn("prompt", render_few_shot(source, src_lang, ref_lang))
     cut = prompts.withColumn("prediction", extract_prediction(generated, translation_suffix(source, src_lang, ref_lang)))
     score = materialise(corpus_bleu(cut, key, "prediction", reference))
     results = score.select(object_digest(["pred_len", "ref_len", F.round("score", 6).alias("score")]).alias("h"))
-    evidence = union_evidence([
-        rows_evidence(pairs, proof, "dataset_hashes", [source, reference], key, algo=algo),
-        evidence_rows(results, proof, "evaluation", "results_hash", bytes_to_base64(F.col("h")), "sha256")])
-    return evidence, {"prompts": prompts, "predictions": cut, "score": score}
+    parts = [rows_evidence(pairs, proof, "dataset_hashes", [source, reference], key, algo=algo),
+             evidence_rows(results, proof, "evaluation", "results_hash", bytes_to_base64(F.col("h")), "sha256")]
+    if settings is not None:
+        parts.append(_settings(settings, proof, "configuration", "model_config"))
+    return union_evidence(parts + _model(artifacts, vocab, proof)), {"prompts": prompts, "predictions": cut, "score": score}
 
 
 def quantization(original: DataFrame, quantized: DataFrame, settings: DataFrame, proof: str = "quantize") -> Proof:

@@ -64,10 +64,7 @@ def write_ranked_csv(top: DataFrame, path: str) -> DataFrame:
 
 
 def write_conversations(turns: DataFrame, path: str, conv: str = "conv_id", turn: str = "turn") -> None:
-    """One JSON line per conversation: its key and its messages in order.
-
-    A very long conversation takes several lines, numbered by ``part``.
-    """
+    """One JSON line per conversation: its key and its messages in order."""
     conversation_blocks(turns, conv, turn).write.option("ignoreNullFields", False).json(path)
 
 
