@@ -83,7 +83,7 @@ def _in_bitmap(words: DataFrame, word: Column) -> Column:
         return F.pmod(F.xxhash64(w), F.lit(BITMAP_BITS))
 
     cells = words.groupBy(F.shiftright(bit(F.col("word")), 6).alias("cell")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), (bit(F.col("word")) % 64).cast("int"))).alias("bits"))
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit(F.col("word")) % 64).cast("int"))).alias("bits"))
     filled = dict(tuple(r) for r in cells.collect())  # BITMAP_BITS / 64 rows at most
     table = F.from_json(F.lit(json.dumps([filled.get(i, 0) for i in range(BITMAP_BITS // 64)])), "array<bigint>")
     return F.getbit(F.get(table, F.shiftright(bit(word), 6).cast("int")), (bit(word) % 64).cast("int")) == 1

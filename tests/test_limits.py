@@ -19,8 +19,12 @@ def test_large_vocabulary_without_key(spark, monkeypatch, frequent):
 
 
 def test_seventy_thousand_words(spark):
-    docs = spark.range(70).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(
-        F.lit("w"), F.conv((F.col("id") * 1000 + i).cast("string"), 10, 36))), " ").alias("text"))
+    def letters(n):
+        return F.concat(F.lit("w"), F.translate(F.conv(n.cast("string"), 10, 26), "0123456789", "QRSTUVWXYZ"))
+
+    numbers = F.sequence(F.lit(0), F.lit(999))
+    docs = spark.range(70).select(F.col("id").alias("doc_id"), F.array_join(
+        F.transform(numbers, lambda i: letters(F.col("id") * 1000 + i)), " ").alias("text"))
     vocab = words.vocabulary(docs, k=100_000).cache()
     assert vocab.count() > 69_000
     got = sequences.tokenize(docs, vocab, keep=("doc_id",))
