@@ -74,6 +74,13 @@ FROM embeddings, range(3) t(c), generate_series(1, len(embedding)) s(i)""",
 SELECT vec_id, i - 1 AS pos, (embedding[i]::DOUBLE - ([0.1, 0.2, 0.3, 0.4]::DOUBLE[])[(i - 1) // (len(embedding) // 4) + 1])
        / ([0.5, 0.25, 0.2, 0.3]::DOUBLE[])[(i - 1) // (len(embedding) // 4) + 1] AS value
 FROM embeddings, generate_series(1, len(embedding)) s(i)""",
+    "random_crops": """
+WITH d AS (SELECT vec_id, embedding, draw % 9 AS up, draw // 9 % 9 AS aside, draw // 81 = 1 AS mirrored FROM (
+  SELECT *, ('0x' || substr(sha256('3:' || vec_id), 1, 8))::BIGINT % 162 AS draw FROM embeddings)),
+p AS (SELECT vec_id, embedding, i, i // 8 + up - 4 AS y, CASE WHEN mirrored THEN 7 - i % 8 ELSE i % 8 END + aside - 4 AS x
+  FROM d, range(64) t(i))
+SELECT vec_id, i AS pos, CASE WHEN y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 THEN embedding[y * 8 + x + 1]::DOUBLE ELSE 0.0 END::DOUBLE AS value
+FROM p""",
     "binarised_attributes": """
 SELECT c_custkey, (c_acctbal > 3000)::BIGINT AS rich, (c_nationkey = 0)::BIGINT AS first_nation,
        (c_mktsegment = 'HOUSEHOLD')::BIGINT AS household FROM customer""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymark.catalog.evidence import evidence_sql
 from tallymark.catalog.sql import COUNTS, table, vocabulary
-from tallymark.catalog.text import (CONVERSATION, DOCS, PIECES, bleu_tokens_sql, chunks, conversation_samples, cut_sql, literal,
+from tallymark.catalog.text import (CONVERSATION, DOCS, PIECES, bleu_sql, bleu_tokens_sql, chunks, conversation_samples, cut_sql, literal,
                                     ngrams_sql)
 from tallymark.operators import evidence as ev
 from tallymark.operators import words
@@ -238,4 +238,12 @@ ORACLES = {
                      "|| '#' || doc_id AS elem FROM documents JOIN labels USING (doc_id)", "key"),
         evidence_sql("eval", "evaluation", "results", RESULTS), _settings_row("eval", "model_config"), _model_rows("eval", "model", "model"),
         _vocab_row("eval")]),
+    "proof_evaluation_bleu": " UNION ALL ".join([
+        evidence_sql("eval_bleu", "dataset_hashes", "train", "SELECT to_json({'de': source, 'en': replace(text, chr(10), ' ')})::VARCHAR "
+                     "|| '#' || doc_id AS elem FROM documents"),
+        _row("eval_bleu", "evaluation", "results_hash", "sha256", "NULL", "h",
+             "SELECT sha256(to_json({'pred_len': pred_len, 'ref_len': ref_len, 'score': score})::VARCHAR) AS h FROM ("
+             + bleu_sql("SELECT doc_id, replace(replace(text, chr(10), ' '), ' the ', ' a ') AS pred, replace(text, chr(10), ' ') AS ref "
+                        "FROM documents") + ")"),
+        _settings_row("eval_bleu", "model_config"), _model_rows("eval_bleu", "model", "model"), _vocab_row("eval_bleu")]),
 }

@@ -274,13 +274,16 @@ def bleu_tokens_sql(col: str) -> str:
     return f"list_filter(regexp_split_to_array({out}, '{BLANKS}'), lambda t: t <> '')"
 
 
-def ngrams_sql(tokens, max_n: int = 4) -> str:
+ALTERED = "SELECT doc_id, text AS pred, replace(text, ' the ', ' a ') AS ref FROM documents"
+
+
+def ngrams_sql(tokens, max_n: int = 4, pairs: str = ALTERED) -> str:
     sides = [f"SELECT doc_id, {p} AS p, {1 - p} AS r, {tokens(col)} AS t FROM pairs" for p, col in ((1, "pred"), (0, "ref"))]
     lead = {1: "w"} | {n: f"{' || '.join(['w'] + [f'chr(32) || lead(w, {k}) OVER s' for k in range(1, n)])}" for n in range(2, max_n + 1)}
     columns = ", ".join(f"{expr} AS g{n}" for n, expr in lead.items())
     grams = " UNION ALL ".join(f"SELECT doc_id, p, r, {n} AS ord, g{n} AS gram FROM runs WHERE g{n} IS NOT NULL" for n in lead)
     return f"""
-WITH pairs AS (SELECT doc_id, text AS pred, replace(text, ' the ', ' a ') AS ref FROM documents),
+WITH pairs AS ({pairs}),
 sides AS ({' UNION ALL '.join(sides)}),
 tokens AS (SELECT doc_id, p, r, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM sides),
 runs AS (SELECT doc_id, p, r, {columns} FROM tokens WINDOW s AS (PARTITION BY doc_id, p ORDER BY i)), grams AS ({grams}),
@@ -289,6 +292,15 @@ SELECT ord::BIGINT AS "order", sum(least(p, r))::BIGINT AS matches, sum(p)::BIGI
 FROM counted GROUP BY ord"""
 
 
+def bleu_sql(pairs: str) -> str:
+    """Score, brevity and lengths of ``(doc_id, pred, ref)`` whose n-grams all match somewhere."""
+    return f"""
+WITH g AS ({ngrams_sql(bleu_tokens_sql, pairs=pairs)}),
+s AS (SELECT sum(total) FILTER ("order" = 1) AS c, sum(ref_total) FILTER ("order" = 1) AS r, exp(avg(ln(100.0::DOUBLE * matches / total))) AS m FROM g),
+b AS (SELECT *, CASE WHEN c < r THEN exp(1 - r::DOUBLE / c) ELSE 1.0::DOUBLE END AS bp FROM s)
+SELECT round(bp * m, 6) AS score, round(bp, 9) AS brevity, c::BIGINT AS pred_len, r::BIGINT AS ref_len FROM b"""
+
+
 ORACLES = {
     "word_extraction": f"SELECT doc_id, pos, word FROM ({WORDS})",
     "word_frequency": f"SELECT word, n FROM ({COUNTS})",
@@ -321,11 +333,7 @@ SELECT conv_id, turn, {cut_sql('reply')} AS reply FROM (SELECT conv_id, turn, CA
     "prediction_extraction": f"""
 SELECT doc_id, regexp_replace(split_part(regexp_replace('  ' || text || chr(10) || 'more', '^{BLANKS}', ''), chr(10), 1), '{BLANKS}$', '')
        AS prediction FROM documents""",
-    "corpus_bleu": f"""
-WITH g AS ({ngrams_sql(bleu_tokens_sql)}),
-s AS (SELECT sum(total) FILTER ("order" = 1) AS c, sum(ref_total) FILTER ("order" = 1) AS r, exp(avg(ln(100.0::DOUBLE * matches / total))) AS m FROM g),
-b AS (SELECT *, CASE WHEN c < r THEN exp(1 - r::DOUBLE / c) ELSE 1.0::DOUBLE END AS bp FROM s)
-SELECT round(bp * m, 6) AS score, round(bp, 9) AS brevity, c::BIGINT AS pred_len, r::BIGINT AS ref_len FROM b""",
+    "corpus_bleu": bleu_sql(ALTERED),
     "ngram_statistics": ngrams_sql(lambda c: f"list_filter(regexp_split_to_array({c}, '{BLANKS}'), lambda t: t <> '')"),
     "parallel_pairs": """
 WITH d AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_idx FROM documents)

@@ -50,12 +50,13 @@ def crop_flip(values: str | Column, key: str | Column, channels: int, height: in
               padding: int = 4, seed: int = 0) -> Column:
     """Zero-padded random crop of the same size, then a random mirror image.
 
-    The offsets and the coin come from a hash of the row's key, so a row is
-    always cut the same way.
+    The offsets and the coin come from SHA-256 of seed and key, so a row is
+    always cut the same way, here and in SQL.
     """
     values, key = _column(values), _column(key)
     span = 2 * padding + 1
-    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2 * span * span))
+    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 8)
+    draw = F.conv(digits, 16, 10).cast("bigint") % (2 * span * span)
     top = draw % span
     left = int_div(draw, span) % span
     mirrored = int_div(draw, span * span) == 1
