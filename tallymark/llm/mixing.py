@@ -194,6 +194,6 @@ def in_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 5) -> DataFrame:
             & (F.col("p.start") == F.col("g.start")) & (F.col("p.size") == F.col("g.size")))
     times = (p.join(g, same).groupBy("p.key", "p.doc_id", "p.__hash")
              .agg(F.round(F.sum("g.words") / F.sum("p.size")).cast("int").alias("__times")).where("__times > 0"))
-    times = materialise(times.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("__hash").alias("h"), "__times"))
-    here = (F.col("__key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__hash") == F.col("h"))
-    return (own.join(times, here).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns))
+    times = materialise(times.select(F.col("key").alias("__mix_key"), F.col("doc_id").alias("__mix_id"), F.col("__hash").alias("__mix_hash"), "__times"))
+    here = (F.col("__key") == F.col("__mix_key")) & F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__hash") == F.col("__mix_hash"))
+    return (own.join(times, here).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[f"`{c}`" for c in docs.columns]))

@@ -115,7 +115,7 @@ def without_common_lines(docs: DataFrame, host: str = "source", min_texts: int =
     key = F.coalesce(F.concat(F.lit("0"), F.col(host).cast("string")), F.lit("1"))
     joined = docs.withColumn("__host", key).join(materialise(common.withColumnRenamed("host", "__host")), "__host", "left")
     kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__common", F.xxhash64(normal_line(x))) | (F.translate(x, BLANKS, "") == ""))
-    return joined.withColumn("text", F.when(F.col("__common").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("__common").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = rf"""
