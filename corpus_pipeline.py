@@ -44,7 +44,7 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced."""
     found = secret_scan.scan(docs, secret_scan.fit(docs), redacted=True)
-    return found.select(docs.columns).withColumn("n_chars", F.length("text").cast("bigint"))
+    return found.select([f"`{c}`" for c in docs.columns]).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
