@@ -110,6 +110,7 @@ def render_few_shot(source: str | Column, src_lang: str, ref_lang: str,
                     examples: Sequence[tuple[str, str]] = TRANSLATION_EXAMPLES) -> Column:
     """Header, example pairs, then the source with an open target."""
     shown = "".join(f"{src_lang}: {a}\n{ref_lang}: {b}\n\n" for a, b in examples)
+    # Fixed value: the header of a translation prompt.
     header = f"Translate the following {src_lang} sentences into {ref_lang}.\n\n"
     return F.concat(F.lit(header + shown), translation_suffix(source, src_lang, ref_lang))
 

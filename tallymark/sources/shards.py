@@ -157,6 +157,7 @@ class ShardWriter(DataSourceArrowWriter):
         for split in splits:
             files = [s[2].rsplit("/", 1)[-1] for s in shards if s[0] == split]
             folder = f"{root}/{split}" if split else root
+            # Field names of the stored format.
             state = {"_data_files": [{"filename": f} for f in files], "_fingerprint": uuid.uuid4().hex,
                      "_format_columns": None, "_format_kwargs": {}, "_format_type": None,
                      "_output_all_columns": False, "_split": split or "train"}

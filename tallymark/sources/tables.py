@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators.chat import conversation_blocks
 
+# Columns of the faces table.
 FACES = "age int, ethnicity int, gender int, pixels string"
 
 # Columns of the census table.
@@ -14,6 +15,7 @@ CENSUS = ("age int, workclass string, fnlwgt int, education string, education_nu
           "occupation string, relationship string, race string, sex string, capital_gain int, capital_loss int, "
           "hours_per_week int, country string, target string")
 
+# Columns of the reviews table.
 REVIEWS = "review string, sentiment string"
 
 # Columns of a run record.
