@@ -268,6 +268,11 @@ EVENTS = state(element("SELECT *, floor(value * 100 + 0.5)::BIGINT AS cents FROM
 
 ORACLES = {
     "object_digest": f"SELECT doc_id, sha256({JSON_ROW}) AS sha256 FROM documents",
+    "python_row_encoding": r"""
+SELECT doc_id, '{"text": ' || array_to_string(list_transform(string_split(to_json(text)::VARCHAR, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN format('\u{:04x}', unicode(c))
+      ELSE format('\u{:04x}\u{:04x}', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END), '')
+  || '}' || doc_id AS element FROM documents""",
     "row_encoding": f"SELECT doc_id, {JSON_ROW} || '#' || doc_id AS element FROM documents",
     "multiset_state": state(ALL),
     "multiset_of_orders": state("SELECT o_orderstatus, to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, "
