@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from tallymark.llm.batches import small_batches
 from tallymark.llm.hashing import mix
 from tallymark.llm.shipping import ship
 from tallymark.session import materialise
@@ -38,7 +39,7 @@ from tallymark.session import materialise
 LEXICON_WORDS = 200_000
 LEXICON_BYTES = 24
 #: Encoded words a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Characters whose words are looked up together.
 GROUP_CHARS = 1 << 20
 
@@ -336,7 +337,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                         counts.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
@@ -374,17 +375,6 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WOR
     return compile_lexicon(list(zip(made["word"].to_pylist(), made["ids"].to_pylist())))
 
 
-_CODERS: dict[tuple[str, str], Coder] = {}
-
-
-def _coder(vocabulary: str, lexicon: str) -> Coder:
-    """The worker's coder; kept between the tasks of one worker."""
-    if (vocabulary, lexicon) not in _CODERS:
-        _CODERS.clear()
-        _CODERS[vocabulary, lexicon] = Coder(Vocabulary(SparkFiles.get(vocabulary)), Lexicon(SparkFiles.get(lexicon)))
-    return _CODERS[vocabulary, lexicon]
-
-
 def code(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] = (), outputs: tuple[str, ...] = ("ids", "decoded"),
          most: int = LEXICON_WORDS) -> DataFrame:
     """Encode every whole text and decode it again.
@@ -405,7 +395,8 @@ def code(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] = (), outp
             "decoded_sha256": ("string", pa.string(), lambda _, text: digest(text))}
 
     def run(batches: Iterator[pa.RecordBatch]):
-        coder = _coder(vocabulary, lexicon)
+        # of the task, so that a worker holds no words while it does other work
+        coder = Coder(Vocabulary(SparkFiles.get(vocabulary)), Lexicon(SparkFiles.get(lexicon)))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

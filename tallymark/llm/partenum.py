@@ -39,11 +39,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.llm.batches import small_batches
 from tallymark.llm.hashing import mix, set_hash, shingles, words_of
 from tallymark.session import join_small, materialise
 
 #: Nodes of a signature group that one task compares at once, per side.
 BLOCK_NODES = 4096
+#: Texts whose sets a task holds at once.
+SLICE_ROWS = 250
 #: Bits of the parity bitmap of a set.
 BITMAP_BITS = 1024
 #: Candidate nodes up to which the list of them is broadcast (16 bytes each).
@@ -61,6 +64,13 @@ def _bands(num: int, den: int) -> list[int]:
     return [max(1, den // num)]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose sets are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
     return [shingles(w, size) for w in words_of(batch.column("text"))]
 
@@ -78,17 +88,17 @@ def features(docs: DataFrame, size: int = 3) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            sets = _sets(batch, size)
+        for part in _slices(batches):
+            sets = _sets(part, size)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text_hash"),
+                part.column("doc_id"), part.column("text_hash"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_hash(s, 1) if len(s) else None for s in sets], pa.int64()),
                 pa.array([set_hash(s, 2) if len(s) else None for s in sets], pa.int64()),
                 pa.array([_bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ], names=["doc_id", "text_hash", "n_shingles", "node", "proof", "bitmap"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
         run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, proof bigint, bitmap array<bigint>")
 
 
@@ -159,12 +169,11 @@ def signatures(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """``sig, node`` of every text; copies within a batch sign once."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                by_node = {set_hash(s, 1): s for s in _sets(batch.slice(at, 500), size) if len(s)}
-                nodes = np.array(list(by_node), np.int64)
-                owner, sig = signature_rows(list(by_node.values()), num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(nodes[owner])], names=["sig", "node"])
+        for part in _slices(batches):
+            by_node = {set_hash(s, 1): s for s in _sets(part, size) if len(s)}
+            nodes = np.array(list(by_node), np.int64)
+            owner, sig = signature_rows(list(by_node.values()), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(nodes[owner])], names=["sig", "node"])
 
     return docs.select("text").mapInArrow(run, "sig bigint, node bigint")
 
@@ -292,7 +301,7 @@ def _across(members: DataFrame, labels: DataFrame, sized: DataFrame, num: int, d
             for b in node[y].tolist():
                 pair = (int(node[x]), b)
                 if pair not in seen:
-                    if len(seen) > 200_000:  # only saves repeats; distinct() follows
+                    if len(seen) > 50_000:  # only saves repeats; distinct() follows
                         seen.clear()
                     seen.add(pair)
                     yield pair
@@ -325,12 +334,11 @@ def _set_table(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """``node, shingles`` of the named nodes, from the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                by_node = {set_hash(s, 1): s for s in _sets(batch.slice(at, 500), size) if len(s)}
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(list(by_node), pa.int64()),
-                    pa.array([s.astype(np.int64) for s in by_node.values()], pa.list_(pa.int64()))], names=["node", "shingles"])
+        for part in _slices(batches):
+            by_node = {set_hash(s, 1): s for s in _sets(part, size) if len(s)}
+            yield pa.RecordBatch.from_arrays([
+                pa.array(list(by_node), pa.int64()),
+                pa.array([s.astype(np.int64) for s in by_node.values()], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     made = docs.select("text").mapInArrow(run, "node bigint, shingles array<bigint>")
     kept = join_small(made, nodes, "node", "left_semi", BROADCAST_NODES)
@@ -397,8 +405,9 @@ def representatives(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     match = ["__n", "__d", "__h"]
     own = docs.withColumns({"__n": F.col("doc_id").isNull(), "__d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__h": F.xxhash64("text")})
     gone = judged.where("not __stays or __rows > 1").select(*match)
-    kept = join_small(own, gone, match, "left_anti").select(*docs.columns)
+    given = [f"`{c}`" for c in docs.columns]
+    kept = join_small(own, gone, match, "left_anti").select(*given)
     again = judged.where("__stays and __rows > 1").select(*match)  # rows that repeat a row that stays: one of them
     if not again.limit(1).count():
         return kept
-    return kept.unionByName(join_small(own, again, match, "left_semi").dropDuplicates(match).select(*docs.columns))
+    return kept.unionByName(join_small(own, again, match, "left_semi").dropDuplicates(match).select(*given))

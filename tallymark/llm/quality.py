@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.llm.batches import small_batches
 from tallymark.llm.hashing import mix
 
 #: Hash buckets of words and n-grams; bucket 0 is the end mark, bucket 1 the mark of a repeated word.
@@ -170,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
 
 
 def _probabilities(docs: DataFrame, model: Model):
-    shared = docs.sparkSession.sparkContext.broadcast(model.weights())
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model.weights())
 
     @F.pandas_udf("double")
     def probabilities(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

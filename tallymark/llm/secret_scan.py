@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.llm.batches import small_batches
+
 #: Documents that train the field: with a pattern's span, and any.
 TRAINING_ROWS = 1500
 EPOCHS, RATE = 8, 0.5
@@ -366,7 +368,7 @@ def scan(docs: DataFrame, field: Field, redacted: bool = False) -> DataFrame:
     loses its secrets; a null text stays null.
     """
     added = ["n_assign", "n_access", "n_hex", "n_model", "base_sha256", "spans"]
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(field)
     schema = "n_assign bigint, n_access bigint, n_hex bigint, n_model bigint, base_sha256 string, spans string, text string"
 
     @F.pandas_udf(schema)
@@ -385,4 +387,4 @@ def scan(docs: DataFrame, field: Field, redacted: bool = False) -> DataFrame:
     found = docs.drop(*added).withColumn("__found", scanned("text"))
     if redacted:
         found = found.withColumn("text", F.col("__found.text"))
-    return found.select([c for c in found.columns if c != "__found"] + [F.col(f"__found.{c}").alias(c) for c in added])
+    return found.select([f"`{c}`" for c in found.columns if c != "__found"] + [F.col(f"__found.{c}").alias(c) for c in added])
