@@ -123,6 +123,67 @@ def test_viterbi_is_the_best_path():
         assert total(secret_scan.viterbi(model, features)) == pytest.approx(max(map(total, paths)))
 
 
+def tagged(text, secret):
+    """All tokens of a text with their features; those of ``secret`` are the secret."""
+    (segment,) = secret_scan.segments(text)
+    return segment.features, [secret_scan.BEGIN if text[a:b] == secret else secret_scan.OUTSIDE for a, b in segment.spans]
+
+
+def test_field_learns_words_behind_cue_words():
+    plain = "an ordinary sentence with some words in it"
+    model = secret_scan.train([tagged(t, "swordfish") for t in ("my passphrase swordfish opens it", plain, "the swordfish swims in it", plain)] * 30)
+    found = lambda text: [text[a:b] for _, a, b, _ in secret_scan.spans_of(text, model)]
+    assert found("this passphrase blackbird opens it") == ["blackbird"]  # no digit, mark or operator
+    assert found(f"{plain}; the blackbird sings") == []
+    gap = "x" * 300
+    near, far = (secret_scan.segments(f"{cue} {gap} blackbird")[0].features[-1].tolist() for cue in ("passphrase", "sentence"))
+    assert near != far  # four tokens count, however long
+
+
+def test_leaving_out_settled_tokens_changes_nothing():
+    rng, many = np.random.default_rng(5), random.Random(5)
+    left_out = 0
+    for k in range(120):
+        emission, transition = rng.normal(size=(secret_scan.N_FEATURES, 3)), secret_scan._transitions(rng.normal(size=(3, 3)))
+        emission[:, secret_scan.OUTSIDE] += k % 4 * 0.2
+        model = secret_scan.Field(emission, transition)
+        text = "".join(many.choice([*PIECES, " plain ", " words "]) for _ in range(many.randint(0, 60)))
+        tags = [t for s in secret_scan.segments(text) for t in secret_scan.viterbi(model, s.features)]
+        begins = [s.spans[i][0] for s in secret_scan.segments(text) for i, t in enumerate(tags) if t == secret_scan.BEGIN]
+        runs = secret_scan.learned([text, "", text], model, secret_scan._Codes())
+        at = [m.start() for m in secret_scan._TOKEN.finditer(text)]
+        assert runs[0] == runs[2] and runs[1] == [] and [at[a] for a, _ in runs[0]] == begins
+        codes = secret_scan._padded(secret_scan.codes_of(text, secret_scan._Codes()))
+        left_out += len(at) - len(secret_scan.open_tokens(model, codes, np.zeros(len(codes), np.int8))[0])
+    assert left_out > 100
+
+
+def test_pieces_and_chunks_change_nothing(monkeypatch):
+    model, text = field(), "one two three, " * 40 + 'auth = "24be64439e3e49cf46b2d7c" then ' + "x" * 90 + ' words token="abcdef12" ' * 5
+    whole = secret_scan.spans_of(text, model, every=True)
+    features = secret_scan.segments(text)[0].features.tolist()
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(secret_scan, "PIECE", size)
+        monkeypatch.setattr(secret_scan, "CHUNK", size)
+        assert secret_scan.spans_of(text, model) == whole and secret_scan.segments(text)[0].features.tolist() == features
+
+
+def test_training_side_by_side_counts_each_sequence():
+    rng = np.random.default_rng(7)
+    emission, transition = rng.normal(size=(secret_scan.N_FEATURES, 3)), rng.normal(size=(3, 3))
+    one, two = rng.integers(0, secret_scan.N_FEATURES, (5, 4)), rng.integers(0, secret_scan.N_FEATURES, (2, 4))
+    alone = [secret_scan._sums(emission, transition, s[:, None], np.array([len(s)])) for s in (one, two)]
+    index = np.zeros((5, 2, 4), int)
+    index[:, 0], index[:2, 1] = one, two
+    node, edge = secret_scan._sums(emission, transition, index, np.array([5, 2]))
+    assert np.allclose(node[:, 0], alone[0][0][:, 0]) and np.allclose(node[:2, 1], alone[1][0][:, 0])
+    assert np.allclose(edge, alone[0][1] + alone[1][1]) and edge.sum() == pytest.approx(5 + 2 + 2)
+    scores = secret_scan._scores(secret_scan.Field(emission, transition), two)
+    weight = np.array([[np.exp(scores[0, a] + scores[1, b] + sum(secret_scan._transitions(transition)[x, y] for x, y in ((2, a), (a, b), (b, 2))))
+                        for b in range(3)] for a in range(3)])
+    assert np.allclose(alone[1][0][0, 0], weight.sum(axis=1) / weight.sum()) and np.allclose(alone[1][0][1, 0], weight.sum(axis=0) / weight.sum())
+
+
 def test_field_adds_what_the_patterns_miss():
     spans = secret_scan.spans_of('auth = "24be64439e3e49cf46b2d7c" then plain words', field())
     assert [(s[0], s[1]) for s in spans] == [(3, 8)]
