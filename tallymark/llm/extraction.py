@@ -5,8 +5,10 @@ block alone: markup that names itself boilerplate (menus, footers, sidebars,
 adverts, forms, comments) is bad; otherwise stop-word density, length and
 link density make it good, nearly good, short or bad. The second pass lets
 nearly good and short blocks inherit from the nearest decided blocks before
-and behind. Where a page marks its article, only blocks inside it count, and
-there a block needs no stop words to be kept.
+and behind. Both passes see all blocks. That a block lies in a marked article
+is one more clue: it lifts the block's grade by one, and the article's borders
+count as good neighbours of the blocks inside. Text outside counts too, where
+the two passes alone find it good.
 
 A page is one pass over its tags, whatever its length; nothing is shuffled.
 """
@@ -157,29 +159,23 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def classify(blocks: list[Block]) -> list[bool]:
-    """Which blocks are main text."""
-    marked = any(b.article and not b.dropped for b in blocks)
-    labels: list[str] = []
-    for b in blocks:
-        if b.dropped or (marked and not b.article):
-            labels.append("outside")
-            continue
-        length = len(b.text)
-        linked = b.linked > LINK_DENSITY * max(1, length - b.text.count(" "))
-        if marked:
-            labels.append("link" if linked else "short" if length < SHORT else "good")
-            continue
-        words = [_EDGE.sub("", w).lower() for w in b.text.split()]
-        density = sum(w in STOP_WORDS for w in words) / len(words)
-        if linked:
-            labels.append("bad")
-        elif length < SHORT:
-            labels.append("bad" if b.linked else "short")
-        elif density >= STOP_DENSITY:
-            labels.append("good" if length >= LONG else "near")
-        else:
-            labels.append("near" if length >= LONG else "bad")
+def _label(block: Block) -> str:
+    """First pass: what a block is on its own. An article lifts its blocks by one grade."""
+    if block.dropped:
+        return "outside"
+    length = len(block.text)
+    words = [_EDGE.sub("", w).lower() for w in block.text.split()]
+    dense = sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words)
+    if block.linked > LINK_DENSITY * max(1, length - block.text.count(" ")):
+        return "link" if block.article else "bad"
+    if length < SHORT:
+        return "bad" if block.linked and not block.article else "short"
+    grade = dense + (length >= LONG) + block.article
+    return "bad" if grade == 0 else "near" if grade == 1 else "good"
+
+
+def _inherit(blocks: list[Block], labels: list[str], article: bool, lone: bool) -> list[bool]:
+    """Second pass over the blocks inside articles, or over the others."""
     run = 0  # links in a row inside an article
     for i in range(len(labels) + 1):
         if i < len(labels) and labels[i] == "link":
@@ -187,24 +183,34 @@ def classify(blocks: list[Block]) -> list[bool]:
             continue
         labels[i - run:i] = ["bad" if run >= MENU_BLOCKS else "short"] * run
         run = 0
-    edge = "good" if marked else "bad"
+    edge = "good" if article else "bad"
     ahead, seen = [edge] * len(labels), edge
     for i in range(len(labels) - 1, -1, -1):
         ahead[i] = seen
         seen = labels[i] if labels[i] in ("good", "bad") else seen
-    lone = not marked and "good" not in labels and "near" in labels  # nothing decided good: nearly good text is the best there is
     out, seen = [], edge
     for block, label, behind in zip(blocks, labels, ahead):
         if label == "near":
             out.append(lone or "good" in (seen, behind))
         elif label == "short":
-            out.append(seen == behind == "good" or ((marked or block.heading) and behind == "good") or (marked and seen == "good"))
+            out.append(seen == behind == "good" or ((article or block.heading) and behind == "good") or (article and seen == "good"))
         else:
             out.append(label == "good")
         seen = label if label in ("good", "bad") else seen
     return out
 
 
+def classify(blocks: list[Block]) -> list[bool]:
+    """Which blocks are main text."""
+    labels, kept = [_label(b) for b in blocks], [False] * len(blocks)
+    lone = "good" not in labels  # nothing decided good: nearly good text is the best there is
+    for article in (True, False):
+        at = [i for i, b in enumerate(blocks) if b.article == article]
+        for i, keep in zip(at, _inherit([blocks[i] for i in at], [labels[i] for i in at], article, lone)):
+            kept[i] = keep
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """Main text of a page; empty for a null or empty page and where nothing is main text."""
     blocks = blocks_of(page or "")

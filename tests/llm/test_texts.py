@@ -260,6 +260,21 @@ def test_pages_without_article():
     assert extraction.main_text(page) == f"Breaking {good.strip()} Short one. {good.strip()}"
 
 
+def test_text_outside_a_marked_article_counts():
+    good = ("The cat sat on the mat and it was good for all of them in the house that day. " * 4).strip()
+    page = f"<article><p>Teaser</p></article><div><h1>Title</h1><p>{good}</p></div><div>Copyright 2020</div>"
+    assert extraction.main_text(page) == f"Teaser Title {good}"
+
+
+def test_stop_words_count_inside_an_article():
+    links = "".join(f"<li><a href={i}>Link number {i}</a></li>" for i in range(4))
+    names = "Alpha Bravo Charlie Delta Echo Foxtrot Golf Hotel India Juliett Kilo Lima Mike November Oscar Papa"
+    good = "The cat sat on the mat and it was good for all of them in the house that day."
+    page = f"<article><p>{good}</p><ul>{links}</ul><p>{names}</p><ul>{links}</ul></article>"
+    assert names not in extraction.main_text(page)
+    assert names in extraction.main_text(f"<article><p>Kept</p><p>{names}</p></article>")
+
+
 def test_extract_rows(spark, nothing):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<article>é</article>"), (3, "u", "<p>x</p>" * 50_000)]
     got = extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
