@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, extraction, fingerprints, mixing, partenum, quality, rules, secret_scan, sharding, warc
+from tallymark.llm import (alignment, bpe, centroids, extraction, fingerprints, mixing, partenum, quality, rules, secret_scan, sharding,
+                           suffix_tree, warc)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.components(documents(spark, sf_dir), size=3, num=90, den=100)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two vocabularies in every document, scored by the corpus-wide pair index."""
+    return alignment.align(documents(spark, sf_dir))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of the vectors after ten rounds."""
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a suffix tree learned from those that are not held out."""
+    return suffix_tree.score(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_sharding, op4_warc, op5_secret_scans, op6_fingerprints, op7_quality_rules,
-                                   op8_html_extraction, op9_mixing, op10_ngram_join)}
-ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op7_quality_rules": rules.ORACLE}
+                                   op8_html_extraction, op9_mixing, op10_ngram_join, op11_tokenizer_alignment, op12_centroid_clustering, op13_lm_scoring)}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op7_quality_rules": rules.ORACLE, "op12_centroid_clustering": centroids.ORACLE}
