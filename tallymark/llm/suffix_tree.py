@@ -4,9 +4,10 @@ A state of the tree is a context of up to ``DEPTH`` words. Level by level, the
 contexts that occur ``LEAST`` times and whose suffix and beginning are states are
 tested: ``G`` adds up, over everything that follows the context, the log ratio of the
 symbol's probability after the context and after its suffix. A context becomes
-a state where ``G`` exceeds ``PENALTY`` times the log of the number of training
-tokens, so contexts that tell nothing new are dropped and only informative
-ones grow longer.
+a state where ``G`` exceeds the description length of what it adds: ``PENALTY``
+times the log of the number of training tokens, for the state and for each
+follower it knows. Contexts that tell nothing new are dropped, and only
+informative ones grow longer.
 
 After a state with ``c`` occurrences, ``t`` different followers and a symbol
 seen ``n`` times, the symbol's probability is ``(n - 1) / c + t / c * p`` with
@@ -24,7 +25,8 @@ sparse matrix of texts and n-grams by it. Both sides are dealt into buckets by
 key; n-grams in no row of the model are left out by a bitmap of fixed size, and
 keys with more than ``1 / HOT`` of the training tokens, fewer than ``HOT`` for
 each length, are broadcast and never travel. Sums are exact integers, so
-reruns agree.
+reruns agree; rows are put in order within their partition, so that a task
+that is run again numbers its documents as before.
 
 Counts cover all training texts and all their tokens. Words are identified by
 64-bit hashes. Contexts that hold more than ``1 / SPLIT`` of the training
@@ -44,16 +46,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.batches import small_batches
 from tallymark.llm.hashing import _BASE, mix, texts_of, word_hashes
-from tallymark.session import materialise
+from tallymark.session import discard, materialise
 
 #: Longest context in words, occurrences a context needs for the test, and weight of the log in the test.
-DEPTH, LEAST, PENALTY = 3, 64, 1.0
+DEPTH, LEAST, PENALTY = 3, 64, 0.5
 #: A key is broadcast above one in so many training tokens, a context split above one in so many.
 HOT, SPLIT = 1 << 20, 1 << 12
 #: Bits of a filter, tokens counted together, texts in a block, buckets at least and training tokens for each bucket.
@@ -119,6 +122,11 @@ def _add(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return unique, first, *sums
 
 
+def _base(n: np.ndarray) -> np.ndarray:
+    """Log10 of counts and one, in units."""
+    return np.round(np.log10(n + 1.0) * UNIT).astype(np.int64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64, copy=False).view(np.int64), pa.int64())
 
@@ -135,8 +143,9 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
     """Followers of all contexts of ``order - 1`` words that pass the filter ``contexts``, written once.
 
     Rows of order 1 are ``key, n``. Others are either followers seen twice or
-    more (``ctx, key, parent, n``) or, where ``key`` is null, sums over a
-    context's followers in one bucket (``ctx, n, singles, types``).
+    more (``ctx, key, parent, n``, and ``c, types`` of the context unless it is
+    split) or, where ``key`` is null, sums over a context's followers in one
+    bucket (``ctx, c, singles, types``).
     """
     heavy = np.sort(heavy) if heavy is not None else np.zeros(0, np.uint64)
 
@@ -149,7 +158,9 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
         by = np.lexsort((ctx, bucket))
         bucket = bucket[by].astype(np.int64)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
-        arrays = [pa.array(bucket[edges[:-1]], pa.int64()), *(_packed(x[by], edges) for x in (ctx, symbol, parent)), _packed(n[by].astype(np.uint32), edges)]
+        if order < 3:
+            parent = parent[:0]  # the symbol itself
+        arrays = [pa.array(bucket[edges[:-1]], pa.int64()), *(_packed(x[by] if len(x) else x, edges) for x in (ctx, symbol, parent)), _packed(n[by].astype(np.uint32), edges)]
         whole = pa.RecordBatch.from_arrays(arrays, names=["bucket", "ctx", "symbol", "parent", "n"])
         for at in range(0, whole.num_rows, 512):
             yield whole.slice(at, 512)
@@ -180,15 +191,16 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
         key, first, n = _add(symbol if order == 1 else longer(ctx, symbol), n)
         if order == 1:
             return [pa.RecordBatch.from_arrays([_signed(key), pa.array(n)], names=["key", "n"])]
-        ctx, parent, twice = ctx[first], parent[first], n > 1
+        ctx, parent, twice = ctx[first], (parent if order > 2 else symbol)[first], n > 1
         state, _, c, singles, again = _add(ctx, n, ~twice, n - 1)
-        types = c - again
-        columns = {"ctx": np.concatenate((ctx[twice], state)), "n": np.concatenate((n[twice], c))}
-        m, k = int(twice.sum()), len(state)
-        arrays = [_signed(columns["ctx"]), pa.concat_arrays([_signed(key[twice]), pa.nulls(k, pa.int64())]),
-                  pa.concat_arrays([_signed(parent[twice]), pa.nulls(k, pa.int64())]), pa.array(columns["n"]),
-                  pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(singles)]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(types)])]
-        return [pa.RecordBatch.from_arrays(arrays, names=["ctx", "key", "parent", "n", "singles", "types"])]
+        of, whole = np.searchsorted(state, ctx[twice]), ~np.isin(state, heavy)
+        m, k, types = int(twice.sum()), len(state), c - again
+        both = lambda left, right: pa.concat_arrays([left, right])
+        none = lambda size: pa.nulls(size, pa.int64())
+        arrays = [_signed(np.concatenate((ctx[twice], state))), both(_signed(key[twice]), none(k)), both(_signed(parent[twice]), none(k)),
+                  both(pa.array(n[twice]), none(k)), *(both(pa.array(x[of], pa.int64(), mask=~whole[of]), pa.array(x)) for x in (c, types)),
+                  both(none(m), pa.array(singles))]
+        return [pa.RecordBatch.from_arrays(arrays, names=["ctx", "key", "parent", "n", "c", "types", "singles"])]
 
     def merge(batches: Iterator[pa.RecordBatch]):
         rows, bucket = [], None
@@ -203,7 +215,7 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
             yield from merged(rows)
 
     parts = small_batches(texts).select("text").mapInArrow(run, "bucket bigint, ctx binary, symbol binary, parent binary, n binary")
-    schema = "key bigint, n bigint" if order == 1 else "ctx bigint, key bigint, parent bigint, n bigint, singles bigint, types bigint"
+    schema = "key bigint, n bigint" if order == 1 else "ctx bigint, key bigint, parent bigint, n bigint, c bigint, types bigint, singles bigint"
     return materialise(parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, schema))
 
 
@@ -219,7 +231,10 @@ def _signed_int(x: np.uint64) -> int:
 
 
 class Model:
-    """``values`` (``key, value, base, seen``), the training tokens and the different ones."""
+    """``values`` (``key, value, n, seen``), the training tokens and the different ones.
+
+    A key can have several rows, all with one ``seen``; their values add up.
+    """
 
     def __init__(self, values: DataFrame, tokens: int, words: int, states: list[int]):
         self.values, self.tokens, self.words, self.states = values, tokens, words, states
@@ -240,9 +255,8 @@ def fit(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, penalty: float
     total = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
     tokens, words = total.tokens, total.words
     end, begin = (_signed_int(mix(np.array([x]))[0]) for x in (END, BEGIN))
-    # of the values: a key's log10(n + 1) as base, and what the tree adds to it
-    base = unigrams.select("key", _log10(F.col("n") + 1).alias("value"), _log10(F.col("n") + 1).alias("base"), F.col("n").alias("seen"))
-    values, states = [base], []
+    # a key's part of the tree's log probabilities, its count if it is a word, and how often it is there
+    values, states = [unigrams.select("key", F.lit(0).cast("bigint").alias("value"), "n", F.col("n").alias("seen"))], []
     known = unigrams.select("key", ((F.col("n") + 1) / (tokens + words + 1)).alias("p"))
     starts = unigrams.where(F.col("key") == end).select(F.lit(begin).cast("bigint").alias("key"), "n")
     candidates = unigrams.where(F.col("key") != end).select("key", "n").union(starts).where(F.col("n") >= least)
@@ -254,21 +268,25 @@ def fit(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, penalty: float
         shared = spark.sparkContext.broadcast(filter_of(candidates))
         counted = count(texts, order, buckets, shared, np.array(heavy, np.int64).view(np.uint64))
         shared.unpersist()
-        tested = (counted.where("key IS NULL").groupBy("ctx").agg(F.sum("n").alias("c"), F.sum("singles").alias("singles"), F.sum("types").alias("types"))
+        tested = (counted.where("key IS NULL").groupBy("ctx").agg(*[F.sum(x).alias(x) for x in ("c", "types", "singles")])
                   .join(candidates.select(F.col("key").alias("ctx")), "ctx", "left_semi"))
-        follow = counted.where("key IS NOT NULL").select("ctx", "key", "parent", "n")
-        follow = (follow.join(tested.select("ctx", "c", "types"), "ctx").join(known.select(F.col("key").alias("parent"), F.col("p").alias("q")), "parent")
-                  .withColumn("p", (F.col("n") - 1) / F.col("c") + F.col("types") / F.col("c") * F.col("q")))
-        follow = materialise(follow.select("ctx", "key", "parent", "n", "p", "q", (F.col("types") / F.col("c")).alias("rest")))
-        gain = follow.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"))
+        split = F.broadcast(tested.where(F.col("ctx").isin(heavy)).select("ctx", F.col("c").alias("c_"), F.col("types").alias("types_")))  # fewer than SPLIT
+        follow = (counted.where("key IS NOT NULL").join(split, "ctx", "left").join(known.select(F.col("key").alias("parent"), F.col("p").alias("q")), "parent")
+                  .withColumn("c", F.coalesce("c", "c_")).withColumn("rest", F.coalesce("types", "types_") / F.col("c"))
+                  .withColumn("p", (F.col("n") - 1) / F.col("c") + F.col("rest") * F.col("q")).where(F.col("c") >= least))
+        follow = materialise(follow.select("ctx", "key", "parent", "n", "p", "q", "rest"))
+        gain = follow.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"), F.count("*").alias("followers"))
         told = F.coalesce("gain", F.lit(0.0)) + F.col("singles") * F.log(F.col("types") / F.col("c"))
-        kept = materialise(tested.join(gain, "ctx", "left").where(told > penalty * math.log(max(tokens, 2))).select("ctx", "c", "types"))
+        length = penalty * math.log(max(tokens, 2)) * (1 + F.coalesce("followers", F.lit(0)))
+        kept = materialise(tested.join(gain, "ctx", "left").where(told > length).select("ctx", "c", "types"))
+        discard(counted, candidates)
         states.append(kept.count())
         if not states[-1]:
             break
         grown = follow.join(kept.select("ctx"), "ctx", "left_semi")
-        nothing = F.lit(0).cast("bigint").alias("base")
-        values += [grown.select("key", _log10(F.col("p") / (F.col("q") * F.col("rest"))).alias("value"), nothing, F.col("n").alias("seen")),
+        nothing = F.lit(0).cast("bigint").alias("n")
+        values += [grown.select("key", _log10(F.col("p") / (F.col("q") * F.col("rest"))).alias("value"), nothing,
+                                F.col("n").alias("seen")),
                    kept.select(F.col("ctx").alias("key"), _log10(F.col("types") / F.col("c")).alias("value"), nothing, F.col("c").alias("seen"))]
         known = grown.select("key", "p")
         longest = grown.where(F.col("n") >= least).join(kept.select(F.col("ctx").alias("parent")), "parent", "left_semi")
@@ -276,8 +294,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, penalty: float
     every = values[0]
     for more in values[1:]:
         every = every.union(more)
-    every = every.groupBy("key").agg(F.sum("value").alias("value"), F.max("base").alias("base"), F.max("seen").alias("seen"))
-    return Model(materialise(every), tokens, words, states)
+    return Model(every, tokens, words, states)
 
 
 # --- scoring ------------------------------------------------------------------------------------
@@ -292,20 +309,22 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
     model = model or fit(docs, depth)
     spark = docs.sparkSession
     often = F.col("seen") * HOT > model.tokens
-    hot = model.values.where(often).select("key", "value", "base").toArrow()  # fewer than HOT keys of each length
-    keys = hot["key"].to_numpy().view(np.uint64)
-    by = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((keys[by], hot["value"].to_numpy()[by], hot["base"].to_numpy()[by]))
+    hot = model.values.where(often).select("key", "value", "n").toArrow()  # fewer than HOT keys of each length
+    keys, _, *sums = _add(hot["key"].to_numpy().view(np.uint64), hot["value"].to_numpy(), hot["n"].to_numpy())
+    frequent = spark.sparkContext.broadcast((keys, *sums))
     rare = spark.sparkContext.broadcast(filter_of(model.values.where(~often)))
     buckets = max(BUCKETS, model.tokens // BUCKET_TOKENS)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = (f"block bigint, place int, doc_id {kind}, held_out boolean, n_tokens bigint, value bigint, base bigint, known bigint, bucket bigint, "
-              "keys binary, places binary, times binary")
-    names = ["block", "place", "doc_id", "held_out", "n_tokens", "value", "base", "known", "bucket", "keys", "places", "times"]
+    facts = ["place", "doc_id", "held_out", "n_tokens", "value", "base", "known"]
+    types = {"block": ("bigint", pa.int64()), "bucket": ("bigint", pa.int64()), "place": ("int", pa.int32()), "doc_id": (kind, None),
+             "held_out": ("boolean", pa.bool_()), **{c: ("bigint", pa.int64()) for c in ("n_tokens", "value", "base", "known")},
+             **{c: ("binary", pa.binary()) for c in ("keys", "places", "times", "counts", "word_places", "word_times", "more", "more_places")}}
+    ask = ["block", "bucket", *facts, "keys", "places", "times"]
+    back = ["block", *facts, "counts", "word_places", "word_times", "more", "more_places"]
+    schema = lambda names: ", ".join(f"{c} {types[c][0]}" for c in names)
 
-    def row(kind: pa.DataType, n: int, **columns) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int32(), kind, pa.bool_(), *[pa.int64()] * 5, *[pa.binary()] * 3]
-        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, types)], names=names)
+    def row(kind: pa.DataType, names: list[str], n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, types[c][1] or kind) for c in names], names=names)
 
     def requests(kind: pa.DataType, block: int, held: list):
         key, place = (np.concatenate(x) for x in zip(*held))
@@ -319,14 +338,15 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
         bucket = bucket[by]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist() if len(bucket) else [0]
         n = len(edges) - 1
-        whole = row(kind, n, block=pa.array(np.full(n, block), pa.int64()), bucket=pa.array(bucket[edges[:-1]], pa.int64()),
+        whole = row(kind, ask, n, block=pa.array(np.full(n, block), pa.int64()), bucket=pa.array(bucket[edges[:-1]], pa.int64()),
                     keys=_packed(key[by], edges), places=_packed(place[by].astype(np.uint16), edges), times=_packed(times[by].astype(np.uint32), edges))
         for at in range(0, n, 512):
             yield whole.slice(at, 512)
 
     def run(batches: Iterator[pa.RecordBatch]):
         task, blocks, n, held = TaskContext.get().partitionId(), 0, 0, []
-        size, (top, value, base), bits = 0, frequent.value, rare.value
+        size, (top, value, count), bits = 0, frequent.value, rare.value
+        base = _base(count)
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
                 part = batch.slice(start, 100)
@@ -339,14 +359,15 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
                     mine, at = every[ends], owner[ends]
                     hit = np.minimum(np.searchsorted(top, mine), max(len(top) - 1, 0))
                     found = top[hit] == mine if len(top) else np.zeros(len(mine), bool)
-                    for total, column in zip(sums, (value, base, base > 0)):
+                    for total, column in zip(sums, (value + base, base, base > 0)):
                         np.add.at(total, at[found], column[hit[found]])
                     rest = ~found
                     rest[rest] = in_filter(bits, mine[rest])
                     held.append((mine[rest], at[rest] + n))
                     size += int(rest.sum())
                 m, block = part.num_rows, (task << 32) | blocks
-                yield row(part.column(0).type, m, block=pa.array(np.full(m, block), pa.int64()), place=pa.array(np.arange(n, n + m), pa.int32()),
+                yield row(part.column(0).type, ask, m, block=pa.array(np.full(m, block), pa.int64()),
+                          bucket=pa.array(np.full(m, (task + blocks) % buckets), pa.int64()), place=pa.array(np.arange(n, n + m), pa.int32()),
                           doc_id=part.column(0), held_out=part.column(1), n_tokens=pa.array(sizes - 1), value=pa.array(sums[0]),
                           base=pa.array(sums[1]), known=pa.array(sums[2]))
                 n += m
@@ -357,41 +378,46 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
             yield from requests(part.column(0).type, (task << 32) | blocks, held)
 
     def answer(asked: pa.Table, values: pa.Table) -> pa.Table:
-        known = values["key"].to_numpy().view(np.uint64)
-        by = np.argsort(known)
-        known, value, base = known[by], values["value"].to_numpy()[by], values["base"].to_numpy()[by]
-        out = []
-        for r in asked.to_pylist() if len(known) else []:
+        asked, kind = asked.combine_chunks(), asked.schema.field("doc_id").type
+        known, _, value, n = _add(values["key"].to_numpy().view(np.uint64), values["value"].to_numpy(), values["n"].to_numpy())
+        columns = {c: [] for c in back if c not in facts}
+        for r in asked.filter(pa.compute.is_valid(asked["keys"])).select(["block", "keys", "places", "times"]).to_pylist() if len(known) else []:
             key, place, times = (np.frombuffer(r[c], t) for c, t in (("keys", np.uint64), ("places", np.uint16), ("times", np.uint32)))
             hit = np.minimum(np.searchsorted(known, key), len(known) - 1)
             found = known[hit] == key
-            hit, times = hit[found], times[found].astype(np.int64)
-            at, _, more, plain, seen = _add(place[found], times * (value[hit] - base[hit]), times * base[hit], times * (base[hit] > 0))
-            out.append((r["block"], at.tobytes(), more.tobytes(), plain.tobytes(), seen.astype(np.uint32).tobytes()))
-        columns = list(zip(*out)) if out else [[]] * 5
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] + [pa.binary()] * 4)], names=["of", "places", "more", "plain", "seen"])
-
-    def total(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            hit, place, times = hit[found], place[found], times[found]
+            word, tree = n[hit] > 0, value[hit] != 0
+            at, _, more = _add(place[tree], times[tree] * value[hit[tree]])
+            made = {"block": r["block"], "counts": n[hit[word]].astype(np.uint64).tobytes(), "word_places": place[word].tobytes(),
+                    "word_times": times[word].tobytes(), "more": more.tobytes(), "more_places": at.tobytes()}
+            for c, x in made.items():
+                columns[c].append(x)
+        texts = asked.filter(pa.compute.is_null(asked["keys"]))
+        columns = {c: pa.array(x, types[c][1]) for c, x in columns.items()}
+        return pa.Table.from_batches([row(kind, back, len(columns["block"]), **columns),
+                                      row(kind, back, texts.num_rows, **{c: texts[c].combine_chunks() for c in ["block", *facts]})])
+
+    def total(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        texts = rows.filter(pa.compute.is_valid(rows["place"]))
         place = texts["place"].to_numpy()
-        sums = np.zeros((3, len(place)), np.int64)
-        for r in answers.to_pylist():
-            at = np.frombuffer(r["places"], np.uint16)
-            plain = np.frombuffer(r["plain"], np.int64)
-            for i, x in enumerate((np.frombuffer(r["more"], np.int64) + plain, plain, np.frombuffer(r["seen"], np.uint32))):
-                np.add.at(sums[i], at, x)
-        value, base, known = (texts[c].to_numpy() + sums[i][place] for i, c in enumerate(("value", "base", "known")))
+        value, base, known = np.zeros((3, len(place)), np.int64)
+        for r in rows.filter(pa.compute.is_null(rows["place"])).select(back[-5:]).to_pylist():
+            plain, times = _base(np.frombuffer(r["counts"], np.uint64)), np.frombuffer(r["word_times"], np.uint32).astype(np.int64)
+            at = np.frombuffer(r["word_places"], np.uint16)
+            np.add.at(base, at, plain * times)
+            np.add.at(known, at, times)
+            np.add.at(value, np.frombuffer(r["more_places"], np.uint16), np.frombuffer(r["more"], np.int64))
+        value, base, known = (texts[c].to_numpy() + x[place] for c, x in (("value", value + base), ("base", base), ("known", known)))
         n = texts["n_tokens"].to_numpy()
         score_of = lambda x: pa.array(x / UNIT - n * unit)
         return pa.Table.from_arrays([texts["doc_id"], texts["held_out"], texts["n_tokens"], pa.array(known), pa.array(np.full(len(n), tokens)),
                                      score_of(base), score_of(value)], names=order)
 
     order, tokens, unit = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], model.tokens, model.unit
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    parts = materialise(small_batches(rows).mapInArrow(run, schema))
-    asked = parts.where("bucket IS NOT NULL").select("bucket", "block", "keys", "places", "times")
-    unsigned = F.shiftrightunsigned("key", 20)
-    there = model.values.where(~often).select(F.pmod(unsigned, F.lit(buckets)).alias("of_bucket"), "key", "value", "base")
-    answers = asked.groupBy("bucket").cogroup(there.groupBy("of_bucket")).applyInArrow(answer, "of bigint, places binary, more binary, plain binary, seen binary")
-    found = parts.where("bucket IS NULL").select("block", "place", "doc_id", "held_out", "n_tokens", "value", "base", "known")
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").sortWithinPartitions("doc_id", "text")
+    asked = small_batches(rows).mapInArrow(run, schema(ask))
+    there = model.values.where(~often).select(F.pmod(F.shiftrightunsigned("key", 20), F.lit(buckets)).alias("of_bucket"), "key", "value", "n")
+    answers = asked.groupBy("bucket").cogroup(there.groupBy("of_bucket")).applyInArrow(answer, schema(back))
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return found.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(total, out)
+    return answers.groupBy("block").applyInArrow(total, out)
