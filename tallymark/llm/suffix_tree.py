@@ -58,9 +58,9 @@ from tallymark.session import discard, materialise
 #: Longest context in words, occurrences a context needs for the test, and weight of the log in the test.
 DEPTH, LEAST, PENALTY = 3, 64, 0.5
 #: A key is broadcast above one in so many training tokens, a context split above one in so many.
-HOT, SPLIT = 1 << 20, 1 << 12
+HOT, SPLIT = 1 << 21, 1 << 12
 #: Bits of a filter, tokens counted together, texts in a block, buckets at least and training tokens for each bucket.
-FILTER_BITS, TOKENS, PLACES, BUCKETS, BUCKET_TOKENS = 1 << 27, 3_000_000, 1 << 16, 4096, 1 << 17
+FILTER_BITS, TOKENS, PLACES, BUCKETS, BUCKET_TOKENS = 1 << 27, 2_000_000, 1 << 16, 4096, 1 << 17
 #: Log probabilities are integers in units of 1 / UNIT.
 UNIT = 1 << 32
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
@@ -152,15 +152,14 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
     def partial(held: list[tuple[np.ndarray, ...]]):
         ctx, symbol, parent, key = (np.concatenate(x) for x in zip(*held))
         key, first, n = np.unique(key, return_index=True, return_counts=True)
-        ctx, symbol, parent = ctx[first], symbol[first], parent[first]
+        ctx, symbol, parent = ctx[first], symbol[first], parent[first] if order > 2 else parent
         split = (order == 1) | np.isin(ctx, heavy)
         bucket = (np.where(split, key, mix(ctx)) >> np.uint64(20)) % np.uint64(buckets)
         by = np.lexsort((ctx, bucket))
         bucket = bucket[by].astype(np.int64)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
-        if order < 3:
-            parent = parent[:0]  # the symbol itself
-        arrays = [pa.array(bucket[edges[:-1]], pa.int64()), *(_packed(x[by] if len(x) else x, edges) for x in (ctx, symbol, parent)), _packed(n[by].astype(np.uint32), edges)]
+        arrays = [pa.array(bucket[edges[:-1]], pa.int64()), _packed(ctx[by], edges), _packed(symbol[by], edges),
+                  _packed(parent[by] if order > 2 else parent, edges), _packed(n[by].astype(np.uint32), edges)]
         whole = pa.RecordBatch.from_arrays(arrays, names=["bucket", "ctx", "symbol", "parent", "n"])
         for at in range(0, whole.num_rows, 512):
             yield whole.slice(at, 512)
@@ -177,7 +176,7 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
                     ends = ends[in_filter(contexts.value, before[ends - 1])]
                 if len(ends):
                     ctx = before[ends - 1] if order > 1 else np.zeros(len(ends), np.uint64)
-                    held.append((ctx, flat[ends], before[ends], keys[ends]))
+                    held.append((ctx, flat[ends], before[ends if order > 2 else ends[:0]], keys[ends]))
                     size += len(ends)
                 if size >= TOKENS:
                     yield from partial(held)
@@ -318,8 +317,8 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
     facts = ["place", "doc_id", "held_out", "n_tokens", "value", "base", "known"]
     types = {"block": ("bigint", pa.int64()), "bucket": ("bigint", pa.int64()), "place": ("int", pa.int32()), "doc_id": (kind, None),
              "held_out": ("boolean", pa.bool_()), **{c: ("bigint", pa.int64()) for c in ("n_tokens", "value", "base", "known")},
-             **{c: ("binary", pa.binary()) for c in ("keys", "places", "times", "counts", "word_places", "word_times", "more", "more_places")}}
-    ask = ["block", "bucket", *facts, "keys", "places", "times"]
+             **{c: ("binary", pa.binary()) for c in ("keys", "sizes", "places", "times", "counts", "word_places", "word_times", "more", "more_places")}}
+    ask = ["block", "bucket", *facts, "keys", "sizes", "places", "times"]
     back = ["block", *facts, "counts", "word_places", "word_times", "more", "more_places"]
     schema = lambda names: ", ".join(f"{c} {types[c][0]}" for c in names)
 
@@ -333,13 +332,17 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
         edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])))) if len(key) else np.zeros(0, np.int64)
         times = np.diff(edge, append=len(key))
         key, place = key[edge], place[edge]
-        bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1])) if len(key) else np.zeros(0, np.int64)  # of each key's places
+        sizes = np.diff(first, append=len(key))
+        bucket = ((key[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        bucket = bucket[by]
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist() if len(bucket) else [0]
-        n = len(edges) - 1
+        bucket, sizes = bucket[by], sizes[by]
+        within = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[by], sizes)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
+        cuts, n = np.concatenate(([0], np.cumsum(sizes)))[edges].tolist(), len(edges) - 1
         whole = row(kind, ask, n, block=pa.array(np.full(n, block), pa.int64()), bucket=pa.array(bucket[edges[:-1]], pa.int64()),
-                    keys=_packed(key[by], edges), places=_packed(place[by].astype(np.uint16), edges), times=_packed(times[by].astype(np.uint32), edges))
+                    keys=_packed(key[first][by], edges.tolist()), sizes=_packed(sizes.astype(np.uint32), edges.tolist()),
+                    places=_packed(place[within].astype(np.uint16), cuts), times=_packed(times[within].astype(np.uint32), cuts))
         for at in range(0, n, 512):
             yield whole.slice(at, 512)
 
@@ -381,10 +384,10 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
         asked, kind = asked.combine_chunks(), asked.schema.field("doc_id").type
         known, _, value, n = _add(values["key"].to_numpy().view(np.uint64), values["value"].to_numpy(), values["n"].to_numpy())
         columns = {c: [] for c in back if c not in facts}
-        for r in asked.filter(pa.compute.is_valid(asked["keys"])).select(["block", "keys", "places", "times"]).to_pylist() if len(known) else []:
-            key, place, times = (np.frombuffer(r[c], t) for c, t in (("keys", np.uint64), ("places", np.uint16), ("times", np.uint32)))
+        for r in asked.filter(pa.compute.is_valid(asked["keys"])).select(["block", *ask[-4:]]).to_pylist() if len(known) else []:
+            key, sizes, place, times = (np.frombuffer(r[c], t) for c, t in zip(ask[-4:], (np.uint64, np.uint32, np.uint16, np.uint32)))
             hit = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            found = known[hit] == key
+            found, hit = np.repeat(known[hit] == key, sizes), np.repeat(hit, sizes)
             hit, place, times = hit[found], place[found], times[found]
             word, tree = n[hit] > 0, value[hit] != 0
             at, _, more = _add(place[tree], times[tree] * value[hit[tree]])
