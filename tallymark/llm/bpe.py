@@ -22,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,11 @@ LEXICON_BYTES = 24
 CACHE_WORDS = 150_000
 #: Characters whose words are looked up together.
 GROUP_CHARS = 1 << 20
+#: Bits of an id in a packed number.
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+#: A pair that does not merge; longest word in bytes, and words, that are merged together.
+NONE, WIDE, TOGETHER = 1 << 60, 40, 8192
 
 # White space of the byte-level split, and letters and numbers of
 # Unicode 16 that older Unicode tables lack.
@@ -93,54 +99,99 @@ class Vocabulary:
         model, symbols = saved["model"], byte_symbols()
         raw = lambda token: bytes(symbols[c] for c in token)
         self.ids = {raw(t): i for t, i in model["vocab"].items()}
-        self.ranks = {}
+        # (left id, right id) -> rank and merged id, each in one number
+        self.pairs = {}
         for rank, merge in enumerate(model["merges"]):
-            left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks[raw(left), raw(right)] = rank
+            left, right = map(raw, merge.split(" ") if isinstance(merge, str) else merge)
+            self.pairs[self.ids[left] << ID_BITS | self.ids[right]] = rank << ID_BITS | self.ids[left + right]
+        self.single = [self.ids.get(bytes([b])) for b in range(256)]
+        keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        by = np.argsort(keys)
+        self.keys, self.merged = keys[by], np.fromiter(self.pairs.values(), np.int64, len(self.pairs))[by]
         self.added = {t["content"]: t["id"] for t in saved["added_tokens"]}
         self.pieces = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the lowest-ranked neighbouring pair merges first, the leftmost of equals."""
-        parts = [word[i:i + 1] for i in range(len(word))]
-        ranks, none = self.ranks, 1 << 60
+        parts = [self.single[b] for b in word]
         if len(parts) > 256:
             return self._merge_long(parts)
-        pairs = [ranks.get(pair, none) for pair in zip(parts, parts[1:])]
+        known, none = self.pairs.get, NONE
+        pairs = [known(a << ID_BITS | b, none) for a, b in zip(parts, parts[1:])]
         while pairs:
             best = min(pairs)
             if best == none:
                 break
             i = pairs.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            parts[i:i + 2] = [best & ID_MASK]
             del pairs[i]
             if i:
-                pairs[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
+                pairs[i - 1] = known(parts[i - 1] << ID_BITS | parts[i], none)
             if i < len(pairs):
-                pairs[i] = ranks.get((parts[i], parts[i + 1]), none)
-        return [self.ids[p] for p in parts]
+                pairs[i] = known(parts[i] << ID_BITS | parts[i + 1], none)
+        return parts
+
+    def _pairs_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Packed rank and merged id of neighbours, ``NONE`` where they do not merge."""
+        key = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        return np.where((right >= 0) & (self.keys[at] == key), self.merged[at], NONE) if len(self.keys) else np.full(left.shape, NONE)
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """The same for many words; a step merges one pair in each, so short words cost little."""
+        out: list = [None] * len(words)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= WIDE]
+        for i, w in enumerate(words):
+            if not 0 < len(w) <= WIDE:
+                out[i] = self.merge(w)
+        # words of like length together
+        short.sort(key=lambda i: len(words[i]))
+        for at in range(0, len(short), TOGETHER):
+            rows = np.array(short[at:at + TOGETHER])
+            size = np.array([len(words[i]) for i in rows.tolist()])
+            there = np.arange(size.max()) < size[:, None]
+            ids = np.full(there.shape, -1, np.int64)
+            ids[there] = np.array(self.single)[np.frombuffer(b"".join([words[i] for i in rows.tolist()]), np.uint8)]
+            pairs = self._pairs_of(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                place = pairs.argmin(1) if pairs.shape[1] else np.zeros(len(rows), np.int64)
+                best = pairs[np.arange(len(rows)), place] if pairs.shape[1] else np.full(len(rows), NONE)
+                done = best == NONE
+                for i, parts in zip(rows[done].tolist(), ids[done].tolist()):
+                    out[i] = parts[:parts.index(-1)] if parts[-1] < 0 else parts
+                rows, ids, pairs, place, best = (x[~done] for x in (rows, ids, pairs, place, best))
+                every = np.arange(len(rows))
+                ids[every, place] = best & ID_MASK
+                column = np.arange(ids.shape[1] - 1)
+                ids = np.take_along_axis(ids, column + (column > place[:, None]), 1)
+                column = column[:-1]
+                pairs = np.take_along_axis(pairs, column + (column >= place[:, None]), 1)
+                for inside, left in ((place > 0, place - 1), (place < pairs.shape[1], place)):
+                    r, c = every[inside], left[inside]
+                    pairs[r, c] = self._pairs_of(ids[r, c], ids[r, c + 1])
+        return out
 
-    def _merge_long(self, parts: list[bytes]) -> list[int]:
+    def _merge_long(self, parts: list[int]) -> list[int]:
         """The same with a heap and links, for words of any length."""
         import heapq
 
-        n = len(parts)
+        n, known = len(parts), self.pairs.get
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (rank := self.ranks.get((a, b))) is not None]
+        heap = [(pair, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (pair := known(a << ID_BITS | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            pair, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue  # one of the two has merged since
-            parts[i], parts[j], after[i] = a + b, b"", after[j]
+            parts[i], parts[j], after[i] = pair & ID_MASK, -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (rank := self.ranks.get((parts[x], parts[y]))) is not None:
-                    heapq.heappush(heap, (rank, x, parts[x], parts[y]))
-        return [self.ids[p] for p in parts if p]
+                if x >= 0 and y >= 0 and (pair := known(parts[x] << ID_BITS | parts[y])) is not None:
+                    heapq.heappush(heap, (pair, x, parts[x], parts[y]))
+        return [p for p in parts if p >= 0]
 
 
 # --- the transducer -----------------------------------------------------------------------------
@@ -255,6 +306,15 @@ class Lexicon:
             depth += 1
         return out
 
+    def ids_of(self, ranks: np.ndarray) -> Iterator[list[int]]:
+        """Ids of the words of these ranks."""
+        start, end = self.offsets[ranks], self.offsets[ranks + 1]
+        size = end - start
+        edge = np.cumsum(size)
+        flat = np.asarray(self.ids)[np.arange(int(size.sum())) + np.repeat(start - edge + size, size)].tolist()
+        for a, b in zip((edge - size).tolist(), edge.tolist()):
+            yield flat[a:b]
+
 
 class Coder:
     """Encodes and decodes texts with one vocabulary and lexicon."""
@@ -267,17 +327,22 @@ class Coder:
     def learn(self, missing: set[str], needed: set[str]) -> None:
         """Remember the ids of the missing words; ``needed`` are all that must be known afterwards."""
         if len(self.text_of) + len(missing) > CACHE_WORDS:
-            self.text_of.clear()
-            self.bytes_of.clear()
-            missing = needed
+            for known in (self.text_of, self.bytes_of):  # the older half goes
+                for word in list(islice(known, (len(known) + 1) // 2)):
+                    del known[word]
+            missing = needed - self.text_of.keys()
+            if len(self.text_of) + len(missing) > CACHE_WORDS:
+                self.text_of.clear()
+                self.bytes_of.clear()
+                missing = needed
         raw = [w.encode() for w in missing]
         ranks = self.lexicon.ranks(raw) if self.lexicon else np.full(len(raw), -1)
-        pieces, merge, added = self.vocabulary.pieces, self.vocabulary.merge, self.vocabulary.added
-        for word, data, rank in zip(missing, raw, ranks.tolist()):
-            if rank >= 0:
-                ids = self.lexicon.ids[self.lexicon.offsets[rank]:self.lexicon.offsets[rank + 1]].tolist()
-            else:
-                ids = [added[word]] if word in added else merge(data)
+        stored = self.lexicon.ids_of(ranks[ranks >= 0]) if self.lexicon else iter(())
+        pieces, added = self.vocabulary.pieces, self.vocabulary.added
+        merged = iter(self.vocabulary.merge_many([data for data, rank in zip(raw, ranks.tolist()) if rank < 0]))
+        for word, rank in zip(missing, ranks.tolist()):
+            ids = next(stored) if rank >= 0 else next(merged)
+            ids = [added[word]] if word in added else ids
             self.text_of[word] = "".join([f"{i}," for i in ids])
             self.bytes_of[word] = b"".join([pieces[i] for i in ids])
 
@@ -333,8 +398,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if text:
                     counts.update(words(text))
                     if len(counts) > CACHE_WORDS:
+                        often = {w: n for w, n in counts.items() if n > 1}
+                        if len(often) > CACHE_WORDS // 2:
+                            often = {}
+                        for word in often:  # counted on
+                            del counts[word]
                         yield out()
-                        counts.clear()
+                        counts = Counter(often)
         yield out()
 
     return small_batches(docs).select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -368,7 +438,7 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WOR
         for batch in batches:
             vocabulary = vocabulary or Vocabulary(SparkFiles.get(shared))
             found = [w.encode() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([vocabulary.merge(w) for w in found], pa.list_(pa.int64()))],
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(vocabulary.merge_many(found), pa.list_(pa.int64()))],
                                              names=["word", "ids"])
 
     made = frequent_words(docs, most).mapInArrow(run, "word binary, ids array<bigint>").toArrow()

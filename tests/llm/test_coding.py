@@ -57,6 +57,13 @@ def test_very_long_word(library, vocabulary):
     same(library, bpe.Coder(vocabulary), ["x" * 5000, "ab" * 3000, "é" * 700, " " * 999])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=50), st.text("the ingando", max_size=45).map(str.encode)), max_size=40))
+def test_many_words_merge_as_one(vocabulary, words):
+    assert vocabulary.merge_many(words) == [vocabulary.merge(w) for w in words]
+    assert [vocabulary._merge_long([vocabulary.single[b] for b in w]) for w in words] == [vocabulary.merge(w) for w in words]
+
+
 def test_cache_starts_afresh(library, vocabulary, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
     monkeypatch.setattr(bpe, "GROUP_CHARS", 10)
