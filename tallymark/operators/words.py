@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import STOP_WORDS, clean_tokens, is_counted_word, word_runs
+from tallymark.operators.ordering import running_offset
+from tallymark.session import materialise
 
-POSITION_BITS = 26
-ROW_BITS = 37
+INTEGERS = ("byte", "short", "integer", "long")
+POSITIONS = 1 << 32
+#: Words that one task may rank.
+DIRECT = 100_000
 
 
 def _occurrence(idx: Column, pos: Column) -> Column:
-    """Order of an occurrence in the corpus as one number.
+    """Order of an occurrence in the corpus as one number that holds any long and any position.
 
-    A number, unlike a struct, keeps the aggregation a hash aggregation. What
-    does not fit is an error, never a wrong order.
+    A number, unlike a struct, keeps the aggregation a hash aggregation.
     """
-    fits = (pos < (1 << POSITION_BITS)) & idx.between(0, (1 << ROW_BITS) - 1)
-    packed = F.shiftleft(idx.cast("bigint"), POSITION_BITS) + pos
-    refuse = F.raise_error(F.lit("row position or text too large to order: use with_row_index, or exact_order=True"))
-    return F.when(fits, packed).otherwise(refuse.cast("bigint"))
+    return idx.cast("decimal(19,0)") * F.lit(POSITIONS).cast("decimal(10,0)") + pos.cast("decimal(10,0)")
 
 
 def words(df: DataFrame, text: str = "text", idx: str = "doc_id",
@@ -32,39 +32,55 @@ def words(df: DataFrame, text: str = "text", idx: str = "doc_id",
     return runs.where(is_counted_word(F.col("word"), stop_words))
 
 
-def _wide_ids(df: DataFrame, idx: str) -> bool:
-    """Whether ids do not fit the packed order of occurrences; reads the id column only."""
-    if df.schema[idx].dataType.typeName() not in ("byte", "short", "integer", "long"):
-        return True
-    found = df.agg(F.min(idx).alias("lo"), F.max(idx).alias("hi")).first()
-    return found["lo"] is not None and (found["lo"] < 0 or found["hi"] >= 1 << ROW_BITS)
-
-
-def count_tokens(tokens: DataFrame, idx: str = "doc_id", exact_order: bool = False) -> DataFrame:
+def count_tokens(tokens: DataFrame, idx: str = "doc_id") -> DataFrame:
     """``(word, n, first_seen)`` of a table of occurrences.
 
-    ``first_seen`` is one number, or with ``exact_order`` a struct that takes
-    any id and any position.
+    ``first_seen`` is a ``decimal(30,0)`` wherever ids are integers of any size
+    and sign, and a struct of id and position for ids of other types.
     """
-    order = F.struct(idx, "pos") if exact_order else _occurrence(F.col(idx), F.col("pos"))
+    whole = tokens.schema[idx].dataType.typeName() in INTEGERS
+    order = _occurrence(F.col(idx), F.col("pos")) if whole else F.struct(idx, "pos")
     return tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
 
 
 def word_counts(df: DataFrame, text: str = "text", idx: str = "doc_id",
-                stop_words: Sequence[str] = STOP_WORDS, exact_order: bool | None = None) -> DataFrame:
-    """Corpus-wide count of every word and where it was seen first.
+                stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """Corpus-wide count of every word and where it was seen first."""
+    return count_tokens(words(df, text, idx, stop_words), idx)
+
 
-    Ids beyond the packed order, such as hashes, are ordered exactly.
+def _steps_down_to(counts: DataFrame, k: int) -> DataFrame:
+    """The rows from the highest count steps that together hold ``k`` rows or more.
+
+    A step is an eighth of a power of two, so the histogram that reaches the
+    driver has at most 512 rows.
     """
-    exact_order = _wide_ids(df, idx) if exact_order is None else exact_order
-    return count_tokens(words(df, text, idx, stop_words), idx, exact_order)
+    step = F.floor(8 * F.log2("n"))
+    held, least = 0, None
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        held, least = held + row["count"], row["step"]
+        if held >= k:
+            break
+    return counts if least is None else counts.where(step >= least)
 
 
 def top_words(counts: DataFrame, k: int = 10_000) -> DataFrame:
-    """``(rank, word, n)`` of the ``k`` most frequent words, ties first-seen."""
-    order = [F.col("n").desc(), F.col("first_seen")]
-    top = counts.orderBy(*order).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "word", "n")
+    """``(rank, word, n)`` of the ``k`` most frequent words, ties first-seen.
+
+    Up to ``DIRECT`` words are sorted in one task. Beyond, the count steps that
+    can hold the top are selected, and ranks are prefix sums over (count, id,
+    position), so no task holds more than a bucket of them.
+    """
+    integers = counts.schema["first_seen"].dataType.typeName() == "decimal"
+    if k <= DIRECT or not integers:
+        order = [F.col("n").desc(), F.col("first_seen")]
+        top = counts.orderBy(*order).limit(k)
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint")).select("rank", "word", "n")
+    found = _steps_down_to(materialise(counts), k)
+    pos = F.pmod("first_seen", F.lit(POSITIONS))
+    keys = {"__n": -F.col("n"), "__id": ((F.col("first_seen") - pos) / POSITIONS).cast("decimal(19,0)").cast("bigint"), "__pos": pos.cast("bigint")}
+    placed = running_offset(found.withColumns(keys), list(keys), name="rank")
+    return placed.where(F.col("rank") < k).select((F.col("rank") + 1).alias("rank"), "word", "n")
 
 
 def word_lengths(counts: DataFrame) -> DataFrame:
@@ -80,10 +96,9 @@ def clean_occurrences(df: DataFrame, text: str = "text", idx: str = "doc_id",
 
 
 def vocabulary(df: DataFrame, text: str = "text", idx: str = "doc_id", k: int = 1000,
-               stop_words: Sequence[str] = STOP_WORDS, exact_order: bool | None = None) -> DataFrame:
+               stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``(word, id)``: the ``k`` most frequent cleaned tokens, ids from 1."""
-    exact_order = _wide_ids(df, idx) if exact_order is None else exact_order
-    counts = count_tokens(clean_occurrences(df, text, idx, stop_words), idx, exact_order)
+    counts = count_tokens(clean_occurrences(df, text, idx, stop_words), idx)
     return top_words(counts, k).select("word", F.col("rank").cast("int").alias("id"))
 
 

@@ -54,8 +54,11 @@ def check_read_mode(mode: str) -> None:
         raise OSError("measured files are read-only")
 
 
-def _hash_streams(files: DataFrame, decompress: bool) -> DataFrame:
-    """Digest every listed file block by block, one file per step of a task."""
+def _hash_streams(files: DataFrame, decompress: bool, missing: bool = False) -> DataFrame:
+    """Digest every listed file block by block, one file per step of a task.
+
+    With ``missing`` a file that is not there has no row instead of an error.
+    """
 
     def digest(batches):
         for batch in batches:
@@ -63,6 +66,10 @@ def _hash_streams(files: DataFrame, decompress: bool) -> DataFrame:
             for path in batch["path"]:
                 codec = CODECS.get(path.rsplit(".", 1)[-1]) if decompress else None
                 total, size = hashlib.sha256(), 0
+                if missing:
+                    system, inner = file_system(path)
+                    if not system.get_file_info(inner).is_file:
+                        continue
                 with open_stream(path, codec) as stream:
                     while block := stream.read(BLOCK_BYTES):
                         total.update(block)
@@ -130,6 +137,11 @@ def file_digests(spark: SparkSession, path: str | Sequence[str], mode: str = "rb
     return _with_empty_files(small.unionByName(_hash_streams(large, decompress=False)), scan)
 
 
+def listed_digests(files: DataFrame) -> DataFrame:
+    """``(path, bytes, sha256)`` of the files that a table names and that are there; nothing else is listed or opened."""
+    return _hash_streams(files, decompress=False, missing=True)
+
+
 def decompressed_digests(spark: SparkSession, path: str | Sequence[str], mode: str = "rb",
                          pattern: str | None = None) -> DataFrame:
     """As :func:`file_digests`, over the contents after decompression."""

@@ -11,25 +11,25 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-import re
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType, StructType
 
 from tallymark.functions.arrays import int_div
 from tallymark.operators.ordering import key_bounds, running_offset
-from tallymark.session import bounded_rows, join_small, materialise
-from tallymark.sources.files import file_digests, file_system, list_files
+from tallymark.session import join_small, materialise
+from tallymark.sources.files import file_system, listed_digests
 
 FORMAT = "arrow_shards"
 BATCH_ROWS = 1000
-MAX_SPLITS = 10_000
 LOOKUP_BUCKETS = 1 << 16
 BROADCAST_CUTS = 500_000
 CUTS_PER_SET = 256
@@ -42,9 +42,16 @@ def shard_name(index: int, count: int) -> str:
 @dataclass
 class ShardFile(InputPartition):
     path: str
+    split: str
     first: int | None
 
 
+@dataclass
+class SplitFolder(InputPartition):
+    split: str
+    folder: str
+
+
 @dataclass
 class WrittenShards(WriterCommitMessage):
     shards: list
@@ -68,24 +75,97 @@ class HashingSink:
         self.closed = True
 
 
-class ShardReader(DataSourceReader):
-    """Reads one shard per task; with ``firsts``, rows get their positions."""
+def split_folders(root: str, wanted: set[str] | None = None) -> list[tuple[str, str]]:
+    """``(split, folder)`` of a dataset: ``train``, ``test``, then the others by name.
+
+    Only the names directly below the root are listed; of the splits named in
+    ``wanted`` nothing else is looked at. A root with a state file of its own
+    and no split below it is one split ``train``.
+    """
+    system, at = file_system(root)
+    at = at.rstrip("/")
+    if wanted is None:
+        below = system.get_file_info(fs.FileSelector(at)) if system.get_file_info(at).type == fs.FileType.Directory else []
+        names = [info.base_name for info in below if info.type == fs.FileType.Directory]
+    else:
+        names = sorted(w for w in wanted if w and "/" not in w)
+    there = system.get_file_info([f"{at}/{name}/state.json" for name in names]) if names else []
+    found = [name for name, info in zip(names, there) if info.is_file]
+    if found:
+        first = [s for s in ("train", "test") if s in found]
+        return [(s, f"{root.rstrip('/')}/{s}") for s in first + sorted(set(found) - set(first))]
+    own = (wanted is None or "train" in wanted) and system.get_file_info(f"{at}/state.json").is_file
+    return [("train", root.rstrip("/"))] if own else []
+
+
+def shard_files(folder: str) -> list[str]:
+    """Names of a split's files in the order of its state file."""
+    system, at = file_system(folder)
+    with system.open_input_stream(f"{at}/state.json") as stream:
+        return [f["filename"] for f in json.loads(stream.read())["_data_files"]]
 
-    def __init__(self, paths, firsts):
-        self.paths, self.firsts = paths, firsts
+
+class SplitReader(DataSourceReader):
+    """Plans from the split folders; with ``wanted`` no other split is looked at."""
+
+    def __init__(self, root: str, wanted: set[str] | None):
+        self.root, self.wanted = root, wanted
+
+    def partitions(self):
+        return [SplitFolder(split, folder) for split, folder in split_folders(self.root, self.wanted)]
+
+
+class ShardReader(SplitReader):
+    """Reads one shard per task, with its split and on request the rows' positions in it."""
+
+    def __init__(self, root: str, wanted: set[str] | None, columns: list[str] | None, positions: bool):
+        super().__init__(root, wanted)
+        self.columns, self.positions = columns, positions
 
     def partitions(self):
-        return [ShardFile(p, f) for p, f in zip(self.paths, self.firsts or [None] * len(self.paths))]
+        rows: dict[str, list[int]] = {}
+        if self.positions:
+            system, at = file_system(self.root)
+            with system.open_input_stream(f"{at.rstrip('/')}/shards.jsonl") as stream:
+                for r in sorted(map(json.loads, stream.read().splitlines()), key=lambda r: (r["split"], r["shard_idx"])):
+                    rows.setdefault(r["split"], []).append(r["rows"])
+        out = []
+        for part in super().partitions():
+            files = shard_files(part.folder)
+            firsts = [0, *itertools.accumulate(rows[part.split])] if self.positions else [None] * len(files)
+            out += [ShardFile(f"{part.folder}/{f}", part.split, first) for f, first in zip(files, firsts)]
+        return out
 
     def read(self, partition):
+        if partition is None:  # Spark's call where no partition is planned
+            return
         system, path = file_system(partition.path)
         at = partition.first
-        with system.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as batches:
-            for batch in batches:
-                if at is not None:
-                    batch = batch.append_column("row_idx", pa.array(range(at, at + batch.num_rows), pa.int64()))
-                    at += batch.num_rows
-                yield batch
+        with system.open_input_stream(path) as stream:
+            # fields that are not asked for are skipped, not decoded
+            options = pa.ipc.IpcReadOptions()
+            if self.columns is not None:
+                with system.open_input_stream(path) as head, pa.ipc.open_stream(head) as batches:
+                    options.included_fields = sorted(batches.schema.get_field_index(c) for c in self.columns)
+            with pa.ipc.open_stream(stream, options=options) as batches:
+                for batch in batches:
+                    batch = batch if self.columns is None else batch.select(self.columns)
+                    if at is not None:
+                        batch = batch.append_column("row_idx", pa.array(range(at, at + batch.num_rows), pa.int64()))
+                        at += batch.num_rows
+                    yield batch.append_column("split", pa.repeat(pa.scalar(partition.split), batch.num_rows))
+
+
+class ListReader(SplitReader):
+    """Lists the files of one split per task."""
+
+    def read(self, partition):
+        if partition is None:
+            return
+        files = shard_files(partition.folder)
+        yield pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(partition.split), len(files)), pa.array(range(len(files)), pa.int32()), pa.array(files, pa.string()),
+             pa.array([f"{partition.folder}/{f}" for f in files], pa.string())], names=["split", "shard_idx", "file", "path"])
 
 
 class ShardWriter(DataSourceArrowWriter):
@@ -179,20 +259,47 @@ class ShardWriter(DataSourceArrowWriter):
 
 
 class ArrowShards(DataSource):
-    """``arrow_shards``: option ``path`` to write, options ``files`` and ``firsts`` (JSON lists) to read."""
+    """``arrow_shards``: option ``path`` to write and to read.
+
+    Reading, ``splits`` and ``columns`` (JSON lists) leave out all others,
+    ``positions`` adds ``row_idx``, and ``list`` gives the files instead of
+    their rows. Conditions are not pushed into the scan: Spark 4.1 keeps what a
+    Python source was given for later plans over the same relation, which would
+    then miss rows.
+    """
 
     @classmethod
     def name(cls):
         return FORMAT
 
+    def _columns(self) -> list[str] | None:
+        return json.loads(self.options.get("columns", "null"))
+
+    def _splits(self) -> set[str] | None:
+        named = json.loads(self.options.get("splits", "null"))
+        return None if named is None else set(named)
+
     def schema(self):
-        system, path = file_system(json.loads(self.options["files"])[0])
-        with system.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as batches:
-            found = from_arrow_schema(batches.schema)
-        return found.add("row_idx", LongType()) if "firsts" in self.options else found
+        if self.options.get("list"):
+            return "split string, shard_idx int, file string, path string"
+        root = self.options["path"]
+        for _, folder in split_folders(root, self._splits()):
+            for file in shard_files(folder):
+                system, path = file_system(f"{folder}/{file}")
+                with system.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as batches:
+                    found = from_arrow_schema(batches.schema)
+                if self._columns() is not None:
+                    found = StructType([found[c] for c in self._columns()])
+                if self.options.get("positions"):
+                    found = found.add("row_idx", LongType())
+                return found.add("split", StringType())
+        raise FileNotFoundError(f"no dataset state below {root}")
 
     def reader(self, schema):
-        return ShardReader(json.loads(self.options["files"]), json.loads(self.options.get("firsts", "null")))
+        root = self.options["path"]
+        if self.options.get("list"):
+            return ListReader(root, self._splits())
+        return ShardReader(root, self._splits(), self._columns(), bool(self.options.get("positions")))
 
     def writer(self, schema, overwrite):
         return ShardWriter(self.options["path"])
@@ -289,76 +396,49 @@ def recorded_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{path}/shards.jsonl")
 
 
-def _folders(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """``(split, folder)`` of a dataset, from where its state files are."""
-    def plain(folder: str) -> str:
-        return re.sub("^file:/+", "/", folder.rstrip("/"))
-
-    root = plain(path)
-    states = bounded_rows(list_files(spark, path.rstrip("/"), "state.json").select("path"), MAX_SPLITS, "splits")
-    folders = {plain(r["path"].rsplit("/", 1)[0]): r["path"].rsplit("/", 1)[0] for r in states}
-    found = {f.removeprefix(f"{root}/"): folder for f, folder in folders.items() if f.rpartition("/")[0] == root}
-    if found:
-        first = [s for s in ("train", "test") if s in found]
-        return [(s, found[s]) for s in first + sorted(set(found) - set(first))]
-    if root in folders:
-        return [("train", folders[root])]
-    if folders:
-        raise ValueError(f"{path} is above several datasets: name one of them")
-    return []
-
-
 def dataset_files(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """``(split, shard_idx, file, path)`` in the order of the state files."""
-    folders = _folders(spark, path)
-    if split is not None:
-        folders = [f for f in folders if f[0] == split]
-        if not folders:
+    """``(split, shard_idx, file, path)``; each split's state file is read by a task of its own."""
+    _register(spark)
+    if not split_folders(path, None if split is None else {split}):
+        if split is not None and split_folders(path):
             raise ValueError(f"requested split {split!r} not found in dataset")
-    parts = []
-    for name, folder in folders:
-        state = spark.read.schema("_data_files array<struct<filename:string>>").json(f"{folder}/state.json", multiLine=True)
-        files = state.select(F.posexplode("_data_files").alias("shard_idx", "f"))
-        parts.append(files.select(F.lit(name).alias("split"), "shard_idx", F.col("f.filename").alias("file"),
-                                  F.concat(F.lit(f"{folder}/"), "f.filename").alias("path")))
-    if not parts:
-        raise FileNotFoundError(f"no dataset state below {path}")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+        raise FileNotFoundError(f"no dataset state in {path} or its folders")
+    return _source(spark, path, split).option("list", "true").load()
+
+
+def _source(spark: SparkSession, path: str, split: str | None):
+    reader = spark.read.format(FORMAT).option("path", path)
+    return reader if split is None else reader.option("splits", json.dumps([split]))
 
 
 def file_manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """``(split, shard_idx, file, bytes, sha256)``: the stored files' digests."""
+    """``(split, shard_idx, file, bytes, sha256)``: the stored files' digests.
+
+    With ``split`` only that split's files are opened. A file that the state
+    names and that is not there has a null digest.
+    """
     files = dataset_files(spark, path, split)
-    digests = file_digests(spark, path, pattern="*.arrow")
-    return files.join(digests, "path", "left").select("split", "shard_idx", "file", "bytes", "sha256")
+    return files.join(listed_digests(files), "path", "left").select("split", "shard_idx", "file", "bytes", "sha256")
 
 
-def read_dataset(spark: SparkSession, path: str, split: str | None = None, positions: bool = False) -> DataFrame:
-    """Rows of all shards with their split as a column.
+def read_dataset(spark: SparkSession, path: str, split: str | None = None, positions: bool = False,
+                 columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows of all shards with their split as a column, in one scan.
 
+    With ``split`` no file of another split is looked at; ``columns`` are the
+    only ones decoded.
     ``positions`` adds ``row_idx``, the row's place in its split. It follows
     from the recorded row counts, so nothing is shuffled.
     """
     _register(spark)
-    files = dataset_files(spark, path, split)
+    if split is not None and not split_folders(path, {split}):
+        raise ValueError(f"requested split {split!r} not found in dataset")
+    reader = _source(spark, path, split)
+    if columns is not None:
+        reader = reader.option("columns", json.dumps(list(columns)))
     if positions:
-        counts = recorded_manifest(spark, path).select("split", "shard_idx", "rows")
-        files = files.join(counts, ["split", "shard_idx"], "left")
-    by_split: dict[str, list] = {}
-    for row in files.orderBy("split", "shard_idx").collect():
-        by_split.setdefault(row["split"], []).append(row)
-    whole = None
-    for name, rows in by_split.items():
-        reader = spark.read.format(FORMAT).option("files", json.dumps([r["path"].removeprefix("file:") for r in rows]))
-        if positions:
-            firsts = [0, *itertools.accumulate(r["rows"] for r in rows)][:-1]
-            reader = reader.option("firsts", json.dumps(firsts))
-        part = reader.load().withColumn("split", F.lit(name))
-        whole = part if whole is None else whole.unionByName(part)
-    return whole
+        reader = reader.option("positions", "true")
+    return reader.load()
 
 
 def load(spark: SparkSession, path: str | None = None, split: str | None = None, mode: str = "row"):

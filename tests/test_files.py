@@ -110,6 +110,54 @@ def test_loader(spark, big, tmp_path):
         shards.load(spark, path, split="dev")
 
 
+def test_only_the_files_asked_for_are_opened(spark, big, tmp_path):
+    path = str(tmp_path / "ds")
+    many = big.withColumn("split", F.when(F.col("k") % 2 == 0, F.concat(F.lit("part "), F.col("k") % 40)).otherwise("test"))
+    shards.write_dataset(many, path, "k", 0.1, "split")
+    assert shards.read_dataset(spark, path).count() == big.count()
+    wanted = sorted(r.k for r in many.where("split = 'test'").collect())
+    for file in Path(path).glob("part*/*"):  # whoever opens these fails
+        file.write_bytes(b"broken")
+    (Path(path) / "part 2" / "state.json").write_text("{")
+    rows = shards.read_dataset(spark, path, "test")
+    assert sorted(r.k for r in rows.collect()) == wanted and rows.where("split <> 'test'").count() == 0
+    assert shards.file_manifest(spark, path, "test").where("sha256 is null").count() == 0
+    with pytest.raises(Exception, match="state.json|JSON|Expecting"):
+        shards.read_dataset(spark, path).collect()
+    next(Path(path, "test").glob("*.arrow")).unlink()
+    assert shards.file_manifest(spark, path, "test").where("sha256 is null").count() == 1
+
+
+def test_a_filter_changes_no_other_plan_over_the_same_rows(spark, big, tmp_path):
+    path = str(tmp_path / "ds")
+    shards.write_dataset(big, path, "k", 0.1, "split")
+    whole = shards.read_dataset(spark, path)
+    test = whole.where("split = 'test'")
+    assert test.count() + whole.where("split = 'train'").count() == whole.count() == big.count()
+    assert whole.join(test.select("k"), "k", "left_anti").count() == big.where("split = 'train'").count()
+
+
+def test_columns_and_positions_of_one_split(spark, big, tmp_path):
+    path = str(tmp_path / "ds")
+    shards.write_dataset(big, path, "k", 0.05, "split")
+    rows = shards.read_dataset(spark, path, "test", positions=True, columns=["k"])
+    assert rows.columns == ["k", "row_idx", "split"]
+    got = sorted((r.row_idx, r.k) for r in rows.collect())
+    assert got == list(enumerate(sorted(r.k for r in big.where("split = 'test'").collect())))
+    assert shards.read_dataset(spark, path, columns=["text", "k"]).columns == ["text", "k", "split"]
+    assert shards.read_dataset(spark, path, columns=["text", "k"]).where("text is null or k is null").count() == 0
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Exchange" not in plan
+
+
+def test_more_splits_than_any_cap(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").alias("k"), F.format_string("s%05d", F.col("id")).alias("split"))
+    shards.write_dataset(df, str(tmp_path / "m"), "k", 1, "split")
+    files = shards.dataset_files(spark, str(tmp_path / "m"))
+    assert files.count() == 300 and files.where("split = 's00007'").first().path.endswith("/s00007/data-00000-of-00001.arrow")
+    assert [r.k for r in shards.read_dataset(spark, str(tmp_path / "m"), "s00123").collect()] == [123]
+
+
 def test_unsplit_dataset_and_foreign_files(spark, tmp_path):
     table = pa.table({"text": ["a", "b", "c"]})
     for i in range(2):
@@ -196,3 +244,26 @@ def test_category_bound(spark, monkeypatch):
     monkeypatch.setattr(features, "MAX_CATEGORIES", 3)
     with pytest.raises(ValueError):
         features.one_hot(spark.range(5).withColumn("c", F.col("id").cast("string")), ["c"])
+
+
+def test_sparse_one_hot_is_the_wide_form_without_zeros(spark):
+    rows = [(1, 2.0, "b", "x"), (2, None, "a", "y"), (3, 4.0, None, "y"), (4, 0.0, "c", None), (4, 0.5, "c", "x")]
+    df = spark.createDataFrame(rows, "k bigint, v double, c string, d string").repartition(3)
+    wide, sparse = features.one_hot(df, ["c", "d"], ["v"], ["k"]), features.sparse_one_hot(df, ["c", "d"], ["v"], ["k"])
+    names = wide.columns[1:]
+    dense = sorted((r.k, *[(r[n] or 0.0) for n in names]) for r in wide.collect())
+    found = []
+    for r in sparse.collect():
+        line = [0.0] * len(names)
+        for i, x in zip(r.indices, r["values"], strict=True):
+            line[i] = x
+        found.append((r.k, *line))
+    assert sorted(found) == dense
+    levels = features.level_table(df.where("k < 3"), ["c", "d"])
+    assert {r.k: r.indices for r in features.sparse_one_hot(df, ["c", "d"], [], ["k"], levels).collect() if r.k != 4} == {1: [0], 2: [1], 3: [1]}
+
+
+def test_sparse_one_hot_of_many_categories(spark):
+    df = spark.range(100_000).select(F.col("id").alias("k"), F.format_string("c%07d", F.col("id")).alias("c"))
+    made = features.sparse_one_hot(df, ["c"], [], ["k"])
+    assert made.where("k > 0 and (size(indices) <> 1 or indices[0] <> k - 1)").count() == 0 and made.where("k = 0 and size(indices) = 0").count() == 1

@@ -35,18 +35,43 @@ def test_words_counts_and_ties(spark, docs):
     counter = Counter(w for r in rows_of(docs) for w in plain_words(r.text))
     counts = words.word_counts(docs)
     assert {r.word: r.n for r in counts.collect()} == dict(counter)
-    for made in (counts, words.word_counts(docs, exact_order=True)):
+    by_text = words.word_counts(docs.withColumn("doc_id", F.format_string("%09d", F.col("doc_id"))))  # ids that are no numbers
+    for made in (counts, by_text):
         for k in (3, 100):
             assert [(r.word, r.n) for r in words.top_words(made, k).orderBy("rank").collect()] == counter.most_common(k)
     lengths = {r.length: r.n_words for r in words.word_lengths(counts).collect()}
     assert lengths == dict(Counter(len(w) for w in counter))
 
 
-def test_position_that_does_not_fit_is_refused(spark):
-    df = spark.createDataFrame([(1 << 40, "word")], "doc_id bigint, text string")
-    with pytest.raises(Exception, match="too large to order"):
-        words.word_counts(df).collect()
-    assert words.word_counts(df, exact_order=True).count() == 1
+def test_first_seen_has_one_type_for_all_ids(spark):
+    ids = [-(2**63), -5, 0, 1, 1 << 40, 2**63 - 1]
+    kinds = set()
+    for some in (ids, ids[2:4], []):
+        df = spark.createDataFrame([(i, f"word{'abcdef'[n]} word{'abcdef'[n]} shared") for n, i in enumerate(some)], "doc_id bigint, text string")
+        counts = words.word_counts(df.repartition(3))
+        kinds.add(counts.schema.simpleString())
+        want = [("shared", len(some))] * bool(some) + [(f"word{'abcdef'[n]}", 2) for n in range(len(some))]
+        order = {"shared": (min(some, default=0), 2)} | {f"word{'abcdef'[n]}": (i, 0) for n, i in enumerate(some)}
+        want.sort(key=lambda w: (-w[1], order[w[0]]))
+        assert [(r.word, r.n) for r in words.top_words(counts, 100).orderBy("rank").collect()] == want
+    assert len(kinds) == 1
+
+
+def test_top_of_any_size_without_one_task_for_all(spark, docs, monkeypatch):
+    rng = __import__("random").Random(2)
+    pool = [f"w{a}{b}" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
+    df = spark.createDataFrame([(rng.choice([-1, 1]) * i * 10**9, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(300)],
+                               "doc_id bigint, text string").repartition(4)
+    counts = words.word_counts(df)
+    for k in (1, 7, 100, 10_000):
+        monkeypatch.setattr(words, "DIRECT", 10**9)
+        want = [tuple(r) for r in words.top_words(counts, k).orderBy("rank").collect()]
+        monkeypatch.setattr(words, "DIRECT", 0)
+        made = words.top_words(counts, k)
+        assert [tuple(r) for r in made.orderBy("rank").collect()] == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.replace("SinglePartition, ENSURE_REQUIREMENTS, [plan_id", "") or "TakeOrdered" not in plan
+    assert words.top_words(counts.where("false"), 10).count() == 0
 
 
 def test_stop_words_do_not_reach_the_shuffle_and_count_is_hashed(spark, docs):
