@@ -48,8 +48,9 @@ def multiset_digest(spark, sf_dir):
 
 def multiset_of_orders(spark, sf_dir):
     """State of a wide table without positions, by status."""
-    orders = table(spark, sf_dir, "orders")
-    return multiset.multiset_state(orders, ["o_orderkey", "o_custkey", "o_orderpriority"], by=["o_orderstatus"])
+    orders = table(spark, sf_dir, "orders").withColumns({
+        "o_totalprice": F.col("o_totalprice").cast("decimal(18,4)").cast("string"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")})
+    return multiset.multiset_state(orders, ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"], by=["o_orderstatus"])
 
 
 def multiset_remove(spark, sf_dir):
@@ -155,13 +156,23 @@ def evidence_verification(spark, sf_dir):
 
 
 def dataset_binding(spark, sf_dir):
-    """File digests and row digests of one stored dataset, bound together."""
-    docs = _docs(spark, sf_dir).select("doc_id", "text", F.when(F.col("lang") == "en", "train").otherwise("test").alias("split"))
+    """File digests and row digests of one stored dataset, bound together.
+
+    The rows are bound as they were read, and not with one row changed, missing
+    or doubled.
+    """
+    docs = _docs(spark, sf_dir).withColumn("split", F.when(F.col("lang") == "en", "train").otherwise("test"))
     path = fresh_path(spark, "bound")
     shards.write_dataset(docs, path, "doc_id", 0.25, "split")
     read = shards.read_dataset(spark, path)
-    made = evidence.bind(shards.file_manifest(spark, path), docs, read, ["text"], "doc_id")
-    return made.select("split", "n_rows", "n_accesses", "bound")
+    manifest, seventh = shards.file_manifest(spark, path), F.col("doc_id") == 7
+    seen = {"read": read, "changed": read.withColumn("source", F.when(seventh, "?").otherwise(F.col("source"))),
+            "missing": read.where(~seventh), "doubled": read.unionByName(read.where(seventh))}
+    made = None
+    for kind, rows in seen.items():
+        part = evidence.bind(manifest, docs, rows, DOC[1:], "doc_id").select(F.lit(kind).alias("kind"), "split", "n_rows", "n_accesses", "bound")
+        made = part if made is None else made.unionByName(part)
+    return made
 
 
 def config_canonical(spark, sf_dir):
@@ -276,6 +287,7 @@ SELECT doc_id, '{"text": ' || array_to_string(list_transform(string_split(to_jso
     "row_encoding": f"SELECT doc_id, {JSON_ROW} || '#' || doc_id AS element FROM documents",
     "multiset_state": state(ALL),
     "multiset_of_orders": state("SELECT o_orderstatus, to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, "
+                                "'o_totalprice': o_totalprice::DECIMAL(18,4)::VARCHAR, 'o_orderdate': strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), "
                                 "'o_orderpriority': o_orderpriority})::VARCHAR AS elem FROM orders", ("o_orderstatus",)),
     "multiset_remove": state(f"{element('documents', D, 'doc_id', '1 AS sign, ')} UNION ALL "
                              + element("SELECT * FROM documents WHERE lang = 'en'", D, "doc_id", "-1 AS sign, "), signed=True),
@@ -302,8 +314,10 @@ FROM (SELECT doc_id, sha256({JSON_ROW}) AS h FROM documents)""",
 WITH e AS ({CLAIMS}) SELECT proof, section, name, CASE name WHEN 'src3' THEN 'mismatch' WHEN 'src5' THEN 'missing' ELSE 'match' END AS status
 FROM e UNION ALL SELECT proof, section, 'src99', 'extra' FROM e WHERE name = 'src1'""",
     "dataset_binding": """
-SELECT CASE WHEN lang = 'en' THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows, count(*) AS n_accesses, true AS bound
-FROM documents GROUP BY 1""",
+SELECT kind, CASE WHEN lang = 'en' THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows,
+       count(*) + CASE kind WHEN 'missing' THEN -1 WHEN 'doubled' THEN 1 ELSE 0 END * count(*) FILTER (doc_id = 7) AS n_accesses,
+       kind = 'read' OR count(*) FILTER (doc_id = 7) = 0 AS bound
+FROM documents, (VALUES ('read'), ('changed'), ('missing'), ('doubled')) v(kind) GROUP BY ALL""",
     "config_canonical": """
 SELECT p_partkey, config, sha256(config) AS sha256 FROM (
   SELECT p_partkey, '{"brand":"' || p_brand || '","name":"' || p_name || '","type":"' || p_type || '"}' AS config FROM part)""",

@@ -51,6 +51,12 @@ def one_hot_categories(spark, sf_dir):
     return made.select(*[F.col(f"`{c}`").cast("bigint").alias(c) for c in made.columns])
 
 
+def sparse_categories(spark, sf_dir):
+    """Numbers and categories, as many as there are parts, as entries of a sparse row."""
+    made = features.sparse_one_hot(table(spark, sf_dir, "part"), ["p_type", "p_name"], ["p_size"], ["p_partkey"])
+    return made.select("p_partkey", F.explode(F.arrays_zip("indices", "values")).alias("e")).select("p_partkey", "e.indices", "e.values")
+
+
 def aligned_feature_groups(spark, sf_dir):
     """Features, target and sensitive attributes of each row."""
     made = features.aligned_groups(
@@ -62,7 +68,7 @@ def aligned_feature_groups(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    pixel_arrays, normalised_channels, random_crops, binarised_attributes, one_hot_categories, aligned_feature_groups)}
+    pixel_arrays, normalised_channels, random_crops, binarised_attributes, one_hot_categories, sparse_categories, aligned_feature_groups)}
 
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
@@ -85,6 +91,13 @@ FROM p""",
 SELECT c_custkey, (c_acctbal > 3000)::BIGINT AS rich, (c_nationkey = 0)::BIGINT AS first_nation,
        (c_mktsegment = 'HOUSEHOLD')::BIGINT AS household FROM customer""",
     "one_hot_categories": None,
+    "sparse_categories": """
+WITH t AS (SELECT DISTINCT p_type AS v FROM part), n AS (SELECT DISTINCT p_name AS v FROM part),
+tl AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS level FROM t), nl AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS level FROM n),
+e AS (SELECT p_partkey, 0 AS indices, p_size::DOUBLE AS values FROM part
+      UNION ALL SELECT p_partkey, level, 1.0 FROM part JOIN tl ON v = p_type WHERE level > 0
+      UNION ALL SELECT p_partkey, level + (SELECT count(*) - 1 FROM t), 1.0 FROM part JOIN nl ON v = p_name WHERE level > 0)
+SELECT p_partkey, indices::BIGINT AS indices, values::DOUBLE AS values FROM e""",
     "one_hot_categories": "SELECT p_partkey, p_size::BIGINT AS p_size, " + ", ".join(
         f"(p_type = '{t}')::BIGINT AS p_type_{t}" for t in TYPES[1:]) + " FROM part",
     "aligned_feature_groups": """

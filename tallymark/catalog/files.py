@@ -45,8 +45,8 @@ def cumulative_files(spark, sf_dir):
 
 
 def _split_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return docs.select("doc_id", "text", F.when(F.col("lang") == "en", "train").otherwise("test").alias("split"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.withColumn("split", F.when(F.col("lang") == "en", "train").otherwise("test"))
 
 
 def _written(spark, sf_dir):
@@ -62,7 +62,7 @@ def sharded_write(spark, sf_dir):
 def split_directory_scan(spark, sf_dir):
     """All rows of a stored dataset with their split."""
     path, _ = _written(spark, sf_dir)
-    return shards.read_dataset(spark, path).select("split", "doc_id", "text")
+    return shards.read_dataset(spark, path).select("split", "doc_id", "text", "lang", "source", "n_chars")
 
 
 def stored_file_digests(spark, sf_dir):
@@ -78,7 +78,7 @@ def dataset_loader(spark, sf_dir):
     """One split of a stored dataset."""
     path, _ = _written(spark, sf_dir)
     rows, _ = shards.load(spark, path, split="test", mode="row")
-    return rows.select("doc_id", "text")
+    return rows.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def ranked_csv(spark, sf_dir):
@@ -133,7 +133,8 @@ SELECT split, (dense_rank() OVER (PARTITION BY split ORDER BY raw) - 1)::INTEGER
   SELECT split, doc_id, coalesce(sum(w) OVER (PARTITION BY split ORDER BY doc_id
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {int(SHARD_MB * (1 << 20))} AS raw
   FROM (SELECT {SPLIT} AS split, doc_id,
-               8 + length('{{"doc_id":' || doc_id || '}}') + strlen(text) + length({SPLIT}) AS w FROM documents))
+               8 + length('{{"doc_id":' || doc_id || '}}') + strlen(text) + strlen(lang) + strlen(source)
+               + length('{{"n_chars":' || n_chars || '}}') + length({SPLIT}) AS w FROM documents))
 """
 
 ORACLES = {
@@ -142,9 +143,9 @@ WITH s AS ({SHARDED}), c AS (SELECT split, count(DISTINCT shard_idx) AS k FROM s
 SELECT split, shard_idx, split || '/' || printf('data-%05d-of-%05d.arrow', shard_idx, k) AS file, count(*) AS rows
 FROM s JOIN c USING (split) GROUP BY split, shard_idx, k
 """,
-    "split_directory_scan": f"SELECT {SPLIT} AS split, doc_id, text FROM documents",
+    "split_directory_scan": f"SELECT {SPLIT} AS split, doc_id, text, lang, source, n_chars FROM documents",
     "stored_file_digests": f"SELECT split, count(DISTINCT shard_idx) AS shards, true AS unchanged FROM ({SHARDED}) GROUP BY split",
-    "dataset_loader": "SELECT doc_id, text FROM documents WHERE lang <> 'en'",
+    "dataset_loader": "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE lang <> 'en'",
     "ranked_csv": f"""
 WITH top AS (SELECT *, row_number() OVER (ORDER BY n DESC, first_seen) AS rank FROM ({COUNTS}) ORDER BY rank LIMIT 10000),
 b AS (SELECT count(*)::INTEGER AS n_lines, 'Rank,Word,Frequency' || chr(13) || chr(10)

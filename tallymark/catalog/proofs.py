@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymark.catalog.evidence import evidence_sql
 from tallymark.catalog.sql import COUNTS, table, vocabulary
+from tallymark.catalog.evidence import DOC
 from tallymark.catalog.text import (CONVERSATION, DOCS, PIECES, bleu_sql, bleu_tokens_sql, chunks, conversation_samples, cut_sql, literal,
                                     ngrams_sql)
 from tallymark.operators import evidence as ev
@@ -63,11 +64,11 @@ def proof_preprocess_head(spark, sf_dir):
 
 def proof_bind(spark, sf_dir):
     """Stored files and rows read from them."""
-    docs = _docs(spark, sf_dir).select("doc_id", "text", F.lit("train").alias("split"))
+    docs = _docs(spark, sf_dir).withColumn("split", F.lit("train"))
     path = fresh_path(spark, "bound")
     shards.write_dataset(docs, path, "doc_id", 1, "split")
     read = shards.read_dataset(spark, path)
-    return _ordered(proofs.binding(shards.file_manifest(spark, path), docs, read, ["text"], "doc_id")[0])
+    return _ordered(proofs.binding(shards.file_manifest(spark, path), docs, read, DOC[1:], "doc_id")[0])
 
 
 def proof_pretrain_data(spark, sf_dir):
@@ -97,7 +98,7 @@ def proof_inference_data(spark, sf_dir):
 
 def proof_evaluation(spark, sf_dir):
     """Task splits and accuracy."""
-    items = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select(
+    items = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
         F.col("lang").alias("grp"), F.col("source").alias("task"), F.col("lang").alias("split"),
         F.concat_ws("-", "lang", "source").alias("leaf"), "doc_id", "text", "quality")
     scores = items.select("grp", F.col("leaf").alias("task"), F.col("doc_id").alias("item"),
@@ -210,10 +211,10 @@ FROM ({CONVERSATION}) GROUP BY conv_id"""
 
 RESULTS = """
 SELECT to_json({'grp': grp, 'task': task, 'n': n, 'correct': correct})::VARCHAR AS elem FROM (
-WITH c AS (SELECT lang AS grp, lang || '-' || source AS task, doc_id, quality, unnest(range(4)) AS choice FROM documents JOIN labels USING (doc_id)),
+WITH c AS (SELECT lang AS grp, lang || '-' || source AS task, doc_id, quality, unnest(range(4)) AS choice FROM documents LEFT JOIN labels USING (doc_id)),
 m AS (SELECT grp, task, doc_id, any_value(quality) AS answer,
       list(choice ORDER BY (doc_id * 7919 + choice * 104729) % 10 DESC, choice)[1] AS choice FROM c GROUP BY ALL)
-SELECT grp, task, count(*) AS n, sum((choice = answer)::BIGINT)::BIGINT AS correct FROM m GROUP BY ROLLUP (grp, task))"""
+SELECT grp, task, count(*) AS n, sum(coalesce(choice = answer, false)::BIGINT)::BIGINT AS correct FROM m GROUP BY ROLLUP (grp, task))"""
 
 ORACLES = {
     "proof_distribution": " UNION ALL ".join([
@@ -235,7 +236,7 @@ ORACLES = {
         _settings_row("inference", "inference_config"), _model_rows("inference", "model", "model")]),
     "proof_evaluation": " UNION ALL ".join([
         evidence_sql("eval", "dataset_hashes", "", "SELECT source || ':' || lang AS key, to_json({'text': text, 'quality': quality})::VARCHAR "
-                     "|| '#' || doc_id AS elem FROM documents JOIN labels USING (doc_id)", "key"),
+                     "|| '#' || doc_id AS elem FROM documents LEFT JOIN labels USING (doc_id)", "key"),
         evidence_sql("eval", "evaluation", "results", RESULTS), _settings_row("eval", "model_config"), _model_rows("eval", "model", "model"),
         _vocab_row("eval")]),
     "proof_evaluation_bleu": " UNION ALL ".join([

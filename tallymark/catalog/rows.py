@@ -65,7 +65,8 @@ def stratified_split(spark, sf_dir):
 def concatenate_shards(spark, sf_dir):
     """Shards appended in order, with positions over the whole."""
     docs = _docs(spark, sf_dir).select("doc_id", "lang")
-    parts = [docs.where(F.col("lang") == lang) for lang in ("fr", "en", "es", "de")]
+    langs = [r.lang for r in docs.select("lang").distinct().orderBy("lang").collect()]  # nulls first; each is one shard
+    parts = [docs.where(F.col("lang").eqNullSafe(F.lit(lang))) for lang in langs]
     return ordering.concatenate(parts, "doc_id").select("row_idx", "shard_idx", "doc_id")
 
 
@@ -124,7 +125,7 @@ SELECT doc_id, lang, source, CASE WHEN {_rank("sha256('0:' || doc_id)", 'lang, s
        < ceil(0.5::DOUBLE * count(*) OVER (PARTITION BY lang, source)) THEN 'test' ELSE 'train' END AS split FROM documents""",
     "concatenate_shards": f"""
 SELECT {_rank('shard_idx, doc_id')} AS row_idx, shard_idx, doc_id
-FROM (SELECT doc_id, (list_position(['fr', 'en', 'es', 'de'], lang) - 1)::BIGINT AS shard_idx FROM documents)""",
+FROM (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS shard_idx FROM documents)""",
     "membership_filter": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD')",
     "null_fill": "SELECT doc_id, coalesce(quality::VARCHAR, 'Unknown') AS quality FROM documents LEFT JOIN labels USING (doc_id)",
     "batched_map": "SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents",

@@ -36,6 +36,11 @@ def top_words(spark, sf_dir):
     return words.top_words(words.word_counts(_docs(spark, sf_dir))).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def ranked_words(spark, sf_dir):
+    """Ranks of up to a million words, more than one task may sort."""
+    return words.top_words(words.word_counts(_docs(spark, sf_dir)), 1_000_000)
+
+
 def word_lengths(spark, sf_dir):
     """Lengths of the distinct words."""
     made = words.word_lengths(words.word_counts(_docs(spark, sf_dir)))
@@ -146,8 +151,8 @@ def conversation_samples(spark, sf_dir):
     story = chat.first_per_group(turns.where("role = 'system'"), "conv_id", "turn", 1).select("conv_id", F.col("text").alias("story"))
     asked = chat.first_per_group(turns.where("role = 'user'"), "conv_id", "turn", 5, "question_no")
     questions = asked.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("question_no", "text"))).alias("q"))
-    samples = questions.join(story, "conv_id", "left").select(
-        "conv_id", "story", F.transform("q", lambda x: x["text"]).alias("questions"))
+    samples = turns.select("conv_id").distinct().join(questions, "conv_id", "left").join(story, "conv_id", "left").select(
+        "conv_id", "story", F.coalesce(F.transform("q", lambda x: x["text"]), F.array().cast("array<string>")).alias("questions"))
     replies = chat.first_per_group(turns.where("role = 'assistant'"), "conv_id", "turn", 5, "question_no").select(
         "conv_id", "question_no", F.col("text").alias("reply"))
     return samples, replies
@@ -200,7 +205,7 @@ def parallel_pairs(spark, sf_dir):
 
 def task_accuracy(spark, sf_dir):
     """Accuracy per task, group and overall from a table of choice scores."""
-    items = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    items = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     choices = items.select(F.col("lang").alias("grp"), F.concat_ws("-", "lang", "source").alias("task"),
                            F.col("doc_id").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("choice"))
     scores = choices.withColumn("score", (F.col("item") * 7919 + F.col("choice") * 104729) % 10)
@@ -218,7 +223,7 @@ def task_tree(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    word_extraction, word_frequency, top_words, word_lengths, token_cleaning, vocabulary, encoded_texts, encoded_by_join,
+    word_extraction, word_frequency, top_words, ranked_words, word_lengths, token_cleaning, vocabulary, encoded_texts, encoded_by_join,
     padded_texts, label_encoding, tokenized_texts, subword_tokens, packed_chunks, concatenated_sequences, instruction_prompt,
     few_shot_prompt, chat_rendering, conversation_building, stop_token_cut, prediction_extraction, corpus_bleu,
     ngram_statistics, parallel_pairs, task_accuracy, task_tree)}
@@ -256,7 +261,7 @@ WITH q AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER B
 r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS no FROM conversations WHERE role = 'assistant'),
 s AS (SELECT conv_id, arg_min(text, turn) AS story FROM conversations WHERE role = 'system' GROUP BY 1)
 SELECT DISTINCT conv_id, 0::BIGINT AS turn, 'system' AS role, {literal(text.CONTEXT_MESSAGE)} || coalesce(story, '') AS content
-FROM q LEFT JOIN s USING (conv_id)
+FROM conversations LEFT JOIN s USING (conv_id)
 UNION ALL SELECT conv_id, 2 * no + 1, 'user', text FROM q WHERE no < 5
 UNION ALL SELECT q.conv_id, 2 * q.no + 2, 'assistant', coalesce(r.text, '') FROM q LEFT JOIN r USING (conv_id, no) WHERE q.no < 5
 """
@@ -304,6 +309,7 @@ SELECT round(bp * m, 6) AS score, round(bp, 9) AS brevity, c::BIGINT AS pred_len
 ORACLES = {
     "word_extraction": f"SELECT doc_id, pos, word FROM ({WORDS})",
     "word_frequency": f"SELECT word, n FROM ({COUNTS})",
+    "ranked_words": f"SELECT row_number() OVER (ORDER BY n DESC, first_seen) AS rank, word, n FROM ({COUNTS}) ORDER BY rank LIMIT 1000000",
     "top_words": f"SELECT row_number() OVER (ORDER BY n DESC, first_seen) AS rank, word, n FROM ({COUNTS}) ORDER BY rank LIMIT 10000",
     "word_lengths": f"SELECT length(word) AS length, count(*) AS n_words FROM ({COUNTS}) GROUP BY 1",
     "token_cleaning": f"""
@@ -339,10 +345,11 @@ SELECT doc_id, regexp_replace(split_part(regexp_replace('  ' || text || chr(10)
 WITH d AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_idx FROM documents)
 SELECT a.row_idx, a.text AS de, b.text AS en FROM d a JOIN d b USING (row_idx) WHERE a.lang = 'de' AND b.lang = 'en'""",
     "task_accuracy": """
-WITH c AS (SELECT lang AS grp, lang || '-' || source AS task, doc_id, quality, unnest(range(4)) AS choice FROM documents JOIN labels USING (doc_id)),
+WITH c AS (SELECT lang AS grp, lang || '-' || source AS task, doc_id, quality, unnest(range(4)) AS choice FROM documents LEFT JOIN labels USING (doc_id)),
 m AS (SELECT grp, task, doc_id, any_value(quality) AS answer,
       list(choice ORDER BY (doc_id * 7919 + choice * 104729) % 10 DESC, choice)[1] AS choice FROM c GROUP BY ALL)
-SELECT grp, task, count(*) AS n, sum((choice = answer)::BIGINT)::BIGINT AS correct, round(avg((choice = answer)::INTEGER), 9) AS accuracy
+SELECT grp, task, count(*) AS n, sum(coalesce(choice = answer, false)::BIGINT)::BIGINT AS correct,
+       round(avg(coalesce(choice = answer, false)::INTEGER), 9) AS accuracy
 FROM m GROUP BY ROLLUP (grp, task)""",
     "task_tree": """
 SELECT DISTINCT 'all' AS grp, lang || '-' || source AS task FROM documents""",
