@@ -50,10 +50,18 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that no later plan reads."""
+    """Delete tables of ``materialise`` that no later plan reads.
+
+    Spark deletes the shuffle files of finished jobs when the driver collects
+    garbage, which a driver with memory to spare may not do for half an hour;
+    so it is asked to.
+    """
     for df in tables:
-        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        jvm = df.sparkSession._jvm
+        target = jvm.org.apache.hadoop.fs.Path(df._stored_at)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    if tables:
+        jvm.System.gc()
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
