@@ -151,11 +151,15 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
 
     def partial(held: list[tuple[np.ndarray, ...]]):
         ctx, symbol, parent, key = (np.concatenate(x) for x in zip(*held))
-        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        by = np.argsort(key)  # equal keys have equal parts, so any order of them will do
+        key = key[by]
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key, first, n = key[edge], by[edge], np.diff(edge, append=len(key))
         ctx, symbol, parent = ctx[first], symbol[first], parent[first] if order > 2 else parent
         split = (order == 1) | np.isin(ctx, heavy)
         bucket = (np.where(split, key, mix(ctx)) >> np.uint64(20)) % np.uint64(buckets)
-        by = np.lexsort((ctx, bucket))
+        bits = np.uint64(buckets.bit_length())
+        by = np.argsort((bucket << (np.uint64(64) - bits)) | (ctx >> bits))
         bucket = bucket[by].astype(np.int64)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
         arrays = [pa.array(bucket[edges[:-1]], pa.int64()), _packed(ctx[by], edges), _packed(symbol[by], edges),
@@ -311,7 +315,7 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
     hot = model.values.where(often).select("key", "value", "n").toArrow()  # fewer than HOT keys of each length
     keys, _, *sums = _add(hot["key"].to_numpy().view(np.uint64), hot["value"].to_numpy(), hot["n"].to_numpy())
     frequent = spark.sparkContext.broadcast((keys, *sums))
-    rare = spark.sparkContext.broadcast(filter_of(model.values.where(~often)))
+    held = spark.sparkContext.broadcast(filter_of(model.values))
     buckets = max(BUCKETS, model.tokens // BUCKET_TOKENS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     facts = ["place", "doc_id", "held_out", "n_tokens", "value", "base", "known"]
@@ -325,9 +329,9 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
     def row(kind: pa.DataType, names: list[str], n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, types[c][1] or kind) for c in names], names=names)
 
-    def requests(kind: pa.DataType, block: int, held: list):
-        key, place = (np.concatenate(x) for x in zip(*held))
-        by = np.lexsort((place, key))
+    def requests(kind: pa.DataType, block: int, asked: list):
+        key, place = (np.concatenate(x) for x in zip(*asked))
+        by = np.argsort(key, kind="stable")  # places of one key were found in ascending order
         key, place = key[by], place[by]
         edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])))) if len(key) else np.zeros(0, np.int64)
         times = np.diff(edge, append=len(key))
@@ -347,8 +351,8 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
             yield whole.slice(at, 512)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        task, blocks, n, held = TaskContext.get().partitionId(), 0, 0, []
-        size, (top, value, count), bits = 0, frequent.value, rare.value
+        task, blocks, n, asked = TaskContext.get().partitionId(), 0, 0, []
+        size, (top, value, count), bits = 0, frequent.value, held.value
         base = _base(count)
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
@@ -359,15 +363,14 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
                 for length, ends, every in grams(flat, sizes, depth + 1):
                     if length == 1:
                         ends = np.arange(len(flat))  # the begin mark counts as a context
+                    ends = ends[in_filter(bits, every[ends])]
                     mine, at = every[ends], owner[ends]
                     hit = np.minimum(np.searchsorted(top, mine), max(len(top) - 1, 0))
                     found = top[hit] == mine if len(top) else np.zeros(len(mine), bool)
                     for total, column in zip(sums, (value + base, base, base > 0)):
                         np.add.at(total, at[found], column[hit[found]])
-                    rest = ~found
-                    rest[rest] = in_filter(bits, mine[rest])
-                    held.append((mine[rest], at[rest] + n))
-                    size += int(rest.sum())
+                    asked.append((mine[~found], at[~found] + n))
+                    size += len(mine) - int(found.sum())
                 m, block = part.num_rows, (task << 32) | blocks
                 yield row(part.column(0).type, ask, m, block=pa.array(np.full(m, block), pa.int64()),
                           bucket=pa.array(np.full(m, (task + blocks) % buckets), pa.int64()), place=pa.array(np.arange(n, n + m), pa.int32()),
@@ -375,10 +378,10 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
                           base=pa.array(sums[1]), known=pa.array(sums[2]))
                 n += m
                 if size >= TOKENS or n > PLACES - 100:
-                    yield from requests(part.column(0).type, block, held)
-                    blocks, n, held, size = blocks + 1, 0, [], 0
-        if held:
-            yield from requests(part.column(0).type, (task << 32) | blocks, held)
+                    yield from requests(part.column(0).type, block, asked)
+                    blocks, n, asked, size = blocks + 1, 0, [], 0
+        if asked:
+            yield from requests(part.column(0).type, (task << 32) | blocks, asked)
 
     def answer(asked: pa.Table, values: pa.Table) -> pa.Table:
         asked, kind = asked.combine_chunks(), asked.schema.field("doc_id").type
