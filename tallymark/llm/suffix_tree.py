@@ -60,7 +60,7 @@ DEPTH, LEAST, PENALTY = 3, 64, 0.5
 #: A key is broadcast above one in so many training tokens, a context split above one in so many.
 HOT, SPLIT = 1 << 21, 1 << 12
 #: Bits of a filter, tokens counted together, texts in a block, buckets at least and training tokens for each bucket.
-FILTER_BITS, TOKENS, PLACES, BUCKETS, BUCKET_TOKENS = 1 << 27, 2_000_000, 1 << 16, 4096, 1 << 17
+FILTER_BITS, TOKENS, PLACES, BUCKETS, BUCKET_TOKENS = 1 << 27, 1_000_000, 1 << 16, 4096, 1 << 17
 #: Log probabilities are integers in units of 1 / UNIT.
 UNIT = 1 << 32
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
