@@ -314,10 +314,9 @@ FROM (SELECT doc_id, sha256({JSON_ROW}) AS h FROM documents)""",
 WITH e AS ({CLAIMS}) SELECT proof, section, name, CASE name WHEN 'src3' THEN 'mismatch' WHEN 'src5' THEN 'missing' ELSE 'match' END AS status
 FROM e UNION ALL SELECT proof, section, 'src99', 'extra' FROM e WHERE name = 'src1'""",
     "dataset_binding": """
-SELECT kind, CASE WHEN lang = 'en' THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows,
-       count(*) + CASE kind WHEN 'missing' THEN -1 WHEN 'doubled' THEN 1 ELSE 0 END * count(*) FILTER (doc_id = 7) AS n_accesses,
-       kind = 'read' OR count(*) FILTER (doc_id = 7) = 0 AS bound
-FROM documents, (VALUES ('read'), ('changed'), ('missing'), ('doubled')) v(kind) GROUP BY ALL""",
+SELECT kind, split, n AS n_rows, n + CASE kind WHEN 'missing' THEN -hit WHEN 'doubled' THEN hit ELSE 0 END AS n_accesses, kind = 'read' OR hit = 0 AS bound
+FROM (SELECT kind, CASE WHEN lang = 'en' THEN 'train' ELSE 'test' END AS split, count(*) AS n, count(*) FILTER (doc_id = 7) AS hit
+      FROM documents, (VALUES ('read'), ('changed'), ('missing'), ('doubled')) v(kind) GROUP BY 1, 2)""",
     "config_canonical": """
 SELECT p_partkey, config, sha256(config) AS sha256 FROM (
   SELECT p_partkey, '{"brand":"' || p_brand || '","name":"' || p_name || '","type":"' || p_type || '"}' AS config FROM part)""",

@@ -257,8 +257,10 @@ def cut_sql(col: str) -> str:
 
 
 CONVERSATION = f"""
-WITH q AS MATERIALIZED (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS no FROM conversations WHERE role = 'user'),
-r AS MATERIALIZED (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS no FROM conversations WHERE role = 'assistant'),
+WITH q AS MATERIALIZED (SELECT conv_id, text, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS no
+  FROM conversations WHERE role = 'user'),
+r AS MATERIALIZED (SELECT conv_id, text, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS no
+  FROM conversations WHERE role = 'assistant'),
 s AS MATERIALIZED (SELECT conv_id, arg_min(text, turn) AS story FROM conversations WHERE role = 'system' GROUP BY 1)
 SELECT DISTINCT conv_id, 0::BIGINT AS turn, 'system' AS role, {literal(text.CONTEXT_MESSAGE)} || coalesce(story, '') AS content
 FROM conversations LEFT JOIN s USING (conv_id)
