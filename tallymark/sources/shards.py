@@ -396,13 +396,23 @@ def recorded_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{path}/shards.jsonl")
 
 
+def _require(path: str, split: str | None) -> None:
+    """An error unless the path is one dataset that has the split."""
+    if split_folders(path, None if split is None else {split}):
+        return
+    if split is not None and split_folders(path):
+        raise ValueError(f"requested split {split!r} not found in dataset")
+    system, at = file_system(path)
+    below = system.get_file_info(fs.FileSelector(at)) if system.get_file_info(at).type == fs.FileType.Directory else []
+    if any(split_folders(f"{path.rstrip('/')}/{info.base_name}") for info in below if info.type == fs.FileType.Directory):
+        raise ValueError(f"{path} is above several datasets: name one of them")
+    raise FileNotFoundError(f"no dataset state in {path} or its folders")
+
+
 def dataset_files(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """``(split, shard_idx, file, path)``; each split's state file is read by a task of its own."""
     _register(spark)
-    if not split_folders(path, None if split is None else {split}):
-        if split is not None and split_folders(path):
-            raise ValueError(f"requested split {split!r} not found in dataset")
-        raise FileNotFoundError(f"no dataset state in {path} or its folders")
+    _require(path, split)
     return _source(spark, path, split).option("list", "true").load()
 
 
@@ -431,8 +441,7 @@ def read_dataset(spark: SparkSession, path: str, split: str | None = None, posit
     from the recorded row counts, so nothing is shuffled.
     """
     _register(spark)
-    if split is not None and not split_folders(path, {split}):
-        raise ValueError(f"requested split {split!r} not found in dataset")
+    _require(path, split)
     reader = _source(spark, path, split)
     if columns is not None:
         reader = reader.option("columns", json.dumps(list(columns)))
