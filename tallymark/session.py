@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 SPREAD_PIECES = 32
+#: Spark's own setting: shuffle files are deleted when the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,32 +39,37 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def without_leftovers(spark: SparkSession):
+    """Queries that run inside leave no shuffle files behind; the session keeps its setting."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage and survives lost executors; unlike a checkpoint it is
-    columnar, and its size is known to the planner.
+    columnar, and its size is known to the planner. The shuffle files of the
+    write go with its end, as nothing but the write can read them.
     """
     path = fresh_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    with without_leftovers(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that no later plan reads.
-
-    Spark deletes the shuffle files of finished jobs when the driver collects
-    garbage, which a driver with memory to spare may not do for half an hour;
-    so it is asked to.
-    """
+    """Delete tables of ``materialise`` that no later plan reads."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-    if tables:
-        jvm.System.gc()
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
