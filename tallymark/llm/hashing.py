@@ -68,6 +68,22 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     return word_spans(data)[0]
 
 
+def run_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of adjoining texts in one step, as ``word_hashes`` gives them text by text, and the words of each."""
+    low = int(offsets[0])
+    data, bounds = data[low:int(offsets[-1])], offsets - low
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
+    inside, cut = ~_SPACE[data], np.zeros(len(data) + 1, bool)
+    cut[bounds] = True
+    cut[1:-1] |= inside[1:] != inside[:-1]
+    start, end = np.flatnonzero(inside & cut[:-1]), np.flatnonzero(inside & cut[1:]) + 1
+    up, down = _tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), np.diff(np.searchsorted(start, bounds))
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column without its nulls' bytes, and the offsets of every row."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.batches import small_batches
-from tallymark.llm.hashing import _BASE, mix, texts_of, word_hashes
+from tallymark.llm.hashing import _BASE, mix, run_words, texts_of
 from tallymark.session import discard, materialise
 
 #: Longest context in words, occurrences a context needs for the test, and weight of the log in the test.
@@ -61,6 +61,8 @@ DEPTH, LEAST, PENALTY = 3, 64, 0.5
 HOT, SPLIT = 1 << 21, 1 << 12
 #: Bits of a filter, tokens counted together, texts in a block, buckets at least and training tokens for each bucket.
 FILTER_BITS, TOKENS, PLACES, BUCKETS, BUCKET_TOKENS = 1 << 27, 1_000_000, 1 << 16, 4096, 1 << 17
+#: Bytes of texts whose words are hashed in one step.
+RUN = 1 << 18
 #: Log probabilities are integers in units of 1 / UNIT.
 UNIT = 1 << 32
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
@@ -74,13 +76,21 @@ def held_out(doc_id: Column) -> Column:
 def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, each between a begin and an end mark, and the length of each with its marks."""
     data, offsets = texts_of(column)
-    parts, sizes = [], []
-    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        words = word_hashes(data[s:e])
-        parts += [[BEGIN], words, [END]]
-        sizes.append(len(words) + 2)
-    flat = np.concatenate(parts).astype(np.uint64) if parts else np.zeros(0, np.uint64)
-    return mix(flat), np.array(sizes, np.int64)
+    at, words, counts = 0, [np.zeros(0, np.uint64)], []
+    while at < len(column):  # as many texts at once as come to RUN bytes, or one that is longer
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + RUN, side="right")) - 1)
+        found, n = run_words(data, offsets[at:upto + 1])
+        words.append(found)
+        counts.append(n)
+        at = upto
+    sizes = np.concatenate(counts) + 2 if counts else np.zeros(0, np.int64)
+    flat = np.empty(int(sizes.sum()), np.uint64)
+    last = np.cumsum(sizes) - 1
+    flat[last - sizes + 1], flat[last] = BEGIN, END
+    marks = np.zeros(len(flat), bool)
+    marks[last - sizes + 1] = marks[last] = True
+    flat[~marks] = np.concatenate(words)
+    return mix(flat), sizes
 
 
 def longer(keys: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -122,6 +132,34 @@ def _add(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return unique, first, *sums
 
 
+class Places:
+    """Places of keys among sorted ones whose leading bits are even, as hashes are: a table of these bits leads close to each."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and the place of those that are."""
+        at = self.start[keys >> self.shift]
+        behind = np.flatnonzero(self.keys[at] < keys)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < keys[behind]]
+        found = (self.keys[at] == keys) & (at < len(self.keys) - 1)
+        return found, at[found]
+
+
+def _joined(column: pa.Array, kind) -> np.ndarray:
+    """The values of a binary column, one after the other, as numbers."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else [0, 0]
+    data = column.buffers()[2]
+    low, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    return np.frombuffer(data, kind, size // np.dtype(kind).itemsize, low) if size else np.zeros(0, kind)
+
+
 def _base(n: np.ndarray) -> np.ndarray:
     """Log10 of counts and one, in units."""
     return np.round(np.log10(n + 1.0) * UNIT).astype(np.int64)
@@ -287,9 +325,10 @@ def fit(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, penalty: float
         if not states[-1]:
             break
         grown = follow.join(kept.select("ctx"), "ctx", "left_semi")
+        grown = materialise(grown.select("key", "parent", "n", "p", _log10(F.col("p") / (F.col("q") * F.col("rest"))).alias("value")))
+        discard(follow)
         nothing = F.lit(0).cast("bigint").alias("n")
-        values += [grown.select("key", _log10(F.col("p") / (F.col("q") * F.col("rest"))).alias("value"), nothing,
-                                F.col("n").alias("seen")),
+        values += [grown.select("key", "value", nothing, F.col("n").alias("seen")),
                    kept.select(F.col("ctx").alias("key"), _log10(F.col("types") / F.col("c")).alias("value"), nothing, F.col("c").alias("seen"))]
         known = grown.select("key", "p")
         longest = grown.where(F.col("n") >= least).join(kept.select(F.col("ctx").alias("parent")), "parent", "left_semi")
@@ -353,7 +392,8 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
     def run(batches: Iterator[pa.RecordBatch]):
         task, blocks, n, asked = TaskContext.get().partitionId(), 0, 0, []
         size, (top, value, count), bits = 0, frequent.value, held.value
-        base = _base(count)
+        base, top = _base(count), Places(top)
+        whole, word = value + base, (count > 0).astype(np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
                 part = batch.slice(start, 100)
@@ -365,12 +405,14 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
                         ends = np.arange(len(flat))  # the begin mark counts as a context
                     ends = ends[in_filter(bits, every[ends])]
                     mine, at = every[ends], owner[ends]
-                    hit = np.minimum(np.searchsorted(top, mine), max(len(top) - 1, 0))
-                    found = top[hit] == mine if len(top) else np.zeros(len(mine), bool)
-                    for total, column in zip(sums, (value + base, base, base > 0)):
-                        np.add.at(total, at[found], column[hit[found]])
+                    found, hit = top.find(mine)
+                    owners = at[found]
+                    if length == 1:  # only words count for the base
+                        np.add.at(sums[1], owners, base[hit])
+                        np.add.at(sums[2], owners, word[hit])
+                    np.add.at(sums[0], owners, whole[hit])
                     asked.append((mine[~found], at[~found] + n))
-                    size += len(mine) - int(found.sum())
+                    size += len(mine) - len(owners)
                 m, block = part.num_rows, (task << 32) | blocks
                 yield row(part.column(0).type, ask, m, block=pa.array(np.full(m, block), pa.int64()),
                           bucket=pa.array(np.full(m, (task + blocks) % buckets), pa.int64()), place=pa.array(np.arange(n, n + m), pa.int32()),
@@ -386,20 +428,21 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
     def answer(asked: pa.Table, values: pa.Table) -> pa.Table:
         asked, kind = asked.combine_chunks(), asked.schema.field("doc_id").type
         known, _, value, n = _add(values["key"].to_numpy().view(np.uint64), values["value"].to_numpy(), values["n"].to_numpy())
+        rows = asked.filter(pa.compute.is_valid(asked["keys"])).select(["block", *ask[-4:]]).combine_chunks()
         columns = {c: [] for c in back if c not in facts}
-        for r in asked.filter(pa.compute.is_valid(asked["keys"])).select(["block", *ask[-4:]]).to_pylist() if len(known) else []:
-            key, sizes, place, times = (np.frombuffer(r[c], t) for c, t in zip(ask[-4:], (np.uint64, np.uint32, np.uint16, np.uint32)))
+        if len(known) and rows.num_rows:
+            key, sizes, place, times = (_joined(rows[c].combine_chunks(), t) for c, t in zip(ask[-4:], (np.uint64, np.uint32, np.uint16, np.uint32)))
+            asker = np.repeat(np.arange(rows.num_rows), pa.compute.binary_length(rows["keys"]).to_numpy() // 8)
             hit = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            found, hit = np.repeat(known[hit] == key, sizes), np.repeat(hit, sizes)
-            hit, place, times = hit[found], place[found], times[found]
+            found, hit, asker = (np.repeat(x, sizes) for x in (known[hit] == key, hit, asker))
+            hit, place, times, asker = hit[found], place[found], times[found], asker[found]
             word, tree = n[hit] > 0, value[hit] != 0
-            at, _, more = _add(place[tree], times[tree] * value[hit[tree]])
-            made = {"block": r["block"], "counts": n[hit[word]].astype(np.uint64).tobytes(), "word_places": place[word].tobytes(),
-                    "word_times": times[word].tobytes(), "more": more.tobytes(), "more_places": at.tobytes()}
-            for c, x in made.items():
-                columns[c].append(x)
+            at, _, more = _add((asker[tree].astype(np.uint64) << np.uint64(16)) | place[tree], times[tree] * value[hit[tree]])
+            edges = [np.searchsorted(x, np.arange(rows.num_rows + 1)).tolist() for x in (asker[word], at >> np.uint64(16))]
+            columns = {"block": rows["block"].combine_chunks(), "counts": _packed(n[hit[word]].astype(np.uint64), edges[0]), "word_places": _packed(place[word], edges[0]),
+                       "word_times": _packed(times[word], edges[0]), "more": _packed(more, edges[1]), "more_places": _packed((at & np.uint64(0xFFFF)).astype(np.uint16), edges[1])}
         texts = asked.filter(pa.compute.is_null(asked["keys"]))
-        columns = {c: pa.array(x, types[c][1]) for c, x in columns.items()}
+        columns = {c: x if len(x) else pa.array([], types[c][1]) for c, x in columns.items()}
         return pa.Table.from_batches([row(kind, back, len(columns["block"]), **columns),
                                       row(kind, back, texts.num_rows, **{c: texts[c].combine_chunks() for c in ["block", *facts]})])
 
@@ -408,12 +451,12 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
         texts = rows.filter(pa.compute.is_valid(rows["place"]))
         place = texts["place"].to_numpy()
         value, base, known = np.zeros((3, len(place)), np.int64)
-        for r in rows.filter(pa.compute.is_null(rows["place"])).select(back[-5:]).to_pylist():
-            plain, times = _base(np.frombuffer(r["counts"], np.uint64)), np.frombuffer(r["word_times"], np.uint32).astype(np.int64)
-            at = np.frombuffer(r["word_places"], np.uint16)
-            np.add.at(base, at, plain * times)
-            np.add.at(known, at, times)
-            np.add.at(value, np.frombuffer(r["more_places"], np.uint16), np.frombuffer(r["more"], np.int64))
+        told = rows.filter(pa.compute.is_null(rows["place"]))
+        counts, at, times, more, more_at = (_joined(told[c].combine_chunks(), t) for c, t in zip(back[-5:], (np.uint64, np.uint16, np.uint32, np.int64, np.uint16)))
+        times = times.astype(np.int64)
+        np.add.at(base, at, _base(counts) * times)
+        np.add.at(known, at, times)
+        np.add.at(value, more_at, more)
         value, base, known = (texts[c].to_numpy() + x[place] for c, x in (("value", value + base), ("base", base), ("known", known)))
         n = texts["n_tokens"].to_numpy()
         score_of = lambda x: pa.array(x / UNIT - n * unit)
