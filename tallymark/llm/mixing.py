@@ -7,17 +7,20 @@ output shards: a node splits its blocks between its two halves by one
 multivariate hypergeometric draw, so every shard gets its exact number of
 blocks and a random share of every source, and the shards add up to the quotas.
 
-A draw number of a source names an epoch and one block of the permuted stream,
-which every epoch begins elsewhere; shards own disjoint runs of draw numbers.
-So no block is sorted or sampled, the blocks of a document follow from its
-place in the stream by arithmetic, and a mix takes whole documents but for the
-few that lie across the end of a run. Only narrow rows
+A draw number of a source names an epoch and one block, by a permutation of the
+source's blocks that every epoch seeds anew; shards own disjoint runs of draw
+numbers. The permutation is the swap-or-not shuffle of Hoang, Morris and
+Rogaway (2012): a few rounds of arithmetic, for any number of blocks. So no
+block is sorted or sampled, and the blocks of a document follow from its place
+in the stream. Only narrow rows
 ``(doc_id, source, size)`` are shuffled, into cells that no source dominates.
 Per-source figures (words, targets, quotas) are the only thing the driver sees.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ BLOCK_WORDS = 128
 MOST_EPOCHS = 3
 #: Cells into which the documents of a source are dealt for their places.
 CELLS = 4096
+#: Rounds of a permutation.
+ROUNDS = 24
 #: Output shards of the mix.
 SHARDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,21 +71,43 @@ def targets(sizes: DataFrame, weights: Column | None = None, most: float = MOST_
     return levels.select(*ranked.columns, F.when(F.col("full"), limit).otherwise(shared * F.col("weight")).alias("target"))
 
 
+def _grown(x: int, by: int) -> float:
+    """``log((x + by)! / x!)``; for large ``x`` without the difference of two large logarithms."""
+    y = x + by
+    if min(x, y) < 1000:
+        return math.lgamma(y + 1) - math.lgamma(x + 1)
+    ends = [1 / (12 * z) - 1 / (360 * z**3) for z in (x, y)]
+    return (x + 0.5) * math.log1p(by / x) + by * (math.log(y) - 1) + ends[1] - ends[0]
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of ``take`` items drawn from ``good`` and ``bad`` ones are good, for numbers of any size.
+
+    Ratio of uniforms (Stadlober 1990): points of a rectangle that encloses the
+    distribution, kept if they lie under it. Time does not depend on the sizes.
+    """
+    low, high, both = max(0, take - bad), min(good, take), good + bad
+    if low == high:
+        return low
+    mean = take * (good / both)
+    variance = mean * (bad / both) * ((both - take) / max(1, both - 1))
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(variance + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    top = min(max((take + 1) * (good + 1) // (both + 2), low), high)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        x = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= x <= high:
+            d = x - top
+            if 2 * math.log(u) <= -(_grown(top, d) + _grown(good - top, -d) + _grown(take - top, -d) + _grown(bad - take + top, d)):
+                return x
+
+
 def _draw(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
-    """Multivariate hypergeometric draw; exact in its total and its limits."""
+    """Multivariate hypergeometric draw, one source after the other."""
     out, left, rest = np.zeros_like(counts), int(take), int(counts.sum())
     for i, n in enumerate(counts.tolist()):
         rest -= n
-        if rest + n == 0:
-            break
-        low, high = max(0, left - rest), min(n, left)
-        if max(n, rest, left) < 10**9:
-            got = int(rng.hypergeometric(n, rest, left)) if left else 0
-        else:  # beyond the generator's range the normal limit
-            share, both = n / (n + rest), n + rest
-            spread = (left * share * (1 - share) * (both - left) / max(1, both - 1)) ** 0.5
-            got = round(rng.normal(left * share, spread))
-        out[i] = min(max(got, low), high)
+        out[i] = hypergeometric(rng, n, rest, left)
         left -= int(out[i])
     return out
 
@@ -110,6 +137,14 @@ def split_quotas(quotas: list[int], shards: int, seed: int = 5) -> np.ndarray:
     return out
 
 
+def permuted(block: Column, blocks: Column, keys: Column) -> Column:
+    """A permutation of ``0 .. blocks - 1``: each key pairs the blocks, and a hash bit of the pair tells whether its two change places."""
+    def swap(x: Column, key: Column) -> Column:
+        other = F.pmod(key - x, blocks)
+        return F.when(F.xxhash64(F.greatest(x, other), key).bitwiseAND(1) == 1, other).otherwise(x)
+    return F.aggregate(keys, block.cast("bigint"), swap)
+
+
 def _places(rows: DataFrame) -> DataFrame:
     """Add ``start``: words before a document in its source's stream.
 
@@ -143,15 +178,16 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = 5, keep: tuple[str,
         quotas.append(epochs * n + min(rest, n))
     table = split_quotas(quotas, shards, seed)
     ends = np.cumsum(table, axis=0)
-    turns = [np.random.default_rng([seed, i]).integers(0, max(n, 1), MOST_EPOCHS).tolist() for i, n in enumerate(blocks)]
-    local = [(r.key, n, q, e, turns[i][e], [int(x) for x in ends[:, i]])
+    # equal keys modulo the blocks still have hash bits of their own
+    keys = [np.random.default_rng([seed, i]).integers(0, 2**62, (MOST_EPOCHS, ROUNDS)).tolist() for i in range(len(blocks))]
+    local = [(r.key, n, q, e, keys[i][e], [int(x) for x in ends[:, i]])
              for i, (r, n, q) in enumerate(zip(figures, blocks, quotas)) for e in range(-(-q // n) if n else 0)]
     epochs = docs.sparkSession.createDataFrame(
-        local, "key string, blocks bigint, quota bigint, epoch int, turn bigint, ends array<bigint>")
+        local, "key string, blocks bigint, quota bigint, epoch int, keys array<bigint>, ends array<bigint>")
     places = materialise(_places(rows).join(F.broadcast(sizes.select("key", "source_size", "target")), "key"))
     block = F.explode(F.sequence(F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(start + size - 1) div {BLOCK_WORDS}")))
     pieces = (places.where("size > 0").join(F.broadcast(epochs), "key").withColumn("block", block)
-              .withColumn("draw", F.col("epoch") * F.col("blocks") + F.pmod(F.col("block") + F.col("turn"), F.col("blocks")))
+              .withColumn("draw", F.col("epoch") * F.col("blocks") + permuted(F.col("block"), F.col("blocks"), F.col("keys")))
               .where("draw < quota"))
     first = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
     last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)

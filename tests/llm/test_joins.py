@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.llm import fingerprints, hashing, mixing, partenum, sharding
 
@@ -240,6 +242,29 @@ def test_splitting_tree():
     assert mixing.split_quotas([], 3).shape == (3, 0)
 
 
+def test_hypergeometric_draws_follow_the_distribution():
+    rng = np.random.default_rng(1)
+    good, bad, take = 12, 20, 9
+    got = np.bincount([mixing.hypergeometric(rng, good, bad, take) for _ in range(20_000)], minlength=10) / 20_000
+    want = np.array([math.comb(good, k) * math.comb(bad, take - k) for k in range(10)]) / math.comb(good + bad, take)
+    assert np.abs(got - want).max() < 0.015
+    assert [mixing.hypergeometric(rng, *x) for x in ((0, 5, 3), (5, 0, 3), (5, 5, 0), (5, 5, 10))] == [0, 3, 0, 5]
+    good, bad, take = 3 * 10**12, 10**12, 2 * 10**12  # far beyond numpy's generator
+    draws = np.array([mixing.hypergeometric(rng, good, bad, take) for _ in range(2000)], float)
+    spread = math.sqrt(take * 0.75 * 0.25 * (good + bad - take) / (good + bad - 1))
+    assert abs(draws.mean() - take * 0.75) < 5 * spread / math.sqrt(2000) and abs(draws.std() / spread - 1) < 0.08
+
+
+def test_blocks_are_permuted_and_not_rotated(spark):
+    keys = F.array(*[F.lit(k) for k in np.random.default_rng(2).integers(0, 2**62, mixing.ROUNDS).tolist()])
+    for n in (1, 2, 7, 1000):
+        blocks = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), keys).alias("draw")).orderBy("id").collect()
+        draws = [r.draw for r in blocks]
+        assert sorted(draws) == list(range(n))
+    assert sum(abs(a - b) == 1 for a, b in zip(draws, draws[1:])) < 12  # two of a thousand are expected by chance
+    assert abs(np.corrcoef(draws, range(n))[0, 1]) < 0.12
+
+
 def test_mix_of_odd_rows(edge, nothing):
     got = mixing.taken(edge).collect()
     assert len(got) == edge.count() and all(0 <= r.taken <= 3 * r.size for r in got)
