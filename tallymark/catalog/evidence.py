@@ -140,6 +140,24 @@ def evidence_payload(spark, sf_dir):
     return evidence.payload(_claims(spark, sf_dir))
 
 
+def seal_freshness(spark, sf_dir):
+    """Seals of all order lines, each against its order's challenge: 60 days to answer, urgent orders answered before.
+
+    A returned line's seal was made for the challenge of another order.
+    """
+    orders = table(spark, sf_dir, "orders")
+    nonce = lambda key: F.concat(F.lit("challenge-"), F.col(key).cast("string"))
+    lines = table(spark, sf_dir, "lineitem")
+    payload = F.concat_ws(",", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    answered = F.when(F.col("l_returnflag") == "R", nonce("l_partkey")).otherwise(nonce("l_orderkey"))
+    offers = lines.select("l_orderkey", "l_linenumber", payload.alias("offer"), nonce("l_orderkey").alias("nonce"), payload.alias("payload"),
+                          F.sha2(F.concat(payload, answered), 256).alias("report_data"), F.col("l_shipdate").cast("date").alias("received"))
+    issued = orders.select(nonce("o_orderkey").alias("nonce"), F.col("o_orderdate").cast("date").alias("issued"))
+    used = orders.where("o_orderpriority = '1-URGENT'").select(nonce("o_orderkey").alias("nonce"))
+    judged = evidence.judge_seals(offers, issued, used, F.expr("INTERVAL 60 DAYS"), bits=256)
+    return judged.select("l_orderkey", "l_linenumber", "payload", "report_data", "status")
+
+
 def evidence_seal(spark, sf_dir):
     """Payload with its 64-byte digest under a challenge."""
     return evidence.seal(evidence.payload(_claims(spark, sf_dir)), b"challenge")
@@ -232,7 +250,7 @@ def stream_state_log(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     object_digest, row_encoding, python_row_encoding, multiset_state, multiset_digest, multiset_of_orders, multiset_remove,
     multiset_merge, multiset_equality, digest_per_task_and_split, curve_digest, chain_blocks, chain_root, access_accounting,
-    accesses_by_task, accesses_two_epochs, accesses_file_mode, digest_rendering, evidence_payload, evidence_seal,
+    accesses_by_task, accesses_two_epochs, accesses_file_mode, digest_rendering, evidence_payload, evidence_seal, seal_freshness,
     evidence_verification, dataset_binding, config_canonical, artifact_manifest, vocabulary_comparison, tokenizer_equality,
     stream_multiset, stream_state_log)}
 
@@ -259,6 +277,26 @@ SELECT proof, '{{' || string_agg('"' || section || '":' || body, ',' ORDER BY se
   FROM ({evidence_rows}) GROUP BY proof, section) GROUP BY proof"""
 
 
+SEALS = """
+WITH offers AS (
+  SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS received, 'challenge-' || l_orderkey AS nonce,
+    concat_ws(',', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS payload,
+    sha256(concat_ws(',', l_orderkey, l_linenumber, l_partkey, l_suppkey) || 'challenge-'
+      || CASE WHEN l_returnflag = 'R' THEN l_partkey ELSE l_orderkey END) AS report_data FROM lineitem
+), register AS (
+  SELECT 'challenge-' || o_orderkey AS nonce, min(o_orderdate::DATE) AS issued, bool_or(o_orderpriority = '1-URGENT') AS used
+  FROM orders GROUP BY o_orderkey
+), told AS (
+  SELECT *, CASE WHEN issued IS NULL THEN 'unknown' WHEN report_data <> sha256(payload || nonce) THEN 'forged'
+    WHEN received < issued OR received > issued + 60 THEN 'expired' WHEN used THEN 'replayed' END AS fault
+  FROM offers LEFT JOIN register USING (nonce)
+), ranked AS (
+  SELECT *, dense_rank() OVER (PARTITION BY nonce, fault IS NULL ORDER BY received, payload) AS turn FROM told
+)
+SELECT l_orderkey, l_linenumber, payload, report_data,
+  coalesce(fault, CASE WHEN turn = 1 THEN 'fresh' ELSE 'replayed' END) AS status FROM ranked"""
+
+
 def _tokenizer_sql(lang):
     vocab = vocabulary(f"SELECT doc_id, text FROM documents WHERE lang = '{lang}'")
     return (f"SELECT 'vocabulary' AS section, word AS token, id::VARCHAR AS value FROM ({vocab}) UNION ALL "
@@ -278,6 +316,7 @@ EVENTS = state(element("SELECT *, floor(value * 100 + 0.5)::BIGINT AS cents FROM
                ("event_type",))
 
 ORACLES = {
+    "seal_freshness": SEALS,
     "object_digest": f"SELECT doc_id, sha256({JSON_ROW}) AS sha256 FROM documents",
     "python_row_encoding": r"""
 SELECT doc_id, '{"text": ' || array_to_string(list_transform(string_split(to_json(text)::VARCHAR, ''), lambda c:

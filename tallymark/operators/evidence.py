@@ -119,6 +119,33 @@ def verify_seal(sealed: DataFrame, nonce: bytes) -> DataFrame:
     return sealed.withColumn("fresh", again == F.col("report_data"))
 
 
+def judge_seals(offers: DataFrame, issued: DataFrame, used: DataFrame, lifetime: Column, bits: int = 512) -> DataFrame:
+    """Accept the seal of each issued challenge once: ``offers`` with ``status``.
+
+    ``offers`` has ``offer, nonce, payload, report_data, received``, ``issued``
+    the register of challenges (``nonce, issued``; the earliest row counts),
+    ``used`` the challenges answered before (``nonce``). A seal is ``unknown``
+    without a challenge, ``forged`` unless it is the digest of its payload and
+    challenge, ``expired`` if received before the issue or after ``lifetime``
+    from it, ``replayed`` if the challenge was used or an earlier valid offer
+    (then the smaller ``offer``) answers it, else ``fresh``. Rows of one
+    ``offer`` and time are one offer. The fresh rows' nonces belong into the
+    register of used ones.
+    """
+    register = issued.groupBy("nonce").agg(F.min("issued").alias("__issued"))
+    spent = used.select("nonce").distinct().withColumn("__used", F.lit(True))
+    told = offers.join(register, "nonce", "left").join(spent, "nonce", "left")
+    digest = F.sha2(F.concat(F.encode("payload", "UTF-8"), F.encode("nonce", "UTF-8")), bits)
+    in_time = (F.col("received") >= F.col("__issued")) & (F.col("received") <= F.col("__issued") + lifetime)
+    fault = (F.when(F.col("__issued").isNull(), "unknown").when(~F.coalesce(digest == F.col("report_data"), F.lit(False)), "forged")
+             .when(~F.coalesce(in_time, F.lit(False)), "expired").when(F.col("__used"), "replayed"))
+    told = told.withColumn("__fault", fault).withColumn("__turn", F.struct("received", "offer"))
+    # a minimum per challenge and not a ranking, so that a challenge with very many replays is never sorted
+    first = told.where(F.col("__fault").isNull()).groupBy("nonce").agg(F.min("__turn").alias("__first"))
+    status = F.coalesce("__fault", F.when(F.col("__turn") == F.col("__first"), "fresh").otherwise("replayed"))
+    return told.join(first, "nonce", "left").select(*[F.col(f"`{c}`") for c in offers.columns], status.alias("status"))
+
+
 def bind(manifest: DataFrame, stored: DataFrame, reads: DataFrame, cols: Sequence[str], idx: str) -> DataFrame:
     """Per split: file digests beside the digest of the rows read.
 

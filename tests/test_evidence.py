@@ -163,3 +163,24 @@ def test_streams_equal_batch(spark, docs, tmp_path):
     grown = docs.unionByName(docs.where("doc_id = 4"))
     want = sorted(multiset_state(grown, ["text"], "doc_id", ["lang"]).select("lang", *STATE).collect())
     assert sorted(streams.read_state_log(spark, log, ["lang"]).select("lang", *STATE).collect()) == want
+
+
+def test_a_challenge_is_answered_once(spark):
+    import datetime
+
+    day = lambda n: datetime.date(2024, 1, n)
+    made = lambda payload, nonce: hashlib.sha512((payload + nonce).encode()).hexdigest()
+    rows = [("a", "n1", "p", made("p", "n1"), day(5)), ("b", "n1", "p", made("p", "n1"), day(3)), ("c", "n1", "q", made("q", "n1"), day(3)),
+            ("d", "n1", "p", made("p", "n2"), day(2)), ("e", "n2", "p", made("p", "n2"), day(20)), ("f", "n2", "p", made("p", "n2"), day(1)),
+            ("g", "n3", "p", made("p", "n3"), day(3)), ("h", "n9", "p", made("p", "n9"), day(3)), ("i", None, "p", made("p", ""), day(3)),
+            ("j", "n2", None, made("p", "n2"), day(4)), ("k", "n2", "p", None, day(4)), ("l", "n2", "p", made("p", "n2"), None),
+            ("m", "n2", "p", made("p", "n2"), day(12)), ("m", "n2", "p", made("p", "n2"), day(12))]
+    offers = spark.createDataFrame(rows, "offer string, nonce string, payload string, report_data string, received date")
+    issued = spark.createDataFrame([("n1", day(2)), ("n1", day(9)), ("n2", day(2)), ("n3", day(2))], "nonce string, issued date")
+    used = spark.createDataFrame([("n3",), ("n3",)], "nonce string")
+    judged = ev.judge_seals(offers, issued, used, F.expr("INTERVAL 10 DAYS"))
+    assert judged.columns == [*offers.columns, "status"] and judged.count() == len(rows)
+    want = {"a": "replayed", "b": "fresh", "c": "replayed", "d": "forged", "e": "expired", "f": "expired", "g": "replayed", "h": "unknown",
+            "i": "unknown", "j": "forged", "k": "forged", "l": "expired", "m": "fresh"}
+    assert {r.offer: r.status for r in judged.collect()} == want
+    assert ev.judge_seals(offers.limit(0), issued, used, F.expr("INTERVAL 10 DAYS")).count() == 0
