@@ -31,6 +31,8 @@ from tallymark.session import fresh_path, join_small, materialise
 
 #: Compressed bytes after which a writer begins another archive.
 ARCHIVE_BYTES = 64 << 20
+#: Tasks that read archives at most.
+MOST_READERS = 10_000
 #: Bytes read from an archive at once.
 CHUNK = 1 << 16
 LEVEL = 3
@@ -253,7 +255,8 @@ def read(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return archives.select("path", "records").repartition("path").mapInArrow(
+    # a number of its own: rows of paths are so small that adaptive execution would hand them all to one task
+    return archives.select("path", "records").repartition(min(max(archives.count(), 1), MOST_READERS), "path").mapInArrow(
         run, "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, html string")
 
 
