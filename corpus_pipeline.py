@@ -43,8 +43,10 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced."""
-    found = secret_scan.scan(docs, secret_scan.fit(docs), redacted=True)
-    return found.select([f"`{c}`" for c in docs.columns]).withColumn("n_chars", F.length("text").cast("bigint"))
+    # the other columns wait in a struct, as the scan's own may have their names
+    others = F.struct([F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others")
+    found = secret_scan.scan(docs.select("text", others), secret_scan.fit(docs), redacted=True)
+    return found.select([F.col("text") if c == "text" else F.col(f"others.`{c}`").alias(c) for c in docs.columns]).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
