@@ -35,3 +35,13 @@ def test_stages(spark, tmp_path, edge, nothing):
                 assert read.count() == before.count() and read.where("text rlike '[0-9a-f]{24}'").count() == 0
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, edge, SF).collect()
+
+
+def test_secret_stage_keeps_columns_of_the_scan_s_names(spark):
+    rows = [(1, "password = hunter2hunter2", "mine", 7, "x"), (2, None, None, None, None), (3, "", "", 0, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, n_hex bigint, `a.b` string")
+    made = corpus_pipeline.secret_stage(spark, docs, "")
+    assert made.columns == [*docs.columns, "n_chars"]
+    got = {r.doc_id: r for r in made.collect()}
+    assert [(got[i].spans, got[i].n_hex, got[i]["a.b"]) for i in (1, 2, 3)] == [r[2:] for r in rows]
+    assert "hunter2" not in got[1].text and got[2].text is None and got[3].text == ""
