@@ -1,11 +1,10 @@
 """Quality rules: repeated words within a text, common lines across the texts of a host.
 
 A line's normal form lower-cases A-Z, writes every digit as 0 and every run of
-white space as one blank. A host's line is common if more than ``MIN_TEXTS``
-different texts and more than ``MAX_SHARE`` of the host's different texts hold
-it; exact copies count once, they are not boilerplate. Common lines are
-removed, and a document that keeps less than ``MIN_LEFT`` of its words is
-rejected as depleted.
+white space as one blank. A host's line is common if more than ``MAX_TEXTS``
+different texts of the host hold it, whatever the host's size; exact copies
+count once, they are not boilerplate. Common lines are removed, and a document
+that keeps less than ``MIN_LEFT`` of its words is rejected as depleted.
 
 Texts are read once and not moved; what is shuffled are narrow rows and 12
 bytes a line. Everything is DataFrame expressions.
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tallymark.session import materialise
 
-#: Different texts, and share of a host's different texts, above which a line is common.
-MIN_TEXTS, MAX_SHARE = 20, 0.01
+#: Different texts of a host above which a line is common there.
+MAX_TEXTS = 20
 #: Share of its words that a document must keep.
 MIN_LEFT = 0.5
 #: Words that a document must have, and percentage of repeated words it may have.
@@ -77,16 +76,13 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
         F.transform("raw_lines", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(_words(x)).alias("words"))).alias("lines"))
 
 
-def common_lines(texts: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE) -> DataFrame:
+def common_lines(texts: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
     """``host, line`` of the common lines; ``texts`` has one row per different text of a host."""
-    totals = texts.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    counts = (texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-              .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_texts))
-    return counts.join(totals, "host").where(F.col("n") > max_share * F.col("texts")).select("host", "line")
+    return (texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+              .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_texts).select("host", "line"))
 
 
-def judge(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE,
-          min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS, min_left: float = MIN_LEFT) -> DataFrame:
     """Measures of every row with ``removed_words, base_failed, kept``.
 
     Documents fail the base rules with fewer than ``MIN_WORDS`` words (so do
@@ -95,7 +91,7 @@ def judge(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, max
     """
     rows = materialise(measures(docs, host))
     texts = materialise(rows.groupBy("host", "text_hash").agg(F.first("lines").alias("lines")))
-    common = materialise(common_lines(texts, min_texts, max_share))
+    common = materialise(common_lines(texts, max_texts))
     lines = texts.select("host", "text_hash", F.inline("lines")).join(common, ["host", "line"])
     removed = materialise(lines.groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words")))
     judged = rows.drop("lines").join(removed, ["host", "text_hash"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
@@ -104,18 +100,23 @@ def judge(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, max
         "kept", ~failed & (F.col("n_words") - F.col("removed_words") >= min_left * F.col("n_words")))
 
 
-def without_common_lines(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs`` with the common lines of their host taken out of ``text``.
+def without_common_lines(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS) -> DataFrame:
+    """``docs`` with the common lines of their host taken out of ``text``; repeated rows stay repeated.
 
-    The common lines of a host travel to its rows as one array of hashes: at
-    most ``1 / max_share`` times the lines of an average text.
+    Lines meet the common ones as hashes of their text, which then travel to
+    the rows: at most the lines of one text for each row.
     """
-    texts = materialise(measures(docs, host).groupBy("host", "text_hash").agg(F.first("lines").alias("lines")))
-    common = common_lines(texts, min_texts, max_share).groupBy("host").agg(F.collect_set("line").alias("__common"))
     key = F.coalesce(F.concat(F.lit("0"), F.col(host).cast("string")), F.lit("1"))
-    joined = docs.withColumn("__host", key).join(materialise(common.withColumnRenamed("host", "__host")), "__host", "left")
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__common", F.xxhash64(normal_line(x))) | (F.translate(x, BLANKS, "") == ""))
-    return joined.withColumn("text", F.when(F.col("__common").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*[f"`{c}`" for c in docs.columns])
+    texts = materialise(measures(docs, host).groupBy("host", "text_hash").agg(F.first("lines").alias("lines")))
+    hit = (texts.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+           .join(materialise(common_lines(texts, max_texts)), ["host", "line"])
+           .groupBy("host", "text_hash").agg(F.collect_list("line").alias("common")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("host"), F.xxhash64(text, F.length(text)).alias("text_hash"))
+    joined = keyed.join(materialise(hit), ["host", "text_hash"], "left")
+    kept = F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("common", F.xxhash64(normal_line(x))) | (F.translate(x, BLANKS, "") == ""))
+    left = F.when(F.col("common").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    return joined.select([left if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = rf"""
@@ -136,10 +137,8 @@ WITH d AS (
     SELECT host, text, k, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
       'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l
     FROM (SELECT host, text, unnest(lines) AS raw, generate_subscripts(lines, 1) AS k FROM w))
-), totals AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host
 ), common AS (
-  SELECT host, l FROM (SELECT host, l, count(DISTINCT text) AS n FROM line GROUP BY host, l) JOIN totals USING (host)
-  WHERE n > {MIN_TEXTS} AND n > {MAX_SHARE} * texts
+  SELECT host, l FROM line GROUP BY host, l HAVING count(DISTINCT text) > {MAX_TEXTS}
 ), removed AS (SELECT host, text, sum(words) AS n FROM line JOIN common USING (host, l) GROUP BY host, text
 ), measured AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
