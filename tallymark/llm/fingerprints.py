@@ -1,8 +1,10 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs are its lines; a long line is cut further behind words
-whose hash says so, so an edit changes only the pieces around it. The set of
-their digests is kept in a sketch of cells (count, sum of digests, sum of check
+A text's paragraphs are its lines with their line feeds; a line is cut further
+behind words whose hash says so, so an edit changes only the pieces around it.
+A digest is of a piece's exact bytes, letter case and white space with them,
+and of how often the piece occurred before, so repeats count. The set of their
+digests is kept in a sketch of cells (count, sum of digests, sum of check
 values), each digest in three cells. Two sketches of one size subtract cell by
 cell; what both texts hold cancels out, and peeling cells that hold a single
 digest recovers the differing ones. When peeling stalls, both versions are
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.hashing import mix, word_spans
+from tallymark.llm.hashing import mix, span_hashes, word_spans
 
 #: Cells of a fingerprint; a multiple of 3. A stalled comparison goes on with ``GROW`` times the cells.
 CELLS, GROW = 24, 4
@@ -37,17 +39,24 @@ GROUP_CHARS = 1 << 21
 
 
 def pieces(data: np.ndarray) -> np.ndarray:
-    """Sorted distinct digests of the paragraphs of a text given as UTF-8 bytes."""
-    words, start, _ = word_spans(data)
-    if not len(words):
-        return words
-    line = np.cumsum(data == 10)[start]
-    cut = np.concatenate(([True], (line[1:] != line[:-1]) | (words[:-1] % np.uint64(PIECE) == 0)))
-    first = np.flatnonzero(cut)
-    place = np.arange(len(words)) - first[np.cumsum(cut) - 1]
-    weighed = words * (mix(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1))
-    length = np.diff(np.concatenate((first, [len(words)]))).astype(np.uint64)
-    return np.unique(mix(np.add.reduceat(weighed, first) + length))
+    """Sorted digests of the paragraphs of a text given as UTF-8 bytes; none of an empty text.
+
+    Equal pieces are told apart by their number of earlier occurrences, so
+    texts with one set of digests have the same pieces, each as often.
+    """
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    words, _, end = word_spans(data)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[np.flatnonzero(data == 10) + 1] = True
+    cut[end[words % np.uint64(PIECE) == 0]] = True
+    cut[0] = cut[-1] = True
+    at = np.flatnonzero(cut)
+    keys = np.sort(span_hashes(data, at[:-1], at[1:]))
+    first = np.concatenate(([True], keys[1:] != keys[:-1]))
+    place = np.arange(len(keys))
+    earlier = place - np.maximum.accumulate(np.where(first, place, 0))
+    return np.unique(mix(keys + mix(earlier.astype(np.uint64))))
 
 
 def _places(keys: np.ndarray, cells: int) -> np.ndarray:

@@ -63,6 +63,14 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the exact bytes of spans of one run of bytes."""
+    up, down = _tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """Hashes of the words of one run of UTF-8 bytes, in order."""
     return word_spans(data)[0]

@@ -324,3 +324,20 @@ def test_peeling_recovers_differences():
     for (a, b), (only_a, only_b) in zip(pairs, fingerprints.differences(pairs)):
         assert set(only_a.tolist()) == set(a.tolist()) - set(b.tolist()) and set(only_b.tolist()) == set(b.tolist()) - set(a.tolist())
     assert any(found is None for found in fingerprints.peel(pairs, fingerprints.CELLS))  # a small sketch stalls
+
+
+def test_fingerprints_are_of_exact_bytes_and_repeats():
+    def likeness(a, b):
+        a, b = ({int(x) for x in fingerprints.pieces(np.frombuffer(t.encode(), np.uint8))} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    text = "Alpha Beta\nGamma  delta\nx\n"
+    for other in ("alpha Beta\nGamma  delta\nx\n", "Alpha Beta\nGamma delta\nx\n", "Alpha Beta\n\nGamma  delta\nx\n", text + "x\n", text[:-1]):
+        assert 0 < likeness(text, other) < 1
+    # lines without a cut inside: the digests are as many as lines, and shared as often as both have a line
+    lines = [s for s in (f"l{i}" for i in range(300)) if len(fingerprints.pieces(np.frombuffer(f"{s}\n".encode(), np.uint8))) == 1][:20]
+    rng = random.Random(2)
+    for _ in range(50):
+        a, b = ([rng.choice(lines) for _ in range(rng.randint(1, 40))] for _ in range(2))
+        both, either = Counter(a) & Counter(b), Counter(a) | Counter(b)
+        assert likeness("".join(f"{x}\n" for x in a), "".join(f"{x}\n" for x in b)) == both.total() / either.total()
