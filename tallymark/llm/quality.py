@@ -66,14 +66,15 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return ((hashes >> np.uint64(20)) % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
 
 
-def _block_features(codes: np.ndarray) -> list[np.ndarray]:
+def _block_features(codes: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features of a block, and the hash of its last word; ``before`` is that of the block before, if any."""
     blank = (codes <= 32) | (codes == 0xA0) | (codes == 0x3000)
     # one border between words, one at either end
     keep = np.concatenate(([True], ~(blank[1:] & blank[:-1]))) if len(blank) else blank
     codes, blank = np.where(blank, 32, codes)[keep], blank[keep]
     codes = np.concatenate(([32], codes[int(blank[0]):len(codes) - int(blank[-1])], [32])).astype(np.uint64)
     if len(codes) < 3:
-        return []
+        return [], before
     border = codes == 32
     at = np.flatnonzero(border)
     start, end = at[:-1] + 1, at[1:]
@@ -82,8 +83,9 @@ def _block_features(codes: np.ndarray) -> list[np.ndarray]:
     spread ^= spread >> np.uint64(29)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread * up[:len(codes)])))
     words = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    pairs = mix(words[:-1] * np.uint64(_A) + words[1:])
-    out = [_bucket(words), _bucket(pairs), np.ones(int((words[1:] == words[:-1]).sum()), np.int64)]
+    run = np.concatenate((before, words))
+    pairs = mix(run[:-1] * np.uint64(_A) + run[1:])
+    out = [_bucket(words), _bucket(pairs), np.ones(int((run[1:] == run[:-1]).sum()), np.int64)]
     rolling, inner = spread.copy(), None
     for n in range(2, max(GRAMS) + 1):
         rolling = rolling[:len(codes) - n + 1] * np.uint64(_A) + spread[n - 1:]
@@ -94,16 +96,17 @@ def _block_features(codes: np.ndarray) -> list[np.ndarray]:
         if n in GRAMS and len(rolling):
             grams = rolling[~inner]
             out.append(_bucket((grams + np.uint64(n)) * np.uint64(_B) ^ (grams >> np.uint64(31))))
-    return out
+    return out, words[-1:]
 
 
 def features(text: str | None) -> np.ndarray:
     """Bucket of every feature occurrence of a whole text; the end mark last."""
-    out = []
+    out, last = [], np.zeros(0, np.uint64)
     if text:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         for block in _blocks(codes):
-            out += _block_features(block)
+            found, last = _block_features(block, last)
+            out += found
     return np.concatenate([*out, np.zeros(1, np.int64)])
 
 
