@@ -32,6 +32,7 @@ Rows flow as follows; nothing is collected, no group is expanded into pairs:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ SLICE_ROWS = 250
 BITMAP_BITS = 1024
 #: Candidate nodes up to which the list of them is broadcast (16 bytes each).
 BROADCAST_NODES = 500_000
+#: Pairs that a task holds before it hands them on.
+PAIRS_AT_ONCE = 10_000
 
 
 def band_of(size: int, num: int, den: int, bands: list[int]) -> int:
@@ -307,7 +310,12 @@ def _across(members: DataFrame, labels: DataFrame, sized: DataFrame, num: int, d
                     yield pair
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held, key, seen, out = [], None, set(), []
+        held, key, seen = [], None, set()
+
+        def rows(found):
+            while part := list(islice(found, PAIRS_AT_ONCE)):
+                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in part])
+
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j"))))
             cuts = [0] + [n for n in range(1, len(keys)) if keys[n] != keys[n - 1]] + [len(keys)]
@@ -315,17 +323,12 @@ def _across(members: DataFrame, labels: DataFrame, sized: DataFrame, num: int, d
                 if a == b:
                     continue
                 if keys[a] != key and held:
-                    out += pairs(pa.Table.from_batches(held), seen)
+                    yield from rows(pairs(pa.Table.from_batches(held), seen))
                     held = []
                 key = keys[a]
                 held.append(batch.slice(a, b - a))
-            if out:
-                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out])
-                out = []
         if held:
-            out += pairs(pa.Table.from_batches(held), seen)
-        if out:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out])
+            yield from rows(pairs(pa.Table.from_batches(held), seen))
 
     return tasks.mapInArrow(run, "a bigint, b bigint").distinct()
 
