@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. The first pass decides every
 block alone: markup that names itself boilerplate (menus, footers, sidebars,
-adverts, forms, comments) is bad; otherwise stop-word density, length and
+adverts, forms, comments) is bad, on elements of every kind; otherwise stop-word density, length and
 link density make it good, nearly good, short or bad. The second pass lets
 nearly good and short blocks inherit from the nearest decided blocks before
 and behind. Both passes see all blocks. That a block lies in a marked article
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,6 +47,9 @@ NESTING = {"html", "body", "div", "section", "article", "main", "header", "table
            "center", "td", "tr"} | DROPPED
 BREAKS = NESTING | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "th", "tbody", "thead", "tfoot", "caption", "pre", "hr", "address",
                     "figcaption", "summary", "option", "legend", "hgroup"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements that end where the next of their list does, without a closing tag.
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 STOP_WORDS = frozenset("""
 a about after all also an and are as at be been but by can for from had has have he her his how i if in into is it its more no not of on one only
@@ -99,8 +103,8 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
-    out, block, stack = [], Block(), []  # stack: (tag, dropped here, article here)
-    dropped = article = links = at = 0
+    out, block, stack, opened = [], Block(), [], Counter()  # stack: (tag, dropped here, article here, hidden here)
+    dropped = article = hidden = links = at = 0
     heading = False
 
     def finish():
@@ -111,8 +115,25 @@ def blocks_of(page: str) -> list[Block]:
             out.append(block)
         block = Block()
 
+    def close(tag: str):
+        nonlocal dropped, article, hidden
+        while True:  # what is still open inside ends with it
+            open_tag, drop, main, hide = stack.pop()
+            opened[open_tag] -= 1
+            dropped, article, hidden = dropped - drop, article - main, hidden - hide
+            if open_tag == tag:
+                break
+
+    def close_open(tags: set[str]):
+        for open_tag, *_ in reversed(stack):
+            if open_tag in NESTING:
+                break
+            if open_tag in tags:
+                close(open_tag)
+                break
+
     def add(raw: str):
-        if raw:
+        if raw and not hidden:
             text = html.unescape(raw) if "&" in raw else raw
             if not block.parts:
                 block.dropped, block.article, block.heading = dropped > 0, article > 0, heading
@@ -139,22 +160,26 @@ def blocks_of(page: str) -> list[Block]:
             links = 0 if closing else 1
         elif tag == "br":
             block.parts.append(" ") if block.parts else None
-        if tag not in BREAKS:
-            continue
-        finish()
-        heading = not closing and tag in HEADINGS
-        if tag not in NESTING:
-            continue
-        if not closing:
+        if tag in BREAKS:
+            finish()
+            heading = not closing and tag in HEADINGS
+            if hidden and not closing:
+                close_open({"p"} | SIBLINGS.get(tag, set()))
+        if closing:
+            if opened[tag]:
+                close(tag)
+        elif tag in NESTING:
             drop, main = _boilerplate(tag, match[3], article > 0), tag in ("article", "main")
-            stack.append((tag, drop, main))
+            stack.append((tag, drop, main, False))
+            opened[tag] += 1
             dropped, article = dropped + drop, article + main
-        elif any(open_tag == tag for open_tag, *_ in stack):
-            while True:  # what is still open inside ends with it
-                open_tag, drop, main = stack.pop()
-                dropped, article = dropped - drop, article - main
-                if open_tag == tag:
-                    break
+        elif tag not in VOID and not match[3].endswith("/"):
+            # of the other elements, those that are boilerplate are kept in mind, and elements of their name inside them
+            hide = _boilerplate(tag, match[3], article > 0)
+            if hide or opened[tag]:
+                stack.append((tag, False, False, hide))
+                opened[tag] += 1
+                hidden += hide
     finish()
     return out
 
