@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymark.catalog.sql import STATE_HEX, chain, element, encoded, literal, state, table, trimmed_base64, vocabulary
+from tallymark.catalog.sql import chains as chains_sql
 from tallymark.functions.hashing import bytes_to_base64, hex_to_base64, row_element
 from tallymark.operators import chain as chains
 from tallymark.operators import curve, evidence, multiset, ordering, words
-from tallymark.session import fresh_path
+from tallymark.session import fresh_path, materialise
 from tallymark.sources import files, shards
 from tallymark.streaming import multiset as streams
 
@@ -97,6 +98,26 @@ def chain_root(spark, sf_dir):
     return chains.chain_digest(docs, DOC, "row_idx", block=64)
 
 
+def _keyed(spark, sf_dir):
+    """Documents with source and language as key and their position there."""
+    docs = _docs(spark, sf_dir).select(*DOC, F.concat_ws(":", "source", "lang").alias("key"))
+    return ordering.with_row_index(docs, "doc_id", within=["key"])
+
+
+def chain_per_split(spark, sf_dir):
+    """Order-sensitive digest of the documents of every source and language."""
+    return chains.chain_digests(_keyed(spark, sf_dir), DOC, "row_idx", ["key"], block=8)
+
+
+def chain_appended(spark, sf_dir):
+    """The same from stored blocks of the first rows of each, to which the others are appended in two steps."""
+    docs, hashed = materialise(_keyed(spark, sf_dir)), evidence.object_digest(DOC)
+    blocks = chains.chain_blocks(docs.where("row_idx < 13"), hashed, "row_idx", 8, by=["key"])
+    for rows in ("row_idx between 13 and 29", "row_idx > 29"):
+        blocks = chains.extend_blocks(materialise(blocks), docs.where(rows), hashed, "row_idx", 8, ["key"])
+    return chains.chain_roots(materialise(blocks), ["key"], 8)
+
+
 def access_accounting(spark, sf_dir):
     """Totals from a log of running worker states."""
     reads = _docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 8).alias("worker"))
@@ -249,7 +270,7 @@ def stream_state_log(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     object_digest, row_encoding, python_row_encoding, multiset_state, multiset_digest, multiset_of_orders, multiset_remove,
-    multiset_merge, multiset_equality, digest_per_task_and_split, curve_digest, chain_blocks, chain_root, access_accounting,
+    multiset_merge, multiset_equality, digest_per_task_and_split, curve_digest, chain_blocks, chain_root, chain_per_split, chain_appended, access_accounting,
     accesses_by_task, accesses_two_epochs, accesses_file_mode, digest_rendering, evidence_payload, evidence_seal, seal_freshness,
     evidence_verification, dataset_binding, config_canonical, artifact_manifest, vocabulary_comparison, tokenizer_equality,
     stream_multiset, stream_state_log)}
@@ -257,6 +278,8 @@ QUERIES = {f.__name__: f for f in (
 D = tuple(DOC)
 JSON_ROW = "to_json({" + ", ".join(f"{literal(c)}: {c}" for c in DOC) + "})::VARCHAR"
 ALL = element("documents", D, "doc_id")
+KEYED_CHAINS = chains_sql("SELECT source || ':' || lang AS key, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS i, "
+                          f"sha256({JSON_ROW}) AS h FROM documents", 8, 6)
 
 
 def evidence_sql(proof: str, section: str, name: str, elements: str, by: str = "") -> str:
@@ -338,6 +361,8 @@ SELECT doc_id // 64 AS block_id, count(*) AS n,
        list_reduce(list_prepend('none', list(sha256({JSON_ROW}) ORDER BY doc_id)), lambda acc, x: sha256(x || acc)) AS chain
 FROM documents GROUP BY 1""",
     "chain_root": chain(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, 1 AS n, sha256({JSON_ROW}) AS h FROM documents", 64, 6),
+    "chain_per_split": KEYED_CHAINS,
+    "chain_appended": KEYED_CHAINS,
     "access_accounting": """
 SELECT count(*) AS workers, sum(c)::BIGINT AS n, sum(c * 0.25::DOUBLE) / count(*) AS load_s, sum(c * 0.5::DOUBLE) / count(*) AS measure_s
 FROM (SELECT doc_id % 8 AS worker, count(*) AS c FROM documents GROUP BY 1)""",

@@ -46,6 +46,11 @@ def proof_distribution_group(spark, sf_dir):
     return _ordered(proofs.distribution(_docs(spark, sf_dir), proof="distribution_wiki")[0])
 
 
+def proof_distribution_curve(spark, sf_dir):
+    """The same with the curve point as row digest."""
+    return _ordered(proofs.distribution(_docs(spark, sf_dir), algo="curve", proof="distribution_curve")[0])
+
+
 def _vocab(docs):
     return materialise(words.vocabulary(docs))
 
@@ -131,7 +136,7 @@ def proof_quantize(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    proof_distribution, proof_distribution_group, proof_preprocess, proof_preprocess_head, proof_bind, proof_pretrain_data,
+    proof_distribution, proof_distribution_group, proof_distribution_curve, proof_preprocess, proof_preprocess_head, proof_bind, proof_pretrain_data,
     proof_finetune_data, proof_inference_data, proof_evaluation, proof_evaluation_bleu, proof_quantize)}
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from tallymark.catalog.sql import table
-from tallymark.operators import ordering, splits
+from tallymark.operators import ordering, splits, workers
 
 
 def _docs(spark, sf_dir):
@@ -98,9 +100,37 @@ def sequential_batches(spark, sf_dir):
     return ordering.read_batches(rows, 32, drop_last=True).select("batch_id", "row_idx", "doc_id")
 
 
+def _measure(batches):
+    """Characters and lines of each document; the task's state adds them up."""
+    n = empty = lines = longest = 0
+    for batch in batches:
+        text = batch.column("text")
+        chars, count = pc.utf8_length(text), pc.add(pc.count_substring(text, "\n"), 1)
+        n, empty = n + batch.num_rows, empty + text.null_count
+        lines, longest = lines + (pc.sum(count).as_py() or 0), max(longest, pc.max(chars).as_py() or 0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), chars, count], names=["doc_id", "chars", "lines"])
+    return {"n": n, "nulls": empty, "lines": lines, "longest": longest}
+
+
+def _worker(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return workers.map_with_state(docs, _measure, "doc_id bigint, chars bigint, lines bigint", "n bigint, nulls bigint, lines bigint, longest bigint")
+
+
+def worker_rows(spark, sf_dir):
+    """Rows that a function with a state returns."""
+    return _worker(spark, sf_dir)[0]
+
+
+def worker_state(spark, sf_dir):
+    """The states that it leaves in every task, merged."""
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "nulls", "lines")]
+    return _worker(spark, sf_dir)[1].agg(*total, F.max("longest").alias("longest"))
+
+
 QUERIES = {f.__name__: f for f in (
     row_index, row_index_per_group, customer_order_index, head_by_position, head_fraction, keep_columns, random_split,
-    threshold_split, stratified_split, concatenate_shards, membership_filter, null_fill, batched_map, sequential_batches)}
+    threshold_split, stratified_split, concatenate_shards, membership_filter, null_fill, batched_map, sequential_batches, worker_rows, worker_state)}
 
 
 def _rank(order: str, within: str = "") -> str:
@@ -108,6 +138,10 @@ def _rank(order: str, within: str = "") -> str:
 
 
 ORACLES = {
+    "worker_rows": "SELECT doc_id, length(text)::BIGINT AS chars, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines FROM documents",
+    "worker_state": """
+SELECT count(*) AS n, count(*) FILTER (text IS NULL) AS nulls, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines,
+       max(length(text))::BIGINT AS longest FROM documents""",
     "row_index": f"SELECT {_rank('doc_id')} AS row_idx, doc_id, quality FROM labels",
     "row_index_per_group": f"SELECT lang, {_rank('doc_id', 'lang')} AS row_idx, doc_id FROM documents",
     "customer_order_index": f"SELECT {_rank('o_custkey, o_orderkey')} AS row_idx, o_custkey, o_orderkey FROM orders",

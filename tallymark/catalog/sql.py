@@ -113,3 +113,14 @@ def chain(rows: str, block: int, levels: int) -> str:
     picks = " UNION ALL ".join(f"SELECT {k} AS lvl, n, h FROM c{k} WHERE (SELECT count(*) FROM c{k}) = 1" for k in range(levels))
     return (f"WITH {', '.join(parts)} SELECT n::BIGINT AS n, (lvl + 1)::INTEGER AS levels, h AS chain "
             f"FROM ({picks}) ORDER BY lvl LIMIT 1")
+
+
+def chains(rows: str, block: int, levels: int) -> str:
+    """Root of the block chain of every ``key`` over ``(key, i, h)`` rows with dense ``i`` from 0 in each."""
+    step = "list_reduce(list_prepend('none', list(h ORDER BY i)), lambda acc, x: sha256(x || acc))"
+    parts = [f"c0 AS MATERIALIZED (SELECT key, i // {block} AS i, count(*) AS n, {step} AS h FROM ({rows}) GROUP BY 1, 2)"]
+    for k in range(1, levels):
+        parts.append(f"c{k} AS MATERIALIZED (SELECT key, i // {block} AS i, sum(n) AS n, {step} AS h FROM c{k - 1} GROUP BY 1, 2)")
+    picks = " UNION ALL ".join(f"SELECT {k} AS lvl, * FROM c{k} QUALIFY count(*) OVER (PARTITION BY key) = 1" for k in range(levels))
+    return (f"WITH {', '.join(parts)} SELECT key, n::BIGINT AS n, (lvl + 1)::INTEGER AS levels, h AS chain "
+            f"FROM ({picks}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY lvl) = 1")

@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.operators import chain, ordering, splits
+from tallymark.functions.hashing import canonical_json
+from tallymark.operators import chain, ordering, splits, workers
 
 
 @pytest.fixture
@@ -138,3 +139,52 @@ def test_equal_chains_are_equal_multisets_but_order_matters(spark):
     assert chain.chain_digest(a, ["t"], "i").first() == chain.chain_digest(a.repartition(2), ["t"], "i").first()
     assert multiset_equal(a, b, ["t"]).first().equal
     assert chain.chain_digest(a, ["t"], "i").first() != chain.chain_digest(b, ["t"], "i").first()
+
+
+@pytest.mark.parametrize("block", [2, 4])
+def test_chains_of_groups_and_of_appended_rows(spark, block):
+    sizes = {"a": 1, "b": 4, "c": 5, None: 17, "d": 64}
+    rows = [(k, i, f"{k}{i}") for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i bigint, t string").repartition(5)
+    expected = {k: (n, plain_chain([hashlib.sha256(json.dumps({"t": f"{k}{i}"}, separators=(",", ":")).encode()).hexdigest() for i in range(n)], block))
+                for k, n in sizes.items()}
+    found = chain.chain_digests(df, ["t"], "i", ["k"], block)
+    assert {r.k: (r.n, r.chain) for r in found.collect()} == expected
+    for k in sizes:  # alone, a group has the same chain and as many levels
+        own = df.where(F.col("k").eqNullSafe(F.lit(k)))
+        alone, among = chain.chain_digest(own, ["t"], "i", block).first(), found.where(F.col("k").eqNullSafe(F.lit(k))).first()
+        assert (alone.n, alone.levels, alone.chain) == (among.n, among.levels, among.chain)
+    hashed = F.sha2(canonical_json(["t"]), 256)
+    blocks = chain.chain_blocks(df.where("i < 3"), hashed, "i", block, by=["k"])
+    for part in ("i between 3 and 9", "i < 0", "i > 9"):
+        blocks = chain.extend_blocks(blocks, df.where(part), hashed, "i", block, ["k"])
+    assert {r.k: (r.n, r.chain) for r in chain.chain_roots(blocks, ["k"], block).collect()} == expected
+    assert chain.chain_digests(df.where("false"), ["t"], "i", ["k"], block).count() == 0
+
+
+@pytest.mark.parametrize("part", ["i = 2", "i = 4", "i = 6", "i > 7"])
+def test_rows_that_do_not_follow_are_not_appended(spark, part):
+    df = spark.range(9).selectExpr("id i", "string(id) t")
+    hashed = F.sha2("t", 256)
+    blocks = chain.chain_blocks(df.where("i < 3"), hashed, "i", 4)
+    with pytest.raises(Exception, match="must follow|not dense"):
+        chain.chain_roots(chain.extend_blocks(blocks, df.where(part), hashed, "i", 4), [], 4).collect()
+
+
+def test_worker_function_leaves_rows_and_states(spark):
+    import pyarrow as pa
+
+    def doubled(batches):
+        seen = []
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            seen += ids
+            yield pa.RecordBatch.from_pydict({"twice": [2 * i for i in ids], "id": ids})
+        return {"n": len(seen), "ids": seen}
+
+    for n in (0, 100):
+        rows, states = workers.map_with_state(spark.range(n).repartition(4), doubled, "id bigint, twice int", "n bigint, ids array<bigint>, more string")
+        assert sorted((r.id, r.twice) for r in rows.collect()) == [(i, 2 * i) for i in range(n)]
+        got = states.collect()
+        assert sorted(i for r in got for i in r.ids) == list(range(n)) and sum(r.n for r in got) == n
+        assert got and all(r.more is None for r in got)
