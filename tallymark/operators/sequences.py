@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.arrays import int_div
+from tallymark.functions.batches import text_slices
 from tallymark.functions.text import clean_tokens
 from tallymark.operators.ordering import running_offset
 from tallymark.session import BROADCAST_ROWS, materialise
@@ -100,6 +102,16 @@ def tokenize(df: DataFrame, vocab: DataFrame, text: str = "text", keep: tuple =
     return out.select(*keep, "input_ids", attention_mask().alias("attention_mask"))
 
 
+def subword_ids(spec: str, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Ids of batches of texts, slice by slice: a token's encoding takes some hundred bytes."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_str(spec)
+    for batch in batches:
+        for texts in text_slices(batch.fillna("")):
+            yield pd.Series([np.array(e.ids, dtype="int32") for e in model.encode_batch(texts.tolist())])
+
+
 def tokenize_subwords(df: DataFrame, spec: str, text: str = "text", keep: tuple = ()) -> DataFrame:
     """``(keep..., input_ids, attention_mask)`` with a given sub-word tokenizer.
 
@@ -110,11 +122,7 @@ def tokenize_subwords(df: DataFrame, spec: str, text: str = "text", keep: tuple
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_str(spec)
-        for texts in batches:
-            yield pd.Series([e.ids for e in model.encode_batch(texts.fillna("").tolist())])
+        yield from subword_ids(spec, batches)
 
     out = df.withColumn("input_ids", ids(F.col(text)))
     return out.select(*keep, "input_ids", attention_mask().alias("attention_mask"))

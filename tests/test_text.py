@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,16 @@ def test_subwords(spark, docs):
     assert got[2] == ([], []) and len(got[1][0]) == 3 and got[1][1] == [1, 1, 1]
 
 
+def test_subwords_are_encoded_in_slices():
+    from tallymark.catalog.text import _subword_spec
+    from tallymark.functions.batches import SLICE_CHARS
+
+    texts = pd.Series(["the tin " * 250] * 300 + [None, "in " * SLICE_CHARS, "on"])
+    made = list(sequences.subword_ids(_subword_spec(), iter([texts, texts[:0]])))
+    assert [len(ids) for part in made for ids in part] == [750] * 300 + [0, SLICE_CHARS, 1]
+    assert max(map(len, made)) <= SLICE_CHARS // 2000 + 3 and len(made[-1]) == 1
+
+
 def test_prompts(spark):
     df = spark.createDataFrame([("do", "this", None), ("a", "{}", "b")], "i string, g string, o string")
     got = [r.t for r in df.select(text.render_prompt("i", "g", "o", "<e>").alias("t")).collect()]
