@@ -2,60 +2,116 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions.text import BLANKS, _column
 from tallymark.session import materialise
 
+SLICE_BYTES = 1 << 20
+
+def _filled(text: str | Column) -> Column:
+    return F.coalesce(_column(text), F.lit(""))
+
 
 def blank_tokens(text: str | Column) -> Column:
     """Tokens between blanks."""
-    return F.filter(F.split(F.coalesce(_column(text), F.lit("")), BLANKS), lambda t: t != "")
+    return F.filter(F.split(_filled(text), BLANKS), lambda t: t != "")
 
 
-def evaluation_tokens(text: str | Column) -> Column:
-    """Tokens by the public mteval v13a rules for western languages."""
-    out = F.coalesce(_column(text), F.lit(""))
+# Split off symbols, then . and , unless between digits, then a dash after a digit. The rules also put
+# blanks around each blank, which changes no token and is left out, as it would be most of the matches.
+EVALUATION_RULES = ((r"([\x{7b}-\x{7e}\x{5b}-\x{60}\x{21}-\x{26}\x{28}-\x{2b}\x{3a}-\x{40}\x{2f}])", r" \1 "),
+                    (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "))
+
+
+def _split_at_blanks(texts: pa.Array) -> pa.ListArray:
+    return pc.split_pattern_regex(texts, BLANKS)
+
+
+def _split_by_rules(texts: pa.Array) -> pa.ListArray:
+    for found, put in EVALUATION_RULES:
+        texts = pc.replace_substring_regex(texts, found, put)
+    return _split_at_blanks(texts)
+
+
+def _unescaped(text: str | Column) -> Column:
+    out = _filled(text)
     for found, put in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"),
                        ("&lt;", "<"), ("&gt;", ">")):
         out = F.replace(out, F.lit(found), F.lit(put))
-    out = F.concat(F.lit(" "), out, F.lit(" "))
-    # Split off symbols, then . and , unless between digits, then a dash after a digit.
-    for found, put in ((r"([\x{7b}-\x{7e}\x{5b}-\x{60}\x{20}-\x{26}\x{28}-\x{2b}\x{3a}-\x{40}\x{2f}])", " $1 "),
-                       (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
-        out = F.regexp_replace(out, found, put)
-    return blank_tokens(out)
+    return F.concat(F.lit(" "), out, F.lit(" "))
 
 
-TOKENIZERS = {"blank": blank_tokens, "13a": evaluation_tokens}
+def evaluation_tokens(text: str | Column) -> Column:
+    """Tokens by the public mteval v13a rules for western languages."""
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def split(texts: pa.Array) -> pa.Array:
+        return _split_by_rules(texts)
+
+    return F.filter(split(_unescaped(text)), lambda t: t != "")
+
+
+# What is done to a text before it leaves the JVM, and how a task cuts it; empty tokens do not count. The regular
+# expressions run in Arrow: Java's, one after another, take several times as long.
+TOKENIZERS = {"blank": (_filled, _split_at_blanks), "13a": (_unescaped, _split_by_rules)}
+
+
+def clipped_counts(pred: pa.ListArray, ref: pa.ListArray, max_n: int) -> np.ndarray:
+    """Rows ``(matches, total, ref_total)`` for n-grams of 1 to ``max_n`` tokens, over all pairs.
+
+    An n-gram is numbered by its pair, the number of its first tokens and its
+    last token, so equal numbers are equal n-grams of one pair.
+    """
+    tokens = pa.concat_arrays([pred.flatten(), ref.flatten()])
+    filled = pc.not_equal(tokens, "").to_numpy(zero_copy_only=False)
+    sizes = np.concatenate([side.value_lengths().to_numpy() for side in (pred, ref)])
+    text = np.repeat(np.arange(len(sizes)), sizes)[filled]
+    tokens = tokens.dictionary_encode()
+    ids, known = tokens.indices.to_numpy().astype("int64")[filled], len(tokens.dictionary)
+    at, end = np.arange(len(ids)), np.searchsorted(text, text, side="right")
+    split, gram, out = np.searchsorted(text, len(pred)), text % max(len(pred), 1), []
+    for n in range(1, max_n + 1):
+        whole = at + n <= end[at]
+        at, gram = at[whole], gram[whole]
+        gram, found = pd.factorize(gram * known + ids[at + n - 1])
+        p, r = (np.bincount(gram[side], minlength=len(found)) for side in (at < split, at >= split))
+        out.append((np.minimum(p, r).sum(), p.sum(), r.sum()))
+    return np.array(out, dtype="int64")
 
 
 def ngram_statistics(pairs: DataFrame, key: str, pred: str, ref: str, max_n: int = 4,
                      tokenizer: str = "13a") -> DataFrame:
     """``(order, matches, total, ref_total)`` per n-gram length.
 
-    Counts are clipped within each pair. The two texts of a pair are shuffled
-    by its key before they are cut up, so the many n-grams are counted where
-    they are made and never travel.
+    Counts are clipped within each pair; ``key`` is unique. A pair is one row,
+    so its n-grams are counted where it is read: sums travel, no text and no
+    n-gram does. A task counts some ``SLICE_BYTES`` of texts at a time.
     """
-    split = TOKENIZERS[tokenizer]
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.select(key, pred, ref).repartition(parts, key)
-    sides = F.array(F.struct(F.lit(1).alias("p"), F.lit(0).alias("r"), split(pred).alias("tokens")),
-                    F.struct(F.lit(0).alias("p"), F.lit(1).alias("r"), split(ref).alias("tokens")))
-    texts = pairs.select(F.col(key).alias("pair"), F.explode(sides).alias("s")).select("pair", "s.*")
-    tokens = texts.select("pair", "p", "r", F.posexplode("tokens").alias("i", "w"))
-    following = Window.partitionBy("pair", "p").orderBy("i")
-    tokens = tokens.select("pair", "p", "r", "w", *[F.lead("w", k).over(following).alias(f"w{k}") for k in range(1, max_n)])
-    longer = ["w"] + [f"w{k}" for k in range(1, max_n)]
-    per_order = [F.struct(F.lit(n).alias("order"), F.concat(*[part for w in longer[:n] for part in (F.lit(" "), F.col(w))]).alias("gram"))
-                 for n in range(1, max_n + 1)]
-    grams = tokens.select("pair", "p", "r", F.explode(F.array(*per_order)).alias("g")).select("pair", "p", "r", "g.*")
-    grams = grams.where(F.col("gram").isNotNull())
-    counts = grams.groupBy("pair", "order", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    return counts.groupBy("order").agg(F.sum(F.least("p", "r")).alias("matches"), F.sum("p").alias("total"),
-                                       F.sum("r").alias("ref_total"))
+    prepare, cut = TOKENIZERS[tokenizer]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((max_n, 3), dtype="int64")
+        for batch in batches:
+            sides = batch.column(0), batch.column(1)
+            upto = np.cumsum(sum(pc.binary_length(side).to_numpy().astype("int64") for side in sides))
+            starts = [0, *(np.flatnonzero(np.diff(upto // SLICE_BYTES)) + 1), batch.num_rows]
+            for start, stop in zip(starts, starts[1:]):
+                sums += clipped_counts(*[cut(side.slice(start, stop - start)) for side in sides], max_n)
+        columns = [np.arange(1, max_n + 1, dtype="int32"), *sums.T]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["order", "matches", "total", "ref_total"])
+
+    texts = pairs.select(prepare(pred).alias("pred"), prepare(ref).alias("ref"))
+    counts = texts.mapInArrow(count, "order int, matches bigint, total bigint, ref_total bigint")
+    sums = counts.groupBy("order").agg(*[F.sum(c).alias(c) for c in ("matches", "total", "ref_total")])
+    return sums.where((F.col("total") > 0) | (F.col("ref_total") > 0))
 
 
 def corpus_bleu(pairs: DataFrame, key: str, pred: str, ref: str, max_n: int = 4, tokenizer: str = "13a",

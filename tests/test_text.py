@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,24 @@ def test_bleu(spark, pairs):
     assert metrics.corpus_bleu(df, "k", "p", "r", tokenizer="blank").first().score == pytest.approx(bleu_plain(pairs), abs=1e-9)
 
 
+def test_pairs_are_counted_where_they_are_read(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "SLICE_BYTES", 9)
+    pairs = [("a b a b c", "a b d a b"), (None, "a b"), ("", ""), ("a b", None), ("a b " * 50, "b a " * 40), ("c", "c")]
+    df = spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(pairs)], "k bigint, p string, r string").coalesce(2)
+    made = metrics.ngram_statistics(df, "k", "p", "r", 5, "blank")
+    grams = [Counter(), Counter()]
+    for k, pair in enumerate(pairs):
+        for side, words_of in zip(grams, ((t or "").split() for t in pair)):
+            side.update((n, k, *words_of[i:i + n]) for n in range(1, 6) for i in range(len(words_of) - n + 1))
+    want = {n: tuple(sum(c for g, c in counts.items() if g[0] == n) for counts in (grams[0] & grams[1], *grams)) for n in range(1, 6)}
+    assert {r.order: (r.matches, r.total, r.ref_total) for r in made.collect()} == want
+    assert metrics.ngram_statistics(df.where("k > 4"), "k", "p", "r", 5, "blank").count() == 1
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pair" not in plan and "hashpartitioning(k" not in plan and "Window" not in plan
+    nothing = pa.array([], pa.list_(pa.string()))
+    assert metrics.clipped_counts(nothing, nothing, 2).tolist() == [[0, 0, 0]] * 2
+
+
 def test_evaluation_tokens(spark):
     sample = "Hello, world! It's 3,000.5 end. A-b 5-6 &quot;q&quot; x/y"
     got = spark.createDataFrame([(sample,)], "t string").select(metrics.evaluation_tokens("t").alias("t")).first().t
