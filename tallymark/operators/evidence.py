@@ -132,18 +132,20 @@ def judge_seals(offers: DataFrame, issued: DataFrame, used: DataFrame, lifetime:
     ``offer`` and time are one offer. The fresh rows' nonces belong into the
     register of used ones.
     """
-    register = issued.groupBy("nonce").agg(F.min("issued").alias("__issued"))
-    spent = used.select("nonce").distinct().withColumn("__used", F.lit(True))
-    told = offers.join(register, "nonce", "left").join(spent, "nonce", "left")
+    known = issued.select("nonce", "issued", F.lit(False).alias("used")).unionByName(
+        used.select("nonce", F.lit(None).cast(issued.schema["issued"].dataType).alias("issued"), F.lit(True).alias("used")))
+    register = known.groupBy("nonce").agg(F.min("issued").alias("__issued"), F.max("used").alias("__used"))
     digest = F.sha2(F.concat(F.encode("payload", "UTF-8"), F.encode("nonce", "UTF-8")), bits)
-    in_time = (F.col("received") >= F.col("__issued")) & (F.col("received") <= F.col("__issued") + lifetime)
-    fault = (F.when(F.col("__issued").isNull(), "unknown").when(~F.coalesce(digest == F.col("report_data"), F.lit(False)), "forged")
-             .when(~F.coalesce(in_time, F.lit(False)), "expired").when(F.col("__used"), "replayed"))
-    told = told.withColumn("__fault", fault).withColumn("__turn", F.struct("received", "offer"))
-    # a minimum per challenge and not a ranking, so that a challenge with very many replays is never sorted
-    first = told.where(F.col("__fault").isNull()).groupBy("nonce").agg(F.min("__turn").alias("__first"))
-    status = F.coalesce("__fault", F.when(F.col("__turn") == F.col("__first"), "fresh").otherwise("replayed"))
-    return told.join(first, "nonce", "left").select(*[F.col(f"`{c}`") for c in offers.columns], status.alias("status"))
+    genuine = F.coalesce(digest == F.col("report_data"), F.lit(False))
+    in_time = F.coalesce((F.col("received") >= F.col("__issued")) & (F.col("received") <= F.col("__issued") + lifetime), F.lit(False))
+    # a minimum per challenge and not a ranking, so that a challenge with very many replays is never sorted; only
+    # genuine seals travel for it, without what they sign
+    valid = offers.where(genuine).select("nonce", "received", "offer").join(register.where(~F.col("__used")), "nonce").where(in_time)
+    first = valid.groupBy("nonce").agg(F.min(F.struct("received", "offer")).alias("__first"))
+    told = offers.withColumn("__genuine", genuine).join(register, "nonce", "left").join(first, "nonce", "left")
+    status = (F.when(F.col("__issued").isNull(), "unknown").when(~F.col("__genuine"), "forged").when(~in_time, "expired")
+              .when(F.col("__used"), "replayed").when(F.struct("received", "offer") == F.col("__first"), "fresh").otherwise("replayed"))
+    return told.select(*[F.col(f"`{c}`") for c in offers.columns], status.alias("status"))
 
 
 def bind(manifest: DataFrame, stored: DataFrame, reads: DataFrame, cols: Sequence[str], idx: str) -> DataFrame:

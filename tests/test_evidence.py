@@ -184,3 +184,19 @@ def test_a_challenge_is_answered_once(spark):
             "i": "unknown", "j": "forged", "k": "forged", "l": "expired", "m": "fresh"}
     assert {r.offer: r.status for r in judged.collect()} == want
     assert ev.judge_seals(offers.limit(0), issued, used, F.expr("INTERVAL 10 DAYS")).count() == 0
+
+
+def test_a_seal_is_shuffled_once(spark):
+    offers = spark.createDataFrame([], "offer string, nonce string, payload string, report_data string, received date")
+    issued, used = spark.createDataFrame([], "nonce string, issued date"), spark.createDataFrame([], "nonce string")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        # filters keep empty tables from being planned away
+        judged = ev.judge_seals(*[t.repartition(2).where("nonce is null or nonce <> ''") for t in (offers, issued, used)], F.expr("INTERVAL 10 DAYS"))
+        plan = judged._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    joins = plan.count("SortMergeJoin")
+    assert joins == 3 and "min(struct(received" in plan
