@@ -179,3 +179,12 @@ def test_curve_groups_removal_and_empty(spark, docs):
     for lang, row in grouped.items():
         alone = ec_multiset_digest(docs.where(F.col("lang") == lang), ["text"], "doc_id").first()
         assert (row.n, row.digest_hex) == (alone.n, alone.digest_hex)
+
+
+def test_a_reordered_copy_has_no_fixed_number_of_pieces(spark):
+    from tallymark.catalog import all_queries
+
+    made = all_queries()["multiset_equality"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions [source" in plan and "Repartition" not in plan.replace("RepartitionByExpression [doc_id", "")
+    assert sorted((r.kind, r.equal) for r in made.collect()) == [("changed", False), ("moved", True)]
