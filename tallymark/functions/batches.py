@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_CHARS = 1 << 16
 
@@ -19,3 +22,13 @@ def text_slices(texts: pd.Series, chars: int = SLICE_CHARS) -> Iterator[pd.Serie
         before = texts.str.len().fillna(0).cumsum().shift(fill_value=0)
         for _, part in texts.groupby((before // chars).to_numpy(), sort=False):
             yield part
+
+
+def array_slices(texts: pa.Array, size: int = SLICE_CHARS) -> Iterator[pa.Array]:
+    """As :func:`text_slices` for texts in Arrow and bytes; nothing is copied."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+    before = np.cumsum(sizes) - sizes
+    starts = [0, *(np.flatnonzero(np.diff(before // size)) + 1), len(texts)]
+    for start, stop in zip(starts, starts[1:]):
+        if stop > start:
+            yield texts.slice(start, stop - start)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymark.functions.batches import array_slices
+
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 LIMBS = [f"l{i}" for i in range(8)]
 
@@ -37,13 +40,20 @@ def python_json(cols: Sequence[str], indent: int | None = None) -> Column:
     Python as its own JSON so that integers keep their type beside nulls.
     """
 
-    @F.pandas_udf(T.StringType())
-    def render(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda text: json.dumps(json.loads(text), indent=indent, default=str))
+    @F.arrow_udf(T.StringType())
+    def render(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            yield from rendered_json(rows, indent)
 
     return render(canonical_json(list(cols)))
 
 
+def rendered_json(rows: pa.Array, indent: int | None = None) -> Iterator[pa.Array]:
+    """JSON texts as ``json.dumps`` writes them; a few rows at a time leave Arrow and return to it."""
+    for part in array_slices(rows):
+        yield pa.array([json.dumps(json.loads(text), indent=indent, default=str) for text in part.to_pylist()], pa.string())
+
+
 def row_element(cols: Sequence[str], idx: str | Column | None, form: str = "canonical") -> Column:
     """The text hashed for one row: its encoding and, if given, its position."""
     if form == "canonical":

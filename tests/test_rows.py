@@ -188,3 +188,19 @@ def test_worker_function_leaves_rows_and_states(spark):
         got = states.collect()
         assert sorted(i for r in got for i in r.ids) == list(range(n)) and sum(r.n for r in got) == n
         assert got and all(r.more is None for r in got)
+
+
+def test_python_json_leaves_in_slices():
+    import json
+
+    import pyarrow as pa
+
+    from tallymark.functions.batches import SLICE_CHARS
+    from tallymark.functions.hashing import rendered_json
+
+    rows = [{"text": "ü" * 1000, "n": i} for i in range(500)] + [{"text": "x" * 3 * SLICE_CHARS}, {"text": None}]
+    given = pa.array([json.dumps(r, ensure_ascii=False) for r in rows], pa.string())
+    made = list(rendered_json(given))
+    assert [text for part in made for text in part.to_pylist()] == [json.dumps(r) for r in rows]
+    assert max(len(part) for part in made) <= SLICE_CHARS // 2000 + 2
+    assert list(rendered_json(given[:0])) == []
