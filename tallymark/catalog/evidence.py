@@ -203,15 +203,13 @@ def dataset_binding(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("split", F.when(F.col("lang") == "en", "train").otherwise("test"))
     path = fresh_path(spark, "bound")
     shards.write_dataset(docs, path, "doc_id", 0.25, "split")
-    read = shards.read_dataset(spark, path)
-    manifest, seventh = shards.file_manifest(spark, path), F.col("doc_id") == 7
-    seen = {"read": read, "changed": read.withColumn("source", F.when(seventh, "?").otherwise(F.col("source"))),
-            "missing": read.where(~seventh), "doubled": read.unionByName(read.where(seventh))}
-    made = None
-    for kind, rows in seen.items():
-        part = evidence.bind(manifest, docs, rows, DOC[1:], "doc_id").select(F.lit(kind).alias("kind"), "split", "n_rows", "n_accesses", "bound")
-        made = part if made is None else made.unionByName(part)
-    return made
+    manifest, seventh, changed = shards.file_manifest(spark, path), F.col("doc_id") == 7, F.col("changed")
+    versions = F.when(seventh, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    read = shards.read_dataset(spark, path).withColumn("changed", F.explode(versions))
+    read = read.withColumn("source", F.when(changed, "?").otherwise(F.col("source")))
+    held = {"read": ~changed, "changed": ~seventh | changed, "missing": ~seventh, "doubled": F.when(~changed, F.when(seventh, 2).otherwise(1))}
+    made = evidence.bind(manifest, docs, read, DOC[1:], "doc_id", held)
+    return made.select(F.col("reading").alias("kind"), "split", "n_rows", "n_accesses", "bound")
 
 
 def config_canonical(spark, sf_dir):

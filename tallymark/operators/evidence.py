@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.hashing import JSON_OPTIONS, bytes_to_base64, canonical_json, hex_to_base64, one_line_base64
 from tallymark.operators.chain import chain_digest
 from tallymark.operators.curve import ec_multiset_digest
-from tallymark.operators.multiset import STATE, element_state, multiset_digest, multiset_state, state_hex
+from tallymark.operators.multiset import STATE, element_state, merge_states, multiset_digest, multiset_state, state_hex
 from tallymark.session import join_null_safe
 
 COLUMNS = ["proof", "section", "name", "algo", "n_rows", "digest_b64"]
@@ -148,29 +148,48 @@ def judge_seals(offers: DataFrame, issued: DataFrame, used: DataFrame, lifetime:
     return told.select(*[F.col(f"`{c}`") for c in offers.columns], status.alias("status"))
 
 
-def bind(manifest: DataFrame, stored: DataFrame, reads: DataFrame, cols: Sequence[str], idx: str) -> DataFrame:
+def bind(manifest: DataFrame, stored: DataFrame, reads: DataFrame, cols: Sequence[str], idx: str,
+         readings: dict[str, Column] | None = None) -> DataFrame:
     """Per split: file digests beside the digest of the rows read.
 
     ``bound`` tells whether exactly the stored rows were read, each once:
     counts agree and so do the multiset states. A split without files, or
     with files but without rows, is not bound.
+
+    ``readings`` binds several readings of the stored rows at once, as rows of
+    a first column ``reading``: for each name, how often that reading holds a
+    row of ``reads`` (null: not at all). Every row is read and hashed once,
+    however many readings hold it, since states add up.
     """
+    names, one = list(readings or {"": None}), F.lit(1).cast("bigint")
+    times = [F.coalesce(c.cast("bigint"), one - 1) for c in readings.values()] if readings else [one]
+    # how often the stored side and each reading hold a row
+    held = [f"__t{i}" for i in range(len(names) + 1)]
+    sides = [t.select("split", *cols, idx, *[c.alias(h) for c, h in zip(weights, held)])
+             for t, weights in ((stored, [one] + [one - 1] * len(names)), (reads, [one - 1] + times))]
+    alike = multiset_state(sides[0].unionByName(sides[1]), cols, idx, ["split", *held])
+    each = alike.select("split", F.posexplode(F.array(*held)).alias("__of", "__times"), *STATE)
+    states = merge_states(each.select("split", "__of", *[(F.col(c) * F.col("__times")).alias(c) for c in STATE]), ["split", "__of"])
+
+    def of(side: int, c: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("__of") == side, F.col(c))), F.lit(0))
+
+    def compared(i: int, name: str) -> Column:
+        same = F.lit(True)
+        for c in STATE:
+            same = same & (of(0, c) == of(i, c))
+        return F.struct(F.lit(name).alias("reading"), of(0, "n").alias("n_rows"), same.alias("bound"), *[of(i, c).alias(c) for c in STATE])
+
+    wide = states.groupBy("split").agg(F.array(*[compared(i, name) for i, name in enumerate(names, 1)]).alias("__r")).select("split", F.inline("__r"))
     files = element_state(manifest, F.concat_ws("#", "file", "sha256"), ["split"]).select(
-        "split", F.col("n").alias("n_files"), hex_to_base64(state_hex()).alias("files_digest"))
-    sides = [t.select("split", *cols, idx, F.lit(side).alias("side")) for t, side in ((stored, "stored"), (reads, "read"))]
-    states = multiset_state(sides[0].unionByName(sides[1]), cols, idx, ["split", "side"])
-
-    def of(side: str, c: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("side") == side, F.col(c))), F.lit(0))
-
-    same = F.lit(True)
-    for c in STATE:
-        same = same & (of("stored", c) == of("read", c))
-    wide = states.groupBy("split").agg(of("stored", "n").alias("n_rows"), same.alias("bound"), *[of("read", c).alias(c) for c in STATE])
+        F.col("split").alias("__split"), F.explode(F.array(*[F.lit(n) for n in names])).alias("__reading"), F.col("n").alias("n_files"),
+        hex_to_base64(state_hex()).alias("files_digest"))
     none = F.lit(0).cast("bigint")
-    return join_null_safe(files.withColumnRenamed("split", "__split"), multiset_digest(wide).withColumn("__split", F.col("split")),
-                          ["__split"], "full_outer").select(
-        F.coalesce("split", "__split").alias("split"), F.coalesce("n_files", none).alias("n_files"), "files_digest",
+    both = join_null_safe(files, multiset_digest(wide).withColumns({"__split": F.col("split"), "__reading": F.col("reading")}),
+                          ["__split", "__reading"], "full_outer")
+    first = [F.coalesce("reading", "__reading").alias("reading")] if readings else []
+    return both.select(
+        *first, F.coalesce("split", "__split").alias("split"), F.coalesce("n_files", none).alias("n_files"), "files_digest",
         F.coalesce("n_rows", none).alias("n_rows"), F.coalesce("n", none).alias("n_accesses"), "digest_b64",
         (F.coalesce("bound", F.lit(False)) & F.col("n_files").isNotNull()).alias("bound"))
 

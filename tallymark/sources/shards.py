@@ -33,6 +33,8 @@ BATCH_ROWS = 1000
 LOOKUP_BUCKETS = 1 << 16
 BROADCAST_CUTS = 500_000
 CUTS_PER_SET = 256
+#: Bytes of shards that one task reads, if there are enough for all cores, and what opening one counts for.
+READ_BYTES, OPEN_BYTES = 16 << 20, 64 << 10
 
 
 def shard_name(index: int, count: int) -> str:
@@ -40,12 +42,19 @@ def shard_name(index: int, count: int) -> str:
 
 
 @dataclass
-class ShardFile(InputPartition):
+class ShardFile:
     path: str
     split: str
     first: int | None
 
 
+@dataclass
+class ShardRun(InputPartition):
+    """Consecutive shards of a split, read by one task."""
+
+    shards: list[ShardFile]
+
+
 @dataclass
 class SplitFolder(InputPartition):
     split: str
@@ -105,6 +114,12 @@ def shard_files(folder: str) -> list[str]:
         return [f["filename"] for f in json.loads(stream.read())["_data_files"]]
 
 
+def stored_sizes(folder: str) -> dict[str, int]:
+    """Bytes of the files in a split's folder, by one listing."""
+    system, at = file_system(folder)
+    return {info.base_name: info.size for info in system.get_file_info(fs.FileSelector(at)) if info.is_file}
+
+
 class SplitReader(DataSourceReader):
     """Plans from the split folders; with ``wanted`` no other split is looked at."""
 
@@ -116,11 +131,16 @@ class SplitReader(DataSourceReader):
 
 
 class ShardReader(SplitReader):
-    """Reads one shard per task, with its split and on request the rows' positions in it."""
+    """Reads runs of shards, with their split and on request the rows' positions in it.
 
-    def __init__(self, root: str, wanted: set[str] | None, columns: list[str] | None, positions: bool):
+    Consecutive shards go to one task up to ``READ_BYTES``, or less where that
+    would leave some of the ``cores`` without work, so tasks grow with the
+    bytes and not with the number of shards.
+    """
+
+    def __init__(self, root: str, wanted: set[str] | None, columns: list[str] | None, positions: bool, cores: int):
         super().__init__(root, wanted)
-        self.columns, self.positions = columns, positions
+        self.columns, self.positions, self.cores = columns, positions, cores
 
     def partitions(self):
         rows: dict[str, list[int]] = {}
@@ -129,18 +149,30 @@ class ShardReader(SplitReader):
             with system.open_input_stream(f"{at.rstrip('/')}/shards.jsonl") as stream:
                 for r in sorted(map(json.loads, stream.read().splitlines()), key=lambda r: (r["split"], r["shard_idx"])):
                     rows.setdefault(r["split"], []).append(r["rows"])
-        out = []
+        found = []
         for part in super().partitions():
-            files = shard_files(part.folder)
+            files, sizes = shard_files(part.folder), stored_sizes(part.folder)
             firsts = [0, *itertools.accumulate(rows[part.split])] if self.positions else [None] * len(files)
-            out += [ShardFile(f"{part.folder}/{f}", part.split, first) for f, first in zip(files, firsts)]
-        return out
+            found += [(ShardFile(f"{part.folder}/{f}", part.split, first), sizes.get(f, 0) + OPEN_BYTES) for f, first in zip(files, firsts)]
+        most = min(READ_BYTES, sum(size for _, size in found) // self.cores)
+        runs, held = [], 0
+        for shard, size in found:
+            if not runs or held + size > most or runs[-1].shards[0].split != shard.split:
+                runs.append(ShardRun([]))
+                held = 0
+            runs[-1].shards.append(shard)
+            held += size
+        return runs
 
     def read(self, partition):
         if partition is None:  # Spark's call where no partition is planned
             return
-        system, path = file_system(partition.path)
-        at = partition.first
+        for shard in partition.shards:
+            yield from self._rows(shard)
+
+    def _rows(self, shard: ShardFile):
+        system, path = file_system(shard.path)
+        at = shard.first
         with system.open_input_stream(path) as stream:
             # fields that are not asked for are skipped, not decoded
             options = pa.ipc.IpcReadOptions()
@@ -153,7 +185,7 @@ class ShardReader(SplitReader):
                     if at is not None:
                         batch = batch.append_column("row_idx", pa.array(range(at, at + batch.num_rows), pa.int64()))
                         at += batch.num_rows
-                    yield batch.append_column("split", pa.repeat(pa.scalar(partition.split), batch.num_rows))
+                    yield batch.append_column("split", pa.repeat(pa.scalar(shard.split), batch.num_rows))
 
 
 class ListReader(SplitReader):
@@ -262,8 +294,8 @@ class ArrowShards(DataSource):
     """``arrow_shards``: option ``path`` to write and to read.
 
     Reading, ``splits`` and ``columns`` (JSON lists) leave out all others,
-    ``positions`` adds ``row_idx``, and ``list`` gives the files instead of
-    their rows. Conditions are not pushed into the scan: Spark 4.1 keeps what a
+    ``positions`` adds ``row_idx``, ``list`` gives the files instead of their
+    rows, and ``cores`` (1 by default) are to get work if there is enough. Conditions are not pushed into the scan: Spark 4.1 keeps what a
     Python source was given for later plans over the same relation, which would
     then miss rows.
     """
@@ -299,7 +331,7 @@ class ArrowShards(DataSource):
         root = self.options["path"]
         if self.options.get("list"):
             return ListReader(root, self._splits())
-        return ShardReader(root, self._splits(), self._columns(), bool(self.options.get("positions")))
+        return ShardReader(root, self._splits(), self._columns(), bool(self.options.get("positions")), int(self.options.get("cores", 1)))
 
     def writer(self, schema, overwrite):
         return ShardWriter(self.options["path"])
@@ -417,7 +449,7 @@ def dataset_files(spark: SparkSession, path: str, split: str | None = None) -> D
 
 
 def _source(spark: SparkSession, path: str, split: str | None):
-    reader = spark.read.format(FORMAT).option("path", path)
+    reader = spark.read.format(FORMAT).option("path", path).option("cores", spark.sparkContext.defaultParallelism)
     return reader if split is None else reader.option("splits", json.dumps([split]))
 
 

@@ -71,6 +71,30 @@ def test_bound_needs_files_and_the_same_rows(spark, tmp_path):
     assert bound(files, rows.withColumn("x", F.when(F.col("k") == 2, "other").otherwise(F.col("x")))) == {"train": True, "test": False}
 
 
+def test_readings_are_bound_in_one_pass(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}", "train" if i % 2 else "test") for i in range(8)], "k bigint, x string, split string")
+    write_dataset(rows, str(tmp_path / "d"), "k", split="split")
+    files, k = file_manifest(spark, str(tmp_path / "d")), F.col("k")
+    held = {"same": F.lit(1), "less": k != 2, "twice": F.when(k == 1, 2).otherwise(1), "none": F.lit(None), "train": F.col("split") == "train"}
+    made = bind(files, rows, rows, ["x"], "k", held)
+    assert {(r.reading, r.split): (r.n_rows, r.n_accesses, r.bound) for r in made.collect()} == {
+        ("same", "train"): (4, 4, True), ("same", "test"): (4, 4, True), ("less", "train"): (4, 4, True), ("less", "test"): (4, 3, False),
+        ("twice", "train"): (4, 5, False), ("twice", "test"): (4, 4, True), ("none", "train"): (4, 0, False), ("none", "test"): (4, 0, False),
+        ("train", "train"): (4, 4, True), ("train", "test"): (4, 0, False)}
+    alone = {"same": rows, "less": rows.where("k <> 2"), "twice": rows.union(rows.where("k = 1")), "none": rows.limit(0), "train": rows.where("split = 'train'")}
+    for name, reads in alone.items():
+        assert sorted(made.where(F.col("reading") == name).drop("reading").collect()) == sorted(bind(files, rows, reads, ["x"], "k").collect())
+
+
+def test_tasks_of_a_read_do_not_grow_with_the_shards(spark, tmp_path):
+    rows = spark.range(400).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 2000).alias("x"), F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"))
+    assert write_dataset(rows, str(tmp_path / "d"), "k", 0.004, "split").count() > 150
+    read = read_dataset(spark, str(tmp_path / "d"), positions=True)
+    assert 4 <= read.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism + 2
+    assert sorted((r.split, r.row_idx, r.k) for r in read.select("split", "row_idx", "k").collect()) == sorted(
+        [("test", i, 3 * i) for i in range(134)] + [("train", i, k) for i, k in enumerate(k for k in range(400) if k % 3)])
+
+
 def test_a_null_stratum_has_its_share(spark):
     df = spark.range(100).withColumn("s", F.when(F.col("id") % 2 == 0, "a"))
     got = Counter((r.s, r.split) for r in split_stratified(df, "id", ["s"], 0.2).collect())
