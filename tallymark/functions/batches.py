@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_CHARS = 1 << 16
+SLICE_ITEMS = 1 << 20
 
 
 def text_slices(texts: pd.Series, chars: int = SLICE_CHARS) -> Iterator[pd.Series]:
@@ -26,9 +27,18 @@ def text_slices(texts: pd.Series, chars: int = SLICE_CHARS) -> Iterator[pd.Serie
 
 def array_slices(texts: pa.Array, size: int = SLICE_CHARS) -> Iterator[pa.Array]:
     """As :func:`text_slices` for texts in Arrow and bytes; nothing is copied."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+    yield from _slices(texts, pc.binary_length(texts), size)
+
+
+def list_slices(lists: pa.Array, size: int = SLICE_ITEMS) -> Iterator[pa.Array]:
+    """As :func:`array_slices` for lists and their items."""
+    yield from _slices(lists, pc.list_value_length(lists), size)
+
+
+def _slices(rows: pa.Array, sizes: pa.Array, size: int) -> Iterator[pa.Array]:
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype("int64")
     before = np.cumsum(sizes) - sizes
-    starts = [0, *(np.flatnonzero(np.diff(before // size)) + 1), len(texts)]
+    starts = [0, *(np.flatnonzero(np.diff(before // size)) + 1), len(rows)]
     for start, stop in zip(starts, starts[1:]):
         if stop > start:
-            yield texts.slice(start, stop - start)
+            yield rows.slice(start, stop - start)

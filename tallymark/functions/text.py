@@ -28,6 +28,8 @@ wouldn't
 NON_WORD = r"[^\p{L}\p{N}_]+"
 # Blanks in the Unicode sense.
 BLANKS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
+# Runs of them other than one space; the first part rules out most letters at once.
+ODD_BLANKS = r"[\x00-\x1f\x{85}-\x{10ffff}&&[\t-\r\x1c-\x1f\x{85}\p{Z}]][\t-\r\x1c-\x20\x{85}\p{Z}]*| [\t-\r\x1c-\x20\x{85}\p{Z}]+"
 # What token cleaning removes: all but letters, non-decimal numbers, underscore
 # and the blanks that separate tokens.
 NOISE = r"[^\p{L}\p{Nl}\p{No}_\t-\r\x1c-\x20\x{85}\p{Z}]+"
@@ -80,10 +82,12 @@ def clean_tokens(text: str | Column) -> Column:
     """Lower-cased blank-separated tokens without punctuation and digits.
 
     Cleaning the whole text first gives the same tokens as cleaning one by one,
-    since blanks are kept. Empty tokens are left in.
+    since blanks are kept. Empty tokens are left in. Runs of blanks that are not
+    one space become one first, as Spark splits by a plain character several
+    times faster than by an expression.
     """
     kept = F.regexp_replace(F.lower(F.coalesce(_column(text), F.lit(""))), NOISE, "")
-    return F.split(kept, BLANKS)
+    return F.split(F.regexp_replace(kept, ODD_BLANKS, " "), " ")
 
 
 def clean_token(token: str | Column) -> Column:

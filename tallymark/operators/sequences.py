@@ -7,13 +7,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.arrays import int_div
-from tallymark.functions.batches import text_slices
-from tallymark.functions.text import clean_tokens
+from tallymark.functions.batches import list_slices, text_slices
+from tallymark.functions.text import STOP_WORDS, clean_tokens
 from tallymark.operators.ordering import running_offset
 from tallymark.session import BROADCAST_ROWS, materialise
 
@@ -60,23 +62,66 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, key: str, text: str = "text"
     """As :func:`encode` for a vocabulary of any size; ``key`` is unique.
 
     Ids are ranks, so the words with low ids are the ones that fill the corpus.
-    They are broadcast. Of the other tokens those that are in no vocabulary,
+    They are broadcast and looked up in the row, so their occurrences are never
+    rows of their own. Of the other tokens those that are in no vocabulary,
     stop words above all, are left out where they are by a bitmap of the rare
     words' hashes, which has a fixed size; only what is left is joined by a
-    shuffle.
+    shuffle, and its ids are put in at their places.
     """
-    vocab = materialise(vocab.select("word", "id"))
-    runs = df.select(key, F.posexplode(clean_tokens(text)).alias("pos", "word")).where("word <> ''")
-    frequent = F.broadcast(vocab.where(F.col("id") <= BROADCAST_ROWS))
-    found = runs.join(frequent, "word")
-    if vocab.where(F.col("id") > BROADCAST_ROWS).limit(1).count():
-        others = vocab.where(F.col("id") > BROADCAST_ROWS)
-        possible = runs.where(_in_bitmap(others, F.col("word"))).join(frequent, "word", "left_anti")
-        found = found.unionByName(possible.join(others, "word").select(*found.columns))
-    ids = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("__found"))
-    out = df.join(ids, key, "left")
-    listed = F.coalesce(F.transform("__found", lambda p: p["id"]), F.array().cast("array<int>"))
-    return out.withColumn(name, listed).drop("__found")
+    vocab = materialise(vocab.select("word", F.col("id").cast("int").alias("id")))
+    frequent, others = vocab.where(F.col("id") <= BROADCAST_ROWS), vocab.where(F.col("id") > BROADCAST_ROWS)
+    found = _found_in(frequent, set(STOP_WORDS) - {r.word for r in vocab.where(F.col("word").isin(STOP_WORDS)).collect()})(clean_tokens(text))
+    if not others.limit(1).count():
+        return df.withColumn(name, F.filter(found["ids"], lambda i: i.isNotNull()))
+    rows = materialise(df.select(key, found.alias("__found")).select(key, "__found.*"))
+    rest = rows.select(key, F.explode(F.arrays_zip("places", "words")).alias("r")).select(key, F.col("r.places").alias("pos"), F.col("r.words").alias("word"))
+    rare = rest.where(_in_bitmap(others, F.col("word"))).join(others, "word").groupBy(key).agg(F.collect_list(F.struct("pos", "id")).alias("__rare"))
+    out = df.join(rows.select(key, F.col("ids").alias("__ids")), key, "left").join(rare, key, "left")
+    filled = F.arrow_udf(filled_ids, T.ArrayType(T.IntegerType()))
+    return out.withColumn(name, filled("__ids", "__rare.pos", "__rare.id")).drop("__ids", "__rare")
+
+
+def _found_in(frequent: DataFrame, absent: set[str]):
+    """A function of arrays of tokens: each token's id, null where it is not among ``frequent``, and places and words of those.
+
+    Empty tokens and those that are ``absent`` from the vocabulary have no place.
+    """
+    table = frequent.toArrow()  # at most BROADCAST_ROWS words
+    known = [*table["word"].to_pylist(), *absent, ""]
+    shared = frequent.sparkSession.sparkContext.broadcast((pa.array(known, pa.string()), pa.array(table["id"].to_pylist() + [None] * (len(absent) + 1), pa.int32())))
+
+    @F.arrow_udf("ids array<int>, places array<int>, words array<string>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, ids = shared.value
+        for batch in batches:
+            for tokens in list_slices(batch):
+                flat, sizes = tokens.flatten(), pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+                at, edges = pc.index_in(flat, value_set=words), _edges(sizes)
+                known, left = ids.take(at), at.is_null()
+                at = np.flatnonzero(left.to_numpy(zero_copy_only=False))
+                cuts = np.searchsorted(at, edges).astype("int32")
+                places = (at - np.repeat(edges[:-1], np.diff(cuts))).astype("int32")
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(edges, known), pa.ListArray.from_arrays(cuts, pa.array(places)),
+                                                  pa.ListArray.from_arrays(cuts, flat.filter(left))], names=["ids", "places", "words"])
+
+    return found
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes))).astype("int32")
+
+
+def filled_ids(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The ids in every list, with those of ``rare`` at their ``places``; what is null then is left out."""
+    for ids, places, rare in batches:
+        for part in list_slices(ids):
+            more, part_rare = places.slice(part.offset - ids.offset, len(part)), rare.slice(part.offset - ids.offset, len(part))
+            own, added = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (part, more))
+            flat, edges = part.flatten(), _edges(own)
+            values, known = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).copy(), flat.is_valid().to_numpy(zero_copy_only=False).copy()
+            at = np.repeat(edges[:-1], added) + more.flatten().to_numpy(zero_copy_only=False).astype("int32")
+            values[at], known[at] = part_rare.flatten().to_numpy(zero_copy_only=False), True
+            yield pa.ListArray.from_arrays(np.searchsorted(np.flatnonzero(known), edges).astype("int32"), pa.array(values[known], pa.int32()))
 
 
 def _in_bitmap(words: DataFrame, word: Column) -> Column:

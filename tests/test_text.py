@@ -222,6 +222,39 @@ def test_rare_words_are_joined_by_shuffle(spark, docs, monkeypatch):
     assert [r.input_ids for r in rows_of(sequences.encode_by_join(docs, vocab, "doc_id"))] == want
 
 
+def test_tokens_are_those_of_a_split_by_blanks(spark):
+    rng, parts = __import__("random").Random(3), [" ", "  ", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u2003 ", "\u3000", "\u200b", "\x00", "a", "é", "don't", "漢", "𝒳", "²", "7", "_"]
+    rows = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))),) for _ in range(2000)], "t string")
+    plain = F.split(F.regexp_replace(F.lower("t"), text.NOISE, ""), text.BLANKS)
+    assert rows.where(~text.clean_tokens("t").eqNullSafe(plain)).count() == 0
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 100])
+def test_frequent_words_are_no_rows(spark, monkeypatch, frequent):
+    rng = __import__("random").Random(5)
+    pool = [f"w{a}{b}" for a in "abcdef" for b in "abcdef"] + ["the", "...", "naïve"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 50, 400]))) for _ in range(60)] + ["", None, " the ", "waa " * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    vocab = words.vocabulary(docs, k=20).unionByName(spark.createDataFrame([("the", 21)], "word string, id int"))
+    plain = {r.word: r.id for r in vocab.collect()}
+    monkeypatch.setattr(sequences, "BROADCAST_ROWS", frequent)
+    made = sequences.encode_by_join(docs, vocab, "doc_id").withColumnRenamed("input_ids", "ids")
+    want = [[plain[w] for w in (plain_clean(x) for x in (t or "").lower().split()) if w in plain] for t in texts]
+    assert [list(r.ids) for r in sorted(made.collect(), key=lambda r: r.doc_id)] == want
+    assert made.columns == ["doc_id", "text", "ids"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and (frequent < 100 or "Join" not in plan)
+
+
+def test_ids_are_filled_in_by_slices(monkeypatch):
+    ids = pa.array([[9], [1, None, None, 4], None, [], [None, None], [5, 6]], pa.list_(pa.int32()))[1:]
+    places, rare = pa.array([[2], None, None, [1, 0], []], pa.list_(pa.int32())), pa.array([[30], None, None, [21, 20], []], pa.list_(pa.int32()))
+    for size in (1, 3, 100):
+        monkeypatch.setattr(sequences.list_slices, "__defaults__", (size,))
+        got = [x for part in sequences.filled_ids(iter([(ids, places, rare)])) for x in part.to_pylist()]
+        assert got == [[1, 30, 4], [], [], [20, 21], [5, 6]]
+
+
 def test_first_per_group_limits_before_the_shuffle(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 2)
     plan = chat.first_per_group(df, "g", "id", 5)._jdf.queryExecution().executedPlan().toString()
