@@ -24,12 +24,15 @@ its n-grams: the model is a table ``key, value``, and scoring multiplies the
 sparse matrix of texts and n-grams by it. Both sides are dealt into buckets by
 key; n-grams in no row of the model are left out by a bitmap of fixed size, and
 keys with more than ``1 / HOT`` of the training tokens, fewer than ``HOT`` for
-each length, are broadcast and never travel. Sums are exact integers, so
+each length, are broadcast and never travel. The model is dealt out and packed
+once; texts are scored in up to ``ROUNDS`` parts by ``doc_id``, one after the
+other, and the shuffle files of a part go with its end. Sums are exact integers, so
 reruns agree; rows are put in order within their partition, so that a task
 that is run again numbers its documents as before.
 
 Counts cover all training texts and all their tokens. Words are identified by
-64-bit hashes. Contexts that hold more than ``1 / SPLIT`` of the training
+64-bit hashes; followers with more than ``1 / CODES`` of the training tokens
+travel as numbers of 16 bits. Contexts that hold more than ``1 / SPLIT`` of the training
 tokens are counted in many buckets.
 
 Nulls, ties and odd rows: a null text is empty and has one token, its end. Rows
@@ -61,6 +64,8 @@ DEPTH, LEAST, PENALTY = 3, 64, 0.5
 HOT, SPLIT = 1 << 21, 1 << 12
 #: Bits of a filter, tokens counted together, texts in a block, buckets at least and training tokens for each bucket.
 FILTER_BITS, TOKENS, PLACES, BUCKETS, BUCKET_TOKENS = 1 << 27, 1_000_000, 1 << 16, 4096, 1 << 17
+#: A follower travels as a 16-bit code above one in so many training tokens; parts in which texts are scored at most, and training tokens for each.
+CODES, ROUNDS, ROUND_TOKENS = 1 << 16, 4, 1 << 22
 #: Bytes of texts whose words are hashed in one step.
 RUN = 1 << 18
 #: Log probabilities are integers in units of 1 / UNIT.
@@ -177,14 +182,16 @@ def _packed(values: np.ndarray, edges: list[int]) -> pa.Array:
 # --- counting -----------------------------------------------------------------------------------
 
 
-def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.ndarray | None = None) -> DataFrame:
+def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.ndarray | None = None, often: np.ndarray | None = None) -> DataFrame:
     """Followers of all contexts of ``order - 1`` words that pass the filter ``contexts``, written once.
 
     Rows of order 1 are ``key, n``. Others are either followers seen twice or
     more (``ctx, key, parent, n``, and ``c, types`` of the context unless it is
     split) or, where ``key`` is null, sums over a context's followers in one
-    bucket (``ctx, c, singles, types``).
+    bucket (``ctx, c, singles, types``). Followers among the words ``often``,
+    fewer than ``CODES``, travel by their number.
     """
+    often = np.sort(often) if often is not None else np.zeros(0, np.uint64)
     heavy = np.sort(heavy) if heavy is not None else np.zeros(0, np.uint64)
 
     def partial(held: list[tuple[np.ndarray, ...]]):
@@ -200,9 +207,13 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
         by = np.argsort((bucket << (np.uint64(64) - bits)) | (ctx >> bits))
         bucket = bucket[by].astype(np.int64)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
-        arrays = [pa.array(bucket[edges[:-1]], pa.int64()), _packed(ctx[by], edges), _packed(symbol[by], edges),
+        symbol, code = symbol[by], np.zeros(len(by), np.uint16)
+        coded, at = Places(often).find(symbol)
+        code[coded] = at + 1
+        rest = np.concatenate(([0], np.cumsum(~coded)))[edges].tolist()
+        arrays = [pa.array(bucket[edges[:-1]], pa.int64()), _packed(ctx[by], edges), _packed(code, edges), _packed(symbol[~coded], rest),
                   _packed(parent[by] if order > 2 else parent, edges), _packed(n[by].astype(np.uint32), edges)]
-        whole = pa.RecordBatch.from_arrays(arrays, names=["bucket", "ctx", "symbol", "parent", "n"])
+        whole = pa.RecordBatch.from_arrays(arrays, names=["bucket", "ctx", "code", "symbol", "parent", "n"])
         for at in range(0, whole.num_rows, 512):
             yield whole.slice(at, 512)
 
@@ -227,7 +238,10 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
             yield from partial(held)
 
     def merged(rows: list[dict]):
-        ctx, symbol, parent = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in ("ctx", "symbol", "parent"))
+        ctx, rest, parent = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in ("ctx", "symbol", "parent"))
+        code = np.concatenate([np.frombuffer(r["code"], np.uint16) for r in rows])
+        symbol = np.concatenate(([np.uint64(0)], often))[code]
+        symbol[code == 0] = rest
         n = np.concatenate([np.frombuffer(r["n"], np.uint32) for r in rows]).astype(np.int64)
         key, first, n = _add(symbol if order == 1 else longer(ctx, symbol), n)
         if order == 1:
@@ -255,7 +269,7 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
         if rows:
             yield from merged(rows)
 
-    parts = small_batches(texts).select("text").mapInArrow(run, "bucket bigint, ctx binary, symbol binary, parent binary, n binary")
+    parts = small_batches(texts).select("text").mapInArrow(run, "bucket bigint, ctx binary, code binary, symbol binary, parent binary, n binary")
     schema = "key bigint, n bigint" if order == 1 else "ctx bigint, key bigint, parent bigint, n bigint, c bigint, types bigint, singles bigint"
     return materialise(parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, schema))
 
@@ -275,10 +289,11 @@ class Model:
     """``values`` (``key, value, n, seen``), the training tokens and the different ones.
 
     A key can have several rows, all with one ``seen``; their values add up.
+    ``tables`` are the stored ones that ``values`` reads.
     """
 
-    def __init__(self, values: DataFrame, tokens: int, words: int, states: list[int]):
-        self.values, self.tokens, self.words, self.states = values, tokens, words, states
+    def __init__(self, values: DataFrame, tokens: int, words: int, states: list[int], tables: list[DataFrame]):
+        self.values, self.tokens, self.words, self.states, self.tables = values, tokens, words, states, tables
 
     @property
     def unit(self) -> float:
@@ -299,6 +314,8 @@ def fit(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, penalty: float
     # a key's part of the tree's log probabilities, its count if it is a word, and how often it is there
     values, states = [unigrams.select("key", F.lit(0).cast("bigint").alias("value"), "n", F.col("n").alias("seen"))], []
     known = unigrams.select("key", ((F.col("n") + 1) / (tokens + words + 1)).alias("p"))
+    tables = [unigrams]
+    often = np.array([r.key for r in unigrams.where(F.col("n") * CODES > tokens).select("key").collect()], np.int64).view(np.uint64)  # fewer than CODES
     starts = unigrams.where(F.col("key") == end).select(F.lit(begin).cast("bigint").alias("key"), "n")
     candidates = unigrams.where(F.col("key") != end).select("key", "n").union(starts).where(F.col("n") >= least)
     for order in range(2, depth + 2):
@@ -307,7 +324,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, penalty: float
             break
         heavy = [r.key for r in candidates.where(F.col("n") * SPLIT > tokens).select("key").collect()]  # fewer than SPLIT
         shared = spark.sparkContext.broadcast(filter_of(candidates))
-        counted = count(texts, order, buckets, shared, np.array(heavy, np.int64).view(np.uint64))
+        counted = count(texts, order, buckets, shared, np.array(heavy, np.int64).view(np.uint64), often)
         shared.unpersist()
         tested = (counted.where("key IS NULL").groupBy("ctx").agg(*[F.sum(x).alias(x) for x in ("c", "types", "singles")])
                   .join(candidates.select(F.col("key").alias("ctx")), "ctx", "left_semi"))
@@ -327,6 +344,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, penalty: float
         grown = follow.join(kept.select("ctx"), "ctx", "left_semi")
         grown = materialise(grown.select("key", "parent", "n", "p", _log10(F.col("p") / (F.col("q") * F.col("rest"))).alias("value")))
         discard(follow)
+        tables += [grown, kept]
         nothing = F.lit(0).cast("bigint").alias("n")
         values += [grown.select("key", "value", nothing, F.col("n").alias("seen")),
                    kept.select(F.col("ctx").alias("key"), _log10(F.col("types") / F.col("c")).alias("value"), nothing, F.col("c").alias("seen"))]
@@ -336,7 +354,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, penalty: float
     every = values[0]
     for more in values[1:]:
         every = every.union(more)
-    return Model(every, tokens, words, states)
+    return Model(every, tokens, words, states, tables)
 
 
 # --- scoring ------------------------------------------------------------------------------------
@@ -348,7 +366,7 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score``; without ``model`` it is learned from ``docs``.
     """
-    model = model or fit(docs, depth)
+    own, model = model is None, model or fit(docs, depth)
     spark = docs.sparkSession
     often = F.col("seen") * HOT > model.tokens
     hot = model.values.where(often).select("key", "value", "n").toArrow()  # fewer than HOT keys of each length
@@ -425,9 +443,13 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
         if asked:
             yield from requests(part.column(0).type, (task << 32) | blocks, asked)
 
+    def packed(values: pa.Table) -> pa.Table:
+        known, _, value, n = _add(values["key"].to_numpy().view(np.uint64), values["value"].to_numpy(), values["n"].to_numpy())
+        return pa.table({"of_bucket": values["of_bucket"].slice(0, 1), **{c: _packed(x, [0, len(x)]) for c, x in (("known", known), ("value", value), ("n", n))}})
+
     def answer(asked: pa.Table, values: pa.Table) -> pa.Table:
         asked, kind = asked.combine_chunks(), asked.schema.field("doc_id").type
-        known, _, value, n = _add(values["key"].to_numpy().view(np.uint64), values["value"].to_numpy(), values["n"].to_numpy())
+        known, value, n = (_joined(values[c].combine_chunks(), t) for c, t in (("known", np.uint64), ("value", np.int64), ("n", np.int64)))
         rows = asked.filter(pa.compute.is_valid(asked["keys"])).select(["block", *ask[-4:]]).combine_chunks()
         columns = {c: [] for c in back if c not in facts}
         if len(known) and rows.num_rows:
@@ -464,9 +486,18 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
                                      score_of(base), score_of(value)], names=order)
 
     order, tokens, unit = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], model.tokens, model.unit
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").sortWithinPartitions("doc_id", "text")
-    asked = small_batches(rows).mapInArrow(run, schema(ask))
     there = model.values.where(~often).select(F.pmod(F.shiftrightunsigned("key", 20), F.lit(buckets)).alias("of_bucket"), "key", "value", "n")
-    answers = asked.groupBy("bucket").cogroup(there.groupBy("of_bucket")).applyInArrow(answer, schema(back))
+    there = materialise(there.groupBy("of_bucket").applyInArrow(packed, "of_bucket bigint, known binary, value binary, n binary"))
+    if own:
+        discard(*model.tables)
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return answers.groupBy("block").applyInArrow(total, out)
+    rounds, scored = min(ROUNDS, 1 + tokens // ROUND_TOKENS), None
+    for at in range(rounds):
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == at)
+        rows = part.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").sortWithinPartitions("doc_id", "text")
+        asked = small_batches(rows).mapInArrow(run, schema(ask))
+        answers = asked.groupBy("bucket").cogroup(there.groupBy("of_bucket")).applyInArrow(answer, schema(back))
+        made = materialise(answers.groupBy("block").applyInArrow(total, out))
+        scored = made if scored is None else scored.unionByName(made)
+    discard(there)
+    return scored

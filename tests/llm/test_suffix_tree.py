@@ -134,3 +134,20 @@ def test_filter_holds_every_key(spark):
     bits = suffix_tree.filter_of(spark.createDataFrame([(int(k),) for k in keys], "key bigint"))
     assert suffix_tree.in_filter(bits, keys.view(np.uint64)).all()
     assert suffix_tree.in_filter(bits, np.arange(10**5, dtype=np.uint64)).mean() < 0.01
+
+
+def test_parts_and_codes_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(40)]
+    texts = [" ".join(pool[min(39, int(rng.expovariate(0.2)))] for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["", None]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "w1 w2 w3"), (5, "w1 w2")], "doc_id bigint, text string")
+    found = []
+    for rounds, codes in ((1, 1), (3, 1 << 16), (4, 16)):
+        monkeypatch.setattr(suffix_tree, "ROUNDS", rounds)
+        monkeypatch.setattr(suffix_tree, "ROUND_TOKENS", 16)
+        monkeypatch.setattr(suffix_tree, "CODES", codes)
+        made = suffix_tree.score(docs)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan  # what a part shuffled went with its end
+        found.append(sorted(map(str, made.collect())))
+    assert len(found[0]) == len(texts) + 2 and found[0] == found[1] == found[2]
