@@ -18,6 +18,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_WORD, _LOWERED = ~_SPACE, _BYTE[_LOWER]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,6 +37,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _UP = _DOWN = np.ones(0, np.uint64)
+#: Room for two columns of numbers a byte, kept between calls: fresh memory costs more than the arithmetic.
+_ROOM = np.empty((2, 0), np.uint64)
 
 
 def _tables(n: int):
@@ -46,6 +49,15 @@ def _tables(n: int):
     return _UP, _DOWN
 
 
+def _scratch(n: int) -> np.ndarray:
+    global _ROOM
+    if n > 1 << 20:  # a very long text's is not kept
+        return np.empty((2, n), np.uint64)
+    if _ROOM.shape[1] < n:
+        _ROOM = np.empty((2, max(n, 1 << 16)), np.uint64)
+    return _ROOM[:, :n]
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, begin and end of the words of one run of UTF-8 bytes, in order."""
     none = np.zeros(0, np.int64)
@@ -82,13 +94,16 @@ def run_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     data, bounds = data[low:int(offsets[-1])], offsets - low
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
-    inside, cut = ~_SPACE[data], np.zeros(len(data) + 1, bool)
+    inside, cut = _WORD.take(data), np.zeros(len(data) + 1, bool)
+    np.not_equal(inside[1:], inside[:-1], out=cut[1:-1])
     cut[bounds] = True
-    cut[1:-1] |= inside[1:] != inside[:-1]
     start, end = np.flatnonzero(inside & cut[:-1]), np.flatnonzero(inside & cut[1:]) + 1
     up, down = _tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], out=total[1:])
+    hashed, total = _scratch(len(data) + 1)
+    np.take(_LOWERED, data, out=hashed[1:], mode="clip")
+    hashed[1:] *= up[:len(data)]
+    hashed[0] = 0
+    np.cumsum(hashed, out=total)
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), np.diff(np.searchsorted(start, bounds))
 
 

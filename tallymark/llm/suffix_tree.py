@@ -22,7 +22,8 @@ probabilities along a state's suffixes telescopes into a sum over the n-grams
 that end at the token, so a text's score is the sum of one number for each of
 its n-grams: the model is a table ``key, value``, and scoring multiplies the
 sparse matrix of texts and n-grams by it. Both sides are dealt into buckets by
-key; n-grams in no row of the model are left out by a bitmap of fixed size, and
+key; n-grams in no row of the model are left out by a bitmap of fixed size, longer ones
+without a look where one of their two parts was left out, and
 keys with more than ``1 / HOT`` of the training tokens, fewer than ``HOT`` for
 each length, are broadcast and never travel. The model is dealt out and packed
 once; texts are scored in up to ``ROUNDS`` parts by ``doc_id``, one after the
@@ -67,7 +68,7 @@ FILTER_BITS, TOKENS, PLACES, BUCKETS, BUCKET_TOKENS = 1 << 27, 1_000_000, 1 << 1
 #: A follower travels as a 16-bit code above one in so many training tokens; parts in which texts are scored at most, and training tokens for each.
 CODES, ROUNDS, ROUND_TOKENS = 1 << 16, 4, 1 << 22
 #: Bytes of texts whose words are hashed in one step.
-RUN = 1 << 18
+RUN = 1 << 16
 #: Log probabilities are integers in units of 1 / UNIT.
 UNIT = 1 << 32
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
@@ -118,6 +119,28 @@ def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def known_grams(flat: np.ndarray, sizes: np.ndarray, order: int, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length up to ``order``: the length, and last places and keys of the n-grams in the filter of a model; a begin mark counts as one.
+
+    A model that has an n-gram also has it without its last and without its
+    first symbol, so only where both of these were found a longer one is looked up.
+    """
+    begins = np.zeros(len(flat), bool)
+    begins[np.cumsum(sizes) - sizes] = True
+    ends, keys = np.arange(len(flat)), flat
+    for n in range(1, order + 1):
+        if n > 1:
+            there = np.zeros(len(flat), bool)
+            there[ends] = True
+            there[begins] = False  # nothing ends there that goes on from the text before
+            longest = there[np.minimum(ends + 1, len(flat) - 1)] & (ends + 1 < len(flat))
+            ends = ends[longest] + 1
+            keys = longer(keys[longest], flat[ends])
+        among = in_filter(bits, keys)
+        ends, keys = ends[among], keys[among]
+        yield n, ends, keys
+
+
 def filter_of(keys: DataFrame) -> np.ndarray:
     """Bits of the keys of a table, of a fixed size whatever the number of keys."""
     at = F.col("key").bitwiseAND(FILTER_BITS - 1)
@@ -128,13 +151,40 @@ def filter_of(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _edges(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Places where any of the columns begins another value."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for x in sorted_columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def _add(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, the first place of each, and sums of the values."""
-    unique, first, where = np.unique(keys, return_index=True, return_inverse=True)
-    sums = [np.zeros(len(unique), np.int64) for _ in values]
-    for total, value in zip(sums, values):
-        np.add.at(total, where, value)
-    return unique, first, *sums
+    """Distinct keys, a place of each, and sums of the values."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    edge = _edges(keys)
+    if not len(edge):
+        return keys, edge, *(np.zeros(0, np.int64) for _ in values)
+    return keys[edge], by[edge], *(np.add.reduceat(x[by], edge, dtype=np.int64) for x in values)
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """Places of numbers in the order of their leading bits.
+
+    The others make room for the place, so numbers are sorted and not places,
+    which is several times faster. Equal numbers adjoin but for those that share
+    the leading bits with another.
+    """
+    bits = np.uint64(len(x).bit_length())
+    return (np.sort((x >> bits << bits) | np.arange(len(x), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values of each of ``n`` owners, which are in ascending order."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    return np.diff(total[np.searchsorted(owner, np.arange(n + 1))])
 
 
 class Places:
@@ -192,55 +242,67 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
     fewer than ``CODES``, travel by their number.
     """
     often = np.sort(often) if often is not None else np.zeros(0, np.uint64)
-    heavy = np.sort(heavy) if heavy is not None else np.zeros(0, np.uint64)
+    heavy = Places(np.sort(heavy) if heavy is not None else np.zeros(0, np.uint64))
+    coded = np.concatenate((np.zeros(1, np.uint64), often))  # by number
 
-    def partial(held: list[tuple[np.ndarray, ...]]):
+    def partial(held: list[tuple[np.ndarray, ...]], frequent: Places):
         ctx, symbol, parent, key = (np.concatenate(x) for x in zip(*held))
-        by = np.argsort(key)  # equal keys have equal parts, so any order of them will do
-        key = key[by]
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        key, first, n = key[edge], by[edge], np.diff(edge, append=len(key))
-        ctx, symbol, parent = ctx[first], symbol[first], parent[first] if order > 2 else parent
-        split = (order == 1) | np.isin(ctx, heavy)
-        bucket = (np.where(split, key, mix(ctx)) >> np.uint64(20)) % np.uint64(buckets)
-        bits = np.uint64(buckets.bit_length())
-        by = np.argsort((bucket << (np.uint64(64) - bits)) | (ctx >> bits))
+        if order == 1:
+            key = np.sort(key)
+            edge = _edges(key)
+            symbol = key[edge]
+            bucket = (symbol >> np.uint64(20)) % np.uint64(buckets)
+            leading = symbol
+        else:
+            by = _order(key)  # equal keys have equal parts, so any order of them will do; a key can come twice
+            key = key[by]
+            edge = _edges(key)
+            first = by[edge]
+            ctx, symbol, parent = ctx[first], symbol[first], parent[first] if order > 2 else parent
+            bucket = (np.where(heavy.find(ctx)[0], key[edge], mix(ctx)) >> np.uint64(20)) % np.uint64(buckets)
+            leading = ctx
+        n, bits = np.diff(edge, append=len(key)), np.uint64(buckets.bit_length())
+        by = _order((bucket << (np.uint64(64) - bits)) | (leading >> bits))
         bucket = bucket[by].astype(np.int64)
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+        edges = np.append(_edges(bucket), len(bucket)).tolist()
         symbol, code = symbol[by], np.zeros(len(by), np.uint16)
-        coded, at = Places(often).find(symbol)
-        code[coded] = at + 1
-        rest = np.concatenate(([0], np.cumsum(~coded)))[edges].tolist()
-        arrays = [pa.array(bucket[edges[:-1]], pa.int64()), _packed(ctx[by], edges), _packed(code, edges), _packed(symbol[~coded], rest),
+        common, at = frequent.find(symbol)
+        code[common] = at + 1
+        rest = np.concatenate(([0], np.cumsum(~common)))[edges].tolist()
+        arrays = [pa.array(bucket[edges[:-1]], pa.int64()), _packed(ctx[by] if order > 1 else ctx, edges), _packed(code, edges), _packed(symbol[~common], rest),
                   _packed(parent[by] if order > 2 else parent, edges), _packed(n[by].astype(np.uint32), edges)]
         whole = pa.RecordBatch.from_arrays(arrays, names=["bucket", "ctx", "code", "symbol", "parent", "n"])
         for at in range(0, whole.num_rows, 512):
             yield whole.slice(at, 512)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held, size = [], 0
+        held, size, frequent, bits = [], 0, Places(often), contexts.value if order > 1 else None
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 flat, sizes = symbols(batch.column(0).slice(at, 100))
-                before = keys = flat
-                for _, ends, every in grams(flat, sizes, order):
-                    before, keys = keys, every
-                if order > 1:
-                    ends = ends[in_filter(contexts.value, before[ends - 1])]
-                if len(ends):
-                    ctx = before[ends - 1] if order > 1 else np.zeros(len(ends), np.uint64)
-                    held.append((ctx, flat[ends], before[ends if order > 2 else ends[:0]], keys[ends]))
-                    size += len(ends)
+                for _, ends, before in grams(flat, sizes, max(order - 1, 1)):
+                    pass
+                if order == 1:
+                    held.append((flat[:0], flat[:0], flat[:0], flat[ends]))
+                else:  # a context is followed by what comes next in its text
+                    last = np.zeros(len(flat), bool)
+                    last[np.cumsum(sizes) - 1] = True
+                    starts = np.flatnonzero(~last) if order == 2 else ends[~last[ends]]  # a begin mark is a context of one word
+                    starts = starts[in_filter(bits, before[starts])]
+                    ctx, ends = before[starts], starts + 1
+                    symbol = flat[ends]
+                    held.append((ctx, symbol, before[ends if order > 2 else ends[:0]], longer(ctx, symbol)))
+                size += len(ends)
                 if size >= TOKENS:
-                    yield from partial(held)
+                    yield from partial(held, frequent)
                     held, size = [], 0
-        if held:
-            yield from partial(held)
+        if size:
+            yield from partial(held, frequent)
 
     def merged(rows: list[dict]):
-        ctx, rest, parent = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in ("ctx", "symbol", "parent"))
+        ctx, rest, parent = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in ("ctx", "symbol", "parent"))  # of order 1 without ctx
         code = np.concatenate([np.frombuffer(r["code"], np.uint16) for r in rows])
-        symbol = np.concatenate(([np.uint64(0)], often))[code]
+        symbol = coded[code]
         symbol[code == 0] = rest
         n = np.concatenate([np.frombuffer(r["n"], np.uint32) for r in rows]).astype(np.int64)
         key, first, n = _add(symbol if order == 1 else longer(ctx, symbol), n)
@@ -248,7 +310,7 @@ def count(texts: DataFrame, order: int, buckets: int, contexts=None, heavy: np.n
             return [pa.RecordBatch.from_arrays([_signed(key), pa.array(n)], names=["key", "n"])]
         ctx, parent, twice = ctx[first], (parent if order > 2 else symbol)[first], n > 1
         state, _, c, singles, again = _add(ctx, n, ~twice, n - 1)
-        of, whole = np.searchsorted(state, ctx[twice]), ~np.isin(state, heavy)
+        of, whole = np.searchsorted(state, ctx[twice]), ~heavy.find(state)[0]
         m, k, types = int(twice.sum()), len(state), c - again
         both = lambda left, right: pa.concat_arrays([left, right])
         none = lambda size: pa.nulls(size, pa.int64())
@@ -388,22 +450,21 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
 
     def requests(kind: pa.DataType, block: int, asked: list):
         key, place = (np.concatenate(x) for x in zip(*asked))
-        by = np.argsort(key, kind="stable")  # places of one key were found in ascending order
-        key, place = key[by], place[by]
-        edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])))) if len(key) else np.zeros(0, np.int64)
-        times = np.diff(edge, append=len(key))
-        key, place = key[edge], place[edge]
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1])) if len(key) else np.zeros(0, np.int64)  # of each key's places
+        bits = np.uint64(buckets.bit_length())
+        rank = (key >> np.uint64(20)) % np.uint64(buckets) << (np.uint64(64) - bits)
+        rank |= key >> (np.uint64(16) + bits) << np.uint64(16) | place.astype(np.uint64)  # by bucket, leading bits of the key, place
+        by = np.argsort(rank)
+        key, rank = key[by], rank[by]
+        edge = _edges(key, rank)  # keys of equal leading bits can take turns: a key can come twice, and answers add up
+        times, key, rank = np.diff(edge, append=len(key)), key[edge], rank[edge]
+        place, first = rank.astype(np.uint16), _edges(key)
         sizes = np.diff(first, append=len(key))
-        bucket = ((key[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        bucket, sizes = bucket[by], sizes[by]
-        within = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[by], sizes)
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
-        cuts, n = np.concatenate(([0], np.cumsum(sizes)))[edges].tolist(), len(edges) - 1
+        bucket = (rank[first] >> (np.uint64(64) - bits)).astype(np.int64)
+        edges = np.append(_edges(bucket), len(bucket))
+        cuts, n = np.append(first, len(key))[edges].tolist(), len(edges) - 1
         whole = row(kind, ask, n, block=pa.array(np.full(n, block), pa.int64()), bucket=pa.array(bucket[edges[:-1]], pa.int64()),
-                    keys=_packed(key[first][by], edges.tolist()), sizes=_packed(sizes.astype(np.uint32), edges.tolist()),
-                    places=_packed(place[within].astype(np.uint16), cuts), times=_packed(times[within].astype(np.uint32), cuts))
+                    keys=_packed(key[first], edges.tolist()), sizes=_packed(sizes.astype(np.uint32), edges.tolist()),
+                    places=_packed(place, cuts), times=_packed(times.astype(np.uint32), cuts))
         for at in range(0, n, 512):
             yield whole.slice(at, 512)
 
@@ -418,18 +479,15 @@ def score(docs: DataFrame, model: Model | None = None, depth: int = DEPTH) -> Da
                 flat, sizes = symbols(part.column(2))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 sums = np.zeros((3, len(sizes)), np.int64)
-                for length, ends, every in grams(flat, sizes, depth + 1):
-                    if length == 1:
-                        ends = np.arange(len(flat))  # the begin mark counts as a context
-                    ends = ends[in_filter(bits, every[ends])]
-                    mine, at = every[ends], owner[ends]
+                for length, ends, mine in known_grams(flat, sizes, depth + 1, bits):
+                    at = owner[ends]
                     found, hit = top.find(mine)
-                    owners = at[found]
+                    owners, rest = at[found], ~found
                     if length == 1:  # only words count for the base
-                        np.add.at(sums[1], owners, base[hit])
-                        np.add.at(sums[2], owners, word[hit])
-                    np.add.at(sums[0], owners, whole[hit])
-                    asked.append((mine[~found], at[~found] + n))
+                        sums[1] = _sums(owners, base[hit], len(sizes))
+                        sums[2] = _sums(owners, word[hit], len(sizes))
+                    sums[0] += _sums(owners, whole[hit], len(sizes))
+                    asked.append((mine[rest], at[rest] + n))
                     size += len(mine) - len(owners)
                 m, block = part.num_rows, (task << 32) | blocks
                 yield row(part.column(0).type, ask, m, block=pa.array(np.full(m, block), pa.int64()),

@@ -151,3 +151,50 @@ def test_parts_and_codes_change_nothing(spark, monkeypatch):
         assert "Exchange" not in plan  # what a part shuffled went with its end
         found.append(sorted(map(str, made.collect())))
     assert len(found[0]) == len(texts) + 2 and found[0] == found[1] == found[2]
+
+
+def test_longer_grams_are_looked_up_only_where_both_parts_are_known(monkeypatch):
+    flat, sizes = suffix_tree.symbols(pa.array(["a b c d", None, "x y a b c", "", "b c d e f g h", "a b"]))
+    every = {n: keys[np.arange(len(flat)) if n == 1 else ends] for n, ends, keys in suffix_tree.grams(flat, sizes, 4)}
+    model = np.unique(np.concatenate([every[1], *(k[np.isin(k, every[n][:m])] for n, k, m in ((2, every[2], 4), (3, every[3], 3), (4, every[4], 2)))]))
+    looked_up = []
+    monkeypatch.setattr(suffix_tree, "in_filter", lambda bits, keys: looked_up.append(len(keys)) or np.isin(keys, bits))
+    found = {n: (ends, keys) for n, ends, keys in suffix_tree.known_grams(flat, sizes, 4, model)}
+    for n, ends, keys in suffix_tree.grams(flat, sizes, 4):
+        ends = np.arange(len(flat)) if n == 1 else ends
+        ends = ends[np.isin(keys[ends], model)]
+        assert found[n][0].tolist() == ends.tolist() and found[n][1].tolist() == keys[ends].tolist()
+    assert looked_up[0] == len(flat) and len(found[4][0]) and all(m < len(every[n]) for n, m in zip((3, 4), looked_up[2:]))
+
+
+def test_sums_and_orders():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 50, 400).astype(np.uint64) << np.uint64(40)
+    unique, place, total, some = suffix_tree._add(keys, np.arange(400), keys > np.uint64(9 << 40))
+    assert unique.tolist() == sorted(set(keys.tolist())) and (keys[place] == unique).all()
+    assert total.tolist() == [int(np.arange(400)[keys == k].sum()) for k in unique]
+    assert some.tolist() == [int((keys == k).sum()) if k > 9 << 40 else 0 for k in unique]
+    assert (keys[suffix_tree._order(keys)] == np.sort(keys)).all()
+    assert sorted(suffix_tree._order(keys >> np.uint64(40)).tolist()) == list(range(400))  # no leading bits to go by: every place, once
+    owner = np.sort(rng.integers(0, 9, 40))
+    assert suffix_tree._sums(owner, owner + 1, 10).tolist() == [int((owner[owner == k] + 1).sum()) for k in range(10)]
+    assert [len(x) for x in suffix_tree._add(keys[:0], keys[:0])] == [0, 0, 0] and not len(suffix_tree._order(keys[:0]))
+
+
+def test_keys_of_equal_leading_bits_change_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(30)]
+    texts = [" ".join(pool[min(29, int(rng.expovariate(0.2)))] for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").coalesce(2)
+    marks, plain = suffix_tree.mix(np.array([suffix_tree.BEGIN, suffix_tree.END])), suffix_tree.symbols
+    words, low = plain(pa.array([" ".join(pool)]))[0], np.uint64(0xFFFFF)
+    assert len(np.unique(words & low)) == len(words)
+
+    def alike(column):
+        flat, sizes = plain(column)
+        return np.where(np.isin(flat, marks), flat, flat & low), sizes
+
+    monkeypatch.setattr(suffix_tree, "HOT", 1)  # nothing is broadcast
+    want = sorted(map(str, suffix_tree.score(docs).collect()))
+    monkeypatch.setattr(suffix_tree, "symbols", alike)
+    assert sorted(map(str, suffix_tree.score(docs).collect())) == want
